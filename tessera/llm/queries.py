@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat, spans
 from .common import read
 
 
@@ -21,6 +22,28 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import rotate
+
+    spans = F.transform("mask", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
+    views = rotate(read(spark, sf_dir, "conversations"))
+    return views.select("conv_id", "participant", "block", "n_messages", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), F.array_join(spans, ",").alias("mask"))
+
+
+def op3_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repetition import judge
+
+    found = judge(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_chars", "longest_repeat")
+
+
+def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spans import dedup_spans
+
+    found = dedup_spans(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_sentences", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -30,5 +53,17 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(texts, _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op5_byte_bpe)}
-SQL: dict[str, str] = {}
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license import scan
+
+    return scan(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "spans")
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_perspective_rotation, op3_suffix_repetition, op4_sentence_spans, op5_byte_bpe, op9_license_scan, op10_quality_classifier)}
+SQL: dict[str, str] = {"op2_perspective_rotation": chat.SQL, "op4_sentence_spans": spans.SQL}
