@@ -60,6 +60,12 @@ def op6_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op8_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .forest import near_duplicates
 
@@ -78,5 +84,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_perspective_rotation, op3_suffix_repetition, op4_sentence_spans, op5_byte_bpe, op6_suffix_arrays, op8_projection_forest, op9_license_scan, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_perspective_rotation, op3_suffix_repetition, op4_sentence_spans, op5_byte_bpe, op6_suffix_arrays, op7_token_group_join, op8_projection_forest, op9_license_scan, op10_quality_classifier)}
 SQL: dict[str, str] = {"op2_perspective_rotation": chat.SQL, "op4_sentence_spans": spans.SQL}
