@@ -1,18 +1,79 @@
-"""The corpus pipeline: STAGES over documents, each written as Parquet and read by the next."""
+"""The corpus pipeline: STAGES over documents, each written as Parquet and read by the next.
 
-from __future__ import annotations
+1. quality: the classifier is fitted on the labelled documents and rejects scores below 0.3.
+2. rules: texts whose repetition is too large are rejected.
+3. near duplicates: of each component of similar documents the smallest doc_id stays.
+4. repeated substrings of 400 bytes are cut out of the texts.
+5. packing into sequences of 2,048 tokens.
+
+Stages 1 to 4 return the columns of documents; stage 4 replaces text and n_chars (a character
+that loses some of its bytes goes altogether). Nulls, empty texts, repeated rows and empty tables
+are handled as the operators define; a null doc_id is a document that is never dropped as a copy.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm.common import Workspace, read
+from tessera.llm.jaccard import jaccard_components
+from tessera.llm.packing import pack_documents
+from tessera.llm.quality import classify
+from tessera.llm.repetition import judge
+from tessera.llm.suffix_dedup import dedup_suffixes
+
+THRESHOLD = 0.3
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    rejected = classify(docs, read(spark, sf_dir, "labels"), THRESHOLD).filter("predicted = 0").select("doc_id").distinct()
+    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that keep to the repetition rules."""
+    return judge(docs).filter("kept").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones."""
+    copies = jaccard_components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+
+
+def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without what repeats."""
+    from pyspark.sql import types as T
+
+    @F.udf(T.StringType(), useArrow=True)
+    def characters(raw):
+        return None if raw is None else bytes(raw).decode("utf-8", "ignore")
+
+    cut = dedup_suffixes(docs)
+    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(characters("kept"))
+    cut = cut.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return cut.select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their places in sequences."""
+    import public_tokenizers
+
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES = [("quality classifier", quality), ("quality rules", rules), ("n-gram Jaccard join", near_duplicates), ("suffix-array dedup", repeated_substrings), ("best-fit packing", packing)]
 
+#: Suffix arrays, kernel features and packing are not expressible in SQL; tests use brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The last stage's rows; every stage is stored before the next reads it."""
+    workspace = Workspace(spark, "pipeline")
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = workspace.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
