@@ -1,10 +1,788 @@
-"""Registered queries of the experiment-analytics operators and their SQL twins."""
+"""Registered queries of the experiment-analytics operators and their SQL twins.
+
+Treatments are derived from the tables: orders are dealt to arms by customer number. Doubles are
+rounded on both sides, aggregates to 4 digits and statistics to 6.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..frame import RoleFrame
+from ..operators import compare, matching, multitest, prep, split, stats, variance
+from ..roles import FeatureRole, GroupingRole, StratificationRole, TargetRole, TreatmentRole
+from ..streaming.moments import windowed_moments
+from . import shells
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(function):
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            SQL[function.__name__] = sql
+        return function
+
+    return register
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, negative zero made zero."""
+    return df.select(*[(F.round(F.col(f"`{n}`"), digits) + 0.0).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes])
+
+
+def customers(spark: SparkSession, sf_dir: str) -> RoleFrame:
+    df = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+    return RoleFrame(df, {StratificationRole(): ["c_mktsegment"], TargetRole(): ["c_acctbal"]}, "c_custkey")
+
+
+def suppliers(spark: SparkSession, sf_dir: str) -> RoleFrame:
+    return RoleFrame(read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal"), {}, "s_suppkey")
+
+
+def orders(spark: SparkSession, sf_dir: str, arms: int = 3) -> RoleFrame:
+    df = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % arms).alias("treat"), F.col("o_totalprice").alias("price"), F.year("o_orderdate").cast("double").alias("year"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"))
+    return RoleFrame(df, {TreatmentRole(): ["treat"], TargetRole(): ["price", "priority"]}, "id")
+
+
+def orders_sql(arms: int = 3) -> str:
+    return f"o AS (SELECT o_orderkey AS id, o_custkey % {arms} AS treat, o_totalprice AS price, CAST(year(o_orderdate) AS DOUBLE) AS year, o_orderpriority AS priority, o_orderstatus AS status FROM orders)"
+
+
+def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row an order: id, treat (two arms), total, qty (a covariate of it)."""
+    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("total"), F.sum("l_quantity").alias("qty"))
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 2).alias("treat"))
+    return o.join(lines, F.col("id") == F.col("l_orderkey")).select("id", "treat", "total", "qty")
+
+
+BASKETS = "b AS (SELECT o_orderkey AS id, o_custkey % 2 AS treat, total, qty FROM orders JOIN (SELECT l_orderkey, sum(l_extendedprice) AS total, sum(l_quantity) AS qty FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)"
+
+LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def lines(spark: SparkSession, sf_dir: str) -> RoleFrame:
+    return RoleFrame(read(spark, sf_dir, "lineitem").select(*LINE), {FeatureRole(): LINE})
+
+
+# ---- projection, selection, element-wise -------------------------------------------------------
+
+
+@query("SELECT s_suppkey, s_acctbal FROM supplier")
+def select_cols(spark, sf):
+    return suppliers(spark, sf)[["s_acctbal"]].df
+
+
+@query("SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_acctbal > 5000 AND c_nationkey < 10")
+def filter_mask(spark, sf):
+    c = customers(spark, sf)
+    return c.where((F.col("c_acctbal") > 5000) & (F.col("c_nationkey") < 10)).df
+
+
+@query("SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_acctbal > 5000")
+def filter_mask_frame(spark, sf):
+    c = customers(spark, sf)
+    return c[c["c_acctbal"] > 5000].df
+
+
+@query("SELECT s_suppkey, round(s_acctbal * 2 + 1, 4) AS s_acctbal FROM supplier")
+def arith_ops(spark, sf):
+    return rounded((suppliers(spark, sf)["s_acctbal"] * 2 + 1).df, 4)
+
+
+@query("SELECT s_suppkey, round(100.0 / nullif(s_acctbal, 0), 6) + 0.0 AS s_acctbal FROM supplier")
+def right_arith(spark, sf):
+    return rounded((100.0 / suppliers(spark, sf)["s_acctbal"]).df)
+
+
+@query("SELECT s_suppkey, CAST(floor(s_acctbal / 7) AS DOUBLE) AS d, round(s_acctbal - 7 * floor(s_acctbal / 7), 4) AS m FROM supplier")
+def floordiv_mod(spark, sf):
+    s = suppliers(spark, sf)["s_acctbal"]
+    return rounded((s // 7).rename({"s_acctbal": "d"}).add_column((s % 7).rename({"s_acctbal": "m"})).df, 4)
+
+
+@query("SELECT s_suppkey, s_acctbal >= 4500 AS s_acctbal FROM supplier")
+def compare_ops(spark, sf):
+    return (suppliers(spark, sf)["s_acctbal"] >= 4500).df
+
+
+@query("SELECT s_suppkey, (s_acctbal > 1000 AND s_acctbal < 5000) OR NOT s_acctbal > -500 AS s_acctbal FROM supplier")
+def logical_ops(spark, sf):
+    s = suppliers(spark, sf)["s_acctbal"]
+    return (((s > 1000) & (s < 5000)) | ~(s > -500)).df
+
+
+@query("SELECT c_custkey, c_mktsegment IN ('BUILDING', 'MACHINERY') AS c_mktsegment FROM customer")
+def isin_mask(spark, sf):
+    return customers(spark, sf)["c_mktsegment"].isin(["BUILDING", "MACHINERY"]).df
+
+
+@query("SELECT s_suppkey, round(abs(-s_acctbal), 2) AS s_acctbal FROM supplier")
+def unary_ops(spark, sf):
+    return rounded(abs(-suppliers(spark, sf)["s_acctbal"]).df, 2)
+
+
+@query("SELECT s_suppkey, round_even(s_acctbal, 0) + 0.0 AS s_acctbal FROM supplier")
+def round_even(spark, sf):
+    return rounded(suppliers(spark, sf)["s_acctbal"].round(0).df, 2)
+
+
+@query("SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN round(ln(s_acctbal), 6) + 0.0 END AS s_acctbal FROM supplier")
+def log_values(spark, sf):
+    return rounded(suppliers(spark, sf)["s_acctbal"].log().df)
+
+
+def _holes(spark, sf) -> RoleFrame:
+    s = suppliers(spark, sf)["s_acctbal"]
+    return s.with_column("s_acctbal", F.when(F.col("s_suppkey") % 3 != 0, F.col("s_acctbal")))
+
+
+HOLES = "h AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 <> 0 THEN s_acctbal END AS s_acctbal FROM supplier)"
+
+
+@query(f"WITH {HOLES} SELECT s_suppkey, coalesce(s_acctbal, 0.5) AS s_acctbal FROM h")
+def fillna_const(spark, sf):
+    return _holes(spark, sf).fillna({"s_acctbal": 0.5}).df
+
+
+@query(f"WITH {HOLES} SELECT s_suppkey, last_value(s_acctbal IGNORE NULLS) OVER (ORDER BY s_suppkey ROWS UNBOUNDED PRECEDING) AS s_acctbal FROM h")
+def ffill(spark, sf):
+    return _holes(spark, sf).fillna(method="ffill").df
+
+
+@query(f"WITH {HOLES} SELECT s_suppkey, first_value(s_acctbal IGNORE NULLS) OVER (ORDER BY s_suppkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS s_acctbal FROM h")
+def bfill(spark, sf):
+    return _holes(spark, sf).fillna(method="bfill").df
+
+
+@query(f"WITH {HOLES} SELECT * FROM h WHERE s_acctbal IS NOT NULL")
+def dropna_any(spark, sf):
+    return _holes(spark, sf).dropna().df
+
+
+@query(f"WITH {HOLES} SELECT s_suppkey, s_acctbal IS NULL AS s_acctbal FROM h")
+def isna_mask(spark, sf):
+    return _holes(spark, sf).isna().df
+
+
+@query(f"WITH {HOLES} SELECT count(*) - count(s_acctbal) AS s_acctbal FROM h")
+def na_counts(spark, sf):
+    return _holes(spark, sf).na_counts().df
+
+
+@query("SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'B' WHEN 'MACHINERY' THEN 'M' ELSE c_mktsegment END AS c_mktsegment FROM customer")
+def replace_values(spark, sf):
+    return customers(spark, sf)["c_mktsegment"].replace({"BUILDING": "B", "MACHINERY": "M"}).df
+
+
+@query("SELECT c_custkey, regexp_replace(c_mktsegment, '[AEIOU]', '_', 'g') AS c_mktsegment FROM customer")
+def replace_regex(spark, sf):
+    return customers(spark, sf)["c_mktsegment"].replace("[AEIOU]", "_", regex=True).df
+
+
+@query("SELECT s_suppkey AS k, s_nationkey, s_acctbal AS balance FROM supplier")
+def rename(spark, sf):
+    return suppliers(spark, sf).rename({"s_suppkey": "k", "s_acctbal": "balance"}).df
+
+
+@query("SELECT s_suppkey, CAST(s_nationkey AS VARCHAR) AS s_nationkey, s_acctbal FROM supplier")
+def cast(spark, sf):
+    return suppliers(spark, sf).astype({"s_nationkey": str}).df
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer")
+def select_dtypes(spark, sf):
+    return customers(spark, sf).select_dtypes(include=float).df
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer")
+def filter_labels(spark, sf):
+    return customers(spark, sf).filter(like="acct").df
+
+
+@query("SELECT s_suppkey, s_nationkey, s_acctbal FROM (SELECT *, row_number() OVER (ORDER BY s_suppkey) - 1 AS p FROM supplier) WHERE p >= 5 AND p < 15")
+def iloc_slice(spark, sf):
+    return suppliers(spark, sf).iloc(slice(5, 15)).df
+
+
+@query("SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier WHERE s_suppkey IN (1, 3, 7)")
+def loc_rows(spark, sf):
+    return suppliers(spark, sf).loc([1, 3, 7]).df
+
+
+@query("SELECT k AS s_suppkey, coalesce(s_nationkey, -1) AS s_nationkey FROM (VALUES (1), (3), (1000000)) v(k) LEFT JOIN supplier ON s_suppkey = k")
+def reindex(spark, sf):
+    return suppliers(spark, sf)[["s_nationkey"]].reindex([1, 3, 1000000], -1).df
+
+
+@query("SELECT vec_id, CAST(embedding[1] AS FLOAT) AS embedding_0, CAST(embedding[2] AS FLOAT) AS embedding_1, CAST(embedding[3] AS FLOAT) AS embedding_2 FROM embeddings")
+def list_to_columns(spark, sf):
+    frame = RoleFrame(read(spark, sf, "embeddings").select("vec_id", "embedding"), {}, "vec_id")
+    return frame.list_to_columns("embedding", 3).df
+
+
+@query("WITH t AS (SELECT r_regionkey AS k, r_name FROM region) SELECT 'r_name' AS key, max(CASE WHEN k = 0 THEN r_name END) AS \"0\", max(CASE WHEN k = 1 THEN r_name END) AS \"1\", max(CASE WHEN k = 2 THEN r_name END) AS \"2\", max(CASE WHEN k = 3 THEN r_name END) AS \"3\", max(CASE WHEN k = 4 THEN r_name END) AS \"4\" FROM t")
+def transpose_small(spark, sf):
+    return RoleFrame(read(spark, sf, "region").select("r_regionkey", "r_name"), {}, "r_regionkey").transpose().df
+
+
+@query("SELECT s_suppkey, round(0.5 * s_nationkey + 2 * s_acctbal, 4) AS a, round(-s_nationkey + 0.25 * s_acctbal, 4) AS b FROM supplier")
+def dot_product(spark, sf):
+    return rounded(suppliers(spark, sf).dot([[0.5, -1.0], [2.0, 0.25]], ["a", "b"]).df, 4)
+
+
+@query("SELECT s_suppkey, round(s_acctbal / 3, 4) AS s_acctbal FROM supplier")
+def map_values(spark, sf):
+    return rounded(suppliers(spark, sf)["s_acctbal"].map(lambda v: v / 3).df, 4)
+
+
+@query("SELECT s_suppkey, s_nationkey, s_acctbal, round(s_nationkey + s_acctbal, 4) AS result FROM supplier")
+def apply_rows(spark, sf):
+    return rounded(suppliers(spark, sf).apply(lambda r: float(r["s_nationkey"]) + r["s_acctbal"], axis=1).df, 4)
+
+
+@query("SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment FROM (SELECT *, row_number() OVER (ORDER BY md5(CAST(c_custkey AS VARCHAR) || ':3'), c_custkey) AS r FROM customer) WHERE r <= 20")
+def sample_exact(spark, sf):
+    return customers(spark, sf).sample(n=20, seed=3).df
+
+
+# ---- joins and sets ----------------------------------------------------------------------------
+
+
+def _nations(spark, sf) -> RoleFrame:
+    return RoleFrame(read(spark, sf, "nation").filter("n_nationkey % 2 = 0").select("n_nationkey", "n_name"), {}, "n_nationkey")
+
+
+def _merge(how: str):
+    def run(spark, sf):
+        return suppliers(spark, sf).merge(_nations(spark, sf), left_on="s_nationkey", right_on="n_nationkey", how=how).df
+
+    run.__name__ = f"merge_{how}"
+    return run
+
+
+for _how, _join in {"inner": "JOIN", "left": "LEFT JOIN", "right": "RIGHT JOIN", "outer": "FULL JOIN"}.items():
+    query(f"SELECT s_suppkey, s_nationkey, s_acctbal, n_nationkey, n_name FROM supplier {_join} (SELECT * FROM nation WHERE n_nationkey % 2 = 0) ON s_nationkey = n_nationkey")(_merge(_how))
+
+
+@query("SELECT a.r_regionkey AS r_regionkey_x, a.r_name AS r_name_x, b.r_regionkey AS r_regionkey_y, b.r_name AS r_name_y FROM region a CROSS JOIN region b")
+def merge_cross(spark, sf):
+    r = RoleFrame(read(spark, sf, "region").select("r_regionkey", "r_name"), {}, "r_regionkey")
+    return r.merge(r, how="cross").df
+
+
+@query("SELECT s_suppkey, a.s_acctbal AS s_acctbal_x, a.s_acctbal + 1 AS s_acctbal_y FROM supplier a")
+def merge_index(spark, sf):
+    s = suppliers(spark, sf)["s_acctbal"]
+    return s.merge(s + 1).df
+
+
+@query("SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE CAST(c_custkey AS VARCHAR) IN ('1', '2', '5')")
+def semi_label_filter(spark, sf):
+    return customers(spark, sf).filter(items=[1, 2, 5], axis=0).df
+
+
+@query("SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier WHERE s_suppkey NOT IN (2, 4, 6)")
+def anti_drop(spark, sf):
+    return suppliers(spark, sf).drop(keys=[2, 4, 6]).df
+
+
+@query("SELECT s_suppkey AS k, s_acctbal AS bal, NULL AS seg FROM supplier UNION ALL SELECT c_custkey, c_acctbal, c_mktsegment FROM customer")
+def append_union(spark, sf):
+    a = suppliers(spark, sf)[["s_acctbal"]].rename({"s_suppkey": "k", "s_acctbal": "bal"})
+    b = customers(spark, sf)[["c_acctbal", "c_mktsegment"]].rename({"c_custkey": "k", "c_acctbal": "bal", "c_mktsegment": "seg"})
+    return a.append(b).df
+
+
+@query("SELECT coalesce(s_suppkey, c_custkey) AS s_suppkey, s_acctbal, c_acctbal FROM supplier FULL JOIN customer ON s_suppkey = c_custkey")
+def append_columns(spark, sf):
+    return suppliers(spark, sf)[["s_acctbal"]].append(customers(spark, sf)[["c_acctbal"]], axis=1).df
+
+
+# ---- aggregates --------------------------------------------------------------------------------
+
+MULTI = ("count", "sum", "mean", "min", "max")
+
+
+@query("SELECT " + ", ".join(f"round({f}({c}), 4) AS {c}_{n}" if n not in ("count",) else f"count({c}) AS {c}_count" for c in LINE for n, f in zip(MULTI, ("count", "sum", "avg", "min", "max"), strict=True)) + " FROM lineitem")
+def agg_multi(spark, sf):
+    return rounded(lines(spark, sf).agg(MULTI).df, 4)
+
+
+@query("SELECT " + ", ".join(f"round({f}({c}), 6) AS {c}_{n}" for c in ("l_quantity", "l_discount") for n, f in (("var", "var_samp"), ("std", "stddev_samp"), ("var_pop", "var_pop"), ("std_pop", "stddev_pop"))) + " FROM lineitem")
+def var_std(spark, sf):
+    return rounded(lines(spark, sf)[["l_quantity", "l_discount"]].agg(("var", "std", "var_pop", "std_pop")).df)
+
+
+def _pairs_sql(function: str, columns: list[str], table: str, digits: int) -> str:
+    return " UNION ALL ".join(f"SELECT '{a}' AS column_a, '{b}' AS column_b, round({function}({a}, {b}), {digits}) + 0.0 AS value FROM {table}" for a in columns for b in columns)
+
+
+@query(_pairs_sql("covar_samp", LINE, "lineitem", 3))
+def cov_matrix(spark, sf):
+    return rounded(lines(spark, sf).cov().df, 3)
+
+
+@query(_pairs_sql("corr", LINE, "lineitem", 6))
+def corr_pearson(spark, sf):
+    return rounded(lines(spark, sf).corr().df)
+
+
+@query("WITH r AS (SELECT rank() OVER (ORDER BY s_nationkey) + (count(*) OVER (PARTITION BY s_nationkey) - 1) / 2 AS a, rank() OVER (ORDER BY s_acctbal) + (count(*) OVER (PARTITION BY s_acctbal) - 1) / 2 AS b FROM supplier), c AS (SELECT round(corr(a, b), 6) AS v FROM r) SELECT x AS column_a, y AS column_b, CASE WHEN x = y THEN 1.0 ELSE v END AS value FROM c, (VALUES ('s_nationkey'), ('s_acctbal')) p(x), (VALUES ('s_nationkey'), ('s_acctbal')) q(y)")
+def corr_spearman(spark, sf):
+    return rounded(suppliers(spark, sf).corr("spearman").df)
+
+
+@query("WITH p AS (SELECT sign(a.s_nationkey - b.s_nationkey) AS x, sign(a.s_acctbal - b.s_acctbal) AS y FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey), t AS (SELECT round(sum(x * y) / sqrt(sum(x * x) * sum(y * y)), 6) AS v FROM p) SELECT x AS column_a, y AS column_b, CASE WHEN x = y THEN 1.0 ELSE v END AS value FROM t, (VALUES ('s_nationkey'), ('s_acctbal')) p(x), (VALUES ('s_nationkey'), ('s_acctbal')) q(y)")
+def corr_kendall(spark, sf):
+    return rounded(suppliers(spark, sf).corr("kendall").df)
+
+
+@query("SELECT q, round(quantile_cont(l_quantity, q), 6) AS l_quantity, round(quantile_cont(l_extendedprice, q), 6) AS l_extendedprice FROM lineitem, (VALUES (0.05), (0.5), (0.95)) v(q) GROUP BY q".replace("quantile_cont(l_quantity, q)", "CASE q WHEN 0.05 THEN quantile_cont(l_quantity, 0.05) WHEN 0.5 THEN quantile_cont(l_quantity, 0.5) ELSE quantile_cont(l_quantity, 0.95) END").replace("quantile_cont(l_extendedprice, q)", "CASE q WHEN 0.05 THEN quantile_cont(l_extendedprice, 0.05) WHEN 0.5 THEN quantile_cont(l_extendedprice, 0.5) ELSE quantile_cont(l_extendedprice, 0.95) END").replace("SELECT q,", "SELECT CAST(q AS DOUBLE) AS q,"))
+def quantiles(spark, sf):
+    return rounded(lines(spark, sf)[["l_quantity", "l_extendedprice"]].quantile([0.05, 0.5, 0.95]).df)
+
+
+@query("SELECT " + ", ".join(f"round(stddev_samp({c}) / avg({c}), 6) AS {c}" for c in LINE) + " FROM lineitem")
+def cv(spark, sf):
+    return rounded(lines(spark, sf).coefficient_of_variation().df)
+
+
+@query("WITH c AS (SELECT c_mktsegment AS v, count(*) AS n FROM customer GROUP BY 1) SELECT 'c_mktsegment' AS \"column\", v AS value, n FROM c WHERE n = (SELECT max(n) FROM c)")
+def mode_all(spark, sf):
+    return customers(spark, sf).mode(["c_mktsegment"]).df
+
+
+@query("SELECT min(s_suppkey) FILTER (s_acctbal = (SELECT max(s_acctbal) FROM supplier)) AS s_acctbal FROM supplier")
+def idxmax(spark, sf):
+    return suppliers(spark, sf)[["s_acctbal"]].idxmax().df
+
+
+@query("SELECT count(DISTINCT c_nationkey) AS c_nationkey, count(DISTINCT c_mktsegment) AS c_mktsegment FROM customer")
+def nunique(spark, sf):
+    return stats.aggregate(customers(spark, sf).df, ["c_nationkey", "c_mktsegment"], "nunique")
+
+
+@query("SELECT c_mktsegment, c_nationkey, count(*) AS count FROM customer GROUP BY ALL")
+def value_counts(spark, sf):
+    return customers(spark, sf).select(["c_mktsegment", "c_nationkey"]).drop("c_custkey").value_counts().df
+
+
+@query("SELECT c_mktsegment, round(count(*) / (SELECT count(*) FROM customer), 6) AS proportion FROM customer GROUP BY ALL")
+def value_counts_norm(spark, sf):
+    return rounded(customers(spark, sf).select(["c_mktsegment"]).drop("c_custkey").value_counts(normalize=True).df)
+
+
+@query("SELECT c_mktsegment, round(avg(c_acctbal), 4) AS c_acctbal_mean, round(stddev_samp(c_acctbal), 4) AS c_acctbal_std, count(c_acctbal) AS c_acctbal_count FROM customer GROUP BY ALL")
+def groupby_agg(spark, sf):
+    return rounded(customers(spark, sf).groupby("c_mktsegment", ["mean", "std", "count"], ["c_acctbal"]).df, 4)
+
+
+@query("SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier ORDER BY s_acctbal DESC")
+def sort_values(spark, sf):
+    return suppliers(spark, sf).sort("s_acctbal", ascending=False).df
+
+
+# ---- A/B comparisons ---------------------------------------------------------------------------
+
+
+@query(f"WITH {orders_sql()}, n AS (SELECT treat, count(*) AS n FROM o GROUP BY 1) SELECT CAST(t.treat AS VARCHAR) AS \"group\", c.n AS control_size, t.n AS test_size, round(c.n * 100.0 / (c.n + t.n), 6) AS control_size_pct, round(t.n * 100.0 / (c.n + t.n), 6) AS test_size_pct FROM n t, n c WHERE c.treat = 0 AND t.treat > 0")
+def group_sizes(spark, sf):
+    return rounded(compare.group_sizes(orders(spark, sf).df, "treat"))
+
+
+MOMENTS = "m AS (SELECT treat, count(price) AS n, avg(price) AS mean, var_samp(price) AS var FROM o GROUP BY 1), p AS (SELECT 'price' AS feature, CAST(t.treat AS VARCHAR) AS \"group\", c.n AS n1, c.mean AS m1, c.var AS v1, t.n AS n2, t.mean AS m2, t.var AS v2 FROM m t, m c WHERE c.treat = 0 AND t.treat > 0)"
+
+
+@query(f'WITH {orders_sql()}, {MOMENTS} SELECT feature, "group", round(m1, 4) AS control_mean, round(m2, 4) AS test_mean, round(m2 - m1, 4) AS difference, round((m2 / m1 - 1) * 100, 4) AS difference_pct FROM p')
+def group_difference(spark, sf):
+    return rounded(compare.group_difference(orders(spark, sf).df, ["price"], "treat"), 4)
+
+
+#: Composite Simpson rule over the density of t from 0 to |statistic|.
+T_P_VALUE = """s AS (SELECT *, lgamma((df + 1) / 2) - lgamma(df / 2) - 0.5 * ln(df * pi()) AS c, abs(t) / 2000 AS h FROM w),
+i AS (SELECT feature, "group", any_value(t) AS t, any_value(df) AS df,
+  sum((CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(c - (df + 1) / 2 * ln(1 + (k * h) * (k * h) / df))) * any_value(h) / 3 AS area
+  FROM s, range(0, 2001) r(k) GROUP BY feature, "group")
+SELECT feature, "group", round(df, 4) AS df, round(t, 6) + 0.0 AS statistic, round(greatest(1 - 2 * area, 0), 6) AS p_value, 1 - 2 * area < 0.05 AS pass FROM i"""
+
+
+@query(f"WITH {orders_sql()}, {MOMENTS}, w AS (SELECT feature, \"group\", (m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS t, (v1 / n1 + v2 / n2) ^ 2 / ((v1 / n1) ^ 2 / (n1 - 1) + (v2 / n2) ^ 2 / (n2 - 1)) AS df FROM p), {T_P_VALUE}")
+def ttest_welch(spark, sf):
+    found = compare.t_test(orders(spark, sf).df, ["price"], "treat", equal_var=False)
+    return rounded(found.withColumn("df", F.round("df", 4)))
+
+
+@query(f"WITH {orders_sql()}, {MOMENTS}, w AS (SELECT feature, \"group\", (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2)) AS t, CAST(n1 + n2 - 2 AS DOUBLE) AS df FROM p), {T_P_VALUE}")
+def ttest_pooled(spark, sf):
+    return rounded(compare.t_test(orders(spark, sf).df, ["price"], "treat"))
+
+
+@query(f"""WITH {orders_sql()}, c AS (SELECT treat, priority AS v, count(*) AS n FROM o GROUP BY ALL),
+g AS (SELECT treat, sum(n) AS n FROM c GROUP BY 1),
+pooled AS (SELECT treat, CASE WHEN n < 7 THEN 'other' ELSE v END AS v, sum(n) AS n FROM c GROUP BY ALL HAVING CASE WHEN n < 7 THEN 'other' ELSE v END <> 'other' OR sum(n) >= 7),
+arms AS (SELECT t.treat AS g, c.n / (c.n + t.n) AS share FROM g t, g c WHERE c.treat = 0 AND t.treat > 0),
+w AS (SELECT g, v, sum(CASE WHEN treat = 0 THEN n * (1 - share) ELSE 0 END) AS o1, sum(CASE WHEN treat = g THEN n * share ELSE 0 END) AS o2 FROM arms, pooled WHERE treat IN (0, g) GROUP BY g, v),
+t AS (SELECT *, o1 + o2 AS r, sum(o1) OVER a AS t1, sum(o2) OVER a AS t2, count(*) OVER a AS k FROM w WINDOW a AS (PARTITION BY g)),
+e AS (SELECT *, r * t1 / (t1 + t2) AS e1, r * t2 / (t1 + t2) AS e2 FROM t),
+d AS (SELECT *, abs(o1 - e1) - CASE WHEN k = 2 THEN least(0.5, abs(o1 - e1)) ELSE 0 END AS d1, abs(o2 - e2) - CASE WHEN k = 2 THEN least(0.5, abs(o2 - e2)) ELSE 0 END AS d2 FROM e)
+SELECT 'priority' AS feature, CAST(g AS VARCHAR) AS "group", CAST(max(k) - 1 AS DOUBLE) AS df, round(sum(d1 * d1 / e1 + d2 * d2 / e2), 6) AS statistic FROM d GROUP BY g""")
+def chi2_stat(spark, sf):
+    return rounded(compare.chi2_test(orders(spark, sf).df, ["priority"], "treat").drop("p_value", "pass"))
+
+
+@query(f"""WITH {orders_sql()}, n AS (SELECT count(*) FILTER (treat = 0) AS n0, count(*) FILTER (treat = 1) AS n1, count(*) FILTER (treat = 2) AS n2 FROM o),
+c AS (SELECT price, count(*) FILTER (treat = 0) AS c0, count(*) FILTER (treat = 1) AS c1, count(*) FILTER (treat = 2) AS c2 FROM o GROUP BY 1),
+f AS (SELECT sum(c0) OVER w / n0 AS f0, sum(c1) OVER w / n1 AS f1, sum(c2) OVER w / n2 AS f2 FROM c, n WINDOW w AS (ORDER BY price ROWS UNBOUNDED PRECEDING))
+SELECT 'price' AS feature, '1' AS "group", round(max(abs(f0 - f1)), 6) AS statistic FROM f UNION ALL SELECT 'price', '2', round(max(abs(f0 - f2)), 6) FROM f""")
+def ks_stat(spark, sf):
+    return rounded(compare.ks_test(orders(spark, sf).df, ["price"], "treat").drop("p_value", "pass"))
+
+
+@query(f"""WITH {orders_sql()}, arms AS (SELECT unnest([1, 2]) AS g),
+r AS (SELECT g, treat, rank() OVER (PARTITION BY g ORDER BY price) + (count(*) OVER (PARTITION BY g, price) - 1) / 2 AS r FROM o, arms WHERE treat = 0 OR treat = g)
+SELECT 'price' AS feature, CAST(g AS VARCHAR) AS "group", round(sum(r) FILTER (treat = 0) - count(*) FILTER (treat = 0) * (count(*) FILTER (treat = 0) + 1) / 2, 4) AS statistic FROM r GROUP BY g""")
+def u_stat(spark, sf):
+    return rounded(compare.u_test(orders(spark, sf).df, ["price"], "treat").drop("p_value", "pass"), 4)
+
+
+@query(f'WITH {orders_sql()}, {MOMENTS} SELECT feature, "group", round(2.8015852181356 * sqrt(v2 / n2 + v1 / n1), 4) AS mde FROM p')
+def mde_by_size(spark, sf):
+    return rounded(compare.mde_by_size(orders(spark, sf).df, ["price"], "treat"), 4)
+
+
+@query(f'WITH {orders_sql()}, {MOMENTS} SELECT feature, "group", round((m2 - m1) / sqrt(v1), 6) + 0.0 AS smd FROM p')
+def smd(spark, sf):
+    return rounded(compare.smd(orders(spark, sf).df, ["price"], "treat"))
+
+
+@query(f"""WITH {orders_sql()}, s AS (SELECT min(price) AS lo, max(price) AS hi FROM o WHERE treat = 0),
+b AS (SELECT treat, greatest(0, least(9, CAST(floor((price - lo) / (hi - lo) * 10) AS INT))) AS bin FROM o, s),
+n AS (SELECT treat, count(*) AS n FROM b GROUP BY 1),
+d AS (SELECT n.treat, bin, greatest(1e-6, (SELECT count(*) FROM b WHERE b.treat = n.treat AND b.bin = bins.bin) / n.n) AS q FROM n, range(10) bins(bin))
+SELECT 'price' AS feature, CAST(t.treat AS VARCHAR) AS "group", round(sum((t.q - c.q) * ln(t.q / c.q)), 6) + 0.0 AS psi FROM d t JOIN d c ON c.treat = 0 AND t.treat > 0 AND t.bin = c.bin GROUP BY t.treat""")
+def psi(spark, sf):
+    return rounded(compare.psi(orders(spark, sf).df, ["price"], "treat"))
+
+
+
+
+@query(f"WITH {BASKETS} SELECT 'total' AS feature, 'all' AS \"group\", round(avg(qty), 4) AS control_mean, round(avg(total), 4) AS test_mean, round(avg(total) - avg(qty), 4) AS difference, round((avg(total) / avg(qty) - 1) * 100, 4) AS difference_pct FROM b")
+def difference_columns(spark, sf):
+    return rounded(compare.group_difference(baskets(spark, sf), ["total"], mode="columns", baseline="qty"), 4)
+
+
+@query(f"WITH {BASKETS} SELECT 'total' AS feature, CAST(treat AS VARCHAR) AS \"group\", round(avg(qty), 4) AS control_mean, round(avg(total), 4) AS test_mean, round(avg(total) - avg(qty), 4) AS difference, round((avg(total) / avg(qty) - 1) * 100, 4) AS difference_pct FROM b GROUP BY treat")
+def difference_columns_in_groups(spark, sf):
+    return rounded(compare.group_difference(baskets(spark, sf), ["total"], "treat", "columns_in_groups", "qty"), 4)
+
+
+@query(f"WITH {BASKETS}, x AS (SELECT avg(qty) FILTER (treat = 0) AS c, avg(total) FILTER (treat = 1) AS t FROM b) SELECT 'total' AS feature, '1' AS \"group\", round(c, 4) AS control_mean, round(t, 4) AS test_mean, round(t - c, 4) AS difference, round((t / c - 1) * 100, 4) AS difference_pct FROM x")
+def difference_cross(spark, sf):
+    return rounded(compare.group_difference(baskets(spark, sf), ["total"], "treat", "cross", "qty"), 4)
+
+
+PVALUES = "p AS (SELECT n_nationkey AS id, CAST((n_nationkey * 7 % 25 + 1) AS DOUBLE) / 500 AS p_value FROM nation), r AS (SELECT *, row_number() OVER (ORDER BY p_value) AS i, count(*) OVER () AS m FROM p)"
+
+
+def _p_values(spark, sf) -> DataFrame:
+    return read(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), (((F.col("n_nationkey") * 7) % 25 + 1).cast("double") / 500).alias("p_value"))
+
+
+def _multi(method: str, new: str):
+    def run(spark, sf):
+        return rounded(multitest.multitest(_p_values(spark, sf), method))
+
+    run.__name__ = f"multitest_{method.replace('-', '_')}"
+    query(f"WITH {PVALUES}, a AS (SELECT id, p_value, least(1.0, {new}) AS n FROM r) SELECT id, round(p_value, 6) AS p_value, round(n, 6) AS new_p_value, round(n / p_value, 6) AS correction, n <= 0.05 AS rejected FROM a")(run)
+
+
+_multi("bonferroni", "p_value * m")
+_multi("sidak", "1 - (1 - p_value) ^ m")
+_multi("holm", "max(p_value * (m - i + 1)) OVER (ORDER BY p_value ROWS UNBOUNDED PRECEDING)")
+_multi("holm-sidak", "max(1 - (1 - p_value) ^ (m - i + 1)) OVER (ORDER BY p_value ROWS UNBOUNDED PRECEDING)")
+_multi("simes-hochberg", "min(p_value * (m - i + 1)) OVER (ORDER BY p_value DESC ROWS UNBOUNDED PRECEDING)")
+_multi("fdr_bh", "min(p_value * m / i) OVER (ORDER BY p_value DESC ROWS UNBOUNDED PRECEDING)")
+_multi("fdr_by", "min(p_value * m / i * (SELECT sum(1.0 / k) FROM range(1, 26) t(k))) OVER (ORDER BY p_value DESC ROWS UNBOUNDED PRECEDING)")
+
+
+@query()
+def multitest_other(spark, sf):
+    parts = [multitest.multitest(_p_values(spark, sf), m).withColumn("method", F.lit(m)) for m in ("hommel", "fdr_tsbh", "fdr_tsbky")]
+    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
+@query()
+def multitest_quantile(spark, sf):
+    best = multitest.best_group(orders(spark, sf).df, "treat", ["price"], iterations=5000)
+    return spark.createDataFrame(list(best.items()), "target string, accepted long")
+
+
+@query()
+def min_sample_size(spark, sf):
+    sizes = multitest.min_sample_sizes(orders(spark, sf).df, "treat", ["price"], 1000.0)
+    return spark.createDataFrame(list(sizes.items()), "target string, size long")
+
+
+@query()
+def ab_resume(spark, sf):
+    return rounded(shells.ABTest(tests=("t-test", "u-test", "ks-test", "chi2-test")).execute(orders(spark, sf)).resume)
+
+
+@query()
+def ab_multitest(spark, sf):
+    return rounded(shells.ABTest(tests=("t-test", "u-test")).execute(orders(spark, sf)).multitest)
+
+
+@query()
+def homogeneity_resume(spark, sf):
+    return rounded(shells.HomogeneityTest().execute(orders(spark, sf, 2)).resume)
+
+
+# ---- A/A splits --------------------------------------------------------------------------------
+
+RANK = "row_number() OVER ({by}ORDER BY md5(CAST(c_custkey AS VARCHAR) || ':{seed}'), c_custkey) AS r, count(*) OVER ({by}) AS n"
+
+
+def _label(edges: list[float]) -> str:
+    cases = " ".join(f"WHEN r <= floor(n * {e}) THEN '{'control' if i == 0 else f'test_{i}'}'" for i, e in enumerate(edges))
+    return f"CASE {cases} ELSE 'test_{len(edges)}' END"
+
+
+@query(f"SELECT c_custkey, {_label([0.5])} AS split FROM (SELECT c_custkey, {RANK.format(by='', seed=11)} FROM customer)")
+def aa_split(spark, sf):
+    return split.Splitter("c_custkey", 11).split(customers(spark, sf).df).select("c_custkey", "split")
+
+
+@query(f"SELECT c_custkey, {_label([0.5, 0.75])} AS split FROM (SELECT c_custkey, {RANK.format(by='', seed=5)} FROM customer)")
+def aa_split_groups(spark, sf):
+    return split.Splitter("c_custkey", 5, groups_sizes=(0.5, 0.25, 0.25)).split(customers(spark, sf).df).select("c_custkey", "split")
+
+
+@query(f"SELECT c_custkey, c_mktsegment, {_label([0.5])} AS split FROM (SELECT c_custkey, c_mktsegment, {RANK.format(by='PARTITION BY c_mktsegment ', seed=11)} FROM customer)")
+def aa_split_stratified(spark, sf):
+    return split.Splitter("c_custkey", 11, strata=("c_mktsegment",)).split(customers(spark, sf).df).select("c_custkey", "c_mktsegment", "split")
+
+
+@query("""WITH c AS (SELECT c_custkey, CASE c_nationkey WHEN 1 THEN 'control' WHEN 2 THEN 'test' END AS fixed FROM customer),
+t AS (SELECT floor(count(*) * 0.5) - count(*) FILTER (fixed = 'control') AS wanted FROM c),
+f AS (SELECT c_custkey, row_number() OVER (ORDER BY md5(CAST(c_custkey AS VARCHAR) || ':4'), c_custkey) AS r FROM c WHERE fixed IS NULL)
+SELECT c_custkey, CASE WHEN r <= greatest(0, wanted) THEN 'control' ELSE 'test_1' END AS split FROM f, t
+UNION ALL SELECT c_custkey, CASE WHEN fixed = 'control' THEN 'control' ELSE 'test_1' END FROM c WHERE fixed IS NOT NULL""")
+def aa_split_const(spark, sf):
+    df = customers(spark, sf).df.withColumn("fixed", F.when(F.col("c_nationkey") == 1, "control").when(F.col("c_nationkey") == 2, "test"))
+    return split.Splitter("c_custkey", 4, const="fixed").split(df).select("c_custkey", "split")
+
+
+@query(f"SELECT c_custkey, CASE WHEN r <= floor(floor(n * 0.4) * 0.5) THEN 'control' WHEN r <= floor(n * 0.4) THEN 'test_1' END AS split FROM (SELECT c_custkey, {RANK.format(by='', seed=8)} FROM customer)")
+def aa_split_sample(spark, sf):
+    return split.Splitter("c_custkey", 8, sample_size=0.4).split(customers(spark, sf).df).select("c_custkey", "split")
+
+
+@query("""WITH s AS (SELECT c_custkey, c_acctbal, seed, row_number() OVER (PARTITION BY seed ORDER BY md5(CAST(c_custkey AS VARCHAR) || ':' || CAST(seed AS VARCHAR)), c_custkey) AS r, count(*) OVER (PARTITION BY seed) AS n FROM customer, (SELECT unnest([0, 1, 2, 3]) AS seed)),
+m AS (SELECT seed, avg(c_acctbal) FILTER (r <= floor(n * 0.5)) AS m1, var_samp(c_acctbal) FILTER (r <= floor(n * 0.5)) AS v1, count(*) FILTER (r <= floor(n * 0.5)) AS n1, avg(c_acctbal) FILTER (r > floor(n * 0.5)) AS m2, var_samp(c_acctbal) FILTER (r > floor(n * 0.5)) AS v2, count(*) FILTER (r > floor(n * 0.5)) AS n2 FROM s GROUP BY seed)
+SELECT CAST(seed AS INT) AS seed, 'c_acctbal' AS feature, 'test_1' AS "group", round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 6) + 0.0 AS statistic FROM m""")
+def aa_experiments(spark, sf):
+    found = shells.AATest(seeds=(0, 1, 2, 3), tests=("t-test",)).execute(customers(spark, sf)).experiments
+    return rounded(found.select("seed", "feature", "group", "statistic"))
+
+
+@query()
+def aa_scores(spark, sf):
+    return rounded(shells.AATest(n_iterations=5).execute(customers(spark, sf)).scores)
+
+
+@query()
+def aa_best_split(spark, sf):
+    return rounded(shells.AATest(n_iterations=5, stratification=True).execute(customers(spark, sf)).best_split_statistic)
+
+
+# ---- variance reduction ------------------------------------------------------------------------
+
+
+@query(f"WITH {BASKETS}, s AS (SELECT covar_pop(total, qty) / (stddev_samp(total) * stddev_samp(qty)) AS theta, avg(qty) AS m FROM b) SELECT id, round(total - theta * (qty - m), 3) AS total_cuped FROM b, s")
+def cuped_reference(spark, sf):
+    return rounded(variance.cuped(baskets(spark, sf), {"total": "qty"}, "reference").select("id", "total_cuped"), 3)
+
+
+@query(f"WITH {BASKETS}, s AS (SELECT regr_slope(total, qty) AS theta, avg(qty) AS m FROM b) SELECT id, round(total - theta * (qty - m), 3) AS total_cuped FROM b, s")
+def cuped_ols(spark, sf):
+    return rounded(variance.cuped(baskets(spark, sf), {"total": "qty"}).select("id", "total_cuped"), 3)
+
+
+@query(f"WITH {BASKETS} SELECT 'total' AS target, round(corr(total, qty) ^ 2 * 100, 6) AS reduction_pct FROM b")
+def cuped_variance_reduction(spark, sf):
+    adjusted = variance.cuped(baskets(spark, sf), {"total": "qty"})
+    return rounded(variance.variance_reduction(adjusted, {"total": "total_cuped"}))
+
+
+@query()
+def cupac(spark, sf):
+    df = baskets(spark, sf).withColumns({"lag1": F.col("total") * 0.9 + F.col("qty"), "lag2": F.col("total") * 0.8 + F.col("qty") * 3, "x1": F.col("qty") + 1, "x2": F.col("qty") * 0.5})
+    plan = variance.CupacPlan("total", ("lag1", "lag2"), (("x1",), ("x2",)))
+    adjusted, _ = variance.cupac(df, plan, "id", ("linear", "ridge"))
+    return rounded(variance.variance_reduction(adjusted, {"total": "total_cupac"}), 3)
+
+
+@query(f"WITH {BASKETS}, c AS (SELECT treat AS \"group\", avg(total - qty) AS change FROM b GROUP BY 1) SELECT \"group\", round(change, 4) AS change, round(change - (SELECT change FROM c WHERE \"group\" = 0), 4) + 0.0 AS effect FROM c")
+def diff_in_diff(spark, sf):
+    return rounded(variance.diff_in_diff(baskets(spark, sf), "treat", "qty", "total"), 4)
+
+
+# ---- preprocessing -----------------------------------------------------------------------------
+
+
+@query("WITH c AS (SELECT p_type, count(*) AS n FROM part GROUP BY 1) SELECT p_partkey, CASE WHEN n < 15 THEN 'rare' ELSE p_type END AS p_type FROM part JOIN c USING (p_type)")
+def category_agg(spark, sf):
+    return prep.aggregate_categories(read(spark, sf, "part").select("p_partkey", "p_type"), ["p_type"], 15, "rare")
+
+
+def _union(sql: str, columns: list[str]) -> str:
+    return " UNION ALL ".join(sql.format(c=c) for c in columns)
+
+
+@query(f"WITH s AS ({_union('SELECT {c!r} AS c, stddev_samp({c}) / avg({c}) AS v FROM lineitem', LINE)}) SELECT c AS \"column\", round(v, 6) AS statistic, v >= 0.5 AND v <= 0.6 AS keep FROM s")
+def cv_filter(spark, sf):
+    return rounded(prep.cv_report(lines(spark, sf).df, LINE, 0.5, 0.6))
+
+
+@query(f"WITH s AS ({_union('SELECT {c!r} AS c, (SELECT max(n) / sum(n) FROM (SELECT count(*) AS n FROM lineitem GROUP BY {c})) AS v', LINE)}) SELECT c AS \"column\", round(v, 6) AS statistic, v <= 0.1 AS keep FROM s")
+def const_filter(spark, sf):
+    return rounded(prep.const_report(lines(spark, sf).df, LINE, 0.1))
+
+
+@query(f"WITH {HOLES} SELECT 's_acctbal' AS \"column\", round(avg(CASE WHEN s_acctbal IS NULL THEN 1.0 ELSE 0.0 END), 6) AS statistic, avg(CASE WHEN s_acctbal IS NULL THEN 1.0 ELSE 0.0 END) <= 0.3 AS keep FROM h")
+def nan_filter(spark, sf):
+    return rounded(prep.nan_report(_holes(spark, sf).df, ["s_acctbal"], 0.3))
+
+
+@query("WITH s AS (" + " UNION ALL ".join(f"SELECT '{a}' AS c, " + (f"greatest({', '.join(f'abs(corr({a}, {b}))' for b in LINE[i + 1 :])})" if i + 1 < len(LINE) else "NULL") + " AS v FROM lineitem" for i, a in enumerate(LINE)) + ') SELECT DISTINCT c AS "column", round(v, 6) AS statistic, coalesce(v <= 0.8, true) AS keep FROM s')
+def corr_filter(spark, sf):
+    return rounded(prep.corr_report(lines(spark, sf).df, LINE))
+
+
+@query("WITH q AS (SELECT quantile_cont(s_acctbal, 0.05) AS lo, quantile_cont(s_acctbal, 0.95) AS hi FROM supplier) SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier, q WHERE s_acctbal BETWEEN lo AND hi")
+def outliers_filter(spark, sf):
+    return prep.drop_outliers(suppliers(spark, sf).df, ["s_acctbal"])
+
+
+SEGMENTS = ["BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]  # all but the first in order
+
+
+@query("SELECT c_custkey, c_mktsegment, " + ", ".join(f"CAST(coalesce(c_mktsegment = '{s}', false) AS INT) AS c_mktsegment_{s}" for s in SEGMENTS) + " FROM customer")
+def one_hot(spark, sf):
+    return prep.one_hot(customers(spark, sf).df.select("c_custkey", "c_mktsegment"), ["c_mktsegment"])[0]
+
+
+@query()
+def preprocessing_pipeline(spark, sf):
+    df = read(spark, sf, "part").select("p_partkey", "p_brand", "p_type", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
+    frame = RoleFrame(df, {FeatureRole(): ["p_brand", "p_type", "p_size"], TargetRole(): ["p_retailprice"]}, "p_partkey")
+    return prep.standard()(frame).df
+
+
+# ---- matching ----------------------------------------------------------------------------------
+
+
+def matching_frame(spark, sf) -> DataFrame:
+    """Suppliers: id, treat (nation number below 10), two features and an outcome."""
+    return read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_nationkey") < 10).cast("int").alias("treat"), F.col("s_acctbal").alias("x1"), ((F.col("s_suppkey") * 37) % 101).cast("double").alias("x2"), (F.col("s_acctbal") * 0.01 + (F.col("s_suppkey") % 7)).alias("y"))
+
+
+MATCHING = "u AS (SELECT s_suppkey AS id, CAST(s_nationkey < 10 AS INT) AS treat, s_acctbal AS x1, CAST(s_suppkey * 37 % 101 AS DOUBLE) AS x2, s_acctbal * 0.01 + s_suppkey % 7 AS y FROM supplier)"
+
+
+def _nearest_sql(space: tuple[str, str] = ("x1", "x2"), table: str = "u") -> str:
+    a, b = space
+    return f"k AS (SELECT q.id AS query, m.id AS match, (q.{a} - m.{a}) ^ 2 + (q.{b} - m.{b}) ^ 2 AS d2, q.treat AS treated, row_number() OVER (PARTITION BY q.id ORDER BY (q.{a} - m.{a}) ^ 2 + (q.{b} - m.{b}) ^ 2, m.id) AS rank FROM {table} q JOIN {table} m ON q.treat <> m.treat)"
+
+
+@query(f"WITH {MATCHING}, {_nearest_sql()} SELECT query, match, round(d2, 4) AS d2, CAST(rank AS INT) AS rank, treated FROM k WHERE rank <= 2")
+def knn_l2(spark, sf):
+    return rounded(matching.match_both(matching_frame(spark, sf), "id", "treat", ["x1", "x2"], 2), 4)
+
+
+@query()
+def knn_cells(spark, sf):
+    return rounded(matching.match_both(matching_frame(spark, sf), "id", "treat", ["x1", "x2"], 1, mode="cells"), 4)
+
+
+EFFECTS = """e AS (SELECT q.id, q.treat, CASE WHEN q.treat = 1 THEN q.y - m.y ELSE m.y - q.y END AS effect FROM k JOIN u q ON q.id = k.query JOIN u m ON m.id = k.match WHERE rank = 1),
+w AS (SELECT match AS id, count(*) AS k FROM k WHERE rank = 1 GROUP BY 1),
+z AS (SELECT e.*, coalesce(w.k, 0) AS k FROM e LEFT JOIN w USING (id)),
+s AS (SELECT count(*) FILTER (treat = 1) AS nt, count(*) FILTER (treat = 0) AS nc, avg(effect) FILTER (treat = 1) AS att, avg(effect) FILTER (treat = 0) AS atc, var_samp(effect) FILTER (treat = 1) AS vc, var_samp(effect) FILTER (treat = 0) AS vt, sum(k * k) FILTER (treat = 0) AS kc, sum(k * k) FILTER (treat = 1) AS kt, sum((1 + k) ^ 2) FILTER (treat = 0) AS k1c, sum((1 + k) ^ 2) FILTER (treat = 1) AS k1t FROM z),
+f AS (SELECT 'ATT' AS metric, att AS v, sqrt(kc * vt / (nt * nt) + vc / nt) AS se FROM s UNION ALL SELECT 'ATC', atc, sqrt(kt * vc / (nc * nc) + vt / nc) FROM s UNION ALL SELECT 'ATE', (nt * att + nc * atc) / (nt + nc), sqrt(k1c * vt + k1t * vc) / (nt + nc) FROM s)
+SELECT metric, round(v, 4) + 0.0 AS effect_size, round(se, 4) AS standard_error, round(v - 1.96 * se, 4) + 0.0 AS ci_lower, round(v + 1.96 * se, 4) + 0.0 AS ci_upper FROM f"""
+
+
+def _effects(df: DataFrame, space: list[str]) -> DataFrame:
+    pairs = matching.match_both(df, "id", "treat", space)
+    means = matching.matched_means(df, "id", pairs, ["y"])
+    return rounded(matching.effects(matching.unit_effects(means, "id", "treat", "y"), pairs).drop("p_value"), 4)
+
+
+@query(f"WITH {MATCHING}, {_nearest_sql()}, {EFFECTS}")
+def match_att_atc_ate(spark, sf):
+    return _effects(matching_frame(spark, sf), ["x1", "x2"])
+
+
+WHITE = """c AS (SELECT avg(a) + 0.001 AS a, avg(b) AS b, avg(d) + 0.001 AS d FROM (SELECT covar_samp(x1, x1) AS a, covar_samp(x1, x2) AS b, covar_samp(x2, x2) AS d FROM u GROUP BY treat)),
+l AS (SELECT sqrt(a) AS l11, b / sqrt(a) AS l21, sqrt(d - b * b / a) AS l22 FROM c),
+v AS (SELECT u.*, x1 / l11 AS w0, (x2 - l21 * x1 / l11) / l22 AS w1 FROM u, l)"""
+
+
+@query(f"WITH {MATCHING}, {WHITE} SELECT id, round(w0, 6) + 0.0 AS w0, round(w1, 6) + 0.0 AS w1 FROM v")
+def whiten_mahalanobis(spark, sf):
+    df = matching_frame(spark, sf)
+    space = matching.linear(df, ["x1", "x2"], matching.whitening(df, "treat", ["x1", "x2"]), ["w0", "w1"])
+    return rounded(space.select("id", "w0", "w1"))
+
+
+@query(f"WITH {MATCHING}, {_nearest_sql()} SELECT q.id, q.treat, round(m.x1, 4) AS x1_matched, round(m.y, 4) AS y_matched FROM k JOIN u q ON q.id = k.query JOIN u m ON m.id = k.match WHERE rank = 1")
+def match_full_data(spark, sf):
+    df = matching_frame(spark, sf)
+    means = matching.matched_means(df, "id", matching.match_both(df, "id", "treat", ["x1", "x2"]), ["x1", "y"])
+    return rounded(means.select("id", "treat", "x1_matched", "y_matched"), 4)
+
+
+def _shell_frame(spark, sf) -> RoleFrame:
+    df = matching_frame(spark, sf).withColumn("part", (F.col("id") % 2).cast("string"))
+    return RoleFrame(df, {TreatmentRole(): ["treat"], TargetRole(): ["y"], FeatureRole(): ["x1", "x2"], GroupingRole(): ["part"]}, "id")
+
+
+@query(f"WITH {MATCHING}, {_nearest_sql()}, p AS (SELECT q.treat, avg(q.x1) AS t, avg(m.x1) AS c FROM k JOIN u q ON q.id = k.query JOIN u m ON m.id = k.match WHERE rank = 1 GROUP BY q.treat) SELECT 'x1' AS feature, CAST(treat AS VARCHAR) AS \"group\", round(c, 4) AS control_mean, round(t, 4) AS test_mean, round(t - c, 4) + 0.0 AS difference, round((t / c - 1) * 100, 4) + 0.0 AS difference_pct FROM p")
+def match_quality(spark, sf):
+    df = matching_frame(spark, sf)
+    means = matching.matched_means(df, "id", matching.match_both(df, "id", "treat", ["x1", "x2"]), ["x1"])
+    return rounded(compare.group_difference(means, ["x1"], "treat", "matched_pairs"), 4)
+
+
+@query()
+def bias_correction(spark, sf):
+    return rounded(shells.Matching().execute(_shell_frame(spark, sf)).resume, 4)
+
+
+@query()
+def match_group(spark, sf):
+    return rounded(shells.Matching(group_match=True, bias_estimation=False).execute(_shell_frame(spark, sf)).resume, 4)
+
+
+# ---- streams -----------------------------------------------------------------------------------
+
+
+@query("SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start, user_id % 2 AS \"group\", count(value) AS n, round(avg(value), 6) AS mean, round(var_samp(value), 6) AS var FROM events GROUP BY ALL")
+def event_moments(spark, sf):
+    found = windowed_moments(read(spark, sf, "events"), F.col("user_id") % 2, "value")
+    return rounded(found.withColumn("start", F.unix_timestamp("start")))
+
+
