@@ -196,11 +196,13 @@ def _hot_spans(ws: Workspace, rows: DataFrame, size: int, hot: int) -> DataFrame
     still = ws.save(held.filter(F.col("different") > hot).select("k1", "k2", "times", "bytes"), "still")
     singles = ws.save(_single_windows(still, size), "singles")
     equal = ws.save(singles.groupBy("h").agg(F.sum("times").alias("total")).filter("total > 1").select("h"), "equal")
-    single = singles.join(equal, "h").select("k1", "k2", F.array(F.struct(F.col("i").alias("a"), (F.col("i") + 1).alias("b"))).cast(SPANS_DDL).alias("spans"))
+    one = F.struct(F.col("i").alias("a"), (F.col("i") + 1).alias("b"))
+    single = singles.join(equal, "h").groupBy("k1", "k2").agg(F.collect_list(one).cast(SPANS_DDL).alias("spans"))
     marked = ws.save(_by_shards(cool, size).unionByName(single), "marked")
     back = runs.select("p1", "p2", "shift", "k1", "k2").join(marked, ["k1", "k2"])
     moved = F.transform("spans", lambda s: F.struct((s["a"] + F.col("shift")).alias("a"), (s["b"] + F.col("shift")).alias("b")))
-    return back.select(F.col("p1").alias("k1"), F.col("p2").alias("k2"), moved.cast(SPANS_DDL).alias("spans"))
+    moved = back.select(F.col("p1").alias("k1"), F.col("p2").alias("k2"), moved.cast(SPANS_DDL).alias("spans"))
+    return moved.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def _identity(doc_id: str, text: str) -> tuple[Column, Column]:
@@ -255,8 +257,8 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, hot: int = HOT, workspace:
     marks = ws.save(marks, "marks")
     ws.drop(fetched, distinct)
     shift = F.transform("spans", lambda s: F.struct((s["a"] + F.col("lo")).alias("a"), (s["b"] + F.col("lo")).alias("b")))
-    spans = repeated.join(marks, ["k1", "k2"]).select("id", "th", F.explode(shift.cast(SPANS_DDL)).alias("s"))
-    return spans.groupBy("id", "th").agg(F.collect_list("s").alias("spans"))
+    spans = repeated.join(marks, ["k1", "k2"]).select("id", "th", shift.cast(SPANS_DDL).alias("s"))
+    return spans.groupBy("id", "th").agg(F.flatten(F.collect_list("s")).alias("spans"))
 
 
 def dedup_suffixes(df: DataFrame, size: int = SIZE, hot: int = HOT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
