@@ -6,10 +6,13 @@
    |S| - ceil(t |S|) + 1 of each, so only classes that share such a prefix token are candidates.
 3. Each class is compared with the least class of each of its prefix tokens; those links partition
    similar classes into groups, which are cut into blocks of bounded size.
-4. A query class and a group of another component that share a prefix token meet in one task: the
-   group's token union is stored once, the query's overlap with it bounds its similarity to every
-   member, and only groups that reach the bound are opened and compared member by member.
-   The result is exact: pairs inside a component need no comparison.
+4. The token-group matrix holds for each group, and for each bucket of hashed tokens, the most
+   tokens that any member has there. Summed over the buckets, the lesser of its entry and the
+   query's count bounds the query's overlap with every member, before any text is moved.
+5. A query class and a group of another component that share a prefix token and pass the matrix
+   meet in one task: the group's token union is stored once, the query's overlap with it bounds
+   its similarity again, and only groups that reach the bound are opened and compared member by
+   member. The result is exact: pairs inside a component need no comparison.
 
 Defined results: null or blank text has an empty set and links with nothing; texts of fewer words
 than a shingle have their whole word sequence as the only element; repeated rows link with each
@@ -20,6 +23,7 @@ an empty table gives no rows.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +36,7 @@ from .textstats import Words
 BLOCK = 256  # members of a group, and queries that meet it in one task
 SLOTS = 1 << 20  # of the frequency sketch: one byte each, whatever the input
 LEAST = 32  # documents that make a token frequent
+BUCKETS = 256  # columns of the token-group matrix, two bytes each
 
 
 def shingles(texts: Texts, n: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -115,6 +120,55 @@ def _prefixes(docs: DataFrame, n: int, percent: int, levels: np.ndarray) -> Data
     return docs.select("text").mapInArrow(work, "token long, s long")
 
 
+def _bucket_counts(doc: np.ndarray, token: np.ndarray, n: int) -> np.ndarray:
+    """Tokens of each document in each bucket; 65535 stands for any larger count."""
+    bucket = (token >> np.uint64(32)).astype(np.int64) % BUCKETS
+    counts = np.bincount(doc * BUCKETS + bucket, minlength=n * BUCKETS).reshape(n, BUCKETS)
+    return np.minimum(counts, 65535).astype("<u2")
+
+
+def _with_counts(texts: DataFrame, n: int) -> DataFrame:
+    """(s, text) -> (s, size, counts, text): a class's row of the matrix."""
+
+    def work(stream):
+        for batch in batches(stream):
+            for first, last, part in chunks(from_arrow(batch.column("text"))):
+                doc, token = shingles(part, n)
+                counts = _bucket_counts(doc, token, last - first)
+                rows = batch.slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([rows.column("s"), _i64(np.bincount(doc, minlength=last - first)), pa.array([x.tobytes() for x in counts], pa.binary()), rows.column("text")], names=["s", "size", "counts", "text"])
+
+    return texts.mapInArrow(work, "s long, size long, counts binary, text string")
+
+
+def _matrix(members: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(g, h, top): the largest count of any member in each bucket. A group has at most about BLOCK members."""
+
+    @F.pandas_udf("binary")
+    def largest(lists: pd.Series) -> pd.Series:
+        return pd.Series([np.max([np.frombuffer(x, "<u2") for x in one], axis=0).astype("<u2").tobytes() for one in lists])
+
+    grouped = members.join(profiles.select("s", "counts"), "s").groupBy("g", "h").agg(F.collect_list("counts").alias("all"))
+    return grouped.select("g", "h", F.when(F.size("all") == 1, F.col("all")[0]).otherwise(largest("all")).alias("top"))
+
+
+def _qualified(candidates: DataFrame, matrix: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """Candidates (q, g, h) whose bound over the matrix reaches the threshold."""
+
+    @F.pandas_udf("long")
+    def bound(counts: pd.Series, top: pd.Series) -> pd.Series:
+        if not len(counts):
+            return pd.Series([], dtype="int64")
+        a = np.frombuffer(b"".join(counts), "<u2").reshape(-1, BUCKETS).astype(np.int64)
+        b = np.frombuffer(b"".join(top), "<u2").reshape(-1, BUCKETS).astype(np.int64)
+        least = np.minimum(a, b).sum(axis=1)
+        return pd.Series(np.where(((a == 65535) & (b == 65535)).any(axis=1), np.iinfo(np.int64).max // 1000, least))
+
+    asked = profiles.select(F.col("s").alias("q"), F.col("size").alias("__size"), F.col("counts").alias("__counts"))
+    rows = candidates.join(asked, "q").join(matrix, ["g", "h"])
+    return rows.withColumn("__bound", bound("__counts", "top")).filter(100 * F.col("__bound") >= percent * F.col("__size")).select("q", "g", "h")
+
+
 def _meet(n: int, percent: int):
     """One group with its queries: rows (role, s, text) -> links (a, b). Roles: 0 member, 1 query."""
 
@@ -148,6 +202,11 @@ def _meet(n: int, percent: int):
 
 def _open_groups(ws: Workspace, candidates: DataFrame, members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Links between queries and groups. candidates: (q, g, h); members: (g, h, s); g, h name a group."""
+    profiles = texts.select("s", "size", "counts")
+    named = members.join(candidates.select("g", "h").distinct(), ["g", "h"], "left_semi")
+    matrix = ws.save(_matrix(named, profiles), "matrix")
+    candidates = ws.save(_qualified(candidates, matrix, profiles, percent), "qualified")
+    texts = texts.select("s", "text")
     load = candidates.groupBy("g", "h").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     load = ws.save(load, "load")
     asked = candidates.join(load, ["g", "h"]).select("g", "h", F.pmod(F.xxhash64("q"), F.col("parts")).alias("part"), F.col("q").alias("s"), F.lit(1).alias("role"))
@@ -174,7 +233,7 @@ def jaccard_components(df: DataFrame, n: int = 4, percent: int = 85, doc_id: str
     involved = postings.select("s").distinct()
     wanted = ws.save(classes.join(involved, "s", "left_semi").select("s", "at.id", "at.th"), "wanted")
     texts = docs.select("id", "th", "text").join(wanted, ["id", "th"]).select("s", "text").dropDuplicates(["s"])
-    texts = ws.save(texts, "texts")
+    texts = ws.save(_with_counts(texts, n), "texts")
     sizes = classes.select("s", "size")
 
     def of_size(pairs: DataFrame) -> DataFrame:
