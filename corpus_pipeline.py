@@ -45,15 +45,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without what repeats."""
-    from pyspark.sql import types as T
-
-    @F.udf(T.StringType(), useArrow=True)
-    def characters(raw):
-        return None if raw is None else bytes(raw).decode("utf-8", "ignore")
-
-    cut = dedup_suffixes(docs)
-    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(characters("kept"))
-    cut = cut.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    cut = dedup_suffixes(docs, as_text=True)
+    changed = F.col("n_removed") > 0
+    length = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    cut = cut.withColumns({"text": F.when(changed, F.col("kept")).otherwise(F.col("text")), "n_chars": F.when(changed, length).otherwise(F.col("n_chars"))})
     return cut.select(docs.columns)
 
 

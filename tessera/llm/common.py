@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textbytes import release
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir; a local folder only where none is set (local tests)."""
@@ -59,16 +61,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def wide(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """At least as many partitions as the cluster has cores, without a shuffle where they suffice."""
-    return df if partitions is None else df.repartition(partitions)
-
-
 def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow batches that have rows."""
+    """Arrow batches that have rows; memory freed after each goes back to the system."""
     for batch in stream:
         if batch.num_rows:
             yield batch
+            del batch
+            release()
 
 
 def crc32_text(value: int | None) -> int:

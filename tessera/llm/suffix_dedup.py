@@ -35,9 +35,9 @@ from pyspark.sql import types as T
 
 from .common import Workspace, batches
 from .suffixarray import permuted_common_prefixes, suffix_array
-from .textbytes import RangeHash, Texts, chunks, from_arrow, mix, ranges
+from .textbytes import RangeHash, Texts, chunks, from_arrow, mix, ranges, release
 
-SIZE, GRAM, STEP, HOT, SHARD = 400, 64, 16, 400, 1_500_000
+SIZE, GRAM, STEP, HOT, SHARD = 400, 64, 16, 400, 1_000_000
 SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 SPANS_DDL = "array<struct<a:int,b:int>>"
 
@@ -122,6 +122,7 @@ def _shard(size: int):
             flags |= fits & np.repeat(many, texts.sizes)
         found = _runs(flags, texts)
         some = pa.array([bool(x) for x in found])
+        release()
         return pa.table({"k1": rows.column("k1"), "k2": rows.column("k2"), "spans": pa.array(found, SPANS)}).filter(some)
 
     return work
@@ -261,14 +262,18 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, hot: int = HOT, workspace:
     return spans.groupBy("id", "th").agg(F.flatten(F.collect_list("s")).alias("spans"))
 
 
-def dedup_suffixes(df: DataFrame, size: int = SIZE, hot: int = HOT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Adds kept (binary), n_bytes, n_removed and n_spans; ``text`` stays as it was."""
+def dedup_suffixes(df: DataFrame, size: int = SIZE, hot: int = HOT, doc_id: str = "doc_id", text: str = "text", as_text: bool = False) -> DataFrame:
+    """Adds kept, n_bytes, n_removed and n_spans; ``text`` stays as it was.
+
+    kept is binary; with ``as_text`` a string without the characters that lost some of their
+    bytes, null where ``text`` is null.
+    """
     ws = Workspace(df.sparkSession, "suffix")
     id_, th = _identity(doc_id, text)
     docs = df.select(id_.alias("id"), th.alias("th"), F.col(text).alias("text"))
     usable = docs.withColumn("id", F.coalesce("id", F.lit("\u0000")))
     spans = repeated_spans(usable, size, hot, ws)
-    new = [T.StructField("kept", T.BinaryType()), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans"))]
+    new = [T.StructField("kept", T.StringType() if as_text else T.BinaryType()), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans"))]
     names = {f.name for f in new}
     kept = [f for f in df.schema.fields if f.name.lower() not in names]
     keyed = df.select(*[F.col(f"`{f.name}`") for f in kept], F.coalesce(id_, F.lit("\u0000")).alias("__id"), th.alias("__th"))
@@ -299,7 +304,12 @@ def dedup_suffixes(df: DataFrame, size: int = SIZE, hot: int = HOT, doc_id: str
                 edge[texts.at] = True
                 begins = gone & (~np.r_[False, gone[:-1]] | edge[:-1]) if len(gone) else gone
                 n_spans.append(np.diff(np.concatenate([[0], np.cumsum(begins)])[texts.at]))
+            if as_text:
+                valid = batch.column(text).is_valid().to_pylist()
+                left_over = pa.array([x.decode("utf-8", "ignore") if v else None for x, v in zip(out, valid, strict=True)], pa.string())
+            else:
+                left_over = pa.array(out, pa.binary())
             longs = [_i64(np.concatenate(x)) for x in (sizes, removed, n_spans)]
-            yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + [pa.array(out, pa.binary())] + longs, names=[f.name for f in kept + new])
+            yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + [left_over] + longs, names=[f.name for f in kept + new])
 
     return joined.mapInArrow(cut, T.StructType(kept + new))

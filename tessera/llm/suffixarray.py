@@ -19,7 +19,7 @@ def _types(t: np.ndarray) -> np.ndarray:
     step = np.zeros(n, np.int8)
     step[:-1] = (t[1:] > t[:-1]).astype(np.int8) - (t[1:] < t[:-1]).astype(np.int8)
     step[-1] = 1
-    settled = np.where(step != 0, np.arange(n), n)
+    settled = np.where(step != 0, np.arange(n, dtype=np.int32), np.int32(n))
     ahead = np.minimum.accumulate(settled[::-1])[::-1]
     return step[ahead] > 0
 
@@ -82,18 +82,19 @@ def _ranks(t: np.ndarray, alphabet: int) -> np.ndarray:
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
-    """t: uint8 whose last value is the only 0."""
+    """t: uint8 whose last value is the only 0; shorter than 2**31."""
     n = len(t)
     if n < 3:
         return np.argsort(t, kind="stable")
     s = _types(t)
     lms, rank = _lms_order(t, s, 256)
-    ordered = np.empty(len(lms), np.int64)
+    ordered = np.empty(len(lms), np.int32)
     ordered[rank] = lms
+    del lms, rank
     counts = np.bincount(t, minlength=256)
     begin = np.cumsum(counts) - counts
     finish = begin + counts
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32)
     lms_bounds = np.searchsorted(t[ordered], np.arange(257))
 
     def place(entries: np.ndarray, heads: np.ndarray, back: bool) -> None:
@@ -156,10 +157,10 @@ def permuted_common_prefixes(t: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray,
     value is the left neighbour's less one.
     """
     n = len(t)
-    before = np.empty(n, np.int64)
+    before = np.empty(n, np.int32)
     before[sa[1:]] = sa[:-1]
     before[sa[0]] = -1
-    here = np.arange(n)
+    here = np.arange(n, dtype=np.int32)
     free = np.ones(n, bool)
     free[1:] = (before[1:] <= 0) | (t[:-1] != t[np.maximum(before[1:], 1) - 1])
     free[1:] |= before[:-1] < 0
@@ -167,7 +168,7 @@ def permuted_common_prefixes(t: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray,
     word = np.zeros(n + 1, np.uint64)
     for j in range(8):
         word |= padded[j : n + 1 + j].astype(np.uint64) << np.uint64(8 * j)
-    common = np.zeros(n, np.int64)
+    common = np.zeros(n, np.int32)
     a = here[free & (before >= 0)]
     b = before[a]
     origin = a
@@ -175,7 +176,7 @@ def permuted_common_prefixes(t: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray,
         differ = word[a] ^ word[b]
         same = differ == 0
         rest = differ[~same]
-        extra = np.zeros(len(rest), np.int64)
+        extra = np.zeros(len(rest), np.int32)
         for j in range(1, 8):
             extra += (rest & np.uint64((1 << 8 * j) - 1)) == 0
         common[origin[~same]] += extra

@@ -7,12 +7,17 @@ to a few MB at document borders: memory follows the longest document, not the Ar
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _CODES = np.random.default_rng(20240607).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -58,6 +63,13 @@ def from_arrow(column: pa.Array | pa.ChunkedArray) -> Texts:
     return Texts(buffer[at[0] : at[-1]], at - at[0])
 
 
+def release() -> None:
+    """Gives freed memory back to the system, where the allocator can; workers stay small between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def chunks(texts: Texts, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Texts]]:
     """(first, last + 1, texts) runs of documents of about ``limit`` bytes, one document at least."""
     i, n = 0, len(texts)

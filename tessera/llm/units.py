@@ -1,8 +1,8 @@
 """Tokenising by distinct units.
 
 Texts are cut where no token of the given tokenizer can cross, each distinct unit is encoded
-once for each Python worker, and ids are gathered with NumPy. The cache is only a cache: it is
-emptied when it holds ``LIMIT`` units, and units longer than ``LONG`` bytes never enter it.
+once for each Python worker, and ids are gathered with NumPy. The cache is only a cache, held in
+sorted arrays: it is emptied when it holds ``LIMIT`` units.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import numpy as np
 
 from .textbytes import NON_SPACE, SPACE, RangeHash, Texts, ranges, runs
 
-LIMIT, LONG = 600_000, 64
+LIMIT = 600_000
 
 
 def words(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -50,9 +50,7 @@ class Encoded:
         self._clear()
 
     def _clear(self) -> None:
-        self._slot: dict[int, int] = {}
-        self._parts: list[np.ndarray] = []
-        self._sizes: list[np.ndarray] = []
+        self._known, self._slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def slots(self, texts: Texts, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -61,8 +59,10 @@ class Encoded:
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self._slot) + len(distinct) > LIMIT:
             self._clear()
-        get = self._slot.get
-        found = np.fromiter((get(h, -1) for h in distinct.tolist()), np.int64, len(distinct))
+        found = np.full(len(distinct), -1, np.int64)
+        if len(self._known):
+            place = np.minimum(np.searchsorted(self._known, distinct), len(self._known) - 1)
+            found = np.where(self._known[place] == distinct, self._slot[place].astype(np.int64), -1)
         if len(new := np.flatnonzero(found < 0)):
             view = texts.data.tobytes()
             pieces = [view[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
@@ -70,7 +70,9 @@ class Encoded:
             base = len(self.at) - 1
             slots = np.arange(base, base + len(new))
             found[new] = slots
-            self._slot.update(zip(distinct[new].tolist(), slots.tolist(), strict=True))
+            known = np.concatenate([self._known, distinct[new]])
+            order = np.argsort(known, kind="stable")
+            self._known, self._slot = known[order], np.concatenate([self._slot, slots.astype(np.int32)])[order]
             self.flat = np.concatenate([self.flat, flat])
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
             self._added(pieces, slots)
