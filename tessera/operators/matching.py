@@ -103,7 +103,7 @@ def nearest(queries: DataFrame, base: DataFrame, key: str, features: Sequence[st
         right = b.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks_b)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks_q - 1).cast("long"))))
         keys = ["q", "b"]
     else:
-        left, right, keys = _by_cells(q, b, size, min(cells, max(1, size // 100)), probes)
+        left, right, keys = _by_cells(q, b, size, max(2, min(cells, size // 100)), probes)
     rows = left.withColumn("side", F.lit(0)).select(*keys, "side", "id", "x").unionByName(right.withColumn("side", F.lit(1)).select(*keys, "side", "id", "x"))
     met = rows.groupBy(*keys).applyInPandas(_meet(k), "query long, match long, d2 double")
     best = F.slice(F.array_sort(F.collect_list(F.struct("d2", "match"))), 1, k)  # at most k from each meeting

@@ -84,7 +84,7 @@ def multitest(results: DataFrame, method: str, alpha: float = 0.05, by: Sequence
         return frame.assign(new_p_value=new, correction=correction, rejected=rejected)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in results.schema.fields)
-    keys = list(by) or [F.lit(0)]
+    keys = [column(b) for b in by] or [F.lit(0).alias("__family")]
     return results.groupBy(*keys).applyInPandas(work, f"{schema}, new_p_value double, correction double, rejected boolean")
 
 
