@@ -36,7 +36,8 @@ from .textstats import Words
 BLOCK = 256  # members of a group, and queries that meet it in one task
 SLOTS = 1 << 20  # of the frequency sketch: one byte each, whatever the input
 LEAST = 32  # documents that make a token frequent
-BUCKETS = 256  # columns of the token-group matrix, two bytes each
+BUCKETS = ((1500, 256), (6000, 1024), (None, 4096))  # columns of the token-group matrix for sets below each size
+UNBOUNDED = 65535  # a count that two bytes cannot tell
 
 
 def shingles(texts: Texts, n: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -120,11 +121,18 @@ def _prefixes(docs: DataFrame, n: int, percent: int, levels: np.ndarray) -> Data
     return docs.select("text").mapInArrow(work, "token long, s long")
 
 
-def _bucket_counts(doc: np.ndarray, token: np.ndarray, n: int) -> np.ndarray:
-    """Tokens of each document in each bucket; 65535 stands for any larger count."""
-    bucket = (token >> np.uint64(32)).astype(np.int64) % BUCKETS
-    counts = np.bincount(doc * BUCKETS + bucket, minlength=n * BUCKETS).reshape(n, BUCKETS)
-    return np.minimum(counts, 65535).astype("<u2")
+def _bucket_counts(token: np.ndarray) -> np.ndarray:
+    """Tokens of one set in each bucket; more buckets for larger sets, always a power of two."""
+    columns = next(c for size, c in BUCKETS if size is None or len(token) < size)
+    bucket = (token >> np.uint64(32)).astype(np.int64) & (columns - 1)
+    return np.minimum(np.bincount(bucket, minlength=columns), UNBOUNDED).astype("<u2")
+
+
+def _folded(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """The rows at the least number of columns among them, as sums of the finer ones."""
+    columns = min(map(len, rows))
+    wide = (r.astype(np.int64) for r in rows)
+    return [np.where((w == UNBOUNDED).any(), UNBOUNDED, np.minimum(w.reshape(-1, columns).sum(axis=0), UNBOUNDED)) for w in wide]
 
 
 def _with_counts(texts: DataFrame, n: int) -> DataFrame:
@@ -134,9 +142,10 @@ def _with_counts(texts: DataFrame, n: int) -> DataFrame:
         for batch in batches(stream):
             for first, last, part in chunks(from_arrow(batch.column("text"))):
                 doc, token = shingles(part, n)
-                counts = _bucket_counts(doc, token, last - first)
+                at = np.searchsorted(doc, np.arange(last - first + 1))
+                counts = [_bucket_counts(token[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
                 rows = batch.slice(first, last - first)
-                yield pa.RecordBatch.from_arrays([rows.column("s"), _i64(np.bincount(doc, minlength=last - first)), pa.array([x.tobytes() for x in counts], pa.binary()), rows.column("text")], names=["s", "size", "counts", "text"])
+                yield pa.RecordBatch.from_arrays([rows.column("s"), _i64(np.diff(at)), pa.array([x.tobytes() for x in counts], pa.binary()), rows.column("text")], names=["s", "size", "counts", "text"])
 
     return texts.mapInArrow(work, "s long, size long, counts binary, text string")
 
@@ -146,7 +155,7 @@ def _matrix(members: DataFrame, profiles: DataFrame) -> DataFrame:
 
     @F.pandas_udf("binary")
     def largest(lists: pd.Series) -> pd.Series:
-        return pd.Series([np.max([np.frombuffer(x, "<u2") for x in one], axis=0).astype("<u2").tobytes() for one in lists])
+        return pd.Series([np.max(_folded([np.frombuffer(x, "<u2") for x in one]), axis=0).astype("<u2").tobytes() for one in lists])
 
     grouped = members.join(profiles.select("s", "counts"), "s").groupBy("g", "h").agg(F.collect_list("counts").alias("all"))
     return grouped.select("g", "h", F.when(F.size("all") == 1, F.col("all")[0]).otherwise(largest("all")).alias("top"))
@@ -157,12 +166,12 @@ def _qualified(candidates: DataFrame, matrix: DataFrame, profiles: DataFrame, pe
 
     @F.pandas_udf("long")
     def bound(counts: pd.Series, top: pd.Series) -> pd.Series:
-        if not len(counts):
-            return pd.Series([], dtype="int64")
-        a = np.frombuffer(b"".join(counts), "<u2").reshape(-1, BUCKETS).astype(np.int64)
-        b = np.frombuffer(b"".join(top), "<u2").reshape(-1, BUCKETS).astype(np.int64)
-        least = np.minimum(a, b).sum(axis=1)
-        return pd.Series(np.where(((a == 65535) & (b == 65535)).any(axis=1), np.iinfo(np.int64).max // 1000, least))
+        out = []
+        for a, b in zip(counts, top, strict=True):
+            x, y = _folded([np.frombuffer(a, "<u2"), np.frombuffer(b, "<u2")])
+            unknown = ((x == UNBOUNDED) & (y == UNBOUNDED)).any()
+            out.append(1 << 40 if unknown else int(np.minimum(x, y).sum()))
+        return pd.Series(out, dtype="int64")
 
     asked = profiles.select(F.col("s").alias("q"), F.col("size").alias("__size"), F.col("counts").alias("__counts"))
     rows = candidates.join(asked, "q").join(matrix, ["g", "h"])
