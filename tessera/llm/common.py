@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
+import time
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,6 +30,8 @@ class Workspace:
     the rest goes when the driver ends.
     """
 
+    _tidied = 0.0
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
@@ -38,10 +42,18 @@ class Workspace:
         path = f"{self.root}/{self._count}-{name}"
         self._count += 1
         df.write.option("compression", "zstd").parquet(path)
+        self._tidy()
         back = self.spark.read.schema(df.schema).parquet(path)
         back._tessera_path = path
         return back
 
+    def _tidy(self) -> None:
+        """Lets Spark's cleaner delete shuffle files of stored stages, which it does when the driver collects garbage."""
+        if time.monotonic() - Workspace._tidied > 3:
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            Workspace._tidied = time.monotonic()
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             if path := getattr(t, "_tessera_path", None):
