@@ -27,7 +27,7 @@ from .stats import column
 BLOCK = 8192  # rows in a block; a meeting holds BLOCK x CHUNK distances at a time
 CHUNK = 512
 CELL_SAMPLE = 200_000
-EXACT_LIMIT = 1_000_000
+EXACT_LIMIT = 200_000
 
 
 def whitening(df: DataFrame, group: str, features: Sequence[str], weights: Sequence[float] | None = None) -> np.ndarray:

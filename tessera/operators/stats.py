@@ -66,6 +66,16 @@ def quantiles(df: DataFrame, columns: Sequence[str], q: float | Sequence[float],
     return found.select(zipped).select(*[F.col(f"z.`{c}`").alias(c) for c in ["q", *columns]])
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's, over rows that have both; null (no error) for a constant."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b)))
+
+
+def slope(y: Column, x: Column) -> Column:
+    """Least squares, over rows that have both; null (no error) for a constant x."""
+    return F.try_divide(F.covar_pop(y, x), F.var_pop(F.when(y.isNotNull(), x)))
+
+
 def pairwise(df: DataFrame, columns: Sequence[str], method: str) -> DataFrame:
     """column_a, column_b, value for every ordered pair; one aggregate over the table.
 
@@ -80,7 +90,7 @@ def pairwise(df: DataFrame, columns: Sequence[str], method: str) -> DataFrame:
         method = "pearson"
     if method == "kendall":
         return _kendall(df, columns)
-    functions = {"cov": F.covar_samp, "pearson": F.corr}
+    functions = {"cov": F.covar_samp, "pearson": correlation}
     if method not in functions:
         raise errors.InvalidArgumentError(f"unknown method {method!r}")
     pairs = list(itertools.combinations_with_replacement(columns, 2))

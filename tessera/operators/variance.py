@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import errors
-from .stats import column
+from .stats import column, slope
 
 
 def _theta(y: str, x: str, kind: str):
     a, b = column(y).cast("double"), column(x).cast("double")
     if kind == "ols":
-        return F.coalesce(F.regr_slope(a, b), F.lit(0.0))
+        return F.coalesce(slope(a, b), F.lit(0.0))
     if kind == "reference":  # the covariance over both deviations
         return F.coalesce(F.try_divide(F.covar_pop(a, b), F.stddev_samp(a) * F.stddev_samp(b)), F.lit(0.0))
     raise errors.InvalidArgumentError(f"theta {kind!r}: ols or reference")
