@@ -2,8 +2,9 @@
 
 1. Every text becomes its set of word shingles; equal sets form one class. Counting tokens that
    repeat within tasks gives each token a frequency level (a sketch of fixed size).
-2. Tokens are ordered by (level, hash). Two sets that link share a token among the first
-   |S| - ceil(t |S|) + 1 of each, so only classes that share such a prefix token are candidates.
+2. Tokens are ordered by (level, hash). Two sets that link share at least SHARED tokens (or all
+   that must overlap, if fewer) among the first |S| - ceil(t |S|) + SHARED of each, so only
+   classes that share so many prefix tokens are candidates.
 3. Each class is compared with the least class of each of its prefix tokens; those links partition
    similar classes into groups, which are cut into blocks of bounded size.
 4. The token-group matrix holds for each group, and for each bucket of hashed tokens, the most
@@ -35,6 +36,7 @@ from .textstats import Words
 
 BLOCK = 256  # members of a group, and queries that meet it in one task
 SLOTS = 1 << 20  # of the frequency sketch: one byte each, whatever the input
+SHARED = 3  # prefix tokens that two linked sets have in common
 LEAST = 32  # documents that make a token frequent
 BUCKETS = ((1500, 256), (6000, 1024), (None, 4096))  # columns of the token-group matrix for sets below each size
 UNBOUNDED = 65535  # a count that two bytes cannot tell
@@ -115,7 +117,8 @@ def _prefixes(docs: DataFrame, n: int, percent: int, levels: np.ndarray) -> Data
                 signed = token.astype(np.int64)
                 order = np.lexsort((token, levels[signed % SLOTS], doc))
                 nth = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
-                keep = nth < (size - -(-percent * size // 100) + 1)[doc]
+                overlap = -(-percent * size // 100)
+                keep = nth < (size - overlap + np.minimum(overlap, SHARED))[doc]
                 yield pa.RecordBatch.from_arrays([pa.array(signed[order][keep]), _i64(own[doc[keep]])], names=["token", "s"])
 
     return docs.select("text").mapInArrow(work, "token long, s long")
@@ -269,7 +272,9 @@ def jaccard_components(df: DataFrame, n: int = 4, percent: int = 85, doc_id: str
     groups = ws.save(groups, "groups")
     asks = open_.select("token", F.col("s").alias("q"), F.col("g").alias("own"), F.col("size").alias("x"))
     pairs = asks.join(groups, "token").filter("own > g").filter(F.expr(f"100 * x >= {percent} * lo AND 100 * hi >= {percent} * x"))
-    pairs = ws.save(pairs.select("q", "own", "g", "h", "m").distinct(), "pairs")
+    pairs = pairs.groupBy("q", "g", "h").agg(F.count("*").alias("shared"), F.max("x").alias("x"), F.min("lo").alias("lo"), F.max("m").alias("m"))
+    overlap = F.ceil(F.lit(percent) * F.least("x", "lo") / 100)
+    pairs = ws.save(pairs.filter(F.col("shared") >= F.least(F.lit(SHARED), overlap)).select("q", "g", "h", "m"), "pairs")
     # two lone classes that met in step 3 are settled; a lone class is its own group name
     met = near.select("q", F.col("g").alias("own_g")).union(near.select(F.col("g").alias("q"), F.col("q").alias("own_g")))
     settled = met.withColumnRenamed("own_g", "g").distinct()
