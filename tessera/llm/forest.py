@@ -6,6 +6,12 @@ the split (``spill`` of the node on each side) go to both children. Vectors are
 within leaves, with cosines in double precision; pairs at or above the threshold are united over
 all trees, and links are joined to components.
 
+Splitting cannot separate a group of more than a leaf whose vectors link with each other, so such
+groups are finished exactly. In memory, a node whose sampled rows have more links than an eighth
+of a leaf on average is compared block by block. Labels above ``node_rows`` first give off their
+dense cores: rows that link with a sampled row of more than two leaves of links are compared with
+every row in reach, in blocks spread over tasks, and leave the trees with all their links known.
+
 Nodes above ``node_rows`` are split level by level with distributed quantiles, tree by tree;
 below it one task grows the rest of a tree in memory, where the links of a node are one bit
 matrix, so memory depends on ``node_rows`` alone. A label that fits into one node grows all its
@@ -27,29 +33,37 @@ from pyspark.sql import functions as F
 from .common import Workspace, components
 
 LEAF, NODE_ROWS = 256, 8192
+SAMPLE = 64  # rows of a node that tell whether it is dense; a label's sample adds 8 for each node_rows
+BLOCK = 2048  # rows on each side of one comparison
 
 
 def _direction(seed: int, tree: int, node: int, size: int) -> np.ndarray:
     return np.random.default_rng([seed, tree, node]).normal(size=size)
 
 
+def _unit(vectors: pd.Series) -> np.ndarray:
+    """Vectors of length 1; scaled by the largest component first, so that squares neither overflow nor vanish."""
+    out = np.vstack(vectors.to_numpy())
+    out = out / np.abs(out).max(axis=1, keepdims=True)
+    return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+
 def leaves(vectors: np.ndarray, rows: np.ndarray, tree: int, node: int, leaf: int, spill: float, seed: int, threshold: float):
     """Row sets of the leaves below one node.
 
     Splits stand where the projections are sparsest between the deciles 0.3 and 0.7, which
-    keeps dense groups together; a node whose vectors are all so near its centre that every pair
-    must link is a leaf of any size.
+    keeps dense groups together; a node whose rows have more links than an eighth of a leaf on
+    average is a leaf of any size.
     """
     stack = [(node, rows)]
-    close = np.cos(np.arccos(threshold) / 2)
     while stack:
         node, rows = stack.pop()
         if len(rows) <= leaf:
             yield rows
             continue
         own = vectors[rows]
-        centre = own.mean(axis=0)
-        if (own @ centre >= close * np.linalg.norm(centre)).all():
+        sample = np.random.default_rng([seed, tree, node % (1 << 62), 1]).choice(len(rows), min(SAMPLE, len(rows)), replace=False)
+        if ((own[sample] @ own.T >= threshold).sum() - len(sample)) * 8 > leaf * len(sample):
             yield rows
             continue
         at = own @ _direction(seed, tree, node % (1 << 62), vectors.shape[1])
@@ -67,11 +81,17 @@ def linked(vectors: np.ndarray, trees: list[tuple[int, int]], threshold: float,
     """Symmetric matrix of the links found in leaves of the given (tree, node) pairs; vectors have length 1."""
     n = len(vectors)
     found = np.zeros((n, n), bool)
+    whole = False
     for tree, node in trees:
         for rows in leaves(vectors, np.arange(n), tree, node, leaf, spill, seed, threshold):
             own = vectors[rows]
-            a, b = np.nonzero(own @ own.T >= threshold)
-            found[rows[a], rows[b]] = True
+            for at in range(0, len(rows), BLOCK):
+                a, b = np.nonzero(own[at : at + BLOCK] @ own.T >= threshold)
+                found[rows[a + at], rows[b]] = True
+            whole |= len(rows) == n
+        if whole:
+            break
+    found |= found.T  # rounding can differ between the two orders of a product
     np.fill_diagonal(found, False)
     return found
 
@@ -90,6 +110,94 @@ def roots(found: np.ndarray) -> np.ndarray:
     return root
 
 
+def _cores(rest: DataFrame, ws: Workspace, threshold: float, leaf: int, node_rows: int) -> tuple[DataFrame, DataFrame] | None:
+    """What is exact of the dense cores of ``rest`` (label, dim, cid, m, v): (cid, others, root), and the rows that are in no core.
+
+    A core row links with a dense pivot; all that links with it is within twice the threshold's
+    angle of that pivot. Each pair of core row and other row is met in the core row's cell alone.
+    """
+    label = ["label", "dim"]
+    sizes = rest.groupBy(*label).agg(F.count("*").alias("n"))
+    chance = F.lit(8.0) / node_rows + F.lit(float(SAMPLE)) / F.col("n")
+    draw = F.pmod(F.xxhash64("cid", F.lit("pivot")), F.lit(1 << 30)) / float(1 << 30)
+    sized = rest.join(sizes.withColumnRenamed("label", "l").withColumnRenamed("dim", "d"), (F.col("label") == F.col("l")) & (F.col("dim") == F.col("d"))).drop("l", "d")
+    chunk = F.pmod(F.xxhash64("cid", F.lit("chunk")), F.ceil(F.col("n") / BLOCK)).alias("chunk")
+    chunked = sized.select(*label, "cid", "m", "v", chunk)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK) - 1)).alias("chunk")
+    pivots = ws.save(sized.filter(draw < chance).select(*label, "cid", "v", "n"), "pivots")
+
+    def count(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or own.empty:
+            return pd.DataFrame({"pivot": [], "links": []})
+        own = own.sort_values("cid", kind="stable")
+        near, among = np.zeros(len(own), np.int64), _unit(rows["v"])
+        by = _unit(own["v"])
+        for at in range(0, len(by), BLOCK):
+            near[at : at + BLOCK] = (by[at : at + BLOCK] @ among.T >= threshold).sum(axis=1)
+        return pd.DataFrame({"pivot": own["cid"], "links": near})
+
+    key = [*label, "chunk"]
+    met = chunked.groupBy(*key).cogroup(pivots.select(*label, "cid", "v", every).groupBy(*key)).applyInPandas(count, "pivot long, links long")
+    dense = met.groupBy("pivot").agg(F.sum("links").alias("links")).filter(F.col("links") > 2 * leaf)
+    dense = ws.save(pivots.join(dense, F.col("cid") == F.col("pivot")).select(*label, "cid", "v", "n", "links"), "dense")
+    if dense.isEmpty():
+        return None
+
+    def apart(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["links", "cid"], ascending=[False, True], kind="stable")
+        by, taken = _unit(own["v"]), []
+        for i in range(len(by)):
+            if not taken or (by[taken] @ by[i]).max() < threshold:
+                taken.append(i)
+        return own.iloc[taken][[*label, "cid", "v", "n"]]
+
+    chosen = ws.save(dense.groupBy(*label).applyInPandas(apart, dense.drop("links").schema), "chosen")
+    angle = np.arccos(threshold)
+
+    def place(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        """(cid, m, v, cell, home): each row in the cells of the pivots in its reach; home is its core's cell."""
+        out = []
+        if len(rows) and len(own):
+            own = own.sort_values("cid", kind="stable")
+            by, ids = _unit(own["v"]), own["cid"].to_numpy()
+            for at in range(0, len(rows), 256):
+                part = rows.iloc[at : at + 256]
+                cosine = _unit(part["v"]) @ by.T
+                best = cosine.argmax(axis=1)
+                home = np.where(cosine[np.arange(len(part)), best] >= threshold, best, -1)
+                i, j = np.nonzero((cosine >= np.cos(min(2 * angle, np.pi)) - 1e-9) | (np.arange(len(by)) == home[:, None]))
+                out.append(part.iloc[i][["cid", "m", "v"]].assign(cell=ids[j], home=home[i] == j, core=home[i] >= 0))
+        return pd.concat(out) if out else pd.DataFrame({"cid": [], "m": [], "v": [], "cell": [], "home": [], "core": []})
+
+    placed = chunked.groupBy(*key).cogroup(chosen.select(*label, "cid", "v", every).groupBy(*key))
+    placed = ws.save(placed.applyInPandas(place, "cid long, m long, v array<double>, cell long, home boolean, core boolean"), "placed")
+    counts = placed.groupBy("cell").agg(F.ceil(F.count_if("home") / BLOCK).alias("nx"), F.ceil(F.count("*") / BLOCK).alias("ny"))
+    there = placed.join(counts.withColumnRenamed("cell", "c"), F.col("cell") == F.col("c")).drop("c")
+    side = lambda k: F.pmod(F.xxhash64("cid", F.lit("side")), F.col(k))
+    spread = lambda k: F.sequence(F.lit(0).cast("long"), F.col(k) - 1)
+    queries = there.filter("home").select("cell", side("nx").alias("x"), F.explode(spread("ny")).alias("y"), "cid", "m", "v")
+    others = there.select("cell", F.explode(spread("nx")).alias("x"), side("ny").alias("y"), "cid", "m", "v", "core")
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"cid": [], "others": [], "root": []})
+        near = _unit(a["v"]) @ _unit(b["v"]).T >= threshold
+        near &= a["cid"].to_numpy()[:, None] != b["cid"].to_numpy()
+        own = pd.DataFrame({"cid": a["cid"], "others": near @ b["m"].to_numpy(np.int64)})
+        hit = near.any(axis=0)
+        # links of a core row are counted in its own cell; another's are told there as 0
+        back = np.where(b["core"], 0, a["m"].to_numpy(np.int64) @ near)
+        met = pd.DataFrame({"cid": b["cid"][hit], "others": back[hit]})
+        return pd.concat([own, met]).assign(root=int(a["cell"].iloc[0]))
+
+    pair = ["cell", "x", "y"]
+    others = others.toDF(*others.columns)  # names of its own in the plan
+    told = queries.groupBy(*pair).cogroup(others.groupBy(*pair)).applyInPandas(compare, "cid long, others long, root long")
+    told = ws.save(told.groupBy("cid", "root").agg(F.sum("others").alias("others")).select("cid", "others", "root"), "exact")
+    left = ws.save(rest.join(placed.filter("home").select("cid"), "cid", "left_anti").select(rest.columns), "rest")
+    return told, left
+
+
 def near_duplicates(df: DataFrame, threshold: float = 0.93, trees: int = 12, leaf: int = LEAF, spill: float = 0.06, node_rows: int = NODE_ROWS, seed: int = 17, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
     ws = Workspace(df.sparkSession, "forest")
@@ -103,7 +211,18 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, trees: int = 12, lea
 
     group = ["label", "dim", "tree", "node"]
     nodes = classes.select("cid", "m", "v", "label", F.size("v").alias("dim"))
-    large = nodes.groupBy("label", "dim").count().filter(F.col("count") > node_rows).drop("count")
+    above = nodes.groupBy("label", "dim").count().filter(F.col("count") > node_rows).drop("count")
+    rest = ws.save(nodes.join(above, ["label", "dim"], "left_semi").select("label", "dim", "cid", "m", "v"), "large")
+    small = nodes.join(above, ["label", "dim"], "left_anti").select("label", "dim", "cid", "m", "v")
+    exact: list[DataFrame] = []
+    while not rest.isEmpty():
+        found = _cores(rest, ws, threshold, leaf, node_rows)
+        if found is None:
+            break
+        exact.append(found[0])
+        rest = found[1]
+    nodes = small.unionByName(rest)
+    large = rest.groupBy("label", "dim").count().filter(F.col("count") > node_rows).drop("count")
     all_trees = F.lit(-1).cast("long")
     ready = [nodes.join(large, ["label", "dim"], "left_anti").select("cid", "m", "v", "label", "dim", all_trees.alias("tree"), F.lit(1).cast("long").alias("node"))]
     open_ = nodes.join(large, ["label", "dim"], "left_semi").withColumn("tree", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trees - 1).cast("long")))).withColumn("node", F.lit(1).cast("long"))
@@ -131,25 +250,28 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, trees: int = 12, lea
 
     def grow(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("cid", kind="stable")
-        vectors = np.vstack(frame["v"].to_numpy())
-        # scaled by the largest component first, so that squares neither overflow nor vanish
-        vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
-        vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+        vectors = _unit(frame["v"])
         tree, node = int(frame["tree"].iloc[0]), int(frame["node"].iloc[0])
         pairs = [(t, 1) for t in range(trees)] if tree < 0 else [(tree, node)]
         found = linked(vectors, pairs, threshold, leaf, spill, seed)
-        cid, m = frame["cid"].to_numpy(), frame["m"].to_numpy()
-        root = cid[roots(found)]
+        cid, m = frame["cid"].to_numpy(), frame["m"].to_numpy(np.int64)
+        out = pd.DataFrame({"cid": cid, "root": cid[roots(found)]})
+        if tree < 0:  # all of the label's links are here, so their number does
+            return out.assign(near=[[]] * len(out), times=[[]] * len(out), others=[int(m[x].sum()) for x in found])
         near = [np.flatnonzero(x) for x in found]
-        return pd.DataFrame({"cid": cid, "near": [cid[x] for x in near], "times": [m[x] for x in near], "root": root})
+        return out.assign(near=[cid[x] for x in near], times=[m[x] for x in near], others=0)
 
     pool = ready[0]
     for more in ready[1:]:
         pool = pool.unionByName(more)
-    grown = ws.save(pool.groupBy(*group).applyInPandas(grow, "cid long, near array<long>, times array<long>, root long"), "grown")
+    grown = ws.save(pool.groupBy(*group).applyInPandas(grow, "cid long, near array<long>, times array<long>, others long, root long"), "grown")
+    for told in exact:
+        none = F.array().cast("array<long>")
+        grown = grown.unionByName(told.withColumns({"near": none, "times": none}))
     joined = components(grown.select(F.col("cid").alias("a"), F.col("root").alias("b")), ws)
     near = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("near", "times"))))
-    links = grown.groupBy("cid").agg(F.aggregate(near, F.lit(0).cast("long"), lambda s, x: s + x["times"]).alias("others"))
+    links = grown.groupBy("cid").agg(F.aggregate(near, F.lit(0).cast("long"), lambda s, x: s + x["times"]).alias("listed"), F.sum("others").alias("counted"))
+    links = links.select("cid", (F.col("listed") + F.col("counted")).alias("others"))
     graph = classes.select("cid", "rep", "m").join(joined.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     first = graph.groupBy("component").agg(F.min("rep").alias("component_id"))
     told = graph.join(first, "component").join(links, "cid").select("cid", "component_id", (F.col("others") + F.col("m") - 1).alias("n_links"))

@@ -369,6 +369,33 @@ def test_forest_dense_group(spark):
     assert found.filter("vec_id < 900").agg(F.avg("n_links")).first()[0] >= 0.97 * 899
 
 
+@pytest.mark.parametrize("node_rows", [8192, 1500])
+def test_forest_loose_group(spark, node_rows):
+    """3,000 vectors with cosines around 0.95 among 1,500 others, in one node and in a label above a node."""
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=64)
+    spread = np.linalg.norm(centre) * np.sqrt((1 / 0.95 - 1) / 64)
+    vectors = np.vstack([centre + rng.normal(0, spread, (3000, 64)), rng.normal(size=(1500, 64))])
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    expected = (unit @ unit.T >= 0.93).sum(axis=1) - 1
+    assert 0.5 < expected[:3000].mean() / 2999 < 1
+    found = {r.vec_id: r for r in forest.near_duplicates(df, node_rows=node_rows).collect()}
+    got = np.array([found[i].n_links for i in range(len(vectors))])
+    assert (got <= expected).all() and got.sum() >= 0.99 * expected.sum()
+
+
+def test_forest_group_above_a_node(spark):
+    """9,000 vectors that link with each other, one of them twice, are more than a node holds."""
+    rng = np.random.default_rng(6)
+    vectors = np.vstack([rng.normal(size=16) + rng.normal(0, 0.02, (9000, 16)), rng.normal(size=(500, 16))])
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(vectors)] + [(9500, vectors[0].tolist(), 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    found = {r.vec_id: r for r in forest.near_duplicates(df).collect()}
+    assert all(found[i].n_links >= 9000 and found[i].component_id == found[0].component_id for i in [*range(9000), 9500])
+    assert sum(found[i].n_links for i in range(9000, 9500)) < 9000
+
+
 # 9
 
 
