@@ -7,7 +7,9 @@ its message bodies and their end marks.
 A dialogue comes out in blocks of ``block_turns`` turn numbers, so that no conversation, however
 long, is gathered in one task; the blocks in order make the whole dialogue, and a conversation of
 ordinary length is one block. Where one turn number holds more than MANY messages, these are
-spread over parts of the block by a hash.
+cut into parts of the block by their rank in the order of messages, which sorted ranges of all
+crowded messages give without gathering a turn; block and part in order make up the dialogue.
+``whole_blocks`` puts the parts of a block together again, as the query and its SQL have them.
 
 Defined results: a null conversation id is a conversation of its own; a null turn sorts first
 and counts as turn 0 for its block; a null role is the speaker "unknown"; null text is empty;
@@ -17,9 +19,11 @@ the four columns are read, so others cannot clash; an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Workspace
+
 MANY = 256
 END = "<|end|>\n"
 
@@ -28,14 +32,53 @@ def _header(role: Column, me: Column) -> Column:
     return F.when(role == me, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), role, F.lit("|>\n")))
 
 
-def rotate(df: DataFrame, block_turns: int = 64, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv_id, participant, block, part, n_messages, text, mask (array of start, end in characters)."""
+def _ranked(rows: DataFrame, ws: Workspace) -> DataFrame:
+    """Rows of crowded turns with ``rank`` in their turn from 0; ``tie`` spreads equal messages over ranges."""
+    turn = ["conv_id", "turn"]
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(c).asc_nulls_first() for c in (*turn, "role", "text", "tie")]
+    placed = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    placed = ws.save(placed.withColumns({"task": F.spark_partition_id(), "at": F.monotonically_increasing_id()}), "placed")
+    held = placed.groupBy(*turn, "task").agg(F.count("*").alias("held"), F.min("at").alias("first"))
+    before = F.sum("held").over(Window.partitionBy(*turn).orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    held = held.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("task").alias("k"), "first", F.coalesce(before, F.lit(0)).alias("before"))
+    same = F.col("conv_id").eqNullSafe(F.col("c")) & F.col("turn").eqNullSafe(F.col("t")) & (F.col("task") == F.col("k"))
+    return placed.join(held, same).withColumn("rank", F.col("at") - F.col("first") + F.col("before"))
+
+
+def _with_parts(rows: DataFrame, crowded: DataFrame, ws: Workspace) -> DataFrame:
+    """Rows of blocks with a crowded turn and their part, which never falls in the order of messages.
+
+    What lies between crowded turns is one part; a crowded turn has one for each MANY messages.
+    """
+    blocks = crowded.groupBy(F.col("conv_id").alias("c"), F.col("block").alias("b")).agg(F.collect_list(F.struct("turn", "parts")).alias("crowds"))
+    there = rows.join(blocks, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))).drop("c", "b")
+    earlier = F.filter("crowds", lambda x: F.col("turn").isNotNull() & (x["turn"].isNull() | (x["turn"] < F.col("turn"))))
+    start = F.aggregate(earlier, F.lit(0).cast("long"), lambda n, x: n + x["parts"] + 1)
+    there = there.withColumn("start", start).withColumn("crowded", F.exists("crowds", lambda x: x["turn"].eqNullSafe(F.col("turn")))).drop("crowds")
+    own = _ranked(there.filter("crowded"), ws)
+    columns = ["conv_id", "turn", "role", "text", "block"]
+    between = there.filter("not crowded").select(*columns, F.col("start").alias("part"))
+    return between.unionByName(own.select(*columns, (F.col("start") + 1 + F.floor(F.col("rank") / MANY)).cast("long").alias("part")))
+
+
+def _views(df: DataFrame, block_turns: int, conversation: str, turn: str, role: str, text: str) -> list[DataFrame]:
+    """Views of blocks without crowded turns and, if there are any, of the parts of the others."""
+    ws = Workspace(df.sparkSession, "rotation")
     rows = df.select(F.col(conversation).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("unknown")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    crowded = rows.groupBy("conv_id", "turn").count().filter(F.col("count") > MANY).select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.ceil(F.col("count") / MANY).alias("parts"))
-    rows = rows.join(crowded, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("turn").eqNullSafe(F.col("t")), "left")
-    part = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("turn", "role", "text"), F.col("parts")))
-    rows = rows.withColumn("block", F.floor(F.coalesce("turn", F.lit(0)) / block_turns).cast("long")).withColumn("part", part.cast("long"))
+    rows = rows.withColumn("block", F.floor(F.coalesce("turn", F.lit(0)) / block_turns).cast("long"))
     speakers = rows.groupBy(F.col("conv_id").alias("c")).agg(F.array_sort(F.collect_set("role")).alias("speakers"))
+    crowded = rows.groupBy("conv_id", "block", "turn").count().filter(F.col("count") > MANY)
+    crowded = ws.save(crowded.select("conv_id", "block", "turn", F.ceil(F.col("count") / MANY).alias("parts")), "crowded")
+    if crowded.isEmpty():
+        return [_rendered(rows.withColumn("part", F.lit(0).cast("long")), speakers)]
+    blocks = crowded.select(F.col("conv_id").alias("c"), F.col("block").alias("b")).distinct()
+    plain = rows.join(blocks, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")), "left_anti")
+    parts = _with_parts(rows.withColumn("tie", F.monotonically_increasing_id()), crowded, ws)
+    return [_rendered(plain.withColumn("part", F.lit(0).cast("long")), speakers), _rendered(parts, speakers)]
+
+
+def _rendered(rows: DataFrame, speakers: DataFrame) -> DataFrame:
     blocks = rows.groupBy("conv_id", "block", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
     views = blocks.join(speakers, F.col("conv_id").eqNullSafe(F.col("c"))).select("conv_id", "block", "part", "m", F.explode("speakers").alias("participant"))
 
@@ -53,6 +96,31 @@ def rotate(df: DataFrame, block_turns: int = 64, conversation: str = "conv_id",
     return views.select("conv_id", "participant", "block", "part", F.size("m").cast("long").alias("n_messages"), rendered.alias("text"), mask.alias("mask"))
 
 
+def rotate(df: DataFrame, block_turns: int = 64, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """conv_id, participant, block, part, n_messages, text, mask (array of start, end in characters)."""
+    views = _views(df, block_turns, conversation, turn, role, text)
+    return views[0] if len(views) == 1 else views[0].unionByName(views[1])
+
+
+def whole_blocks(df: DataFrame, block_turns: int = 64, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """conv_id, participant, block, n_messages, text, mask: the parts of a block in order, as one row."""
+    plain, *parts = _views(df, block_turns, conversation, turn, role, text)
+    plain = plain.drop("part")
+    if not parts:
+        return plain
+    pieces = F.array_sort(F.collect_list(F.struct("part", "n_messages", "text", "mask")))
+    joined = parts[0].groupBy("conv_id", "participant", "block").agg(pieces.alias("p"))
+
+    def step(state: Column, x: Column) -> Column:
+        moved = F.transform(x["mask"], lambda s: F.struct((s["start"] + state["at"]).alias("start"), (s["end"] + state["at"]).alias("end")))
+        return F.struct((state["at"] + F.length(x["text"])).alias("at"), F.concat(state["spans"], F.array(moved)).alias("spans"))
+
+    nothing = F.struct(F.lit(0).cast("long").alias("at"), F.expr("array()").cast("array<array<struct<start:bigint,end:bigint>>>").alias("spans"))
+    mask = F.flatten(F.aggregate("p", nothing, step, lambda s: s["spans"]))
+    count = F.aggregate("p", F.lit(0).cast("long"), lambda n, x: n + x["n_messages"])
+    return plain.unionByName(joined.select("conv_id", "participant", "block", count.alias("n_messages"), F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text"), mask.alias("mask")))
+
+
 SQL = """
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, CAST(floor(coalesce(turn, 0) / 64) AS BIGINT) AS block FROM conversations),

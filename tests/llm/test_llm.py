@@ -158,6 +158,31 @@ def test_rotation_spreads_a_crowded_turn(spark):
     assert out.agg(F.max("n_messages")).first()[0] < 500
 
 
+def test_rotation_keeps_order_in_crowded_turns(spark, tmp_path):
+    """Parts in order are the dialogue, and the query gives its SQL's rows: crowded turns amid others, null turns and ids, equal messages."""
+    rows = [(1, t, f"r{i % 3}", f"m{i:04}") for t, n in ((None, 300), (0, 5), (1, 900), (2, 4), (3, 600), (70, 2)) for i in range(n)]
+    rows += [(1, 1, "r0", "same")] * 700 + [(None, 0, "a", f"x{i}") for i in range(400)] + [(2, 0, "a", "x"), (2, 1, "b", "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    views = defaultdict(list)
+    for r in chat.rotate(df).collect():
+        views[r.conv_id, r.participant].append(r)
+    for (conv, me), found in views.items():
+        own = sorted((r for r in rows if r[0] == conv), key=lambda r: (-1 if r[1] is None else r[1], r[2], r[3]))
+        found.sort(key=lambda r: (r.block, r.part))
+        whole = "".join(("<|assistant|>\n" if r[2] == me else f"<|user name={r[2]}|>\n") + r[3] + "<|end|>\n" for r in own)
+        assert "".join(r.text for r in found) == whole
+        assert [r.text[s.start : s.end] for r in found for s in r.mask] == [r[3] + "<|end|>\n" for r in own if r[2] == me]
+        assert max(r.n_messages for r in found) <= 256
+    duckdb = pytest.importorskip("duckdb")
+    from tessera.llm import queries
+
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    expected = Counter(db.execute(queries.SQL["op2_perspective_rotation"]).fetchall())
+    assert Counter(tuple(r) for r in queries.op2_perspective_rotation(spark, str(tmp_path)).collect()) == expected
+
+
 # 3
 
 
