@@ -2,7 +2,8 @@
 
 1. quality: the classifier is fitted on the labelled documents and rejects scores below 0.3.
 2. rules: texts whose repetition is too large are rejected.
-3. near duplicates: of each component of similar documents the smallest doc_id stays.
+3. near duplicates: of each component of similar documents (Jaccard similarity of five-word runs of
+   0.80 or more) the smallest doc_id stays.
 4. repeated substrings of 400 bytes are cut out of the texts.
 5. packing into sequences of 2,048 tokens.
 
@@ -39,7 +40,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones."""
-    copies = jaccard_components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    copies = jaccard_components(docs, n=5, percent=80).filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(docs.columns)
 
 

@@ -502,3 +502,14 @@ def test_pipeline_stages(spark, docs, corpus, tmp_path):
     assert seen.filter("doc_id <> component_id").count() == 0
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert whole.agg(F.sum("length")).first()[0] == stage.agg(F.sum("length")).first()[0]
+
+
+def test_pipeline_near_copies(spark):
+    """Copies with a five-word similarity from 0.80 to 0.85 go; one below 0.80 stays."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(8)
+    a, b, c = ([f"{rng.choice(WORDS)}{rng.randint(0, 10**6)}" for _ in range(300)] for _ in range(3))
+    more = [f"more{i}" for i in range(100)]
+    rows = [(1, a), (2, a + more[:60]), (3, b), (4, b[55:]), (5, c), (6, c + more[:85])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()} == {1, 3, 5, 6}
