@@ -3,13 +3,15 @@
 1. quality: the classifier is fitted on the labelled documents and rejects scores below 0.3.
 2. rules: texts whose repetition is too large are rejected.
 3. near duplicates: of each component of similar documents (Jaccard similarity of five-word runs of
-   0.80 or more) the smallest doc_id stays.
+   0.80 or more) the smallest doc_id stays; of its different texts the one with the least hash.
 4. repeated substrings of 400 bytes are cut out of the texts.
 5. packing into sequences of 2,048 tokens.
 
 Stages 1 to 4 return the columns of documents; stage 4 replaces text and n_chars (a character
 that loses some of its bytes goes altogether). Nulls, empty texts, repeated rows and empty tables
-are handled as the operators define; a null doc_id is a document that is never dropped as a copy.
+are handled as the operators define. Verdicts are of rows, told apart by doc_id and text: a doc_id on
+two texts is two documents, and a row with a null doc_id is rejected like any other but never
+dropped as a copy.
 """
 
 from __future__ import annotations
@@ -25,12 +27,16 @@ from tessera.llm.repetition import judge
 from tessera.llm.suffix_dedup import dedup_suffixes
 
 THRESHOLD = 0.3
+HASH, OWN = "_text_hash", "_own_row"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
-    rejected = classify(docs, read(spark, sf_dir, "labels"), THRESHOLD).filter("predicted = 0").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    """Rows that the classifier does not reject."""
+    hashed = docs.withColumn(HASH, F.xxhash64("text"))
+    rejected = classify(hashed, read(spark, sf_dir, "labels"), THRESHOLD, carry=(HASH,)).filter("predicted = 0")
+    rejected = rejected.select(F.col("doc_id").alias("rejected_id"), F.col(HASH).alias("rejected_hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("rejected_id")) & (F.col(HASH) == F.col("rejected_hash"))
+    return hashed.join(rejected, same, "left_anti").select(docs.columns)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +45,12 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones."""
-    copies = jaccard_components(docs, n=5, percent=80).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    """One row of each group of similar ones, and every row without doc_id."""
+    hashed = docs.withColumns({HASH: F.xxhash64("text"), OWN: F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())})
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(HASH).alias("hash"))
+    found = jaccard_components(docs.select(F.col("text"), F.xxhash64("text").alias(HASH), "doc_id").select("text", key.alias("key")), n=5, percent=80, doc_id="key")
+    copies = found.filter("NOT doc_id.none AND doc_id <> component_id").select("doc_id.doc_id", F.col("doc_id.hash").alias(HASH)).distinct()
+    return hashed.join(copies, ["doc_id", HASH], "left_anti").dropDuplicates(["doc_id", "text", OWN]).select(docs.columns)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

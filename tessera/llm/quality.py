@@ -184,11 +184,11 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """doc_id, held_out, score and predicted for every row of ``docs``; ``labels`` has doc_id and label."""
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, doc_id: str = "doc_id", text: str = "text", label: str = "quality", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted and the columns of ``carry`` for every row of ``docs``; ``labels`` has doc_id and label."""
     ws = Workspace(docs.sparkSession, "quality")
-    stats = ws.save(text_statistics(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))), "stats")
+    stats = ws.save(text_statistics(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *carry)), "stats")
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("double").alias("label")).filter("label is not null")
     train = ws.save(stats.join(known, "doc_id").filter(~held_out()).select("stats", "label"), "train")
     scored = score(stats, fit(train))
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *carry)

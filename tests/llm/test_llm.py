@@ -513,3 +513,23 @@ def test_pipeline_near_copies(spark):
     rows = [(1, a), (2, a + more[:60]), (3, b), (4, b[55:]), (5, c), (6, c + more[:85])]
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()} == {1, 3, 5, 6}
+
+
+def test_pipeline_verdicts_are_of_rows(spark, tmp_path):
+    """A doc_id on two texts and null doc_ids: each row has its own verdict."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(9)
+    base, other = text(rng, 100), text(rng, 100)
+    near = base + " tail"
+    rows = [(1, base), (1, near), (2, near), (2, other), (None, base), (None, base), (3, other), (3, other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = Counter(tuple(r) for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
+    assert kept[None, base] == 2 and kept[2, other] == 1 and kept[2, near] == 0 and kept[3, other] == 0
+    assert kept[1, base] + kept[1, near] == 1 and sum(kept.values()) == 4
+
+    good, bad = [text(rng, 80) for _ in range(61)], ["#$ %% ** 11 " * rng.randint(5, 60) for _ in range(61)]
+    rows = [*enumerate(good[:60] + bad[:60]), (500, good[60]), (500, bad[60]), (None, good[60]), (None, bad[60])]
+    spark.createDataFrame([(i, int(i < 60)) for i in range(120)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = Counter(tuple(r) for r in corpus_pipeline.quality(spark, df, str(tmp_path)).collect())
+    assert kept == Counter((i, t) for i, t in rows if t in good)
