@@ -709,7 +709,7 @@ def _nearest_sql(space: tuple[str, str] = ("x1", "x2"), table: str = "u") -> str
 
 @query(f"WITH {MATCHING}, {_nearest_sql()} SELECT query, match, round(d2, 4) AS d2, CAST(rank AS INT) AS rank, treated FROM k WHERE rank <= 2")
 def knn_l2(spark, sf):
-    return rounded(matching.match_both(matching_frame(spark, sf), "id", "treat", ["x1", "x2"], 2), 4)
+    return rounded(matching.match_both(matching_frame(spark, sf), "id", "treat", ["x1", "x2"], 2, mode="exact"), 4)
 
 
 @query()
@@ -726,7 +726,7 @@ SELECT metric, round(v, 4) + 0.0 AS effect_size, round(se, 4) AS standard_error,
 
 
 def _effects(df: DataFrame, space: list[str]) -> DataFrame:
-    pairs = matching.match_both(df, "id", "treat", space)
+    pairs = matching.match_both(df, "id", "treat", space, mode="exact")
     means = matching.matched_means(df, "id", pairs, ["y"])
     return rounded(matching.effects(matching.unit_effects(means, "id", "treat", "y"), pairs).drop("p_value"), 4)
 
@@ -751,7 +751,7 @@ def whiten_mahalanobis(spark, sf):
 @query(f"WITH {MATCHING}, {_nearest_sql()} SELECT q.id, q.treat, round(m.x1, 4) AS x1_matched, round(m.y, 4) AS y_matched FROM k JOIN u q ON q.id = k.query JOIN u m ON m.id = k.match WHERE rank = 1")
 def match_full_data(spark, sf):
     df = matching_frame(spark, sf)
-    means = matching.matched_means(df, "id", matching.match_both(df, "id", "treat", ["x1", "x2"]), ["x1", "y"])
+    means = matching.matched_means(df, "id", matching.match_both(df, "id", "treat", ["x1", "x2"], mode="exact"), ["x1", "y"])
     return rounded(means.select("id", "treat", "x1_matched", "y_matched"), 4)
 
 
@@ -763,18 +763,18 @@ def _shell_frame(spark, sf) -> RoleFrame:
 @query(f"WITH {MATCHING}, {_nearest_sql()}, p AS (SELECT q.treat, avg(q.x1) AS t, avg(m.x1) AS c FROM k JOIN u q ON q.id = k.query JOIN u m ON m.id = k.match WHERE rank = 1 GROUP BY q.treat) SELECT 'x1' AS feature, CAST(treat AS VARCHAR) AS \"group\", round(c, 4) AS control_mean, round(t, 4) AS test_mean, round(t - c, 4) + 0.0 AS difference, round((t / c - 1) * 100, 4) + 0.0 AS difference_pct FROM p")
 def match_quality(spark, sf):
     df = matching_frame(spark, sf)
-    means = matching.matched_means(df, "id", matching.match_both(df, "id", "treat", ["x1", "x2"]), ["x1"])
+    means = matching.matched_means(df, "id", matching.match_both(df, "id", "treat", ["x1", "x2"], mode="exact"), ["x1"])
     return rounded(compare.group_difference(means, ["x1"], "treat", "matched_pairs"), 4)
 
 
 @query()
 def bias_correction(spark, sf):
-    return rounded(shells.Matching().execute(_shell_frame(spark, sf)).resume, 4)
+    return rounded(shells.Matching(mode="exact").execute(_shell_frame(spark, sf)).resume, 4)
 
 
 @query()
 def match_group(spark, sf):
-    return rounded(shells.Matching(group_match=True, bias_estimation=False).execute(_shell_frame(spark, sf)).resume, 4)
+    return rounded(shells.Matching(mode="exact", group_match=True, bias_estimation=False).execute(_shell_frame(spark, sf)).resume, 4)
 
 
 # ---- streams -----------------------------------------------------------------------------------

@@ -387,3 +387,19 @@ def test_entry_stands_without_the_optional_operators(spark):
         assert "group_difference" in entry.queries() and not any(n.startswith("op") for n in entry.queries())
     finally:
         entry.llm_queries = saved
+
+
+@pytest.mark.parametrize("name", ["knn_l2", "match_att_atc_ate", "match_full_data", "match_quality", "bias_correction", "match_group"])
+def test_registered_matching_is_exact(spark, monkeypatch, name):
+    from tessera.operators import matching
+    from tessera.plans import catalogue
+
+    class Asked(Exception):
+        pass
+
+    def nearest(queries, base, key, features, k=1, mode="auto", **options):
+        raise Asked(mode)
+
+    monkeypatch.setattr(matching, "nearest", nearest)
+    with pytest.raises(Asked, match="exact"):
+        catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
