@@ -524,7 +524,7 @@ def multitest_other(spark, sf):
 
 @query()
 def multitest_quantile(spark, sf):
-    best = multitest.best_group(orders(spark, sf).df, "treat", ["price"], iterations=5000)
+    best = multitest.best_group(orders(spark, sf).df, "treat", ["price"])
     return spark.createDataFrame(list(best.items()), "target string, accepted long")
 
 
@@ -599,12 +599,12 @@ def aa_experiments(spark, sf):
 
 @query()
 def aa_scores(spark, sf):
-    return rounded(shells.AATest(n_iterations=5).execute(customers(spark, sf)).scores)
+    return rounded(shells.AATest().execute(customers(spark, sf)).scores)
 
 
 @query()
 def aa_best_split(spark, sf):
-    return rounded(shells.AATest(n_iterations=5, stratification=True).execute(customers(spark, sf)).best_split_statistic)
+    return rounded(shells.AATest(stratification=True).execute(customers(spark, sf)).best_split_statistic)
 
 
 # ---- variance reduction ------------------------------------------------------------------------

@@ -403,3 +403,20 @@ def test_registered_matching_is_exact(spark, monkeypatch, name):
     monkeypatch.setattr(matching, "nearest", nearest)
     with pytest.raises(Asked, match="exact"):
         catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+
+
+@pytest.mark.parametrize("name", ["aa_scores", "aa_best_split", "multitest_quantile"])
+def test_registered_simulations_take_the_defaults(spark, monkeypatch, name):
+    from tessera.plans import catalogue
+
+    class Asked(Exception):
+        pass
+
+    def asked(*args, **options):
+        raise Asked(sorted(options))
+
+    monkeypatch.setattr(shells, "AATest", asked)
+    monkeypatch.setattr(multitest, "best_group", asked)
+    with pytest.raises(Asked) as found:
+        catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert not {"n_iterations", "iterations"} & set(found.value.args[0])
