@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
+import re
 import tempfile
-import time
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -17,10 +16,16 @@ from pyspark.sql import functions as F
 
 from .textbytes import release
 
+#: Spark's setting for removing a finished execution's shuffle files.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a local folder only where none is set (local tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tessera-{os.getuid()}"
+    """The cluster's spark.checkpoint.dir; where it is unset, a local folder in local mode alone."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: it names the folder, seen by driver and executors, where operators keep tables between stages")
+    return found or f"file://{tempfile.gettempdir()}/tessera-{os.getuid()}"
 
 
 class Workspace:
@@ -30,8 +35,6 @@ class Workspace:
     the rest goes when the driver ends.
     """
 
-    _tidied = 0.0
-
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
@@ -41,19 +44,16 @@ class Workspace:
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         path = f"{self.root}/{self._count}-{name}"
         self._count += 1
-        df.write.option("compression", "zstd").parquet(path)
-        self._tidy()
+        was = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")  # what was shuffled for a table goes once the table is written
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if was is None else self.spark.conf.set(CLEANUP, was)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._tessera_path = path
         return back
 
-    def _tidy(self) -> None:
-        """Lets Spark's cleaner delete shuffle files of stored stages, which it does when the driver collects garbage."""
-        if time.monotonic() - Workspace._tidied > 3:
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
-            Workspace._tidied = time.monotonic()
-
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             if path := getattr(t, "_tessera_path", None):

@@ -3,17 +3,21 @@
 1. Every text becomes its set of word shingles; equal sets form one class. Counting tokens that
    repeat within tasks gives each token a frequency level (a sketch of fixed size).
 2. Tokens are ordered by (level, hash). Two sets that link share at least SHARED tokens (or all
-   that must overlap, if fewer) among the first |S| - ceil(t |S|) + SHARED of each, so only
-   classes that share so many prefix tokens are candidates.
-3. Each class is compared with the least class of each of its prefix tokens; those links partition
-   similar classes into groups, which are cut into blocks of bounded size.
-4. The token-group matrix holds for each group, and for each bucket of hashed tokens, the most
-   tokens that any member has there. Summed over the buckets, the lesser of its entry and the
-   query's count bounds the query's overlap with every member, before any text is moved.
-5. A query class and a group of another component that share a prefix token and pass the matrix
-   meet in one task: the group's token union is stored once, the query's overlap with it bounds
-   its similarity again, and only groups that reach the bound are opened and compared member by
-   member. The result is exact: pairs inside a component need no comparison.
+   that must overlap, if fewer) among the first |S| - ceil(t |S|) + SHARED of each. Classes with
+   fewer prefix tokens that any other class has, link with nothing and are done.
+3. The others are partitioned into groups of similar classes before any comparison: a class goes
+   by the least of its most frequent prefix tokens and by the magnitude of its size, so members of a
+   cluster of near copies, linked or not, meet in few groups. Groups are cut into blocks of at
+   most about BLOCK members and TOKENS tokens.
+4. The token-group matrix holds for each block, and for each bucket of hashed tokens, the most
+   tokens that any member has there. Summed over the buckets, the lesser of two blocks' entries
+   bounds the overlap of any two of their members, before any text is moved.
+5. Blocks that share enough prefix tokens and pass the matrix meet in one task, which bounds each
+   query's overlap with the other block's token union again and opens the block, as one matrix
+   product, only for queries that reach the bound. A cluster of N similar classes thus costs
+   N * N / BLOCK rows, not N * N. First every block meets itself and, for each of its tokens, the
+   least block that has it; components of those links settle all that lies inside one. Then every
+   pair of blocks meets that is not inside one component. The result is exact.
 
 Defined results: null or blank text has an empty set and links with nothing; texts of fewer words
 than a shingle have their whole word sequence as the only element; repeated rows link with each
@@ -34,7 +38,10 @@ from .common import Workspace, batches, components
 from .textbytes import NON_SPACE, Texts, chunks, from_arrow, mix
 from .textstats import Words
 
-BLOCK = 256  # members of a group, and queries that meet it in one task
+BLOCK = 256  # members of a block
+TOKENS = 1 << 19  # and their tokens, about; one member at least
+MEETING_BYTES = 4 << 20  # texts of the meetings that one group of rows holds
+COLUMNS = 4096  # tokens in one matrix product
 SLOTS = 1 << 20  # of the frequency sketch: one byte each, whatever the input
 SHARED = 3  # prefix tokens that two linked sets have in common
 LEAST = 32  # documents that make a token frequent
@@ -154,78 +161,156 @@ def _with_counts(texts: DataFrame, n: int) -> DataFrame:
 
 
 def _matrix(members: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(g, h, top): the largest count of any member in each bucket. A group has at most about BLOCK members."""
+    """(u, top, second): the largest and second largest count of any member of block u in each bucket."""
+
+    def largest(lists: pd.Series, nth: int) -> pd.Series:
+        out = []
+        for one in lists:
+            rows = np.sort(_folded([np.frombuffer(x, "<u2") for x in one]), axis=0)
+            out.append((rows[-nth] if len(rows) >= nth else np.zeros_like(rows[0])).astype("<u2").tobytes())
+        return pd.Series(out)
+
+    @F.pandas_udf("binary")
+    def top(lists: pd.Series) -> pd.Series:
+        return largest(lists, 1)
 
     @F.pandas_udf("binary")
-    def largest(lists: pd.Series) -> pd.Series:
-        return pd.Series([np.max(_folded([np.frombuffer(x, "<u2") for x in one]), axis=0).astype("<u2").tobytes() for one in lists])
+    def second(lists: pd.Series) -> pd.Series:
+        return largest(lists, 2)
 
-    grouped = members.join(profiles.select("s", "counts"), "s").groupBy("g", "h").agg(F.collect_list("counts").alias("all"))
-    return grouped.select("g", "h", F.when(F.size("all") == 1, F.col("all")[0]).otherwise(largest("all")).alias("top"))
+    grouped = members.join(profiles, "s").groupBy("u").agg(F.collect_list("counts").alias("all"))
+    return grouped.select("u", F.when(F.size("all") == 1, F.col("all")[0]).otherwise(top("all")).alias("top"), F.when(F.size("all") > 1, second("all")).alias("second"))
 
 
-def _qualified(candidates: DataFrame, matrix: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
-    """Candidates (q, g, h) whose bound over the matrix reaches the threshold."""
+def _bound(a: bytes, b: bytes, second: bytes | None = None) -> int:
+    """Most tokens that a set or member of block a can share with a member of block b, other than itself if ``second`` is given."""
+    x, y, *z = _folded([np.frombuffer(r, "<u2") for r in (a, b, second) if r is not None])
+    if ((x == UNBOUNDED) & (y == UNBOUNDED)).any():
+        return 1 << 40
+    return int(np.minimum(x, np.where(x == y, z[0], y) if z else y).sum())
+
+
+def _qualified(pairs: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of blocks whose bound over the matrix allows a link; lo is the least size of the greater side."""
 
     @F.pandas_udf("long")
-    def bound(counts: pd.Series, top: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(counts, top, strict=True):
-            x, y = _folded([np.frombuffer(a, "<u2"), np.frombuffer(b, "<u2")])
-            unknown = ((x == UNBOUNDED) & (y == UNBOUNDED)).any()
-            out.append(1 << 40 if unknown else int(np.minimum(x, y).sum()))
-        return pd.Series(out, dtype="int64")
+    def bound(first: pd.Series, second: pd.Series) -> pd.Series:
+        return pd.Series([_bound(a, b) for a, b in zip(first, second, strict=True)], dtype="int64")
 
-    asked = profiles.select(F.col("s").alias("q"), F.col("size").alias("__size"), F.col("counts").alias("__counts"))
-    rows = candidates.join(asked, "q").join(matrix, ["g", "h"])
-    return rows.withColumn("__bound", bound("__counts", "top")).filter(100 * F.col("__bound") >= percent * F.col("__size")).select("q", "g", "h")
+    left, right = (matrix.select(F.col("u").alias(side), F.col("top").alias(f"top_{side}")) for side in "ab")
+    rows = pairs.join(left, "a").join(right, "b").withColumn("bound", bound("top_a", "top_b"))
+    return rows.filter(100 * F.col("bound") >= percent * F.col("lo")).select("a", "b")
+
+
+def _queries(present: DataFrame, matrix: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """Of present (a, b, side, s, size) the queries whose bound over the other block's row of the matrix reaches the threshold."""
+
+    @F.pandas_udf("long")
+    def bound(counts: pd.Series, top: pd.Series, second: pd.Series) -> pd.Series:
+        return pd.Series([_bound(a, b, c) for a, b, c in zip(counts, top, second, strict=True)], dtype="int64")
+
+    own = F.col("a") == F.col("b")
+    other = present.withColumn("u", F.when(F.col("side") == 0, F.col("b")).otherwise(F.col("a")))
+    rows = other.join(profiles, "s").join(matrix, "u").withColumn("bound", bound("counts", "top", F.when(own, F.col("second"))))
+    return rows.filter(100 * F.col("bound") >= percent * F.col("size")).select("a", "b", "side", "s", "size")
+
+
+def _incidence(doc: np.ndarray, column: np.ndarray, rows: int, columns: int) -> np.ndarray:
+    out = np.zeros((rows, columns), np.float32)
+    out[doc, column] = 1
+    return out
+
+
+def _near(doc: np.ndarray, token: np.ndarray, first: int, last: int, rest: int, percent: int, alone: bool) -> np.ndarray:
+    """Which rows of [first, last) link with which of [last, rest), or with each other if ``alone``."""
+    size = np.bincount(doc, minlength=rest)
+    lo, mid, hi = np.searchsorted(doc, [first, last, rest])
+    xd, xt = doc[lo:mid] - first, token[lo:mid]
+    yd, yt = (xd, xt) if alone else (doc[mid:hi] - last, token[mid:hi])
+    nx, ny = last - first, last - first if alone else rest - last
+    sx, sy = size[first:last], size[first:last] if alone else size[last:rest]
+    union = np.unique(yt)  # of the group; a query whose overlap with it is too small opens nothing
+
+    def inside(t: np.ndarray, known: np.ndarray) -> np.ndarray:
+        return known[np.minimum(np.searchsorted(known, t), len(known) - 1)] == t if len(known) else np.zeros(len(t), bool)
+
+    if not alone:
+        for _ in range(2):
+            hit = inside(xt, union)
+            go = 100 * np.bincount(xd[hit], minlength=nx) >= percent * sx
+            xd, xt = xd[hit & go[xd]], xt[hit & go[xd]]
+            known = np.unique(xt)
+            hit = inside(yt, known)
+            go = 100 * np.bincount(yd[hit], minlength=ny) >= percent * sy
+            yd, yt = yd[hit & go[yd]], yt[hit & go[yd]]
+            union = np.unique(yt)
+        xd, xt = xd[inside(xt, union)], xt[inside(xt, union)]
+    both = np.zeros((nx, ny), np.float32)  # counts up to 2 ** 24 are exact
+    if len(union) and len(xt):
+        cx, cy = np.searchsorted(union, xt), np.searchsorted(union, yt)
+        ox, oy = np.argsort(cx, kind="stable"), np.argsort(cy, kind="stable")
+        xd, cx, yd, cy = xd[ox], cx[ox], yd[oy], cy[oy]
+        for at in range(0, len(union), COLUMNS):
+            wide = min(COLUMNS, len(union) - at)
+            a, b = np.searchsorted(cx, [at, at + wide]), np.searchsorted(cy, [at, at + wide])
+            both += _incidence(xd[a[0] : a[1]], cx[a[0] : a[1]] - at, nx, wide) @ _incidence(yd[b[0] : b[1]], cy[b[0] : b[1]] - at, ny, wide).T
+    n = np.rint(both).astype(np.int64)
+    return (n > 0) & (100 * n >= percent * (sx[:, None] + sy[None, :] - n))
+
+
+def _spanning(near: np.ndarray, alone: bool) -> list[tuple[int, int]]:
+    """Enough of the links (row, column) to join all that they join; rows and columns count on from each other unless ``alone``."""
+    if alone:
+        full = near.copy()
+        np.fill_diagonal(full, False)
+    else:
+        nx, ny = near.shape
+        full = np.zeros((nx + ny, nx + ny), bool)
+        full[:nx, nx:], full[nx:, :nx] = near, near.T
+    out, seen = [], np.zeros(len(full), bool)
+    for i in np.flatnonzero(full.any(axis=0)):
+        if not seen[i]:
+            seen[i] = True
+            frontier = np.array([i])
+            while len(frontier):
+                frontier = np.flatnonzero(full[frontier].any(axis=0) & ~seen)
+                seen[frontier] = True
+                out += [(int(i), int(j)) for j in frontier]
+    return out
 
 
 def _meet(n: int, percent: int):
-    """One group with its queries: rows (role, s, text) -> links (a, b). Roles: 0 member, 1 query."""
+    """Meetings, rows (a, b, side, s, text): block a (side 0) with block b (side 1), or with itself -> links (a, b) of classes."""
 
     def work(rows: pa.Table) -> pa.Table:
-        role, s = rows.column("role").to_numpy(), rows.column("s").to_numpy()
+        rows = rows.sort_by([("a", "ascending"), ("b", "ascending"), ("side", "ascending"), ("s", "ascending")])
+        a, b, side, s = (rows.column(c).to_numpy() for c in ("a", "b", "side", "s"))
         doc, token = shingles(from_arrow(rows.column("text")), n)
-        at = np.searchsorted(doc, np.arange(len(s) + 1))
-        members, queries = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
-        union = np.unique(token[np.isin(doc, members)])
-        links: list[tuple[int, int]] = []
-        for q in queries:
-            own = token[at[q] : at[q + 1]]
-            place = np.minimum(np.searchsorted(union, own), len(union) - 1)
-            if 100 * np.count_nonzero(union[place] == own) < percent * len(own):
-                continue  # no member can reach the threshold
-            for m in members:
-                other = token[at[m] : at[m + 1]]
-                few, many = sorted((len(own), len(other)))
-                if 100 * few < percent * many:
-                    continue
-                place = np.minimum(np.searchsorted(other, own), len(other) - 1)
-                both = int(np.count_nonzero(other[place] == own))
-                if 100 * both >= percent * (len(own) + len(other) - both):
-                    links.append((int(s[q]), int(s[m])))
-                    break  # the group is one component already
-        a, b = zip(*links, strict=True) if links else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        starts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        left, right = [], []
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(s)], strict=True):
+            alone = a[lo] == b[lo]
+            mid = hi if alone else lo + int(np.count_nonzero(side[lo:hi] == 0))
+            at = np.searchsorted(doc, [lo, hi])
+            near = _near(doc[at[0] : at[1]] - lo, token[at[0] : at[1]], 0, mid - lo, hi - lo, percent, alone)
+            for i, j in _spanning(near, alone):
+                left.append(int(s[lo + i]))
+                right.append(int(s[lo + j]))
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
     return work
 
 
-def _open_groups(ws: Workspace, candidates: DataFrame, members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links between queries and groups. candidates: (q, g, h); members: (g, h, s); g, h name a group."""
-    profiles = texts.select("s", "size", "counts")
-    named = members.join(candidates.select("g", "h").distinct(), ["g", "h"], "left_semi")
-    matrix = ws.save(_matrix(named, profiles), "matrix")
-    candidates = ws.save(_qualified(candidates, matrix, profiles, percent), "qualified")
-    texts = texts.select("s", "text")
-    load = candidates.groupBy("g", "h").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    load = ws.save(load, "load")
-    asked = candidates.join(load, ["g", "h"]).select("g", "h", F.pmod(F.xxhash64("q"), F.col("parts")).alias("part"), F.col("q").alias("s"), F.lit(1).alias("role"))
-    held = members.join(load, ["g", "h"]).select("g", "h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "s", F.lit(0).alias("role"))
-    present = ws.save(asked.unionByName(held), "present")
-    rows = present.join(texts, "s")
-    return ws.save(rows.groupBy("g", "h", "part").applyInArrow(_meet(n, percent), "a long, b long"), "links")
+def _open_blocks(ws: Workspace, present: DataFrame, matrix: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links found in meetings; present: (a, b, side, s, size), the members that may take part."""
+    queries = ws.save(_queries(present, matrix, texts.select("s", "counts"), percent), "queries")
+    sides = F.when(F.col("a") == F.col("b"), F.count("*")).otherwise(F.count_distinct("side"))
+    present = queries.join(queries.groupBy("a", "b").agg(sides.alias("k")).filter("k > 1").select("a", "b"), ["a", "b"])
+    present = ws.save(present, "present")
+    total = present.agg(F.sum("size")).first()[0] or 0
+    parts = max(1, -(-8 * total // MEETING_BYTES))  # a shingle takes about 8 bytes of text
+    dealt = present.select("a", "b", "side", "s", F.pmod(F.xxhash64("a", "b"), F.lit(parts)).alias("part"))
+    return ws.save(dealt.join(texts.select("s", "text"), "s").groupBy("part").applyInArrow(_meet(n, percent), "a long, b long"), "links")
 
 
 def jaccard_components(df: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -237,51 +322,66 @@ def jaccard_components(df: DataFrame, n: int = 4, percent: int = 85, doc_id: str
     known = overview.filter("s is not null").select("id", "th", "size", "s")
 
     prefixes = _prefixes(docs, n, percent, levels)
-    shared = prefixes.groupBy("token").agg(F.min("s").alias("lead"), F.max("s").alias("last")).filter("lead <> last").select("token", "lead")
+    shared = prefixes.groupBy("token").agg(F.min("s").alias("lead"), F.max("s").alias("last")).filter("lead <> last").select("token")
     shared = ws.save(shared, "shared")
     postings = ws.save(prefixes.join(shared, "token").distinct(), "postings")
     classes = ws.save(known.filter("size > 0").groupBy("s").agg(F.max("size").alias("size"), F.min(F.struct("id", "th")).alias("at")), "classes")
+    least = lambda size: F.least(F.lit(SHARED), F.ceil(percent * size / 100))
+
+    able = postings.groupBy("s").agg(F.count("*").alias("held")).join(classes.select("s", "size"), "s").filter(F.col("held") >= least(F.col("size"))).select("s", "size")
+    able = ws.save(able, "able")
+    postings = postings.join(able, "s")
+    level = postings.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").select("token", F.floor(F.log2("df")).cast("int").alias("level"))
+    postings = ws.save(postings.join(level, "token"), "levelled")
+
+    top = postings.groupBy("s", "size").agg(F.min(F.struct((-F.col("level")).alias("l"), "token")).alias("top"))
+    group = F.xxhash64("top.token", F.floor(F.log2("size")))
+    member = ws.save(top.select("s", "size", group.alias("g")), "grouped")
+    crowd = member.groupBy("g").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / TOKENS)).alias("blocks"))
+    member = ws.save(member.join(crowd, "g").select("s", "size", F.xxhash64("g", F.pmod(F.xxhash64("s"), F.col("blocks"))).alias("u")), "member")
+    placed = ws.save(postings.select("token", "s").join(member, "s"), "placed")
+    blocks = ws.save(placed.groupBy("token", "u").agg(F.count("*").alias("n"), F.min("size").alias("lo"), F.max("size").alias("hi")), "blocks")
 
-    involved = postings.select("s").distinct()
-    wanted = ws.save(classes.join(involved, "s", "left_semi").select("s", "at.id", "at.th"), "wanted")
-    texts = docs.select("id", "th", "text").join(wanted, ["id", "th"]).select("s", "text").dropDuplicates(["s"])
+    wanted = classes.join(member.select("s"), "s").select("s", "at.id", "at.th")
+    texts = docs.select("id", "th", "text").join(wanted, ["id", "th"]).dropDuplicates(["id", "th"]).select("s", "text")
     texts = ws.save(_with_counts(texts, n), "texts")
-    sizes = classes.select("s", "size")
-
-    def of_size(pairs: DataFrame) -> DataFrame:
-        """Pairs (q, g) of classes whose sizes allow the threshold."""
-        a, b = sizes.select(F.col("s").alias("q"), F.col("size").alias("x")), sizes.select(F.col("s").alias("g"), F.col("size").alias("y"))
-        both = pairs.join(a, "q").join(b, "g")
-        return both.filter(100 * F.least("x", "y") >= percent * F.greatest("x", "y")).drop("x", "y")
-
-    stars = ws.save(postings.filter("s <> lead").select(F.col("s").alias("q"), F.col("lead").alias("g")).distinct(), "stars")
-    one = F.lit(0).cast("long").alias("h")
-    near = ws.save(of_size(stars).select("q", "g", one), "near")
-    leads = near.select("g", "h").distinct().withColumn("s", F.col("g"))
-    links = _open_groups(ws, near, leads, texts, n, percent)
+    matrix = ws.save(_matrix(member.select("u", "s"), texts.select("s", "counts")), "matrix")
+
+    def shared_enough(rows: DataFrame) -> DataFrame:
+        """rows: token, a, b and both blocks' sizes lo, hi, lo_b, hi_b there -> pairs (a, b, lo) that may link."""
+        pairs = rows.groupBy("a", "b").agg(F.count("*").alias("held"), *[f(c).alias(c) for f, c in ((F.min, "lo"), (F.min, "lo_b"), (F.max, "hi"), (F.max, "hi_b"))])
+        pairs = pairs.filter(100 * F.least("hi", "hi_b") >= percent * F.greatest("lo", "lo_b"))
+        # a link's greater set has at least the greater of the two least sizes
+        return pairs.filter(F.col("held") >= least(F.least("lo", "lo_b"))).select("a", "b", F.greatest("lo", "lo_b").alias("lo"))
+
+    def able_members(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+        """(a, b, side, s, size): members of pairs that share enough prefix tokens with the other block; rows: (token, a, b)."""
+        tokens = ws.save(rows.select("token", "a", "b").join(pairs, ["a", "b"]), "tokens")
+        one, two = (tokens.select("token", "a", "b", F.lit(i).alias("side"), F.col(u).alias("u")) for i, u in enumerate("ab"))
+        there = placed.join(one.unionByName(two), ["token", "u"]).groupBy("a", "b", "side", "s", "size").agg(F.count("*").alias("held"))
+        return there.filter(F.col("held") >= least(F.col("size"))).drop("held")
+
+    twice = placed.join(blocks.filter("n > 1").select("token", "u"), ["token", "u"]).groupBy("u", "s", "size").agg(F.count("*").alias("held"))
+    own = twice.filter(F.col("held") >= least(F.col("size"))).select(F.col("u").alias("a"), F.col("u").alias("b"), F.lit(0).alias("side"), "s", "size")
+    lead = blocks.groupBy("token").agg(F.min_by(F.struct("u", "lo", "hi"), "u").alias("x"), F.count("*").alias("k")).filter("k > 1").select("token", F.col("x.u").alias("b"), F.col("x.lo").alias("lo_b"), F.col("x.hi").alias("hi_b"))
+    stars = blocks.withColumnRenamed("u", "a").join(lead, "token").filter("a <> b")
+    first = ws.save(_qualified(shared_enough(stars), matrix, percent), "first")
+    # a star has only the tokens whose least block is b; its members share others too
+    common = blocks.select("token", F.col("u").alias("a")).join(first, "a").join(blocks.select("token", F.col("u").alias("b")), ["token", "b"])
+    links = _open_blocks(ws, own.unionByName(able_members(first, common)), matrix, texts, n, percent)
     joined = components(links, ws)
 
-    member = sizes.join(involved, "s", "left_semi").join(joined.select(F.col("node").alias("s"), "component"), "s", "left")
-    member = member.withColumn("c", F.coalesce("component", "s")).select("s", "c", "size")
-    crowd = ws.save(member.groupBy("c").agg(F.count("*").alias("m"), F.ceil(F.count("*") / BLOCK).alias("blocks")), "crowd")
-    member = ws.save(member.join(crowd, "c").select("s", F.col("c").alias("g"), F.pmod(F.xxhash64("s"), F.col("blocks")).alias("h"), "m", "size"), "member")
-    placed = ws.save(postings.select("token", "s").join(member, "s"), "placed")
-    mixed = ws.save(placed.groupBy("token").agg(F.min("g").alias("x"), F.max("g").alias("y")).filter("x <> y").select("token"), "mixed")
-    open_ = ws.save(placed.join(mixed, "token"), "open")
-    groups = open_.groupBy("token", "g", "h").agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.max("m").alias("m"))
-    groups = ws.save(groups, "groups")
-    asks = open_.select("token", F.col("s").alias("q"), F.col("g").alias("own"), F.col("size").alias("x"))
-    pairs = asks.join(groups, "token").filter("own > g").filter(F.expr(f"100 * x >= {percent} * lo AND 100 * hi >= {percent} * x"))
-    pairs = pairs.groupBy("q", "g", "h").agg(F.count("*").alias("shared"), F.max("x").alias("x"), F.min("lo").alias("lo"), F.max("m").alias("m"))
-    overlap = F.ceil(F.lit(percent) * F.least("x", "lo") / 100)
-    pairs = ws.save(pairs.filter(F.col("shared") >= F.least(F.lit(SHARED), overlap)).select("q", "g", "h", "m"), "pairs")
-    # two lone classes that met in step 3 are settled; a lone class is its own group name
-    met = near.select("q", F.col("g").alias("own_g")).union(near.select(F.col("g").alias("q"), F.col("q").alias("own_g")))
-    settled = met.withColumnRenamed("own_g", "g").distinct()
-    lone = pairs.filter("m = 1").select("q", "g", "h").join(settled, ["q", "g"], "left_anti")
-    asked = ws.save(pairs.filter("m > 1").select("q", "g", "h").union(lone.select("q", "g", "h")), "asked")
-    more = _open_groups(ws, asked, member.select("g", "h", "s"), texts, n, percent)
-    final = components(links.union(more), ws)
+    labelled = placed.join(joined.select(F.col("node").alias("s"), "component"), "s", "left").withColumn("c", F.coalesce("component", "s"))
+    spread = ws.save(labelled.groupBy("token", "u").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("size").alias("lo"), F.max("size").alias("hi")), "spread")
+    mixed = ws.save(spread.groupBy("token").agg(F.min("c0").alias("x"), F.max("c1").alias("y"), F.count("*").alias("k")).filter("x <> y AND k > 1").select("token"), "mixed")
+    open_ = ws.save(spread.join(mixed, "token"), "open")
+    one, two = open_.withColumnRenamed("u", "a"), open_.select("token", F.col("u").alias("b"), F.col("c0").alias("d0"), F.col("c1").alias("d1"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
+    apart = F.expr("a > b AND NOT (c0 = c1 AND d0 = d1 AND c0 = d0)") & F.expr(f"100 * least(hi, hi_b) >= {percent} * greatest(lo, lo_b)")
+    meetings = one.join(two, "token").filter(apart)
+    more = ws.save(shared_enough(meetings), "more")
+    met = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    more = ws.save(_qualified(more.join(met, ["a", "b"], "left_anti"), matrix, percent), "rest")
+    final = components(links.unionByName(_open_blocks(ws, able_members(more, meetings), matrix, texts, n, percent)), ws)
 
     graph = known.filter("size > 0").join(final.select(F.col("node").alias("s"), "component"), "s", "left").withColumn("component", F.coalesce("component", "s"))
     ids = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("string"), F.lit("\u0000")).alias("id"), F.xxhash64(F.col(text)).alias("th"))

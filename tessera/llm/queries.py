@@ -54,10 +54,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .suffix_dedup import dedup_suffixes
+    from .suffix_dedup import PASSAGE, dedup_suffixes
 
-    found = dedup_suffixes(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    found = dedup_suffixes(read(spark, sf_dir, "documents").select("doc_id", "text"), passage=PASSAGE)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage_bytes")
 
 
 def op7_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,9 +14,13 @@ included.
 4. Marked windows go back to the documents, whose covered bytes are cut.
 
 A gram with more than ``hot`` different contexts (a frequent line with different surroundings)
-is not gathered: its contexts are cut into runs of STEP windows and dealt by a hash of the bytes
-that all windows of a run share; what is still hot then is settled window by window, equal
-windows being pre-aggregated before the shuffle.
+is split by the bytes around it until its parts fit a shard: its contexts are cut into runs of
+STEPS[0] windows, keyed by the bytes that all windows of a run share, those of keys that are still
+too frequent into runs of STEPS[1], and so on down to single windows, where equal runs are one. Each
+cut merges equal runs before they are shuffled, and all of them end in suffix arrays.
+
+``dedup_suffixes`` can count repeats of a smaller size as well (``passage``). Every byte of a
+repeat of ``size`` lies in such repeats, so only they are then searched for ``size``.
 
 Defined results: null text counts as empty; texts shorter than ``size`` lose nothing; rows, even
 equal ones with equal ids, are documents of their own; added columns replace clashing names; an
@@ -32,12 +36,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import Workspace, batches
 from .suffixarray import permuted_common_prefixes, suffix_array
 from .textbytes import RangeHash, Texts, chunks, from_arrow, mix, ranges, release
 
-SIZE, GRAM, STEP, HOT, SHARD = 400, 64, 16, 400, 1_000_000
+SIZE, GRAM, HOT, SHARD, DEAL = 400, 64, 400, 500_000, 32
+STEPS = (16, 4, 1)
+PASSAGE = 256  # bytes of fifty words of four letters and their spaces
 SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 SPANS_DDL = "array<struct<a:int,b:int>>"
 
@@ -63,7 +70,7 @@ def contexts(texts: Texts, size: int = SIZE, gram: int = GRAM) -> tuple[np.ndarr
         return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     hasher = RangeHash(texts.data)
     grams = hasher.windows(gram)
-    bits = np.uint64(max(1, int(n).bit_length()))
+    bits = np.uint64(32)  # always the same, so that equal windows have equal anchors in any batch; Arrow texts are shorter than 2 ** 31
     packed = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
     least = sliding_least(packed, size - gram + 1)
     anchor = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
@@ -128,21 +135,27 @@ def _shard(size: int):
     return work
 
 
-def _by_shards(rows: DataFrame, size: int) -> DataFrame:
-    """rows: a stored table (k1, k2, times, bytes)."""
-    total = rows.agg(F.sum(F.length("bytes"))).first()[0] or 0
-    shards = max(1, math.ceil(total / SHARD))
-    dealt = rows.select("k1", "k2", "times", "bytes", F.pmod(F.xxhash64("k1"), F.lit(shards)).alias("shard"))
-    return dealt.groupBy("shard").applyInArrow(_shard(size), f"k1 long, k2 long, spans {SPANS_DDL}")
+def _by_shards(ws: Workspace, rows: DataFrame, size: int) -> DataFrame:
+    """rows: a stored table (k1, k2, times, bytes). Shards hold about SHARD bytes, and one gram at least.
+
+    Grams are first spread over lots of about DEAL shards each, then laid out in their lot one behind the other.
+    """
+    grams = ws.save(rows.groupBy("k1").agg(F.sum(F.length("bytes")).alias("held")), "sizes")
+    total = grams.agg(F.sum("held")).first()[0] or 0
+    lots = max(1, math.ceil(total / (SHARD * DEAL)))
+    upto = F.sum("held").over(Window.partitionBy("lot").orderBy("k1").rowsBetween(Window.unboundedPreceding, 0))
+    placed = grams.withColumn("lot", F.pmod(F.xxhash64("k1"), F.lit(lots))).withColumn("shard", F.floor((upto - 1) / SHARD))
+    dealt = rows.join(placed.select("k1", "lot", "shard"), "k1")
+    return dealt.groupBy("lot", "shard").applyInArrow(_shard(size), f"k1 long, k2 long, spans {SPANS_DDL}")
 
 
 def _i64(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.int64))
 
 
-def _cut_further(rows: DataFrame, size: int) -> DataFrame:
-    """Contexts of hot grams in runs of STEP windows: (p1, p2, shift, k1, k2, times, bytes)."""
-    names = ["p1", "p2", "shift", "k1", "k2", "times", "bytes"]
+def _cut_further(rows: DataFrame, size: int, most: int) -> DataFrame:
+    """Contexts of hot grams in runs of ``most`` windows: (p1, p2, shift, k1, k2, times, anchor, bytes)."""
+    names = ["p1", "p2", "shift", "k1", "k2", "times", "anchor", "bytes"]
 
     def work(stream):
         for batch in batches(stream):
@@ -153,53 +166,36 @@ def _cut_further(rows: DataFrame, size: int) -> DataFrame:
                 windows = texts.sizes - size + 1
                 row = np.repeat(np.arange(len(texts)), windows)
                 start = ranges(np.zeros(len(texts), np.int64), windows)
-                step = (anchor[row] - start) // STEP
+                step = (anchor[row] - start) // most
                 fresh = np.r_[True, (step[1:] != step[:-1]) | (row[1:] != row[:-1])]
                 at = np.flatnonzero(fresh)
                 count = np.diff(np.append(at, len(row)))
                 row, start, step = row[at], start[at], step[at]
                 base = texts.at[row]
-                core = base + anchor[row] - STEP * step
-                key = mix(hasher(core, core + size - STEP + 1) ^ mix(k1[row].astype(np.uint64) + step.astype(np.uint64)))
+                core = base + anchor[row] - most * step
+                key = mix(hasher(core, core + size - most + 1) ^ mix(k1[row].astype(np.uint64) + step.astype(np.uint64)))
                 lo, hi = base + start, base + start + count + size - 1
-                own = hasher(lo, hi)
+                own = hasher(lo, hi) ^ mix((anchor[row] - start).astype(np.uint64))  # equal bytes can hold the key's part at two places
                 raw = texts.data.tobytes()
                 rows_ = pa.array(row)
-                yield pa.RecordBatch.from_arrays([part.column("k1").take(rows_), part.column("k2").take(rows_), pa.array(start.astype(np.int32)), _i64(key), _i64(own), part.column("times").take(rows_), pa.array([raw[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([part.column("k1").take(rows_), part.column("k2").take(rows_), pa.array(start.astype(np.int32)), _i64(key), _i64(own), part.column("times").take(rows_), pa.array((anchor[row] - start).astype(np.int32)), pa.array([raw[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary())], names=names)
 
-    return rows.mapInArrow(work, "p1 long, p2 long, shift int, k1 long, k2 long, times long, bytes binary")
+    return rows.mapInArrow(work, "p1 long, p2 long, shift int, k1 long, k2 long, times long, anchor int, bytes binary")
 
 
-def _single_windows(rows: DataFrame, size: int) -> DataFrame:
-    """(k1, k2, i, h, times): each window of what is still hot."""
-
-    def work(stream):
-        for batch in batches(stream):
-            for first, last, texts in chunks(from_arrow(batch.column("bytes"))):
-                part = batch.slice(first, last - first)
-                windows = texts.sizes - size + 1
-                row = np.repeat(np.arange(len(texts)), windows)
-                start = ranges(np.zeros(len(texts), np.int64), windows)
-                at = texts.at[row] + start
-                rows_ = pa.array(row)
-                yield pa.RecordBatch.from_arrays([part.column("k1").take(rows_), part.column("k2").take(rows_), pa.array(start.astype(np.int32)), _i64(RangeHash(texts.data)(at, at + size)), part.column("times").take(rows_)], names=["k1", "k2", "i", "h", "times"])
-
-    return rows.mapInArrow(work, "k1 long, k2 long, i int, h long, times long")
-
-
-def _hot_spans(ws: Workspace, rows: DataFrame, size: int, hot: int) -> DataFrame:
+def _hot_spans(ws: Workspace, rows: DataFrame, size: int, hot: int, steps: tuple[int, ...] = STEPS) -> DataFrame:
     """Marked windows of contexts (k1, k2, times, anchor, bytes) of hot grams."""
-    runs = ws.save(_cut_further(rows, size), "runs")
-    units = ws.save(runs.groupBy("k1", "k2").agg(F.sum("times").alias("times"), F.any_value("bytes").alias("bytes")), "units")
+    runs = ws.save(_cut_further(rows, size, steps[0]), "runs")
+    units = ws.save(runs.groupBy("k1", "k2").agg(F.sum("times").alias("times"), F.any_value("anchor").alias("anchor"), F.any_value("bytes").alias("bytes")), "units")
     keys = ws.save(units.groupBy("k1").agg(F.sum("times").alias("total"), F.count("*").alias("different")).filter("total > 1"), "keys")
     held = units.join(keys, "k1")
-    cool = ws.save(held.filter(F.col("different") <= hot).select("k1", "k2", "times", "bytes"), "cool")
-    still = ws.save(held.filter(F.col("different") > hot).select("k1", "k2", "times", "bytes"), "still")
-    singles = ws.save(_single_windows(still, size), "singles")
-    equal = ws.save(singles.groupBy("h").agg(F.sum("times").alias("total")).filter("total > 1").select("h"), "equal")
-    one = F.struct(F.col("i").alias("a"), (F.col("i") + 1).alias("b"))
-    single = singles.join(equal, "h").groupBy("k1", "k2").agg(F.collect_list(one).cast(SPANS_DDL).alias("spans"))
-    marked = ws.save(_by_shards(cool, size).unionByName(single), "marked")
+    cool = held if len(steps) == 1 else held.filter(F.col("different") <= hot)  # single windows of one key are equal
+    marked = _by_shards(ws, ws.save(cool.select("k1", "k2", "times", "bytes"), "cool"), size)
+    if len(steps) > 1:
+        still = ws.save(held.filter(F.col("different") > hot).select("k1", "k2", "times", "anchor", "bytes"), "still")
+        if not still.isEmpty():
+            marked = marked.unionByName(_hot_spans(ws, still, size, hot, steps[1:]))
+    marked = ws.save(marked, "marked")
     back = runs.select("p1", "p2", "shift", "k1", "k2").join(marked, ["k1", "k2"])
     moved = F.transform("spans", lambda s: F.struct((s["a"] + F.col("shift")).alias("a"), (s["b"] + F.col("shift")).alias("b")))
     moved = back.select(F.col("p1").alias("k1"), F.col("p2").alias("k2"), moved.cast(SPANS_DDL).alias("spans"))
@@ -250,7 +246,7 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, hot: int = HOT, workspace:
     # equal rows with equal ids would fetch a context once each
     fetched = ws.save(fetched, "fetched")
     cool = fetched.filter("not hot").select("k1", "k2", "times", "bytes")
-    marked = [_by_shards(cool, size)]
+    marked = [_by_shards(ws, cool, size)]
     warm = fetched.filter("hot")
     if not crowded.isEmpty():
         marked.append(_hot_spans(ws, warm, size, hot))
@@ -262,54 +258,120 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, hot: int = HOT, workspace:
     return spans.groupBy("id", "th").agg(F.flatten(F.collect_list("s")).alias("spans"))
 
 
-def dedup_suffixes(df: DataFrame, size: int = SIZE, hot: int = HOT, doc_id: str = "doc_id", text: str = "text", as_text: bool = False) -> DataFrame:
+def _covered(texts: Texts, counts: np.ndarray, a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """Which bytes lie in a marked window; text i has the next counts[i] of the spans [a, b) of window starts."""
+    base = np.repeat(texts.at[:-1], counts)
+    steps = np.zeros(len(texts.data) + 1, np.int64)
+    np.add.at(steps, base + a, 1)
+    np.add.at(steps, base + b + size - 1, -1)
+    return np.cumsum(steps[:-1]) > 0
+
+
+def _spans_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(spans of each row, where its own begin, all a, all b)."""
+    counts = np.diff(column.offsets.to_numpy())
+    counts = np.where(column.is_valid().to_numpy(zero_copy_only=False), counts, 0)
+    flat = column.flatten()
+    return counts, np.concatenate([[0], np.cumsum(counts)]), flat.field("a").to_numpy().astype(np.int64), flat.field("b").to_numpy().astype(np.int64)
+
+
+def _begins(flags: np.ndarray, texts: Texts) -> np.ndarray:
+    """Where runs of flagged bytes begin; a text's border ends a run."""
+    edge = np.zeros(len(flags) + 1, bool)
+    edge[texts.at] = True
+    return flags & (~np.r_[False, flags[:-1]] | edge[:-1]) if len(flags) else flags
+
+
+def _regions(docs: DataFrame, spans: DataFrame, passage: int, size: int) -> DataFrame:
+    """(id, th, text): runs of repeats of ``passage`` bytes that are at least ``size`` long; id is start:id."""
+
+    def work(stream):
+        for batch in batches(stream):
+            counts, at, a, b = _spans_of(batch.column("spans"))
+            for first, last, texts in chunks(from_arrow(batch.column("text"))):
+                own = slice(at[first], at[last])
+                found = _runs(_covered(texts, counts[first:last], a[own], b[own], passage), texts)
+                rows = [(first + i, texts.at[i], r["a"], r["b"]) for i, runs in enumerate(found) for r in runs if r["b"] - r["a"] >= size]
+                ids = batch.column("id")
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([f"{x}:{ids[i].as_py()}" for i, _, x, _ in rows], pa.string()), batch.column("th").take(pa.array([i for i, *_ in rows], pa.int64())),
+                    pa.array([texts.data[z + x : z + y].tobytes() for _, z, x, y in rows], pa.binary()),
+                ], names=["id", "th", "text"])
+
+    return docs.join(spans, ["id", "th"]).select("id", "th", "text", "spans").mapInArrow(work, "id string, th long, text binary")
+
+
+def _in_regions(ws: Workspace, docs: DataFrame, small: DataFrame, passage: int, size: int, hot: int) -> DataFrame:
+    """What repeated_spans finds for ``size``, by searching only the repeats of ``passage`` bytes."""
+    regions = ws.save(_regions(docs, small, passage, size), "regions")
+    found = repeated_spans(regions, size, hot, ws)
+    found = found.select("th", "spans", F.substring_index("id", ":", 1).cast("int").alias("start"), F.expr("substring(id, instr(id, ':') + 1)").alias("own"))
+    moved = F.transform("spans", lambda s: F.struct((s["a"] + F.col("start")).alias("a"), (s["b"] + F.col("start")).alias("b")))
+    moved = found.select(F.col("own").alias("id"), "th", moved.cast(SPANS_DDL).alias("spans"))
+    return moved.groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
+def dedup_suffixes(df: DataFrame, size: int = SIZE, hot: int = HOT, doc_id: str = "doc_id", text: str = "text", as_text: bool = False, passage: int | None = None) -> DataFrame:
     """Adds kept, n_bytes, n_removed and n_spans; ``text`` stays as it was.
 
     kept is binary; with ``as_text`` a string without the characters that lost some of their
-    bytes, null where ``text`` is null.
+    bytes, null where ``text`` is null. With ``passage``, a size below ``size``, n_passage_bytes
+    counts the bytes that lie in repeats of that size; they stay in ``kept`` unless ``size`` takes them.
     """
     ws = Workspace(df.sparkSession, "suffix")
     id_, th = _identity(doc_id, text)
+    id_ = F.coalesce(id_, F.lit("\u0000"))
     docs = df.select(id_.alias("id"), th.alias("th"), F.col(text).alias("text"))
-    usable = docs.withColumn("id", F.coalesce("id", F.lit("\u0000")))
-    spans = repeated_spans(usable, size, hot, ws)
     new = [T.StructField("kept", T.StringType() if as_text else T.BinaryType()), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans"))]
+    if passage is None:
+        spans, small = repeated_spans(docs, size, hot, ws), None
+    else:
+        if passage > size:
+            raise ValueError("passage is larger than size")
+        small = ws.save(repeated_spans(docs, passage, hot, ws), "passages")
+        spans = _in_regions(ws, docs, small, passage, size, hot)
+        new.append(T.StructField("n_passage_bytes", T.LongType()))
     names = {f.name for f in new}
     kept = [f for f in df.schema.fields if f.name.lower() not in names]
-    keyed = df.select(*[F.col(f"`{f.name}`") for f in kept], F.coalesce(id_, F.lit("\u0000")).alias("__id"), th.alias("__th"))
-    joined = keyed.join(spans.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("spans").alias("__spans")), ["__id", "__th"], "left")
+    taken = {f.name.lower() for f in kept}
+    own_id, own_th, own_spans, own_small = (_unused(n, taken) for n in ("id", "th", "spans", "small"))
+    joined = df.select(*[F.col(f"`{f.name}`") for f in kept], id_.alias(own_id), th.alias(own_th))
+    for found, name in ((spans, own_spans), (small, own_small)):
+        if found is not None:
+            joined = joined.join(found.select(F.col("id").alias(own_id), F.col("th").alias(own_th), F.col("spans").alias(name)), [own_id, own_th], "left")
 
     def cut(stream):
         for batch in batches(stream):
-            column = batch.column("__spans")
-            counts = np.diff(column.offsets.to_numpy())
-            counts = np.where(column.is_valid().to_numpy(zero_copy_only=False), counts, 0)
-            flat = column.flatten()
-            a, b = flat.field("a").to_numpy().astype(np.int64), flat.field("b").to_numpy().astype(np.int64)
-            at = np.concatenate([[0], np.cumsum(counts)])
-            out, sizes, removed, n_spans = [], [], [], []
+            counts, at, a, b = _spans_of(batch.column(own_spans))
+            if passage is not None:
+                counts2, at2, a2, b2 = _spans_of(batch.column(own_small))
+            out, sizes, removed, n_spans, passages = [], [], [], [], []
             for first, last, texts in chunks(from_arrow(batch.column(text))):
                 own = slice(at[first], at[last])
-                base = np.repeat(texts.at[:-1], counts[first:last])
-                steps = np.zeros(len(texts.data) + 1, np.int64)
-                np.add.at(steps, base + a[own], 1)
-                np.add.at(steps, base + b[own] + size - 1, -1)
-                gone = np.cumsum(steps[:-1]) > 0
+                gone = _covered(texts, counts[first:last], a[own], b[own], size)
                 left = texts.data[~gone].tobytes()
                 ends = np.concatenate([[0], np.cumsum(~gone)])[texts.at]
                 out += [left[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                 sizes.append(texts.sizes)
                 removed.append(texts.sizes - np.diff(ends))
-                edge = np.zeros(len(gone) + 1, bool)
-                edge[texts.at] = True
-                begins = gone & (~np.r_[False, gone[:-1]] | edge[:-1]) if len(gone) else gone
-                n_spans.append(np.diff(np.concatenate([[0], np.cumsum(begins)])[texts.at]))
+                n_spans.append(np.diff(np.concatenate([[0], np.cumsum(_begins(gone, texts))])[texts.at]))
+                if passage is not None:
+                    own = slice(at2[first], at2[last])
+                    held = _covered(texts, counts2[first:last], a2[own], b2[own], passage)
+                    passages.append(np.diff(np.concatenate([[0], np.cumsum(held)])[texts.at]))
             if as_text:
                 valid = batch.column(text).is_valid().to_pylist()
                 left_over = pa.array([x.decode("utf-8", "ignore") if v else None for x, v in zip(out, valid, strict=True)], pa.string())
             else:
                 left_over = pa.array(out, pa.binary())
-            longs = [_i64(np.concatenate(x)) for x in (sizes, removed, n_spans)]
+            longs = [_i64(np.concatenate(x)) for x in (sizes, removed, n_spans, *([passages] if passage is not None else []))]
             yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + [left_over] + longs, names=[f.name for f in kept + new])
 
     return joined.mapInArrow(cut, T.StructType(kept + new))
+
+
+def _unused(name: str, taken: set[str]) -> str:
+    """``name`` with as many underscores before it as no column in ``taken`` has."""
+    while name in taken:
+        name = "_" + name
+    return name

@@ -5,7 +5,7 @@ delimit substrings, which are sorted and named; where names repeat, the string o
 recursively. From the sorted LMS suffixes the array is induced in linear time, first the L, then
 the S suffixes, one byte bucket after the other, each bucket as a few array operations. In the
 recursion, whose alphabets are large, suffixes are placed by their symbols up to the next LMS
-position and that position's rank instead of by buckets.
+position and that position's rank, with counting sorts, so that it is linear as well.
 """
 
 from __future__ import annotations
@@ -13,6 +13,19 @@ from __future__ import annotations
 import numpy as np
 
 
+def _by_keys(*keys: np.ndarray) -> np.ndarray:
+    """The order by the last key, then the one before it, and so on, in linear time: a counting sort of each 16 bits.
+
+    Keys are not negative.
+    """
+    order = np.arange(len(keys[0]))
+    for key in keys:
+        for shift in range(0, int(key.max(initial=0)).bit_length(), 16):
+            digit = ((key >> shift) & 0xFFFF).astype(np.uint16)
+            order = order[np.argsort(digit[order], kind="stable")]  # NumPy sorts 16-bit integers by radix
+    return order
+
+
 def _types(t: np.ndarray) -> np.ndarray:
     """True for S suffixes; the last symbol is a unique smallest end."""
     n = len(t)
@@ -37,7 +50,7 @@ def _names(symbols: np.ndarray, bits: int, starts: np.ndarray, sizes: np.ndarray
             key <<= bits
             inside = done + j < sizes[live]
             key |= np.where(inside, symbols[np.minimum(at, len(symbols) - 1)], 0)
-        order = np.lexsort((key, rank[live]))
+        order = _by_keys(key, rank[live])
         ids = live[order]
         k, r = key[order], rank[ids]
         fresh = np.r_[True, (k[1:] != k[:-1]) | (r[1:] != r[:-1])]
@@ -75,7 +88,7 @@ def _ranks(t: np.ndarray, alphabet: int) -> np.ndarray:
     sizes = lms[ahead] - np.arange(n) + 1
     symbols = 2 * t.astype(np.int64) + s
     names = _names(symbols, int(2 * alphabet).bit_length(), np.arange(n), sizes)
-    order = np.lexsort((rank[ahead], names))
+    order = _by_keys(rank[ahead], names)
     out = np.empty(n, np.int64)
     out[order] = np.arange(n)
     return out

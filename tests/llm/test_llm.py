@@ -284,22 +284,30 @@ def test_suffix_arrays():
             assert plcp[b] == k
 
 
-@pytest.mark.parametrize("hot", [400, 2])
-def test_suffix_dedup(docs, corpus, hot):
-    size = 400
+@pytest.mark.parametrize(("hot", "passage"), [(400, None), (2, 256), (400, 256)])
+def test_suffix_dedup(docs, corpus, hot, passage):
+    """Also with contexts of hot grams cut down to single windows, and with the smaller size first."""
     bodies = [(i, (t or "").encode()) for i, t in corpus]
-    seen = Counter(b[k : k + size] for _, b in bodies for k in range(len(b) - size + 1))
+
+    def covered(size):
+        seen = Counter(b[k : k + size] for _, b in bodies for k in range(len(b) - size + 1))
+        for _, b in bodies:
+            gone = np.zeros(len(b), bool)
+            for k in range(len(b) - size + 1):
+                if seen[b[k : k + size]] > 1:
+                    gone[k : k + size] = True
+            yield gone
+
     expected = Counter()
-    for i, b in bodies:
-        gone = np.zeros(len(b), bool)
-        for k in range(len(b) - size + 1):
-            if seen[b[k : k + size]] > 1:
-                gone[k : k + size] = True
+    for (i, b), gone, less in zip(bodies, covered(400), covered(passage or 400), strict=True):
         kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
         runs = int((gone & ~np.r_[False, gone[:-1]]).sum()) if len(b) else 0
-        expected[(i, len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest())] += 1
-    out = suffix_dedup.dedup_suffixes(docs.withColumn("n_spans", F.lit("clash")), size, hot).withColumn("sha", F.sha2("kept", 256))
-    assert Counter(tuple(r) for r in out.select("doc_id", "n_bytes", "n_removed", "n_spans", "sha").collect()) == expected
+        expected[(i, len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), *([int(less.sum())] if passage else []))] += 1
+    clashing = docs.withColumns({"n_spans": F.lit("clash"), "id": F.lit(1), "spans": F.lit(2), "_id": F.lit(3), "th": F.lit(4)})
+    out = suffix_dedup.dedup_suffixes(clashing, 400, hot, passage=passage).withColumn("sha", F.sha2("kept", 256))
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "sha"] + ["n_passage_bytes"] * bool(passage)
+    assert Counter(tuple(r) for r in out.select(*columns).collect()) == expected
+    assert out.select("id", "spans", "_id", "th").distinct().collect() == [(1, 2, 3, 4)]
 
 
 def test_suffix_dedup_empty(spark):
@@ -309,11 +317,12 @@ def test_suffix_dedup_empty(spark):
 # 7
 
 
-def test_jaccard(docs, corpus):
+def brute_components(rows, n=4, percent=85):
+    """(id, size of the set, least id of the component) of each row, by comparing all pairs."""
     sets = []
-    for _, t in corpus:
+    for _, t in rows:
         w = words_of(t, True)
-        sets.append({tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set())
+        sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set())
     parent = list(range(len(sets)))
 
     def find(x):
@@ -324,14 +333,43 @@ def test_jaccard(docs, corpus):
     for a in range(len(sets)):
         for b in range(a):
             both = len(sets[a] & sets[b])
-            if sets[a] and sets[b] and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            if sets[a] and sets[b] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 parent[find(a)] = find(b)
     least = {}
-    for k, (i, _) in enumerate(corpus):
+    for k, (i, _) in enumerate(rows):
         r = find(k)
         least[r] = i if least.get(r) is None else least[r] if i is None else min(i, least[r])
-    expected = Counter((i, len(sets[k]), least[find(k)]) for k, (i, _) in enumerate(corpus))
-    assert Counter(tuple(r) for r in jaccard.jaccard_components(docs).collect()) == expected
+    return Counter((i, len(sets[k]), least[find(k)]) for k, (i, _) in enumerate(rows))
+
+
+def test_jaccard(docs, corpus):
+    assert Counter(tuple(r) for r in jaccard.jaccard_components(docs).collect()) == brute_components(corpus)
+
+
+def test_jaccard_near_misses(spark, monkeypatch):
+    """Similar texts, most of which do not link: members of meetings grow with N * N / BLOCK, not with N * N, and no link is lost."""
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "COLUMNS", 64)
+    met, keep = [], Workspace.save
+
+    def save(self, df, name="t"):
+        out = keep(self, df, name)
+        if name == "present":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(Workspace, "save", save)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(160):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3])):
+            w[rng.randrange(120)] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(w)))
+    found = Counter(tuple(r) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert found == brute_components(rows)
+    assert len(found) > 20 and sum(met) <= 4 * len(rows) ** 2 / 16
 
 
 def test_jaccard_chain(spark):
