@@ -2,8 +2,9 @@
 
 Random Fourier features approximate a Gaussian kernel over standardised statistics of the whole
 text. Each partition sums its share of the normal equations, the sums are added up in a tree of
-bounded fan-in, ridge weights are solved on the driver (features x features), and isotonic
-regression on binned training scores turns them into probabilities.
+bounded fan-in, and ridge weights are solved on the driver (features x features). The sums are kept
+by FOLDS folds of the rows, so that each fold can be scored by the weights of the others; isotonic
+regression on those binned scores turns them into probabilities.
 
 Defined results: null text counts as empty; null or repeated ids keep their own rows; label rows
 without a text or without a label teach nothing; with no label at all every score is 0.5; other
@@ -27,6 +28,7 @@ from .textbytes import Texts, chunks, from_arrow
 from .textstats import CONTINUES, DIGIT, PUNCTUATION, STOP, UPPER, WIDE, Words, base_counts, distinct, per_text
 
 FEATURES = 18
+FOLDS = 5
 
 
 def statistics(texts: Texts) -> np.ndarray:
@@ -139,30 +141,39 @@ def fit(train: DataFrame, features: int = 256, width: float = 3.0, ridge: float
     d = features + 1
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gram, right, first = np.zeros((d, d)), np.zeros(d), None
+        sums, first = np.zeros((FOLDS, d * d + d)), None
         for frame in frames:
-            z = model.expand(_rows(frame))
-            gram += z.T @ z
-            right += z.T @ frame["label"].to_numpy(float)
+            z, y, fold = model.expand(_rows(frame)), frame["label"].to_numpy(float), frame["fold"].to_numpy()
+            for k in np.unique(fold):
+                own = fold == k
+                sums[k, : d * d] += (z[own].T @ z[own]).ravel()
+                sums[k, d * d :] += z[own].T @ y[own]
             first = frame["slot"].iloc[0] if first is None and len(frame) else first
         if first is not None:
-            yield pd.DataFrame({"slot": [int(first)], "sums": [np.concatenate([gram.ravel(), right]).tobytes()]})
+            yield pd.DataFrame({"slot": [int(first)], "sums": [sums.tobytes()]})
 
-    sums = train.select("stats", "label", F.spark_partition_id().alias("slot")).mapInPandas(partial, "slot long, sums binary")
+    folded = train.select("stats", "label", F.pmod(F.xxhash64("stats"), F.lit(FOLDS)).cast("int").alias("fold"))
+    sums = folded.withColumn("slot", F.spark_partition_id()).mapInPandas(partial, "slot long, sums binary")
     for fan in (64, 4):
-        sums = sums.withColumn("slot", F.pmod("slot", F.lit(fan))).groupBy("slot").applyInPandas(lambda key, f: _added(f, d * d + d).assign(slot=int(key[0])), "slot long, sums binary")
-    total = sum(np.frombuffer(r["sums"]) for r in sums.collect())
-    gram, right = total[: d * d].reshape(d, d), total[d * d :]
-    penalty = np.eye(d) * ridge * row["n"]
-    penalty[-1, -1] = 1e-9
-    fitted = QualityModel(**{**model.__dict__, "weights": np.linalg.solve(gram + penalty, right)})
+        sums = sums.withColumn("slot", F.pmod("slot", F.lit(fan))).groupBy("slot").applyInPandas(lambda key, f: _added(f, FOLDS * (d * d + d)).assign(slot=int(key[0])), "slot long, sums binary")
+    parts = sum(np.frombuffer(r["sums"]) for r in sums.collect()).reshape(FOLDS, -1)  # at most 4 rows
+
+    def solved(total: np.ndarray) -> np.ndarray:
+        penalty = np.eye(d) * ridge * row["n"]
+        penalty[-1, -1] = 1e-9
+        return np.linalg.solve(total[: d * d].reshape(d, d) + penalty, total[d * d :])
+
+    whole = parts.sum(axis=0)
+    fitted = QualityModel(**{**model.__dict__, "weights": solved(whole)})
+    others = np.array([solved(whole - part) for part in parts])
 
     def binned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            bins = np.rint(np.clip(fitted.ridge(_rows(frame)), -1, 2) * 500).astype(int)
+            scores = (model.expand(_rows(frame)) * others[frame["fold"].to_numpy()]).sum(axis=1)
+            bins = np.rint(np.clip(scores, -1, 2) * 500).astype(int)
             yield pd.DataFrame({"bin": bins, "label": frame["label"].to_numpy(float)}).groupby("bin", as_index=False).agg(positive=("label", "sum"), n=("label", "size"))
 
-    bins = train.select("stats", "label").mapInPandas(binned, "bin long, positive double, n long").groupBy("bin").agg(F.sum("positive").alias("positive"), F.sum("n").alias("n")).toPandas()
+    bins = folded.mapInPandas(binned, "bin long, positive double, n long").groupBy("bin").agg(F.sum("positive").alias("positive"), F.sum("n").alias("n")).toPandas()
     bins = bins.sort_values("bin")  # at most 1,501 rows
     return QualityModel(**{**fitted.__dict__, "knots": isotonic(bins["bin"].to_numpy() / 500, bins["positive"].to_numpy(), bins["n"].to_numpy())})
 

@@ -33,9 +33,9 @@ class RepetitionRules:
     window: int = 8  # words in a repeat that counts
     min_words: int = 20
     max_repeat_percent: int = 30  # base rule: words in repeated windows
-    max_covered: float = 0.30  # of the characters of words
-    max_longest: float = 0.30  # longest repeat, of the words
-    longest_free: int = 64  # a repeat of so many words never fails by length alone
+    max_covered: float = 0.25  # of the characters of words; long repeated words fail where the base rule counts few
+    max_longest: float = 0.15  # longest repeat, of the words: half of what the base rule grants all repeats together
+    longest_free: int = 20  # a repeat of so many words never fails by length alone
 
 
 def suffix_neighbours(tokens: np.ndarray, doc: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

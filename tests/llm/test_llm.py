@@ -213,7 +213,33 @@ def test_repetition(docs, corpus):
             if r.n_words == expected[0] or len(found[doc_id]) == 1:
                 assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == expected
                 assert r.longest_repeat == longest
-                assert not (r.kept and r.base_failed)
+                chars = sum(len(w[j]) for j in covered)
+                assert r.covered_chars == chars
+                assert r.kept == (not failed and chars <= 0.25 * expected[1] and longest <= max(20, 0.15 * len(w)))
+
+
+def test_repetition_beyond_the_base_rule(spark):
+    """The covered share of characters and the longest repeat reject texts that the base rule lets pass."""
+    rng = random.Random(6)
+    line = " ".join(f"extraordinarily{rng.randint(0, 99)}" for _ in range(8))
+    short = " ".join(f"w{i}" for i in range(60))
+    long = " ".join(f"v{i}" for i in range(200))
+    once = " ".join(f"u{i}" for i in range(30))
+    rows = [(1, f"{line} {short} {line}"), (2, f"{once} {long} {once}"), (3, long)]
+    found = {r.doc_id: r for r in repetition.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not found[1].base_failed and found[1].covered_chars > 0.25 * found[1].word_chars and not found[1].kept
+    assert not found[2].base_failed and found[2].longest_repeat == 30 and found[2].kept
+    assert found[3].kept and found[3].covered_chars == 0
+
+
+def test_repetition_longest(spark):
+    rng = random.Random(7)
+    passage = " ".join(f"p{rng.randint(0, 10**6)}" for _ in range(40))
+    body = " ".join(f"b{i}" for i in range(200))
+    r = repetition.judge(spark.createDataFrame([(1, f"{passage} {body} {passage}")], "doc_id long, text string")).first()
+    assert r.n_repeat_words == 80 and r.longest_repeat == 40
+    assert r.base_failed == (100 * 80 > 30 * 280) and not r.base_failed
+    assert not r.kept or r.longest_repeat <= 0.15 * r.n_words
 
 
 # 4
@@ -512,6 +538,31 @@ def test_quality(spark):
     assert quality.classify(docs_.limit(0), spark.createDataFrame(labels, "doc_id long, quality int")).count() == 0
 
 
+def test_quality_weights(spark):
+    """The weights are those of one dense ridge regression over all rows; the knots come from rows scored by the other folds' weights."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, quality.FEATURES))
+    y = (x[:, 0] + 0.5 * x[:, 1] ** 2 + rng.normal(0, 0.5, 300) > 0.4).astype(float)
+    train = spark.createDataFrame([([float(a) for a in v], float(b)) for v, b in zip(x, y, strict=True)], "stats array<double>, label double").repartition(3)
+    model = quality.fit(train, features=24, ridge=1e-3)
+    z = model.expand(x)
+
+    def dense(rows):
+        penalty = np.eye(25) * 1e-3 * 300
+        penalty[-1, -1] = 1e-9
+        return np.linalg.solve(z[rows].T @ z[rows] + penalty, z[rows].T @ y[rows])
+
+    assert np.allclose(model.weights, dense(np.arange(300)), atol=1e-8)
+    fold = np.array([r[1] for r in sorted(train.select("stats", F.pmod(F.xxhash64("stats"), F.lit(quality.FOLDS)).alias("f")).collect(), key=lambda r: list(r[0]))])
+    order = sorted(range(300), key=lambda i: list(x[i]))
+    by_row = dict(zip(order, fold, strict=True))
+    scores = np.array([z[i] @ dense(np.array([j for j in range(300) if by_row[j] != by_row[i]])) for i in range(300)])
+    bins = np.rint(np.clip(scores, -1, 2) * 500).astype(int)
+    at, inverse = np.unique(bins, return_inverse=True)
+    knots = quality.isotonic(at / 500, np.bincount(inverse, y), np.bincount(inverse).astype(float))
+    assert np.allclose(model.knots[0], knots[0]) and np.allclose(model.knots[1], knots[1])
+
+
 def test_isotonic():
     x, rate = quality.isotonic(np.arange(5.0), np.array([0.0, 3, 1, 4, 5]), np.array([5.0, 5, 5, 5, 5]))
     assert (np.diff(rate) >= 0).all() and rate[0] == 0 and rate[-1] == 1
