@@ -4,7 +4,8 @@
 2. rules: texts whose repetition is too large are rejected.
 3. near duplicates: of each component of similar documents (Jaccard similarity of five-word runs of
    0.80 or more) the smallest doc_id stays; of its different texts the one with the least hash.
-4. repeated substrings of 400 bytes are cut out of the texts.
+4. repeated substrings of 256 bytes (fifty words of four letters and their spaces) are cut out of
+   the texts.
 5. packing into sequences of 2,048 tokens.
 
 Stages 1 to 4 return the columns of documents; stage 4 replaces text and n_chars (a character
@@ -24,7 +25,7 @@ from tessera.llm.jaccard import jaccard_components
 from tessera.llm.packing import pack_documents
 from tessera.llm.quality import classify
 from tessera.llm.repetition import judge
-from tessera.llm.suffix_dedup import dedup_suffixes
+from tessera.llm.suffix_dedup import PASSAGE, dedup_suffixes
 
 THRESHOLD = 0.3
 HASH, OWN = "_text_hash", "_own_row"
@@ -55,7 +56,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without what repeats."""
-    cut = dedup_suffixes(docs, as_text=True)
+    cut = dedup_suffixes(docs, PASSAGE, as_text=True)
     changed = F.col("n_removed") > 0
     length = F.length("kept").cast(docs.schema["n_chars"].dataType)
     cut = cut.withColumns({"text": F.when(changed, F.col("kept")).otherwise(F.col("text")), "n_chars": F.when(changed, length).otherwise(F.col("n_chars"))})
