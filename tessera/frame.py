@@ -397,10 +397,25 @@ class RoleFrame:
         key = [_quoted(self.key)] if self.key else []
         return RoleFrame(self.df.select(*key, *made), None, self.key)
 
-    def apply(self, function: Callable, kind: str = "double", axis: int = 0, name: str = "result", role: Role | None = None) -> RoleFrame:
-        """axis 0: a Series function for each column; axis 1: a function of the row's DataFrame chunk, one value a row."""
+    def apply(self, function: Callable, kind: str = "double", axis: int = 0, name: str = "result", role: Role | None = None, most: int = 1_000_000) -> RoleFrame:
+        """axis 0: a Series function of each whole column; axis 1: a function of a row, one value a row.
+
+        A function of a whole column needs it in one task, in key order, so the frame may have
+        ``most`` rows at most; ``map`` and ``agg`` have no such limit.
+        """
         if axis == 0:
-            return self._each(lambda a, _: F.pandas_udf(function, kind)(a), role=role)
+            key, data = self._order(), self._data()
+            if (rows := self.df.count()) > most:
+                raise errors.InvalidArgumentError(f"a function of a whole column takes {most} rows at most, there are {rows}: use map or agg, or raise most")
+            fields = T.StructType([self.df.schema[key], *[T.StructField(c, T._parse_datatype_string(kind)) for c in data]])
+
+            def whole(rows: pd.DataFrame) -> pd.DataFrame:
+                rows = rows.sort_values(key, kind="stable")
+                return pd.DataFrame({key: rows[key]} | {c: function(rows[c]) for c in data})
+
+            made = self.df.groupBy(F.lit(0).alias("__all")).applyInPandas(whole, fields)
+            found = python_type(T._parse_datatype_string(kind))
+            return self.new(made, self.roles | {c: (role or self.roles[c]).astype(found) for c in data})
         data = self._data()
 
         @F.pandas_udf(kind)

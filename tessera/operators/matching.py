@@ -4,15 +4,15 @@ Units are treated (group 1) or control (group 0). ``whiten`` maps features to a
 squared Euclidean distance is Mahalanobis distance; ``nearest`` finds the k nearest units of the
 other group; ``effects`` turns matches into ATT, ATC and ATE with standard errors.
 
-Exact search meets blocks of queries with blocks of candidates: each meeting is one task's matrix
-product that keeps k candidates, and the survivors are merged by query. Approximate search trains
-k-means cells on a sample of bounded size and meets queries only with their nearest cells; cells
-above BLOCK rows are met block by block as well. Ties go to the smaller id.
+Exact search cuts the candidates into the cells of a k-d tree, whose splits come from a bounded
+sample. A query meets its own cell first; the distance found there bounds the search, so it meets
+only those other cells whose bounding box is no farther. Cells above BLOCK rows, and crowds of
+queries of one cell, meet part by part. Approximate search trains k-means cells on a sample of
+bounded size and meets queries only with their nearest cells. Ties go to the smaller id.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -22,12 +22,13 @@ from pyspark.sql import functions as F
 
 from .. import errors
 from ..functions import special
+from ..storage import Workspace
 from .stats import column
 
 BLOCK = 8192  # rows in a block; a meeting holds BLOCK x CHUNK distances at a time
 CHUNK = 512
-CELL_SAMPLE = 200_000
-EXACT_LIMIT = 200_000
+CELL_SAMPLE = 200_000  # rows that k-means cells are trained on
+CELL, MOST_CELLS, TREE_SAMPLE = 1024, 4096, 50_000  # candidates to a cell of the tree, cells at most, rows that place its splits
 
 
 def whitening(df: DataFrame, group: str, features: Sequence[str], weights: Sequence[float] | None = None) -> np.ndarray:
@@ -72,6 +73,15 @@ def _meet(k: int):
         for a in range(0, len(queries), CHUNK):
             part = queries[a : a + CHUNK]
             rough = norms[None, :] - 2 * part @ base.T
+            if keep == 1:  # all that rounding can confuse with the least, then exact distances decide, ties by id
+                least = rough.min(axis=1, keepdims=True)
+                slack = 1e-9 * (np.abs(least) + (part * part).sum(axis=1, keepdims=True) + 1e-300)
+                row, at = np.nonzero(rough <= least + slack)
+                d2 = ((base[at] - part[row]) ** 2).sum(axis=1)
+                order = np.lexsort((at, d2, row))
+                first = order[np.r_[True, np.diff(row[order]) > 0]]
+                out.append(pd.DataFrame({"query": query_ids[a : a + CHUNK], "match": base_ids[at[first]], "d2": d2[first]}))
+                continue
             # a few more than k by the fast formula, then exact distances decide, ties by id
             wide = min(len(base), keep + 8)
             near = np.argpartition(rough, wide - 1, axis=1)[:, :wide]
@@ -86,7 +96,10 @@ def _meet(k: int):
 
 
 def nearest(queries: DataFrame, base: DataFrame, key: str, features: Sequence[str], k: int = 1, mode: str = "auto", cells: int = 1000, probes: int = 8) -> DataFrame:
-    """query, match, d2, rank: the k nearest rows of ``base`` for each row of ``queries``; null features never match."""
+    """query, match, d2, rank: the k nearest rows of ``base`` for each row of ``queries``; null features never match.
+
+    ``auto`` is exact at any size; ``cells`` is approximate.
+    """
     if mode not in ("auto", "exact", "cells"):
         raise errors.InvalidArgumentError(f"mode {mode!r}")
     x = F.array(*[column(f).cast("double") for f in features])
@@ -95,22 +108,119 @@ def nearest(queries: DataFrame, base: DataFrame, key: str, features: Sequence[st
     size = b.count()
     if not size:
         raise errors.PairsNotFoundError("there is nothing to match with")
-    if mode == "auto":
-        mode = "cells" if size > EXACT_LIMIT else "exact"
-    if mode == "exact":
-        blocks_b, blocks_q = math.ceil(size / BLOCK), max(1, math.ceil(q.count() / BLOCK))
-        left = q.withColumn("q", F.pmod(F.xxhash64("id"), F.lit(blocks_q))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks_b - 1))))
-        right = b.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks_b)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks_q - 1).cast("long"))))
-        keys = ["q", "b"]
+    if mode == "cells":
+        left, right = _by_cells(q, b, size, max(2, min(cells, size // 100)), probes)
+        met = _met(left, right, k)
     else:
-        left, right, keys = _by_cells(q, b, size, max(2, min(cells, size // 100)), probes)
-    rows = left.withColumn("side", F.lit(0)).select(*keys, "side", "id", "x").unionByName(right.withColumn("side", F.lit(1)).select(*keys, "side", "id", "x"))
-    met = rows.groupBy(*keys).applyInPandas(_meet(k), "query long, match long, d2 double")
+        met = _by_tree(q, b, size, k)
     best = F.slice(F.array_sort(F.collect_list(F.struct("d2", "match"))), 1, k)  # at most k from each meeting
     return met.groupBy("query").agg(best.alias("m")).select("query", F.posexplode("m")).select("query", F.col("col.match").alias("match"), F.col("col.d2").alias("d2"), (F.col("pos") + 1).alias("rank"))
 
 
-def _by_cells(q: DataFrame, b: DataFrame, size: int, cells: int, probes: int) -> tuple[DataFrame, DataFrame, list[str]]:
+def _met(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """query, match, d2 of the k nearest in each meeting; left: queries, right: candidates, both (cell, id, x)."""
+    many = lambda df, n: df.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias(n))
+    counts = F.broadcast(many(right, "nb").join(many(left, "nq"), "cell"))  # one row a cell
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    right = right.join(counts, "cell").withColumn("b", part("nb")).withColumn("q", spread("nq"))
+    left = left.join(counts, "cell").withColumn("q", part("nq")).withColumn("b", spread("nb"))
+    keys = ["cell", "q", "b"]
+    rows = left.withColumn("side", F.lit(0)).select(*keys, "side", "id", "x").unionByName(right.withColumn("side", F.lit(1)).select(*keys, "side", "id", "x"))
+    return rows.groupBy(*keys).applyInPandas(_meet(k), "query long, match long, d2 double")
+
+
+def _tree(points: np.ndarray, cells: int) -> list[tuple[int, float, int, int]]:
+    """Splits (dimension, value, left, right) of a k-d tree, the root first; a negative child -c - 1 is cell c."""
+    nodes: list[list] = []
+    leaves = 0
+
+    def grow(rows: np.ndarray, share: int) -> int:
+        nonlocal leaves
+        span = points[rows].max(axis=0) - points[rows].min(axis=0) if len(rows) else np.zeros(1)
+        wide = int(span.argmax())
+        value = float(np.median(points[rows, wide])) if len(rows) else 0.0
+        left = points[rows, wide] <= value if len(rows) else np.zeros(0, bool)
+        if share < 2 or len(rows) < 4 or not span[wide] or left.all():
+            leaves += 1
+            return -leaves
+        at = len(nodes)
+        nodes.append([wide, value, 0, 0])
+        nodes[at][2] = grow(rows[left], share // 2)
+        nodes[at][3] = grow(rows[~left], share - share // 2)
+        return at
+
+    grow(np.arange(len(points)), cells)
+    return [tuple(n) for n in nodes]
+
+
+def _cell_of(points: np.ndarray, tree: list[tuple[int, float, int, int]]) -> np.ndarray:
+    out = np.zeros(len(points), np.int64)
+    stack = [(0, np.arange(len(points)))] if tree else []
+    while stack:
+        node, rows = stack.pop()
+        wide, value, left, right = tree[node]
+        low = points[rows, wide] <= value
+        for child, own in ((left, rows[low]), (right, rows[~low])):
+            if child < 0:
+                out[own] = -child - 1
+            elif len(own):
+                stack.append((child, own))
+    return out
+
+
+def _by_tree(q: DataFrame, b: DataFrame, size: int, k: int) -> DataFrame:
+    """query, match, d2: k or more candidates for each query, the k nearest ones among them."""
+    share = min(1.0, TREE_SAMPLE / size)
+    sample = b.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("x").toPandas()  # about TREE_SAMPLE rows
+    points = np.vstack(sample["x"].to_numpy()) if len(sample) else np.zeros((0, 1))
+    tree = _tree(points, max(1, min(MOST_CELLS, size // CELL)))
+
+    @F.pandas_udf("long")
+    def cell_of(x: pd.Series) -> pd.Series:
+        return pd.Series(_cell_of(np.vstack(x.to_numpy()), tree)) if len(x) else pd.Series([], dtype="int64")
+
+    if not tree:
+        return _met(q.withColumn("cell", F.lit(0).cast("long")), b.withColumn("cell", F.lit(0).cast("long")), k)
+    ws = Workspace(q.sparkSession, "nearest")
+    right = ws.save(b.withColumn("cell", cell_of("x")), "candidates")
+    width = range(points.shape[1])
+    boxes = right.groupBy("cell").agg(F.array(*[F.min(F.col("x")[i]) for i in width]).alias("lo"), F.array(*[F.max(F.col("x")[i]) for i in width]).alias("hi")).orderBy("cell").toPandas()  # at most MOST_CELLS rows
+    cells, lo, hi = boxes["cell"].to_numpy(), np.vstack(boxes["lo"].to_numpy()), np.vstack(boxes["hi"].to_numpy())
+
+    def box_distances(points: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(points), len(cells)))
+        for i in width:
+            x = points[:, i][:, None]
+            out += np.maximum(np.maximum(lo[:, i][None, :] - x, x - hi[:, i][None, :]), 0) ** 2
+        return out
+
+    @F.pandas_udf("long")
+    def own_cell(x: pd.Series) -> pd.Series:
+        points = np.vstack(x.to_numpy()) if len(x) else np.zeros((0, len(width)))
+        found = _cell_of(points, tree)
+        lost = np.flatnonzero(~np.isin(found, cells))  # a cell that has no candidate
+        found[lost] = cells[box_distances(points[lost]).argmin(axis=1)] if len(lost) else 0
+        return pd.Series(found)
+
+    @F.pandas_udf("array<long>")
+    def other_cells(x: pd.Series, cell: pd.Series, reach: pd.Series) -> pd.Series:
+        out = []
+        for at in range(0, len(x), CHUNK):
+            far = box_distances(np.vstack(x.iloc[at : at + CHUNK].to_numpy()))
+            near = far <= reach.to_numpy()[at : at + CHUNK, None] * (1 + 1e-9)
+            near &= cells[None, :] != cell.to_numpy()[at : at + CHUNK, None]
+            out += [cells[row] for row in near]
+        return pd.Series(out)
+
+    left = ws.save(q.withColumn("cell", own_cell("x")), "queries")
+    met = ws.save(_met(left, right, k), "met")
+    reach = met.groupBy("query").agg(F.array_sort(F.collect_list("d2")).alias("d")).select("query", F.coalesce(F.get("d", F.lit(k - 1)), F.lit(float("inf"))).alias("reach"))
+    more = left.join(reach, F.col("id") == F.col("query"), "left").withColumn("cell", F.explode(other_cells("x", "cell", F.coalesce("reach", F.lit(float("inf"))))))
+    return met.unionByName(_met(ws.save(more.select("cell", "id", "x"), "more"), right, k))
+
+
+def _by_cells(q: DataFrame, b: DataFrame, size: int, cells: int, probes: int) -> tuple[DataFrame, DataFrame]:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -126,28 +236,32 @@ def _by_cells(q: DataFrame, b: DataFrame, size: int, cells: int, probes: int) ->
         d2 = (centres**2).sum(axis=1)[None, :] - 2 * points @ centres.T
         return pd.Series(list(np.argsort(d2, axis=1, kind="stable")[:, :probes].astype(np.int32)))
 
-    right = b.withColumn("cell", nearest_cells("x")[0])
-    left = q.withColumn("cell", F.explode(nearest_cells("x")))
-    many = lambda df, n: df.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias(n))
-    counts = F.broadcast(many(right, "nb").join(many(left, "nq"), "cell"))  # one row a cell
-    right = right.join(counts, "cell").withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb"))).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq") - 1)))
-    left = left.join(counts, "cell").withColumn("q", F.pmod(F.xxhash64("id"), F.col("nq"))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    return left, right, ["cell", "q", "b"]
+    return q.withColumn("cell", F.explode(nearest_cells("x"))), b.withColumn("cell", nearest_cells("x")[0])
+
+
+SIDES = {"ate": (1, 0), "att": (1,), "atc": (0,)}
+
 
+def match_both(df: DataFrame, key: str, group: str, features: Sequence[str], k: int = 1, two_sides: bool = True, mode: str = "auto", metric: str | None = None, **options) -> DataFrame:
+    """query, match, d2, rank and treated (1 if the query is).
 
-def match_both(df: DataFrame, key: str, group: str, features: Sequence[str], k: int = 1, two_sides: bool = True, mode: str = "auto", **options) -> DataFrame:
-    """query, match, d2, rank and treated (1 if the query is): treated units matched to controls, and back if two_sides."""
-    treated, control = df.filter(column(group) == 1), df.filter(column(group) == 0)
-    out = nearest(treated, control, key, features, k, mode, **options).withColumn("treated", F.lit(1))
-    if two_sides:
-        out = out.unionByName(nearest(control, treated, key, features, k, mode, **options).withColumn("treated", F.lit(0)))
+    Treated units are matched to controls, and back if two_sides; ``metric`` names the sides instead:
+    att treated units alone, atc controls alone, ate both.
+    """
+    sides = SIDES["ate" if two_sides else "att"] if metric is None else SIDES[metric]
+    out = None
+    for side in sides:
+        own, other = df.filter(column(group) == side), df.filter(column(group) == 1 - side)
+        found = nearest(own, other, key, features, k, mode, **options).withColumn("treated", F.lit(side))
+        out = found if out is None else out.unionByName(found)
     return out
 
 
-def matched_means(df: DataFrame, key: str, matches: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """df with <column>_matched: the mean over a row's matches; rows without a match are left out."""
-    base = df.select(column(key).cast("long").alias("match"), *[column(c).cast("double").alias(f"__{c}") for c in columns])
-    means = matches.join(base, "match").groupBy("query").agg(*[F.avg(f"__{c}").alias(f"{c}_matched") for c in columns])
+def matched_means(df: DataFrame, key: str, matches: DataFrame, columns: Sequence[str], text: Sequence[str] = ()) -> DataFrame:
+    """df with <column>_matched: the mean over a row's matches, for ``text`` the nearest one's value; rows without a match are left out."""
+    base = df.select(column(key).cast("long").alias("match"), *[column(c).cast("double").alias(f"__{c}") for c in columns], *[column(c).alias(f"__{c}") for c in text])
+    made = [F.avg(f"__{c}").alias(f"{c}_matched") for c in columns] + [F.min_by(f"__{c}", "rank").alias(f"{c}_matched") for c in text]
+    means = matches.join(base, "match").groupBy("query").agg(*made)
     return df.join(means, column(key).cast("long") == F.col("query")).drop("query")
 
 

@@ -75,12 +75,12 @@ def adjust(p_values: Sequence[float], method: str, alpha: float = 0.05) -> tuple
 
 
 def multitest(results: DataFrame, method: str, alpha: float = 0.05, by: Sequence[str] = (), p: str = "p_value") -> DataFrame:
-    """Adds new_p_value, correction (new / old, 0 if new is 0) and rejected, for each family ``by``."""
+    """Adds new_p_value, correction (old / new, 0 if old is 0) and rejected, for each family ``by``."""
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         new, rejected = adjust(frame[p], method, alpha)
         old = frame[p].to_numpy(float)
-        correction = np.where(new == 0, 0.0, np.divide(new, old, out=np.full(len(old), np.nan), where=old > 0))
+        correction = np.where(old == 0, 0.0, np.divide(old, new, out=np.full(len(old), np.nan), where=new > 0))
         return frame.assign(new_p_value=new, correction=correction, rejected=rejected)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in results.schema.fields)
@@ -88,22 +88,31 @@ def multitest(results: DataFrame, method: str, alpha: float = 0.05, by: Sequence
     return results.groupBy(*keys).applyInPandas(work, f"{schema}, new_p_value double, correction double, rejected boolean")
 
 
-def _minimal_t_quantile(n: np.ndarray, var: np.ndarray, j: int, level: float, iterations: int, random: np.random.Generator) -> float:
+def _minimal_t_quantile(var: np.ndarray, j: int, level: float, iterations: int, random: np.random.Generator) -> float:
     """Quantile of min over i of the scaled difference of arm j and arm i when all means are equal."""
     draws = random.normal(0, np.sqrt(var), (iterations, len(var)))
     gaps = [(draws[:, j] - draws[:, i]) / math.sqrt(var[j] + var[i]) for i in range(len(var)) if i != j]
     return float(np.quantile(np.min(gaps, axis=0), level))
 
 
-def best_arm(moments: pd.DataFrame, alpha: float = 0.05, iterations: int = 20_000, equal_variance: bool = True, seed: int = 42) -> int:
-    """Rows n, mean, var of each arm: the number (from 1) of the first arm better than all others, or 0."""
+def best_arm(moments: pd.DataFrame, alpha: float = 0.05, iterations: int = 20_000, equal_variance: bool = True, seed: int = 42, size: str = "total") -> int:
+    """Rows n, mean, var of each arm: the number (from 1) of the first arm better than all others, or 0.
+
+    Differences are scaled by the arms' own variances; ``equal_variance`` concerns the quantile
+    they must exceed. ``size`` is the number of rows that scales them: all of them
+    ("total", variances then times n / (n - 1)), or those of the smallest arm ("least").
+    """
+    if size not in ("total", "least"):
+        raise errors.InvalidArgumentError(f"size {size!r}: total or least")
     n, mean, var = (moments[c].to_numpy(float) for c in ("n", "mean", "var"))
     random = np.random.default_rng(seed)
-    used = np.full(len(var), var.mean()) if equal_variance else var
-    size = n.min()
+    rows = n.sum() if size == "total" else n.min()
+    scale = var * rows / (rows - 1) if size == "total" else var
+    level = 1 - alpha / len(n)
+    common = _minimal_t_quantile(np.ones(len(n)), 0, level, iterations, random) if equal_variance else None
     for j in range(len(n)):
-        least = min(math.sqrt(size) * (mean[j] - mean[i]) / math.sqrt(used[j] + used[i]) for i in range(len(n)) if i != j)
-        if least > _minimal_t_quantile(n, used, j, 1 - alpha / len(n), iterations, random):
+        least = min(math.sqrt(rows) * (mean[j] - mean[i]) / math.sqrt(scale[j] + scale[i]) for i in range(len(n)) if i != j)
+        if least > (common if equal_variance else _minimal_t_quantile(scale, j, level, iterations, random)):
             return j + 1
     return 0
 
@@ -127,9 +136,9 @@ def min_sample_size(variances: Sequence[float], mde: float, power: float = 0.2,
     var = np.array(variances, float)
     k, random = len(var), np.random.default_rng(seed)
     used = np.full(k, var.mean()) if equal_variance else var
-    q1 = _minimal_t_quantile(np.ones(k), used, 0, 1 - alpha / k, iterations * 5, random)
+    q1 = _minimal_t_quantile(used, 0, 1 - alpha / k, iterations * 5, random)
     if equal_variance:
-        q2 = _minimal_t_quantile(np.ones(k), used, 0, power, iterations * 5, random)
+        q2 = _minimal_t_quantile(used, 0, power, iterations * 5, random)
         return int(2 * var.mean() * ((q1 - q2) / mde) ** 2) + 1
     draws = random.normal(0, np.sqrt(used), (iterations, k))
     size = step

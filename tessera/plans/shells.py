@@ -19,6 +19,7 @@ from ..frame import RoleFrame
 from ..operators import compare, matching, multitest, prep, split, variance
 from ..operators.stats import column
 from ..roles import NUMERIC, AdditionalFeatureRole, ConstGroupRole, FeatureRole, GroupingRole, StratificationRole, TargetRole, TreatmentRole
+from ..storage import Workspace
 
 
 def _one(frame: RoleFrame, role) -> str:
@@ -286,15 +287,34 @@ class MatchingOutput:
 
 @dataclass(frozen=True)
 class Matching:
-    """Treatment effects from nearest neighbours; group_match runs within each GroupingRole value."""
+    """Treatment effects from nearest neighbours; group_match runs within each GroupingRole value.
+
+    ``metric`` att or atc searches that side alone and gives that effect; ate gives all three.
+    ``weights`` go by feature (a sequence in the features' order, or by name; an encoded category
+    takes its column's, features without one weigh 1). Without ``encode_categories`` only
+    numeric features place a unit. Numeric features are compared by the t and KS tests, text
+    features by chi-square. Matches are stored once for all that reads them.
+    """
 
     distance: str = "mahalanobis"
+    metric: str = "ate"
     n_neighbors: int = 1
     bias_estimation: bool = True
     mode: str = "auto"
     group_match: bool = False
-    weights: tuple[float, ...] | None = None
-    quality_tests: tuple[str, ...] = ("t-test", "ks-test")
+    weights: tuple[float, ...] | Mapping[str, float] | None = None
+    encode_categories: bool = True
+    quality_tests: tuple[str, ...] = ("t-test", "ks-test", "chi2-test")
+
+    def __post_init__(self):
+        if self.metric not in matching.SIDES:
+            raise errors.InvalidArgumentError(f"metric {self.metric!r}; one of {sorted(matching.SIDES)}")
+
+    def _weights(self, features: Sequence[str]) -> Sequence[float] | None:
+        if not isinstance(self.weights, Mapping):
+            return self.weights
+        by_length = sorted(self.weights, key=len, reverse=True)
+        return [next((self.weights[c] for c in by_length if f == c or f.startswith(f"{c}_")), 1.0) for f in features]
 
     def execute(self, frame: RoleFrame) -> MatchingOutput:
         if not self.group_match:
@@ -309,8 +329,9 @@ class Matching:
         if not target:
             raise errors.NoColumnsError("no numeric column with TargetRole")
         numeric = frame.search_columns(FeatureRole, (*NUMERIC, bool))
+        text = frame.search_columns(FeatureRole, [str])
         if self.distance == "mahalanobis":
-            encoded = prep.dummy_encoder()(frame)
+            encoded = prep.dummy_encoder()(frame) if self.encode_categories else frame
             features = numeric + encoded.search_columns(AdditionalFeatureRole)
         elif self.distance == "l2":
             encoded, features = frame, numeric
@@ -321,20 +342,23 @@ class Matching:
         df, space = encoded.df, features
         if self.distance == "mahalanobis":
             space = [f"__w{i}" for i in range(len(features))]
-            df = matching.linear(df, features, matching.whitening(df, group, features, self.weights), space)
-        pairs = matching.match_both(df, key, group, space, self.n_neighbors, mode=self.mode)
-        means = matching.matched_means(encoded.df, key, pairs, [*features, *target])
+            df = matching.linear(df, features, matching.whitening(df, group, features, self._weights(features)), space)
+        ws = Workspace(df.sparkSession, "matching")
+        pairs = ws.save(matching.match_both(df, key, group, space, self.n_neighbors, mode=self.mode, metric=self.metric), "pairs")
+        means = ws.save(matching.matched_means(encoded.df, key, pairs, [*features, *target], text), "matched")
         resumes = []
         for y in target:
             slopes = matching.bias_coefficients(means, group, y, features) if self.bias_estimation else None
             units = matching.unit_effects(means, key, group, y, features, slopes)
-            resumes.append(matching.effects(units, pairs, self.n_neighbors).withColumn("target", F.lit(y)))
+            found = matching.effects(units, pairs, self.n_neighbors).withColumn("target", F.lit(y))
+            resumes.append(found if self.metric == "ate" else found.filter(F.col("metric") == self.metric.upper()))
         ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "match"))), lambda s: s["match"])
         indexes = pairs.groupBy("query").agg(ordered.alias("matches"))
         quality = None
         tested = [f for f in numeric if frame.roles[f].data_type in NUMERIC]
-        if self.quality_tests and tested:
-            quality = run_tests(means, group, tested, [], [t for t in self.quality_tests if t != "chi2-test"], True, 0.05, "matched_pairs")
+        names = [t for t in self.quality_tests if (text if t == "chi2-test" else tested)]
+        if names:
+            quality = run_tests(means, group, tested, text, names, True, 0.05, "matched_pairs")
         return MatchingOutput(reduce(DataFrame.unionByName, resumes), means, indexes, quality)
 
 
