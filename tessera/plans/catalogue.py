@@ -16,7 +16,7 @@ from ..frame import RoleFrame
 from ..operators import compare, matching, multitest, prep, split, stats, variance
 from ..roles import FeatureRole, GroupingRole, StratificationRole, TargetRole, TreatmentRole
 from ..streaming.moments import windowed_moments
-from . import shells
+from . import oracles, shells
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -428,32 +428,19 @@ def ttest_pooled(spark, sf):
     return rounded(compare.t_test(orders(spark, sf).df, ["price"], "treat"))
 
 
-@query(f"""WITH {orders_sql()}, c AS (SELECT treat, priority AS v, count(*) AS n FROM o GROUP BY ALL),
-g AS (SELECT treat, sum(n) AS n FROM c GROUP BY 1),
-pooled AS (SELECT treat, CASE WHEN n < 7 THEN 'other' ELSE v END AS v, sum(n) AS n FROM c GROUP BY ALL HAVING CASE WHEN n < 7 THEN 'other' ELSE v END <> 'other' OR sum(n) >= 7),
-arms AS (SELECT t.treat AS g, c.n / (c.n + t.n) AS share FROM g t, g c WHERE c.treat = 0 AND t.treat > 0),
-w AS (SELECT g, v, sum(CASE WHEN treat = 0 THEN n * (1 - share) ELSE 0 END) AS o1, sum(CASE WHEN treat = g THEN n * share ELSE 0 END) AS o2 FROM arms, pooled WHERE treat IN (0, g) GROUP BY g, v),
-t AS (SELECT *, o1 + o2 AS r, sum(o1) OVER a AS t1, sum(o2) OVER a AS t2, count(*) OVER a AS k FROM w WINDOW a AS (PARTITION BY g)),
-e AS (SELECT *, r * t1 / (t1 + t2) AS e1, r * t2 / (t1 + t2) AS e2 FROM t),
-d AS (SELECT *, abs(o1 - e1) - CASE WHEN k = 2 THEN least(0.5, abs(o1 - e1)) ELSE 0 END AS d1, abs(o2 - e2) - CASE WHEN k = 2 THEN least(0.5, abs(o2 - e2)) ELSE 0 END AS d2 FROM e)
-SELECT 'priority' AS feature, CAST(g AS VARCHAR) AS "group", CAST(max(k) - 1 AS DOUBLE) AS df, round(sum(d1 * d1 / e1 + d2 * d2 / e2), 6) AS statistic FROM d GROUP BY g""")
+@query(f"""WITH {orders_sql()}, {oracles.chi_square('o')} SELECT 'priority' AS feature, CAST(g AS VARCHAR) AS "group", df, round(x, 6) AS statistic, round(p, 6) AS p_value, p < 0.05 AS pass FROM ch""")
 def chi2_stat(spark, sf):
-    return rounded(compare.chi2_test(orders(spark, sf).df, ["priority"], "treat").drop("p_value", "pass"))
+    return rounded(compare.chi2_test(orders(spark, sf).df, ["priority"], "treat"))
 
 
-@query(f"""WITH {orders_sql()}, n AS (SELECT count(*) FILTER (treat = 0) AS n0, count(*) FILTER (treat = 1) AS n1, count(*) FILTER (treat = 2) AS n2 FROM o),
-c AS (SELECT price, count(*) FILTER (treat = 0) AS c0, count(*) FILTER (treat = 1) AS c1, count(*) FILTER (treat = 2) AS c2 FROM o GROUP BY 1),
-f AS (SELECT sum(c0) OVER w / n0 AS f0, sum(c1) OVER w / n1 AS f1, sum(c2) OVER w / n2 AS f2 FROM c, n WINDOW w AS (ORDER BY price ROWS UNBOUNDED PRECEDING))
-SELECT 'price' AS feature, '1' AS "group", round(max(abs(f0 - f1)), 6) AS statistic FROM f UNION ALL SELECT 'price', '2', round(max(abs(f0 - f2)), 6) FROM f""")
+@query(f"""WITH {orders_sql()}, {oracles.ks('o', (1, 2))} SELECT 'price' AS feature, CAST(g AS VARCHAR) AS "group", round(d, 6) AS statistic, round(p, 6) AS p_value, p < 0.05 AS pass FROM ks""")
 def ks_stat(spark, sf):
-    return rounded(compare.ks_test(orders(spark, sf).df, ["price"], "treat").drop("p_value", "pass"))
+    return rounded(compare.ks_test(orders(spark, sf).df, ["price"], "treat"))
 
 
-@query(f"""WITH {orders_sql()}, arms AS (SELECT unnest([1, 2]) AS g),
-r AS (SELECT g, treat, rank() OVER (PARTITION BY g ORDER BY price) + (count(*) OVER (PARTITION BY g, price) - 1) / 2 AS r FROM o, arms WHERE treat = 0 OR treat = g)
-SELECT 'price' AS feature, CAST(g AS VARCHAR) AS "group", round(sum(r) FILTER (treat = 0) - count(*) FILTER (treat = 0) * (count(*) FILTER (treat = 0) + 1) / 2, 4) AS statistic FROM r GROUP BY g""")
+@query(f"""WITH {orders_sql()}, {oracles.mann_whitney('o', (1, 2))} SELECT 'price' AS feature, CAST(g AS VARCHAR) AS "group", round(u, 4) AS statistic, round(p, 4) AS p_value, p < 0.05 AS pass FROM mw""")
 def u_stat(spark, sf):
-    return rounded(compare.u_test(orders(spark, sf).df, ["price"], "treat").drop("p_value", "pass"), 4)
+    return rounded(compare.u_test(orders(spark, sf).df, ["price"], "treat"), 4)
 
 
 @query(f'WITH {orders_sql()}, {MOMENTS} SELECT feature, "group", round(2.8015852181356 * sqrt(v2 / n2 + v1 / n1), 4) AS mde FROM p')
@@ -504,7 +491,7 @@ def _multi(method: str, new: str):
         return rounded(multitest.multitest(_p_values(spark, sf), method))
 
     run.__name__ = f"multitest_{method.replace('-', '_')}"
-    query(f"WITH {PVALUES}, a AS (SELECT id, p_value, least(1.0, {new}) AS n FROM r) SELECT id, round(p_value, 6) AS p_value, round(n, 6) AS new_p_value, round(n / p_value, 6) AS correction, n <= 0.05 AS rejected FROM a")(run)
+    query(f"WITH {PVALUES}, a AS (SELECT id, p_value, least(1.0, {new}) AS n FROM r) SELECT id, round(p_value, 6) AS p_value, round(n, 6) AS new_p_value, round(p_value / n, 6) AS correction, n <= 0.05 AS rejected FROM a")(run)
 
 
 _multi("bonferroni", "p_value * m")
@@ -516,13 +503,13 @@ _multi("fdr_bh", "min(p_value * m / i) OVER (ORDER BY p_value DESC ROWS UNBOUNDE
 _multi("fdr_by", "min(p_value * m / i * (SELECT sum(1.0 / k) FROM range(1, 26) t(k))) OVER (ORDER BY p_value DESC ROWS UNBOUNDED PRECEDING)")
 
 
-@query()
+@query(oracles.two_stage(PVALUES))
 def multitest_other(spark, sf):
     parts = [multitest.multitest(_p_values(spark, sf), m).withColumn("method", F.lit(m)) for m in ("hommel", "fdr_tsbh", "fdr_tsbky")]
     return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 
-@query()
+@query(oracles.best_arm(orders_sql(), 3))
 def multitest_quantile(spark, sf):
     best = multitest.best_group(orders(spark, sf).df, "treat", ["price"])
     return spark.createDataFrame(list(best.items()), "target string, accepted long")
@@ -534,19 +521,19 @@ def min_sample_size(spark, sf):
     return spark.createDataFrame(list(sizes.items()), "target string, size long")
 
 
-@query()
+@query(oracles.resume(orders_sql(), (1, 2), ("t-test", "u-test", "ks-test", "chi2-test"), False, True, True))
 def ab_resume(spark, sf):
-    return rounded(shells.ABTest(tests=("t-test", "u-test", "ks-test", "chi2-test")).execute(orders(spark, sf)).resume)
+    return rounded(shells.ABTest(tests=("t-test", "u-test", "ks-test", "chi2-test")).execute(orders(spark, sf)).resume, 4)
 
 
-@query()
+@query(oracles.holm(orders_sql(), (1, 2)))
 def ab_multitest(spark, sf):
     return rounded(shells.ABTest(tests=("t-test", "u-test")).execute(orders(spark, sf)).multitest)
 
 
-@query()
+@query(oracles.resume(orders_sql(2), (1,), ("t-test", "ks-test", "chi2-test"), True, False, False))
 def homogeneity_resume(spark, sf):
-    return rounded(shells.HomogeneityTest().execute(orders(spark, sf, 2)).resume)
+    return rounded(shells.HomogeneityTest().execute(orders(spark, sf, 2)).resume, 4)
 
 
 # ---- A/A splits --------------------------------------------------------------------------------
@@ -597,14 +584,15 @@ def aa_experiments(spark, sf):
     return rounded(found.select("seed", "feature", "group", "statistic"))
 
 
-@query()
+@query(f"WITH {oracles.aa()} SELECT CAST(seed AS INT) AS seed, round(mean_test_score, 6) AS mean_test_score, round(mean_p, 6) AS mean_p, round(score, 6) AS score FROM scored")
 def aa_scores(spark, sf):
     return rounded(shells.AATest().execute(customers(spark, sf)).scores)
 
 
-@query()
+@query(f"""WITH {oracles.aa('c_mktsegment')} SELECT 'c_acctbal' AS feature, 'test_1' AS "group", round(tp, 4) AS "t-test p-value", CASE WHEN tp < 0.05 THEN 'NOT OK' ELSE 'OK' END AS "t-test verdict", round(kp, 4) AS "ks-test p-value", CASE WHEN kp < 0.05 THEN 'NOT OK' ELSE 'OK' END AS "ks-test verdict",
+round(m1, 4) AS control_mean, round(m2, 4) AS test_mean, round(m2 - m1, 4) + 0.0 AS difference, round((m2 / m1 - 1) * 100, 4) + 0.0 AS difference_pct FROM scored ORDER BY score DESC, seed LIMIT 1""")
 def aa_best_split(spark, sf):
-    return rounded(shells.AATest(stratification=True).execute(customers(spark, sf)).best_split_statistic)
+    return rounded(shells.AATest(stratification=True).execute(customers(spark, sf)).best_split_statistic, 4)
 
 
 # ---- variance reduction ------------------------------------------------------------------------
@@ -626,7 +614,13 @@ def cuped_variance_reduction(spark, sf):
     return rounded(variance.variance_reduction(adjusted, {"total": "total_cuped"}))
 
 
-@query()
+#: lag1 on x2 and lag2 by least squares; then x1 and lag1 stand in for them.
+CUPAC = f"""WITH {BASKETS}, l AS (SELECT total, total * 0.9 + qty AS y, qty * 0.5 AS a, total * 0.8 + qty * 3 AS b, qty + 1 AS p FROM b),
+g AS (SELECT (covar_pop(y, a) * var_pop(b) - covar_pop(y, b) * covar_pop(a, b)) / (var_pop(a) * var_pop(b) - covar_pop(a, b) ^ 2) AS s1, (covar_pop(y, b) * var_pop(a) - covar_pop(y, a) * covar_pop(a, b)) / (var_pop(a) * var_pop(b) - covar_pop(a, b) ^ 2) AS s2 FROM l)
+SELECT 'total' AS target, round((1 - var_samp(total - s1 * p - s2 * y) / var_samp(total)) * 100, 3) AS reduction_pct FROM l, g"""
+
+
+@query(CUPAC)
 def cupac(spark, sf):
     df = baskets(spark, sf).withColumns({"lag1": F.col("total") * 0.9 + F.col("qty"), "lag2": F.col("total") * 0.8 + F.col("qty") * 3, "x1": F.col("qty") + 1, "x2": F.col("qty") * 0.5})
     plan = variance.CupacPlan("total", ("lag1", "lag2"), (("x1",), ("x2",)))
@@ -712,26 +706,18 @@ def knn_l2(spark, sf):
     return rounded(matching.match_both(matching_frame(spark, sf), "id", "treat", ["x1", "x2"], 2, mode="exact"), 4)
 
 
-@query()
+@query(f"WITH {MATCHING}, {_nearest_sql()} SELECT query, match, round(d2, 4) AS d2, CAST(rank AS INT) AS rank, treated FROM k WHERE rank = 1")
 def knn_cells(spark, sf):
     return rounded(matching.match_both(matching_frame(spark, sf), "id", "treat", ["x1", "x2"], 1, mode="cells"), 4)
 
 
-EFFECTS = """e AS (SELECT q.id, q.treat, CASE WHEN q.treat = 1 THEN q.y - m.y ELSE m.y - q.y END AS effect FROM k JOIN u q ON q.id = k.query JOIN u m ON m.id = k.match WHERE rank = 1),
-w AS (SELECT match AS id, count(*) AS k FROM k WHERE rank = 1 GROUP BY 1),
-z AS (SELECT e.*, coalesce(w.k, 0) AS k FROM e LEFT JOIN w USING (id)),
-s AS (SELECT count(*) FILTER (treat = 1) AS nt, count(*) FILTER (treat = 0) AS nc, avg(effect) FILTER (treat = 1) AS att, avg(effect) FILTER (treat = 0) AS atc, var_samp(effect) FILTER (treat = 1) AS vc, var_samp(effect) FILTER (treat = 0) AS vt, sum(k * k) FILTER (treat = 0) AS kc, sum(k * k) FILTER (treat = 1) AS kt, sum((1 + k) ^ 2) FILTER (treat = 0) AS k1c, sum((1 + k) ^ 2) FILTER (treat = 1) AS k1t FROM z),
-f AS (SELECT 'ATT' AS metric, att AS v, sqrt(kc * vt / (nt * nt) + vc / nt) AS se FROM s UNION ALL SELECT 'ATC', atc, sqrt(kt * vc / (nc * nc) + vt / nc) FROM s UNION ALL SELECT 'ATE', (nt * att + nc * atc) / (nt + nc), sqrt(k1c * vt + k1t * vc) / (nt + nc) FROM s)
-SELECT metric, round(v, 4) + 0.0 AS effect_size, round(se, 4) AS standard_error, round(v - 1.96 * se, 4) + 0.0 AS ci_lower, round(v + 1.96 * se, 4) + 0.0 AS ci_upper FROM f"""
-
-
 def _effects(df: DataFrame, space: list[str]) -> DataFrame:
     pairs = matching.match_both(df, "id", "treat", space, mode="exact")
     means = matching.matched_means(df, "id", pairs, ["y"])
-    return rounded(matching.effects(matching.unit_effects(means, "id", "treat", "y"), pairs).drop("p_value"), 4)
+    return rounded(matching.effects(matching.unit_effects(means, "id", "treat", "y"), pairs), 4)
 
 
-@query(f"WITH {MATCHING}, {_nearest_sql()}, {EFFECTS}")
+@query(f"WITH {MATCHING}, {_nearest_sql()}, {oracles.PLAIN}, {oracles.EFFECTS} FROM y")
 def match_att_atc_ate(spark, sf):
     return _effects(matching_frame(spark, sf), ["x1", "x2"])
 
@@ -767,12 +753,15 @@ def match_quality(spark, sf):
     return rounded(compare.group_difference(means, ["x1"], "treat", "matched_pairs"), 4)
 
 
-@query()
+WHITE_NEAREST = _nearest_sql(("w0", "w1"), "v")
+
+
+@query(f"WITH {MATCHING}, {WHITE}, {WHITE_NEAREST}, {oracles.CORRECTED}, {oracles.EFFECTS}, 'y' AS target FROM y")
 def bias_correction(spark, sf):
     return rounded(shells.Matching(mode="exact").execute(_shell_frame(spark, sf)).resume, 4)
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT * FROM (WITH {MATCHING} WHERE s_suppkey % 2 = {part}), {WHITE}, {WHITE_NEAREST}, {oracles.PLAIN}, {oracles.EFFECTS}, 'y' AS target, '{part}' AS match_group FROM y)" for part in (0, 1)).replace("FROM supplier) WHERE", "FROM supplier WHERE"))
 def match_group(spark, sf):
     return rounded(shells.Matching(mode="exact", group_match=True, bias_estimation=False).execute(_shell_frame(spark, sf)).resume, 4)
 
