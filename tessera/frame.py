@@ -563,11 +563,10 @@ class RoleFrame:
 
     def sample(self, n: int | None = None, frac: float | None = None, seed: int = 0) -> RoleFrame:
         """Exactly n rows, or the exact fraction, by the order of a hash of the key."""
-        from .functions.ranking import hash_rank
+        from .functions.ranking import hash_labelled, hash_order
 
-        ranked = hash_rank(self.df, self._order(), seed)
-        limit = F.lit(n) if n is not None else F.floor(F.col("__n") * F.lit(frac))
-        return self.new(ranked.filter(F.col("__rank") <= limit).drop("__rank", "__n"))
+        drawn = lambda rank, rows: rank <= (F.lit(n) if n is not None else F.floor(rows * F.lit(frac)))
+        return self.new(hash_labelled(self.df, self._order(), hash_order(self._order(), seed), (), drawn, "__drawn").filter("__drawn").drop("__drawn"))
 
     def demote(self, columns: Iterable[str]) -> RoleFrame:
         """Columns become InfoRole: kept, but out of computations."""

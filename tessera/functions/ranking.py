@@ -1,14 +1,15 @@
 """Ranks, positions and running sums over a whole table without sorting it in one task.
 
-Rows are dealt to ordered buckets (hash prefixes, or equal widths of the value range). Sums over
-the buckets, which are few, are accumulated by a window; inside a bucket a window partitioned by
-it does the rest. The bucket of a row depends on exact aggregates alone, so it is the same
-whenever a lost task is computed again.
+Rows are dealt to ordered buckets (hash prefixes, leading characters, or steps of the value range
+that are equal in width and on logarithmic scales). Sums over the buckets, which are few, are
+accumulated by a window; inside a bucket a window partitioned by it does the rest. The bucket of a
+row depends on exact aggregates alone, so it is the same whenever a lost task is computed again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +45,43 @@ def hash_rank(df: DataFrame, key: str, seed: int, strata: Sequence[str] = (), di
     return ranked.drop("__hash", "__bucket", "__b", "__off", *names)
 
 
+def hash_labelled(df: DataFrame, key: str, hashed: Column, keys: Sequence[str], label: Callable[[Column, Column], Column], name: str, digits: int = 3) -> DataFrame:
+    """Adds ``name`` = label(rank, n): a row's rank (from 1, by ``hashed``, ties by key) and the number of rows, both within ``keys``.
+
+    label must not return to an earlier value as the rank grows. Then it is known from counts of
+    hash prefixes wherever a prefix's first and last rank have one label; only rows of the
+    few prefixes that hold an edge are shuffled and ranked.
+    """
+    keys = list(keys)
+    df = df.withColumn("__hash", hashed).withColumn("__bucket", F.substring("__hash", 1, digits))
+    totals = _before(df.groupBy(*[F.col(f"`{k}`") for k in keys], "__bucket").agg(F.count("*").alias("__c")), [f"`{k}`" for k in keys], ["__c"])
+    totals = totals.withColumn("__n", F.sum("__c").over(Window.partitionBy(*([F.col(f"`{k}`") for k in keys] or [F.lit(0)]))))
+    names = [f"__s{i}" for i in range(len(keys))]
+    off, n = F.col("__c__before"), F.col("__n")
+    small = totals.select(*[F.col(f"`{k}`").alias(a) for k, a in zip(keys, names, strict=True)], F.col("__bucket").alias("__b"), off.alias("__off"), n, label(off + 1, n).alias("__first"), label(off + F.col("__c"), n).alias("__last"))
+    cond = F.col("__bucket") == F.col("__b")
+    for k, a in zip(keys, names, strict=True):
+        cond &= F.col(f"`{k}`").eqNullSafe(F.col(a))
+    joined = df.join(small, cond)
+    decided = F.col("__first").eqNullSafe(F.col("__last"))
+    inside = Window.partitionBy(*[F.col(f"`{k}`") for k in keys], "__bucket").orderBy("__hash", F.col(f"`{key}`"))
+    edge = joined.filter(~decided).withColumn("__rank", F.row_number().over(inside) + F.col("__off")).withColumn(name, label(F.col("__rank"), F.col("__n"))).drop("__rank")
+    out = joined.filter(decided).withColumn(name, F.col("__first")).unionByName(edge)
+    return out.drop("__hash", "__bucket", "__b", "__off", "__n", "__first", "__last", *names)
+
+
+def ordered_bucket(value: Column, lo: Column, hi: Column, buckets: int = 1024) -> Column:
+    """A struct that never falls as ``value`` grows from lo to hi.
+
+    Equal widths tell apart what is spread evenly; logarithmic steps from zero and from both
+    ends what is crowded there. The number of buckets is bounded by the resolution of a double.
+    """
+    steps = lambda x: F.coalesce(F.floor(F.ln(F.when(x > 0, x)) * 24), F.lit(-20_000))
+    share = F.coalesce(F.floor(F.try_divide(value - lo, hi - lo) * buckets), F.lit(0))
+    zero = F.when(value < 0, -40_000 - steps(-value)).otherwise(steps(value))
+    return F.struct(share.cast("long").alias("a"), zero.cast("long").alias("b"), steps(value - lo).cast("long").alias("c"), (-steps(hi - value)).cast("long").alias("d"))
+
+
 def cumulative(df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str], buckets: int = 1024) -> DataFrame:
     """Adds <s>__upto for each s: its sum over rows of the same keys whose ``order`` is not larger.
 
@@ -61,8 +99,7 @@ def cumulative(df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[st
         return cond
 
     placed = df.join(F.broadcast(span) if not keys else span, same(names)) if keys else df.crossJoin(span)
-    share = F.try_divide(value - F.col("__lo"), F.col("__hi") - F.col("__lo"))
-    placed = placed.withColumn("__bucket", F.coalesce(F.floor(share * buckets), F.lit(0)).cast("long")).drop("__lo", "__hi", *names)
+    placed = placed.withColumn("__bucket", ordered_bucket(value, F.col("__lo"), F.col("__hi"), buckets)).drop("__lo", "__hi", *names)
     totals = _before(placed.groupBy(*keys, "__bucket").agg(*[F.sum(s).alias(s) for s in sums]), keys, sums)
     theirs = [f"__t{i}" for i in range(len(keys))]
     small = totals.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, theirs, strict=True)], F.col("__bucket").alias("__b"), *[f"{s}__before" for s in sums])
@@ -79,8 +116,10 @@ def position(df: DataFrame, key: str, name: str, buckets: int = 1024) -> DataFra
         counts = df.filter(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("__key")).agg(F.count("*").alias("__c"))
         placed = cumulative(counts, [], "__key", ["__c"], buckets).select("__key", F.col("__c__upto").alias(name))
         return df.join(placed, F.col(f"`{key}`") == F.col("__key"), "left").drop("__key")
-    # strings: buckets by leading characters keep the order
-    df = df.withColumn("__bucket", F.substring(F.col(f"`{key}`"), 1, 3))
+    # strings: buckets by leading characters keep the order; what least and greatest have in common, all have
+    ends = df.agg(F.min(F.col(f"`{key}`")), F.max(F.col(f"`{key}`"))).first()
+    common = len(os.path.commonprefix([str(e or "") for e in ends]))
+    df = df.withColumn("__bucket", F.substring(F.col(f"`{key}`"), 1, common + 3))
     totals = _before(df.groupBy("__bucket").agg(F.count("*").alias("__c")), [], ["__c"]).select(F.col("__bucket").alias("__b"), F.col("__c__before").alias("__off"))
     inside = Window.partitionBy("__bucket").orderBy(F.col(f"`{key}`"))
     out = df.join(totals, F.col("__bucket").eqNullSafe(F.col("__b"))).withColumn(name, F.row_number().over(inside) + F.col("__off"))

@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import errors
 from ..frame import RoleFrame
 from ..roles import NUMERIC, AdditionalFeatureRole, FeatureRole, TargetRole
 from . import stats
@@ -143,11 +144,16 @@ def type_caster(types: Mapping) -> Step:
     return step
 
 
-def one_hot(df: DataFrame, columns: Sequence[str], drop_first: bool = True) -> tuple[DataFrame, list[str]]:
-    """0/1 columns <column>_<value> for the sorted values, without the first; null is all zeros. Values are collected, one row each."""
+def one_hot(df: DataFrame, columns: Sequence[str], drop_first: bool = True, most: int = 1000) -> tuple[DataFrame, list[str]]:
+    """0/1 columns <column>_<value> for the sorted values, without the first; null is all zeros.
+
+    A column may have ``most`` values; pool rare ones with ``aggregate_categories`` first.
+    """
     made: dict[str, Any] = {}
     for c in columns:
-        values = sorted(r[0] for r in df.select(column(c)).filter(column(c).isNotNull()).distinct().collect())
+        values = sorted(r[0] for r in df.select(column(c)).filter(column(c).isNotNull()).distinct().limit(most + 1).collect())
+        if len(values) > most:
+            raise errors.NotSuitableFieldError(f"{c} has more than {most} values, too many for a column each: pool rare ones first, or raise most")
         for v in values[1:] if drop_first else values:
             made[f"{c}_{v}"] = F.coalesce((column(c) == F.lit(v)).cast("int"), F.lit(0))
     return (df.withColumns(made) if made else df), list(made)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import errors
-from ..functions.ranking import hash_rank
+from ..functions.ranking import hash_labelled, hash_order, hash_rank
 from .stats import column
 
 
@@ -49,18 +49,18 @@ class Splitter:
         """Adds ``name``: control, test_1, test_2, ..."""
         if self.const is not None:
             return self._with_const(df, name)
-        ranked = hash_rank(df, self.key, self.seed, self.strata)
-        n = F.col("__n")
-        drawn = None
-        if self.sample_size is not None:
-            n = F.floor(n * F.lit(self.sample_size))
-            drawn = F.col("__rank") <= n
-        label: Column = F.lit(f"test_{len(self._edges())}")
-        for i, edge in reversed(list(enumerate(self._edges()))):
-            label = F.when(F.col("__rank") <= F.floor(n * F.lit(edge)), "control" if i == 0 else f"test_{i}").otherwise(label)
-        if drawn is not None:
-            label = F.when(drawn, label).otherwise(F.lit("test_1" if self.compat else None))
-        return ranked.withColumn(name, label).drop("__rank", "__n")
+
+        def label(rank: Column, n: Column) -> Column:
+            drawn = None
+            if self.sample_size is not None:
+                n = F.floor(n * F.lit(self.sample_size))
+                drawn = rank <= n
+            out: Column = F.lit(f"test_{len(self._edges())}")
+            for i, edge in reversed(list(enumerate(self._edges()))):
+                out = F.when(rank <= F.floor(n * F.lit(edge)), "control" if i == 0 else f"test_{i}").otherwise(out)
+            return out if drawn is None else F.when(drawn, out).otherwise(F.lit("test_1" if self.compat else None))
+
+        return hash_labelled(df, self.key, hash_order(self.key, self.seed), self.strata, label, name)
 
     def _with_const(self, df: DataFrame, name: str) -> DataFrame:
         fixed = column(self.const)
@@ -74,19 +74,7 @@ class Splitter:
 
 def split_many(df: DataFrame, key: str, seeds: Sequence[int], control_size: float = 0.5, strata: Sequence[str] = ()) -> DataFrame:
     """All seeds at once: rows times seeds, with ``seed`` and ``split``; batch the seeds for large tables."""
-    from ..functions.ranking import _before  # shared with hash_rank
-    from pyspark.sql.window import Window
-
     spread = df.withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
-    spread = spread.withColumn("__hash", F.md5(F.concat(column(key).cast("string"), F.lit(":"), F.col("seed").cast("string")))).withColumn("__bucket", F.substring("__hash", 1, 3))
-    keys = ["seed", *strata]
-    totals = _before(spread.groupBy(*keys, "__bucket").agg(F.count("*").alias("__c")), keys, ["__c"]).withColumn("__n", F.sum("__c").over(Window.partitionBy(*keys)))
-    names = [f"__s{i}" for i in range(len(keys))]
-    small = totals.select(*[column(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("__bucket").alias("__b"), F.col("__c__before").alias("__off"), "__n")
-    cond = F.col("__bucket") == F.col("__b")
-    for k, n in zip(keys, names, strict=True):
-        cond &= column(k).eqNullSafe(F.col(n))
-    inside = Window.partitionBy(*keys, "__bucket").orderBy("__hash", column(key))
-    ranked = spread.join(small, cond).withColumn("__rank", F.row_number().over(inside) + F.col("__off"))
-    label = F.when(F.col("__rank") <= F.floor(F.col("__n") * F.lit(control_size)), "control").otherwise("test_1")
-    return ranked.withColumn("split", label).drop("__hash", "__bucket", "__b", "__off", "__rank", "__n", *names)
+    hashed = F.md5(F.concat(column(key).cast("string"), F.lit(":"), F.col("seed").cast("string")))
+    label = lambda rank, n: F.when(rank <= F.floor(n * F.lit(control_size)), "control").otherwise("test_1")
+    return hash_labelled(spread, key, hashed, ["seed", *strata], label, "split")

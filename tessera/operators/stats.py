@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import errors
-from ..functions.ranking import cumulative
+from ..functions.ranking import cumulative, ordered_bucket
 
 AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "count": F.count,
@@ -154,13 +154,12 @@ def fill_neighbour(df: DataFrame, key: str, columns: Sequence[str], method: str,
     forward = method == "ffill"
     value = column(key).cast("double")
     span = df.agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-    share = F.try_divide(value - F.col("__lo"), F.col("__hi") - F.col("__lo"))
-    placed = df.crossJoin(F.broadcast(span)).withColumn("__bucket", F.coalesce(F.floor(share * buckets), F.lit(-1)).cast("long")).drop("__lo", "__hi")
+    placed = df.crossJoin(F.broadcast(span)).withColumn("__bucket", F.when(value.isNotNull(), ordered_bucket(value, F.col("__lo"), F.col("__hi"), buckets))).drop("__lo", "__hi")
     pick = F.max_by if forward else F.min_by
     edges = placed.groupBy("__bucket").agg(*[pick(column(c), F.when(column(c).isNotNull(), column(key))).alias(f"__e{i}") for i, c in enumerate(columns)])
     whole = Window.partitionBy(F.lit(0)).orderBy(F.col("__bucket").asc() if forward else F.col("__bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
     carried = edges.select(F.col("__bucket").alias("__b"), *[F.last(f"__e{i}", ignorenulls=True).over(whole).alias(f"__e{i}") for i in range(len(columns))])
     inside = Window.partitionBy("__bucket").orderBy(column(key).asc() if forward else column(key).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    out = placed.join(carried, F.col("__bucket") == F.col("__b"), "left")
+    out = placed.join(carried, F.col("__bucket").eqNullSafe(F.col("__b")), "left")
     filled = {c: F.coalesce(F.last(column(c), ignorenulls=True).over(inside), F.col(f"__e{i}")) for i, c in enumerate(columns)}
     return out.withColumns(filled).select(*[column(c) for c in df.columns])

@@ -678,11 +678,20 @@ def one_hot(spark, sf):
     return prep.one_hot(customers(spark, sf).df.select("c_custkey", "c_mktsegment"), ["c_mktsegment"])[0]
 
 
-@query()
+#: The 0/1 columns, whose names depend on the data, as a list of the names of those that are 1.
+PREPARED = """WITH c AS (SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY p_brand) < 15 THEN 'other' ELSE p_brand END AS p_brand, CASE WHEN count(*) OVER (PARTITION BY p_type) < 15 THEN 'other' ELSE p_type END AS p_type, CAST(p_size AS DOUBLE) AS p_size, p_retailprice FROM part),
+q AS (SELECT quantile_cont(p_size, 0.05) AS lo, quantile_cont(p_size, 0.95) AS hi FROM c), k AS (SELECT c.* FROM c, q WHERE p_size BETWEEN lo AND hi), f AS (SELECT min(p_brand) AS b, min(p_type) AS t FROM k)
+SELECT k.*, concat_ws(',', CASE WHEN p_brand <> b THEN 'p_brand_' || p_brand END, CASE WHEN p_type <> t THEN 'p_type_' || p_type END) AS ones FROM k, f"""
+
+
+@query(PREPARED)
 def preprocessing_pipeline(spark, sf):
     df = read(spark, sf, "part").select("p_partkey", "p_brand", "p_type", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
     frame = RoleFrame(df, {FeatureRole(): ["p_brand", "p_type", "p_size"], TargetRole(): ["p_retailprice"]}, "p_partkey")
-    return prep.standard()(frame).df
+    done = prep.standard()(frame).df
+    made = [c for c in done.columns if c not in df.columns]
+    ones = F.concat_ws(",", *[F.when(F.col(f"`{c}`") == 1, c) for c in made])
+    return done.select(*df.columns, ones.alias("ones"))
 
 
 # ---- matching ----------------------------------------------------------------------------------

@@ -263,6 +263,93 @@ def test_matching_against_brute_force(spark):
         matching.nearest(df, df.limit(0), "id", ["x"])
 
 
+@pytest.mark.parametrize("k", [1, 3])
+def test_tree_search_is_exact(spark, monkeypatch, k):
+    """Small cells, crowded and far points, equal points, and cells and queries above a block."""
+    monkeypatch.setattr(matching, "CELL", 8)
+    monkeypatch.setattr(matching, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    b = np.round(np.vstack([rng.normal(size=(150, 3)), rng.normal(50, 0.1, (60, 3)), np.ones((50, 3))]), 1)
+    q = np.round(np.vstack([rng.normal(size=(60, 3)), rng.normal(30, 20, (20, 3)), np.ones((40, 3))]), 1)
+    frame = lambda x, at: spark.createDataFrame([(at + i, *map(float, v)) for i, v in enumerate(x)], "id long, x double, y double, z double")
+    found = matching.nearest(frame(q, 10_000), frame(b, 0), "id", ["x", "y", "z"], k).collect()
+    got = {(r["query"] - 10_000, r["rank"]): (r.match, r.d2) for r in found}
+    assert len(got) == len(found) == k * len(q)
+    for i, v in enumerate(q):
+        d2 = ((b - v) ** 2).sum(axis=1)
+        for rank, at in enumerate(np.lexsort((np.arange(len(b)), d2))[:k], 1):
+            assert got[i, rank][0] == at and abs(got[i, rank][1] - d2[at]) < 1e-9
+
+
+def test_cells_find_most_neighbours(spark):
+    """Approximate search with far fewer probes than cells, against exact search."""
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"id": range(6000), "x": rng.normal(size=6000), "y": rng.normal(size=6000), "z": rng.normal(size=6000)})
+    df = spark.createDataFrame(pdf)
+    q, b = df.filter("id % 6 = 0"), df.filter("id % 6 <> 0")
+    exact = {r["query"]: r.match for r in matching.nearest(q, b, "id", ["x", "y", "z"]).collect()}
+    near = matching.nearest(q, b, "id", ["x", "y", "z"], mode="cells", cells=50, probes=8).collect()
+    assert sum(exact[r["query"]] == r.match for r in near) >= 0.9 * len(exact) == 900
+
+
+def test_matching_options(spark):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"id": range(200), "t": rng.integers(0, 2, 200), "x": rng.normal(size=200), "kind": rng.choice(["a", "b", "c"], 200)})
+    pdf["y"] = pdf.x + 2.0 * pdf.t
+    frame = RoleFrame(spark.createDataFrame(pdf), {TreatmentRole(): ["t"], TargetRole(): ["y"], FeatureRole(): ["x", "kind"]}, "id")
+    whole = {r.metric: r.effect_size for r in shells.Matching(bias_estimation=False, quality_tests=()).execute(frame).resume.collect()}
+    for metric in ("att", "atc"):
+        out = shells.Matching(metric=metric, bias_estimation=False).execute(frame)
+        assert [(r.metric, round(r.effect_size, 9)) for r in out.resume.collect()] == [(metric.upper(), round(whole[metric.upper()], 9))]
+        assert out.full_data.select("t").distinct().collect() == [(int(metric == "att"),)]
+        assert {(r.feature, r.test) for r in out.quality.collect()} == {("x", "t-test"), ("x", "ks-test"), ("kind", "chi2-test")}
+    heavy = shells.Matching(weights={"kind": 1e6, "x": 1.0}, quality_tests=()).execute(frame).full_data
+    assert heavy.filter("kind <> kind_matched").count() == 0
+    plain = shells.Matching(encode_categories=False, quality_tests=()).execute(frame).full_data
+    assert plain.filter("kind <> kind_matched").count() > 0
+    with pytest.raises(errors.InvalidArgumentError):
+        shells.Matching(metric="atx")
+
+
+def test_skewed_values_spread_over_buckets(spark):
+    """Values crowded at one end, in the middle or beside a few far ones; the sums are right and no bucket holds much."""
+    from tessera.functions.ranking import cumulative, ordered_bucket
+
+    rng = np.random.default_rng(1)
+    for values in (rng.lognormal(0, 3, 20_000), -rng.lognormal(0, 3, 20_000), rng.standard_cauchy(20_000), rng.normal(1e6, 1, 20_000)):
+        df = spark.createDataFrame(pd.DataFrame({"v": np.unique(values)})).withColumn("c", F.lit(1))
+        span = df.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+        held = df.crossJoin(span).groupBy(ordered_bucket(F.col("v"), F.col("lo"), F.col("hi"))).count().agg(F.max("count")).first()[0]
+        assert held < 0.05 * 20_000
+        upto = cumulative(df, [], "v", ["c"]).orderBy("v").toPandas()["c__upto"].to_numpy()
+        assert (upto == np.arange(1, len(upto) + 1)).all()
+
+
+def test_positions_of_strings_with_a_common_start(spark):
+    from tessera.functions.ranking import position
+
+    df = spark.createDataFrame([(f"user_{i:05d}",) for i in range(500)] + [(None,)], "k string")
+    found = {r.k: r.p for r in position(df, "k", "p").collect() if r.k}
+    assert all(found[f"user_{i:05d}"] - found["user_00000"] == i for i in range(500))
+
+
+def test_apply_sees_whole_columns(spark):
+    frame = RoleFrame(spark.range(40).select("id", F.col("id").cast("double").alias("x")).repartition(5), {}, "id")
+    found = {r.id: r.x for r in frame.apply(lambda s: s - s.mean()).df.collect()}
+    assert found == {i: i - 19.5 for i in range(40)}
+    with pytest.raises(errors.InvalidArgumentError):
+        frame.apply(lambda s: s, most=10)
+    with pytest.raises(errors.NotSuitableFieldError):
+        prep.one_hot(frame.df.select(F.col("id").cast("string").alias("id")), ["id"], most=10)
+
+
+def test_correction_is_old_over_new(spark):
+    found = multitest.multitest(spark.createDataFrame([(1, 0.0), (2, 0.02), (3, 0.5)], "id int, p_value double"), "bonferroni").collect()
+    assert {r.id: round(r.correction, 9) for r in found} == {1: 0.0, 2: round(1 / 3, 9), 3: 0.5}
+    arms = pd.DataFrame({"n": [50, 50, 50], "mean": [0.0, 0.5, 0.0], "var": [1.0, 1.0, 1.0]})
+    assert multitest.best_arm(arms) == 2 and multitest.best_arm(arms, size="least", alpha=0.001) == 0
+
+
 def test_variance_reduction(spark):
     df = synthetic.lagged(spark, 3000, seed=4).withColumn("id", F.monotonically_increasing_id())
     adjusted = variance.cuped(df, {"y0": "y0_lag_1"})
