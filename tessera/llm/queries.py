@@ -23,11 +23,9 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .chat import whole_blocks
-
     spans = F.transform("mask", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
-    views = whole_blocks(read(spark, sf_dir, "conversations"))
-    return views.select("conv_id", "participant", "block", "n_messages", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), F.array_join(spans, ",").alias("mask"))
+    views = chat.rotate(read(spark, sf_dir, "conversations"))
+    return views.select("conv_id", "participant", "part", "start", "n_messages", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), F.array_join(spans, ",").alias("mask"))
 
 
 def op3_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,38 +140,37 @@ def test_sequences(docs):
 def test_rotation(spark):
     rows = [(1, 0, "a", "hi"), (1, 1, "b", None), (1, 70, None, "late"), (2, 0, "a", "x"), (None, 0, "a", "n"), (None, None, "b", "m"), (1, 1, "b", None)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("participant", F.lit("clash"))
-    found = {(r.conv_id, r.participant, r.block): r for r in chat.rotate(df).collect()}
-    assert len(found) == 2 * 3 + 1 + 2
-    one = found[1, "a", 0]
-    assert one.text == "<|assistant|>\nhi<|end|>\n<|user name=b|>\n<|end|>\n<|user name=b|>\n<|end|>\n"
+    found = {(r.conv_id, r.participant): r for r in chat.rotate(df).collect()}
+    assert len(found) == 3 + 1 + 2 and {(r.part, r.start) for r in found.values()} == {(0, 0)}
+    one = found[1, "a"]
+    assert one.text == "<|assistant|>\nhi<|end|>\n<|user name=b|>\n<|end|>\n<|user name=b|>\n<|end|>\n<|user name=unknown|>\nlate<|end|>\n"
     assert [one.text[s.start : s.end] for s in one.mask] == ["hi<|end|>\n"]
-    assert [found[1, "unknown", 1].text[s.start : s.end] for s in found[1, "unknown", 1].mask] == ["late<|end|>\n"]
-    assert found[1, "a", 1].mask == []
-    assert found[None, "b", 0].text.startswith("<|assistant|>\nm")
+    assert [found[1, "unknown"].text[s.start : s.end] for s in found[1, "unknown"].mask] == ["late<|end|>\n"]
+    assert found[None, "b"].text.startswith("<|assistant|>\nm")
     assert chat.rotate(df.limit(0)).count() == 0
 
 
-def test_rotation_spreads_a_crowded_turn(spark):
-    df = spark.range(2000).select(F.lit(1).alias("conv_id"), F.lit(0).alias("turn"), F.concat(F.lit("r"), F.col("id") % 2).alias("role"), F.col("id").cast("string").alias("text"))
-    out = chat.rotate(df)
-    assert out.agg(F.sum("n_messages")).first()[0] == 4000
-    assert out.agg(F.max("n_messages")).first()[0] < 500
+@pytest.mark.parametrize("lot", [1024, 2])
+def test_rotation_of_long_dialogues(spark, tmp_path, monkeypatch, lot):
+    """Parts in order are the dialogue, masks are positions in it, and the query gives its SQL's rows.
 
-
-def test_rotation_keeps_order_in_crowded_turns(spark, tmp_path):
-    """Parts in order are the dialogue, and the query gives its SQL's rows: crowded turns amid others, null turns and ids, equal messages."""
+    Crowded turns amid others, many turns, null turns and ids, equal messages and a very long text.
+    """
+    monkeypatch.setattr(chat, "LOT", lot)
     rows = [(1, t, f"r{i % 3}", f"m{i:04}") for t, n in ((None, 300), (0, 5), (1, 900), (2, 4), (3, 600), (70, 2)) for i in range(n)]
-    rows += [(1, 1, "r0", "same")] * 700 + [(None, 0, "a", f"x{i}") for i in range(400)] + [(2, 0, "a", "x"), (2, 1, "b", "y")]
+    rows += [(1, 1, "r0", "same")] * 700 + [(None, 0, "a", f"x{i}") for i in range(400)] + [(2, 0, "a", "x"), (2, 1, "b", "y" * 200_000)]
+    rows += [(3, i, "ab"[i % 2], f"t{i}") for i in range(300)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
     views = defaultdict(list)
     for r in chat.rotate(df).collect():
         views[r.conv_id, r.participant].append(r)
     for (conv, me), found in views.items():
         own = sorted((r for r in rows if r[0] == conv), key=lambda r: (-1 if r[1] is None else r[1], r[2], r[3]))
-        found.sort(key=lambda r: (r.block, r.part))
+        found.sort(key=lambda r: r.part)
         whole = "".join(("<|assistant|>\n" if r[2] == me else f"<|user name={r[2]}|>\n") + r[3] + "<|end|>\n" for r in own)
         assert "".join(r.text for r in found) == whole
-        assert [r.text[s.start : s.end] for r in found for s in r.mask] == [r[3] + "<|end|>\n" for r in own if r[2] == me]
+        assert all(whole[r.start :].startswith(r.text) for r in found)
+        assert [whole[s.start : s.end] for r in found for s in r.mask] == [r[3] + "<|end|>\n" for r in own if r[2] == me]
         assert max(r.n_messages for r in found) <= 256
     duckdb = pytest.importorskip("duckdb")
     from tessera.llm import queries
