@@ -4,11 +4,12 @@ A sentence is everything up to and including its terminators (. ! ? or a newline
 terminators and white space after them; the pieces of a text join up to the text. Every run of
 ``sentences`` consecutive ones with at least ``min_words`` words is hashed over its words, A-Z
 lower-cased. The first occurrence of a run in the order (doc_id, position) stays; sentences
-covered by any other occurrence are removed. Two sentences to a run by default: a shared passage
-of fifty words need not hold more whole ones.
+covered by any other occurrence are removed. Two sentences of sixteen words to a run by default: a
+shared passage of fifty words need not hold more whole ones, and shorter runs recur by chance.
 
-A hot run (a passage in a third of the documents) is pre-aggregated before its shuffle and then
-only joined, never gathered.
+Runs are hashed once and stored. A hot run (a passage in a third of the documents) is
+pre-aggregated before its shuffle and then only joined, with one row on the other side, so that
+Spark can split its partition; it is never gathered.
 
 Defined results: null text stays null and has no sentences; a null id sorts first; rows equal in
 id and text count as one document; other columns stay, clashing names are replaced; an empty
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches
+from .common import Workspace, batches, unused
 from .textbytes import LOWER, NON_SPACE, SPACE, RangeHash, Texts, _tables, chunks, from_arrow, grams, mix, runs, table
 
 TERMINATOR = table(*b".!?\n")
@@ -67,7 +68,7 @@ def _runs_of(texts: Texts, sentences: int, min_words: int):
     return doc[first], first - bounds[doc[first]], found[first]
 
 
-def dedup_spans(df: DataFrame, sentences: int = 2, min_words: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_spans(df: DataFrame, sentences: int = 2, min_words: int = 16, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """df with ``text`` after removal, n_sentences and n_removed."""
     key = F.xxhash64(F.col(doc_id), F.col(text))
     keyed = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), key.alias("key"))
@@ -81,21 +82,23 @@ def dedup_spans(df: DataFrame, sentences: int = 2, min_words: int = 8, doc_id: s
                 rows = pa.array(first + doc)
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("key").take(rows), pa.array(i.astype(np.int32)), pa.array(h.astype(np.int64))], names=fields.names)
 
-    found = keyed.mapInArrow(emit, fields)
+    found = Workspace(df.sparkSession, "spans").save(keyed.mapInArrow(emit, fields), "runs")
     here = F.struct("id", "key", "i")
     repeated = found.groupBy("h").agg(F.min(here).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first")
     later = found.join(repeated, "h").filter(here != F.col("first")).select("key", "i")
-    spots = later.groupBy("key").agg(F.array_sort(F.collect_set("i")).alias("__spots"))
+    spots = later.groupBy("key").agg(F.array_sort(F.collect_set("i")).alias("spots"))
 
     kept = [f for f in df.schema.fields if f.name.lower() not in (text.lower(), "n_sentences", "n_removed")]
     new = [T.StructField(text, T.StringType()), T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())]
-    joined = df.withColumn("__key", key).join(spots.withColumnRenamed("key", "__key"), "__key", "left")
+    taken = {f.name.lower() for f in df.schema.fields}
+    own_key, own_spots = unused("key", taken), unused("spots", taken)
+    joined = df.withColumn(own_key, key).join(spots.select(F.col("key").alias(own_key), F.col("spots").alias(own_spots)), own_key, "left")
 
     def cut(stream):
         for batch in batches(stream):
             column = batch.column(text)
             valid = column.is_valid().to_numpy(zero_copy_only=False)
-            spots = batch.column("__spots")
+            spots = batch.column(own_spots)
             texts_out, n_sentences, n_removed = [], [], []
             for first, last, texts in chunks(from_arrow(column)):
                 starts, bounds = sentence_starts(texts)
@@ -128,7 +131,7 @@ spans AS (
   SELECT doc_id, i, array_to_string(w, ' ') || chr(30) || array_to_string(lead(w) OVER d, ' ') AS span, len(w) + len(lead(w) OVER d) AS c
   FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
 ranked AS (
-  SELECT doc_id, i, row_number() OVER (PARTITION BY span ORDER BY doc_id, i) AS r FROM spans WHERE c >= 8),
+  SELECT doc_id, i, row_number() OVER (PARTITION BY span ORDER BY doc_id, i) AS r FROM spans WHERE c >= 16),
 gone AS (SELECT doc_id, i FROM ranked WHERE r > 1 UNION SELECT doc_id, i + 1 FROM ranked WHERE r > 1),
 joined AS (
   SELECT w.doc_id, count(*) AS n_sentences, count(g.i) AS n_removed, string_agg(CASE WHEN g.i IS NULL THEN w.piece ELSE '' END, '' ORDER BY w.i) AS kept

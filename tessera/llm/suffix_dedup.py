@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Workspace, batches
+from .common import Workspace, batches, unused
 from .suffixarray import permuted_common_prefixes, suffix_array
 from .textbytes import RangeHash, Texts, chunks, from_arrow, mix, ranges, release
 
@@ -334,7 +334,7 @@ def dedup_suffixes(df: DataFrame, size: int = SIZE, hot: int = HOT, doc_id: str
     names = {f.name for f in new}
     kept = [f for f in df.schema.fields if f.name.lower() not in names]
     taken = {f.name.lower() for f in kept}
-    own_id, own_th, own_spans, own_small = (_unused(n, taken) for n in ("id", "th", "spans", "small"))
+    own_id, own_th, own_spans, own_small = (unused(n, taken) for n in ("id", "th", "spans", "small"))
     joined = df.select(*[F.col(f"`{f.name}`") for f in kept], id_.alias(own_id), th.alias(own_th))
     for found, name in ((spans, own_spans), (small, own_small)):
         if found is not None:
@@ -368,10 +368,3 @@ def dedup_suffixes(df: DataFrame, size: int = SIZE, hot: int = HOT, doc_id: str
             yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + [left_over] + longs, names=[f.name for f in kept + new])
 
     return joined.mapInArrow(cut, T.StructType(kept + new))
-
-
-def _unused(name: str, taken: set[str]) -> str:
-    """``name`` with as many underscores before it as no column in ``taken`` has."""
-    while name in taken:
-        name = "_" + name
-    return name

@@ -247,8 +247,9 @@ def test_repetition_longest(spark):
 def test_spans(spark):
     a, b, c = "Alpha beta gamma delta epsilon.", "Zeta eta theta iota kappa!", "Lambda mu nu xi omicron?"
     rows = [(1, f"{a} {b} {c} tail one"), (2, f"other start. {a}\n{b} more here now."), (3, None), (4, ""), (5, f"{a} {b} {a} {b} rest"), (6, "Es. An. It. Es. An. It."), (None, "nothing shared in here at all. Really nothing at all here.")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("i", F.lit(1)).withColumn("h", F.lit(2))
-    found = {r.doc_id: r for r in spans.dedup_spans(df).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"i": F.lit(1), "h": F.lit(2), "key": F.lit(3), "spots": F.lit(4), "_key": F.lit(5)})
+    found = {r.doc_id: r for r in spans.dedup_spans(df, min_words=8).collect()}
+    assert all((r.key, r.spots, r._key) == (3, 4, 5) for r in found.values())
     # the null id has other sentences; document 1 has the first occurrence of both runs
     assert found[1].n_removed == 0 and found[1].text == rows[0][1]
     assert found[2].text == "other start. more here now." and found[2].n_removed == 2
@@ -258,6 +259,17 @@ def test_spans(spark):
     assert spans.dedup_spans(df.limit(0)).count() == 0
 
 
+def test_spans_by_default_have_sixteen_words(spark):
+    """Ten words in two sentences may recur by chance; a longer run goes from all but its first text, repeated rows and a very long text included."""
+    rng = random.Random(5)
+    short = "Alpha beta gamma delta epsilon. Zeta eta theta iota kappa."
+    long = "Alpha beta gamma delta epsilon zeta eta theta. Lambda mu nu xi omicron pi rho sigma."
+    filler = lambda n: " ".join(f"{text(rng, 12)}." for _ in range(n))
+    rows = [(1, f"{filler(1)} {short} {long} {filler(1)}"), (2, f"{filler(1)} {short} {filler(1)}"), (3, f"{filler(2)} {long} {filler(800)}"), (4, f"{long}"), (4, f"{long}")]
+    found = [(r.doc_id, r.n_removed) for r in spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(found) == [(1, 0), (2, 0), (3, 2), (4, 2), (4, 2)]
+
+
 # 5
 
 
