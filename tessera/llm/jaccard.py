@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Workspace, batches, components
-from .textbytes import NON_SPACE, Texts, chunks, from_arrow, mix
+from .textbytes import NON_SPACE, Texts, chunks, from_arrow, mix, release
 from .textstats import Words
 
 BLOCK = 256  # members of a block
@@ -67,6 +67,12 @@ def shingles(texts: Texts, n: int = 4) -> tuple[np.ndarray, np.ndarray]:
     return doc[fresh], token[fresh]
 
 
+def _sets(column: pa.ChunkedArray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, token) of all texts of a column, whose bytes are hashed a chunk at a time."""
+    parts = [(first, *shingles(texts, n)) for first, _, texts in chunks(from_arrow(column))]
+    return np.concatenate([doc + first for first, doc, _ in parts]), np.concatenate([token for _, _, token in parts])
+
+
 def _set_hashes(doc: np.ndarray, token: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(size, hash) of each document's set."""
     size = np.bincount(doc, minlength=n)
@@ -283,16 +289,17 @@ def _meet(n: int, percent: int):
     """Meetings, rows (a, b, side, s, text): block a (side 0) with block b (side 1), or with itself -> links (a, b) of classes."""
 
     def work(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("a", "ascending"), ("b", "ascending"), ("side", "ascending"), ("s", "ascending")])
         a, b, side, s = (rows.column(c).to_numpy() for c in ("a", "b", "side", "s"))
-        doc, token = shingles(from_arrow(rows.column("text")), n)
+        order = np.lexsort((s, side, b, a))
+        a, b, side, s = a[order], b[order], side[order], s[order]
         starts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
         left, right = [], []
         for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(s)], strict=True):
             alone = a[lo] == b[lo]
             mid = hi if alone else lo + int(np.count_nonzero(side[lo:hi] == 0))
-            at = np.searchsorted(doc, [lo, hi])
-            near = _near(doc[at[0] : at[1]] - lo, token[at[0] : at[1]], 0, mid - lo, hi - lo, percent, alone)
+            doc, token = _sets(rows.column("text").take(pa.array(order[lo:hi])), n)
+            near = _near(doc, token, 0, mid - lo, hi - lo, percent, alone)
+            release()
             for i, j in _spanning(near, alone):
                 left.append(int(s[lo + i]))
                 right.append(int(s[lo + j]))
