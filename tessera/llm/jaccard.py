@@ -328,10 +328,11 @@ def jaccard_components(df: DataFrame, n: int = 4, percent: int = 85, doc_id: str
     levels = _levels(overview)
     known = overview.filter("s is not null").select("id", "th", "size", "s")
 
-    prefixes = _prefixes(docs, n, percent, levels)
+    prefixes = ws.save(_prefixes(docs, n, percent, levels), "prefixes")
     shared = prefixes.groupBy("token").agg(F.min("s").alias("lead"), F.max("s").alias("last")).filter("lead <> last").select("token")
     shared = ws.save(shared, "shared")
     postings = ws.save(prefixes.join(shared, "token").distinct(), "postings")
+    ws.drop(prefixes, shared)
     classes = ws.save(known.filter("size > 0").groupBy("s").agg(F.max("size").alias("size"), F.min(F.struct("id", "th")).alias("at")), "classes")
     least = lambda size: F.least(F.lit(SHARED), F.ceil(percent * size / 100))
 
