@@ -43,7 +43,7 @@ TOKENS = 1 << 19  # and their tokens, about; one member at least
 MEETING_BYTES = 4 << 20  # texts of the meetings that one group of rows holds
 COLUMNS = 4096  # tokens in one matrix product
 SLOTS = 1 << 20  # of the frequency sketch: one byte each, whatever the input
-SHARED = 3  # prefix tokens that two linked sets have in common
+SHARED = 16  # prefix tokens that two linked sets have in common
 LEAST = 32  # documents that make a token frequent
 BUCKETS = ((1500, 256), (6000, 1024), (None, 4096))  # columns of the token-group matrix for sets below each size
 UNBOUNDED = 65535  # a count that two bytes cannot tell
