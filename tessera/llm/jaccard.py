@@ -375,7 +375,9 @@ def jaccard_components(df: DataFrame, n: int = 4, percent: int = 85, doc_id: str
     stars = blocks.withColumnRenamed("u", "a").join(lead, "token").filter("a <> b")
     first = ws.save(_qualified(shared_enough(stars), matrix, percent), "first")
     # a star has only the tokens whose least block is b; its members share others too
-    common = blocks.select("token", F.col("u").alias("a")).join(first, "a").join(blocks.select("token", F.col("u").alias("b")), ["token", "b"])
+    held = ws.save(blocks.join(lead.select("token"), "token").groupBy("u").agg(F.collect_list("token").alias("held")), "held")
+    one, two = (held.select(F.col("u").alias(side), F.col("held").alias(f"held_{side}")) for side in "ab")
+    common = first.join(one, "a").join(two, "b").select("a", "b", F.explode(F.array_intersect("held_a", "held_b")).alias("token"))
     links = _open_blocks(ws, own.unionByName(able_members(first, common)), matrix, texts, n, percent)
     joined = components(links, ws)
 
