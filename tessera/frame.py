@@ -543,11 +543,25 @@ class RoleFrame:
         count = F.approx_count_distinct if approximate else F.count_distinct
         return self.df.agg(*[count(_quoted(c)).alias(c) for c in self._data()]).first().asDict()
 
-    def value_counts(self, normalize: bool = False, dropna: bool = True) -> RoleFrame:
-        return self._statistic(stats.value_counts(self.df, self._data(), normalize, dropna))
+    def value_counts(self, normalize: bool = False, dropna: bool = True, sort: bool = True, ascending: bool = False) -> RoleFrame:
+        return self._statistic(stats.value_counts(self.df, self._data(), normalize, dropna, sort, ascending))
 
-    def groupby(self, by: str | Sequence[str], functions: str | Sequence[str] | None = None, columns: Sequence[str] | None = None):
-        """Aggregates by key, null keys dropped; without functions a list of (key, frame), keys sorted."""
+    def groupby(self, by: str | Sequence[str] | RoleFrame, functions: str | Sequence[str] | None = None, columns: Sequence[str] | None = None):
+        """Aggregates by key, null keys dropped; without functions a list of (key, frame), keys sorted.
+
+        A frame of one column groups by its values, in the rows that share this frame's key.
+        """
+        if isinstance(by, RoleFrame):
+            if len(by._data()) != 1:
+                raise errors.DataTypeError(f"groups come from one column, not from {by._data()}")
+            (name,) = by._data()
+            beside, names = self._beside(by)
+            own = "__group"
+            grouped = self.new(beside.select(*self.df.columns, _quoted(names[name]).alias(own)))
+            found = grouped.groupby(own, functions, columns)
+            if functions is not None:
+                return found.rename({own: name})
+            return [(k, part.drop(own)) for k, part in found]
         by = [by] if isinstance(by, str) else list(by)
         present = self.df.filter(reduce(operator.and_, (_quoted(b).isNotNull() for b in by)))
         if functions is not None:
@@ -556,6 +570,12 @@ class RoleFrame:
         same = lambda k: reduce(operator.and_, (_quoted(b) == F.lit(v) for b, v in zip(by, k, strict=True)))
         return [(k[0] if len(by) == 1 else tuple(k), self.new(present.filter(same(k)))) for k in keys]
 
+    def sql(self, query: str, **others: RoleFrame) -> RoleFrame:
+        """A SQL query over this frame as ``{frame}`` and further frames by their names; roles stay with columns that keep name and type."""
+        found = self.df.sparkSession.sql(query, frame=self.df, **{n: f.df for n, f in others.items()})
+        kept = {c: r for c, r in self.roles.items() if c in found.columns and found.schema[c].dataType == self.df.schema[c].dataType}
+        return RoleFrame(found, kept, self.key if self.key in found.columns else None)
+
     # order
     def sort(self, by: str | Sequence[str] | None = None, ascending: bool = True) -> RoleFrame:
         by = [by] if isinstance(by, str) else list(by or [self._order()])

@@ -137,13 +137,14 @@ def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return counts.join(F.broadcast(top), (F.col("column") == F.col("__column")) & (F.col("n") == F.col("__n"))).select("column", "value", "n")
 
 
-def value_counts(df: DataFrame, columns: Sequence[str], normalize: bool = False, dropna: bool = True) -> DataFrame:
+def value_counts(df: DataFrame, columns: Sequence[str], normalize: bool = False, dropna: bool = True, sort: bool = True, ascending: bool = False) -> DataFrame:
+    """Rows for each combination of values; without ``sort`` in no order, which saves a shuffle."""
     df = df.dropna(subset=list(columns)) if dropna else df
-    counts = df.groupBy(*[column(c) for c in columns]).agg(F.count("*").alias("count"))
-    if not normalize:
-        return counts.orderBy(F.desc("count"), *columns)
-    total = df.agg(F.count("*").alias("__n"))
-    return counts.crossJoin(F.broadcast(total)).withColumn("proportion", F.col("count") / F.col("__n")).drop("__n", "count").orderBy(F.desc("proportion"), *columns)
+    found, by = df.groupBy(*[column(c) for c in columns]).agg(F.count("*").alias("count")), "count"
+    if normalize:
+        total = df.agg(F.count("*").alias("__n"))
+        found, by = found.crossJoin(F.broadcast(total)).withColumn("proportion", F.col("count") / F.col("__n")).drop("__n", "count"), "proportion"
+    return found.orderBy(F.asc(by) if ascending else F.desc(by), *[column(c) for c in columns]) if sort else found
 
 
 def fill_neighbour(df: DataFrame, key: str, columns: Sequence[str], method: str, buckets: int = 1024) -> DataFrame:

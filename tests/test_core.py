@@ -27,6 +27,27 @@ def values(frame, column):
     return [r[column] for r in frame.df.orderBy("k").collect()]
 
 
+def test_groups_of_another_frame_counts_and_sql(spark):
+    frame = RoleFrame.from_dict(spark, {"k": [1, 2, 3, 4], "g": ["x", "y", "x", None], "a": [1, 2, 4, 8]}, {TargetRole(): ["a"]}, "k")
+    groups = RoleFrame.from_dict(spark, {"k": [4, 3, 2, 1], "a": ["v", "u", "u", None]}, key="k")
+    parts = frame.groupby(groups)
+    assert [(key, sorted(r["a"] for r in part.df.collect())) for key, part in parts] == [("u", [2, 4]), ("v", [8])]
+    assert all(part.columns == frame.columns and part.key == "k" and part.roles["a"].name == "Target" for _, part in parts)
+    by_name, by_frame = frame.groupby("g", ["sum", "mean"], ["a"]).df, frame.groupby(frame.select(["g"]), ["sum", "mean"], ["a"]).df
+    assert by_frame.columns == by_name.columns and sorted(map(tuple, by_frame.collect())) == sorted(map(tuple, by_name.collect()))
+    with pytest.raises(errors.DataTypeError):
+        frame.groupby(frame)
+
+    counted = frame.select(["g"])
+    assert [r["count"] for r in counted.drop("k").value_counts(ascending=True).df.collect()] == [1, 2]
+    assert [r["count"] for r in counted.drop("k").value_counts(dropna=False).df.collect()] == [2, 1, 1]
+    assert {r["g"]: r["proportion"] for r in counted.drop("k").value_counts(normalize=True, sort=False, dropna=False).df.collect()} == {"x": 0.5, "y": 0.25, None: 0.25}
+
+    found = frame.sql("SELECT f.k, f.a, g.a AS own, a_sum FROM {frame} f JOIN {groups} g USING (k), (SELECT sum(a) AS a_sum FROM {frame}) WHERE f.a > 1", groups=groups)
+    assert sorted(map(tuple, found.df.collect())) == [(2, 2, "u", 15), (3, 4, "u", 15), (4, 8, "v", 15)]
+    assert found.key == "k" and found.roles["a"].name == "Target" and found.roles["a_sum"].name == "Default"
+
+
 def test_roles(small):
     assert small.roles["a"].data_type is int and small.roles["b"].name == "Default"
     assert small.search_columns(InfoRole) == ["a"]
