@@ -480,9 +480,16 @@ class RoleFrame:
         return out
 
     # aggregates: one-row frames, see also tessera.operators.stats
-    def agg(self, functions: str | Sequence[str], columns: Sequence[str] | None = None) -> RoleFrame:
-        """Columns <column>_<function> for several functions, <column> for one."""
-        return self._statistic(stats.aggregate(self.df, self._numeric(columns), functions))
+    def agg(self, functions: str | Callable | Sequence, columns: Sequence[str] | None = None) -> RoleFrame:
+        """Columns <column>_<function> for several functions, <column> for one. Names, or Python functions of a Series (see stats.aggregate_python)."""
+        return self._aggregate(self.df, self._numeric(columns), functions)
+
+    def _aggregate(self, df: DataFrame, columns: Sequence[str], functions: str | Callable | Sequence, by: Sequence[str] = ()) -> RoleFrame:
+        given = [functions] if isinstance(functions, str) or callable(functions) else list(functions)
+        python = [callable(f) for f in given]
+        if any(python) and not all(python):
+            raise errors.InvalidArgumentError("either names of aggregates or Python functions, not both")
+        return self._statistic((stats.aggregate_python if any(python) else stats.aggregate)(df, columns, functions, by))
 
     def _statistic(self, df: DataFrame) -> RoleFrame:
         return RoleFrame(df, {c: StatisticRole() for c in df.columns}, None, _clean=True)
@@ -546,7 +553,7 @@ class RoleFrame:
     def value_counts(self, normalize: bool = False, dropna: bool = True, sort: bool = True, ascending: bool = False) -> RoleFrame:
         return self._statistic(stats.value_counts(self.df, self._data(), normalize, dropna, sort, ascending))
 
-    def groupby(self, by: str | Sequence[str] | RoleFrame, functions: str | Sequence[str] | None = None, columns: Sequence[str] | None = None):
+    def groupby(self, by: str | Sequence[str] | RoleFrame, functions: str | Callable | Sequence | None = None, columns: Sequence[str] | None = None):
         """Aggregates by key, null keys dropped; without functions a list of (key, frame), keys sorted.
 
         A frame of one column groups by its values, in the rows that share this frame's key.
@@ -565,7 +572,7 @@ class RoleFrame:
         by = [by] if isinstance(by, str) else list(by)
         present = self.df.filter(reduce(operator.and_, (_quoted(b).isNotNull() for b in by)))
         if functions is not None:
-            return self._statistic(stats.aggregate(present, [c for c in self._numeric(columns) if c not in by], functions, by))
+            return self._aggregate(present, [c for c in self._numeric(columns) if c not in by], functions, by)
         keys = present.select(*[_quoted(b) for b in by]).distinct().orderBy(*by).collect()
         same = lambda k: reduce(operator.and_, (_quoted(b) == F.lit(v) for b, v in zip(by, k, strict=True)))
         return [(k[0] if len(by) == 1 else tuple(k), self.new(present.filter(same(k)))) for k in keys]

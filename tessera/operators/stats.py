@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,6 +44,27 @@ def aggregate(df: DataFrame, columns: Sequence[str], functions: str | Sequence[s
     return df.groupBy(*by).agg(*made) if by else df.agg(*made)
 
 
+def aggregate_python(df: DataFrame, columns: Sequence[str], functions: Callable | Sequence[Callable], by: Sequence[str] = (), kind: str = "double", most: int = 1_000_000) -> DataFrame:
+    """Python functions of a Series, nulls as NaN; each group is held by one task, so it may have ``most`` rows at most."""
+    made, one = [functions] if callable(functions) else list(functions), callable(functions)
+    largest = df.groupBy(*[column(b) for b in by]).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > most:
+        raise errors.InvalidArgumentError(f"a Python aggregate takes groups of {most} rows at most, there is one of {largest}: use a named aggregate, or raise most")
+    if not by and not largest:
+        nothing = lambda name: F.max(F.lit(None).cast(kind)).alias(name)
+        return df.agg(*[nothing(c if one else f"{c}_{f.__name__}") for c in columns for f in made])
+
+    def udf(function: Callable):
+        def over(values):
+            return function(values)
+
+        over.__annotations__ = {"values": pd.Series, "return": float}
+        return F.pandas_udf(over, kind)
+
+    found = [udf(f)(column(c)).alias(c if one else f"{c}_{f.__name__}") for c in columns for f in made]
+    return df.groupBy(*[column(b) for b in by]).agg(*found) if by else df.agg(*found)
+
+
 def idxmax(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """The key of each column's first maximum in key order."""
     best = []

@@ -48,6 +48,22 @@ def test_groups_of_another_frame_counts_and_sql(spark):
     assert found.key == "k" and found.roles["a"].name == "Target" and found.roles["a_sum"].name == "Default"
 
 
+def test_python_aggregates(spark):
+    frame = RoleFrame.from_dict(spark, {"k": [1, 2, 3, 4], "g": ["x", "y", "x", None], "a": [1.0, 2.0, None, 8.0]}, key="k")
+
+    def spread(values):
+        return values.max() - values.min()
+
+    assert frame.agg(spread, ["a"]).scalar() == 7
+    assert frame.agg([spread, len], ["a"]).df.first().asDict() == {"a_spread": 7, "a_len": 4}
+    assert {r["g"]: r["a"] for r in frame.groupby("g", len, ["a"]).df.collect()} == {"x": 2, "y": 1}
+    assert frame.new(frame.df.filter("k > 9")).agg(spread, ["a"]).scalar() is None
+    with pytest.raises(errors.InvalidArgumentError):
+        frame.agg(["mean", spread], ["a"])
+    with pytest.raises(errors.InvalidArgumentError):
+        stats.aggregate_python(frame.df, ["a"], len, most=3)
+
+
 def test_roles(small):
     assert small.roles["a"].data_type is int and small.roles["b"].name == "Default"
     assert small.search_columns(InfoRole) == ["a"]
