@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, spans, winnow
+from . import chat, negatives, spans, winnow
 from .common import read
 
 
@@ -82,10 +82,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(read(spark, sf_dir, "embeddings"))
+
+
 def op13_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnow.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.withColumn("items", F.sha2(F.array_join("items", ","), 256)).withColumnRenamed("items", "items_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_perspective_rotation, op3_suffix_repetition, op4_sentence_spans, op5_byte_bpe, op6_suffix_arrays, op7_token_group_join, op8_projection_forest, op9_license_scan, op10_quality_classifier, op13_winnowing)}
-SQL: dict[str, str] = {"op2_perspective_rotation": chat.SQL, "op4_sentence_spans": spans.SQL, "op13_winnowing": winnow.SQL}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_perspective_rotation, op3_suffix_repetition, op4_sentence_spans, op5_byte_bpe, op6_suffix_arrays, op7_token_group_join, op8_projection_forest, op9_license_scan, op10_quality_classifier, op12_hard_negatives, op13_winnowing)}
+SQL: dict[str, str] = {"op2_perspective_rotation": chat.SQL, "op4_sentence_spans": spans.SQL, "op12_hard_negatives": negatives.SQL, "op13_winnowing": winnow.SQL}
