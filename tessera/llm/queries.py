@@ -82,6 +82,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .align import align
+
+    return align(read(spark, sf_dir, "documents").select("doc_id", "text"), _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(read(spark, sf_dir, "embeddings"))
 
@@ -91,5 +97,5 @@ def op13_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("items", F.sha2(F.array_join("items", ","), 256)).withColumnRenamed("items", "items_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_perspective_rotation, op3_suffix_repetition, op4_sentence_spans, op5_byte_bpe, op6_suffix_arrays, op7_token_group_join, op8_projection_forest, op9_license_scan, op10_quality_classifier, op12_hard_negatives, op13_winnowing)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_perspective_rotation, op3_suffix_repetition, op4_sentence_spans, op5_byte_bpe, op6_suffix_arrays, op7_token_group_join, op8_projection_forest, op9_license_scan, op10_quality_classifier, op11_token_alignment, op12_hard_negatives, op13_winnowing)}
 SQL: dict[str, str] = {"op2_perspective_rotation": chat.SQL, "op4_sentence_spans": spans.SQL, "op12_hard_negatives": negatives.SQL, "op13_winnowing": winnow.SQL}

@@ -19,11 +19,11 @@ def words(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return runs(NON_SPACE[texts.data], texts)
 
 
-def spaced_words(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+def spaced_words(texts: Texts, before: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """White space with the run that follows it; together they cover every byte.
 
-    A cut stands before an ASCII white-space byte whose predecessor is no white space. Where the
-    predecessor may end a wider Unicode space, no cut is made.
+    A cut stands before a byte of ``before`` (ASCII white space) whose predecessor is no white
+    space. Where the predecessor may end a wider Unicode space, no cut is made.
     """
     data, n = texts.data, len(texts.data)
     if not n:
@@ -33,7 +33,7 @@ def spaced_words(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     last, last2, last3 = (np.concatenate([np.zeros(k, np.uint8), data[:-k]])[:n] for k in (1, 2, 3))
     wide = (last2 == 0xC2) & ((last == 0x85) | (last == 0xA0))
     wide |= (last3 >= 0xE1) & (last3 <= 0xE3) & ((last2 == 0x80) | (last2 == 0x81) | (last2 == 0x9A))
-    cut = space & ~wide
+    cut = before[data] & ~wide
     cut[1:] &= ~space[:-1] & ~control[:-1]
     cut[0] = True
     inner = texts.at[(texts.at < n)]
@@ -45,6 +45,8 @@ def spaced_words(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
 class Encoded:
     """Ids of units: unit u has flat[at[u]:at[u + 1]]."""
 
+    limit = LIMIT
+
     def __init__(self, encode):
         self._encode = encode
         self._clear()
@@ -57,7 +59,7 @@ class Encoded:
         """The slot of each unit; unknown ones are encoded first."""
         hashes = RangeHash(texts.data)(starts, ends)
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self._slot) + len(distinct) > LIMIT:
+        if len(self._slot) + len(distinct) > self.limit:
             self._clear()
         found = np.full(len(distinct), -1, np.int64)
         if len(self._known):
