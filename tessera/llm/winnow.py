@@ -8,7 +8,8 @@ windows word by word, so hash collisions never count. Items of fewer words are o
 documents give off all their grams of such an item's length.
 
 Fingerprints of documents are stored once; the items' ones, and hits, are tables whose size Spark
-knows, so it broadcasts them where they are small and shuffles them where they are not. A passage
+knows, so it broadcasts them where they are small and shuffles them where they are not; texts
+without hits are left out first where the hashes of those with hits are few. A passage
 in a third of the documents is one row on the items' side of either join, however many items hold
 it, so a split of its partition is all that skew needs.
 
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import Workspace
 
 WINDOW, K = 10, 5
+KEYS = 1 << 20  # texts with hits, up to which their hashes are broadcast (16 MB)
 W = WINDOW - K + 1
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -81,7 +83,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         return placed.select(*columns, F.shiftright("p", 32).alias("print"), F.col("p").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at"))
 
     kinds = {"prints": WINDOW} | {f"g{m}": m for m in lengths}
-    own = fingerprints(items, lengths)
+    own = ws.save(fingerprints(items, lengths), "items-prints")
     whole = [own.filter(F.col("n_words") >= WINDOW)] + [own.filter(F.col("n_words") == m) for m in lengths]
     tested = None
     for kind, table in zip(kinds, whole, strict=True):
@@ -101,7 +103,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         hits = one if hits is None else hits.unionByName(one)
     hits = ws.save(hits.groupBy("id", "th").agg(F.collect_set("hit").alias("hits")), "hits")
 
-    again = docs.select(*[c.alias(n) for n, c in key.items()], F.col(text).alias("text")).join(hits, ["id", "th"])
+    again = docs.select(*[c.alias(n) for n, c in key.items()], F.col(text).alias("text"))
+    if hits.count() <= KEYS:  # then only texts with hits are shuffled, if any
+        again = again.join(F.broadcast(hits.select("th").distinct()), "th", "left_semi")
+    again = again.join(hits, ["id", "th"])
     again = again.select("id", "th", "hits", words(F.col("text")).alias("w"))
     spots = F.flatten(F.transform("hits", lambda x: F.transform(x["starts"], lambda s: F.struct(s.alias("start"), x["size"].alias("size")))))
     spots = again.select("id", "th", "w", F.array_distinct(spots).alias("spots"))
