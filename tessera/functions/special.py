@@ -93,6 +93,51 @@ def kolmogorov_upper(x: float) -> float:
     return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101))))
 
 
+def ks_exact(d: float, n1: float, n2: float) -> float:
+    """P(D >= d) of the two-sample Kolmogorov-Smirnov distance, exactly.
+
+    A random order of both samples is a lattice path from (0, 0) to (n1, n2); the distance reaches
+    d if the path meets a point (i, j) with abs(i / n1 - j / n2) >= d. The share of such paths to a
+    point follows from its two predecessors; points of one i + j are computed at once, and only
+    those between the two lines. All terms are positive, so small values keep their digits.
+    """
+    n1, n2 = int(n1), int(n2)
+    g = math.gcd(n1, n2)
+    a, b = n1 // g, n2 // g
+    h = round(d * a * n2)  # d in units of 1 / lcm(n1, n2)
+    if h <= 0:
+        return 1.0
+    share = np.ones(n1 + 3)  # share[i + 1]: of paths to (i, k - i)
+    share[1] = 0.0
+    for k in range(1, n1 + n2 + 1):
+        lo = max(0, k - n2, -((h - 1 - k * a) // (a + b)))
+        hi = min(n1, k, (k * a + h - 1) // (a + b))
+        if lo > hi:
+            return 1.0
+        i = np.arange(lo, hi + 1)
+        share[lo + 1 : hi + 2] = (i * share[lo : hi + 1] + (k - i) * share[lo + 1 : hi + 2]) / k
+        share[lo] = share[hi + 2] = 1.0
+    return float(share[n1 + 1])
+
+
+def u_exact(u: float, n1: float, n2: float) -> float:
+    """min(1, 2 P(U >= u)) of the Mann-Whitney statistic without ties, u the larger of both sides' statistics.
+
+    The frequencies of U are the coefficients of the Gaussian binomial of n1 + n2 and the smaller
+    size, a product of (1 - q^(n + i)) / (1 - q^i).
+    """
+    m, n = sorted((int(n1), int(n2)))
+    share = np.ones(1)
+    for i in range(1, m + 1):
+        made = np.zeros(n * i + 1)
+        made[: len(share)] = share
+        made[n + i :] -= share[: max(0, len(made) - n - i)]
+        padded = np.zeros(-(-len(made) // i) * i)
+        padded[: len(made)] = made
+        share = np.cumsum(padded.reshape(-1, i), axis=0).ravel()[: len(made)] * (i / (n + i))
+    return float(min(1.0, 2 * np.sort(share[math.ceil(u) :]).sum())) if u <= m * n else 0.0
+
+
 def _over(function: Callable[..., float]) -> Callable[..., Column]:
     def one(*values: float) -> float | None:
         return None if any(v is None or v != v or abs(v) == math.inf for v in values) else function(*values)
@@ -103,8 +148,11 @@ def _over(function: Callable[..., float]) -> Callable[..., Column]:
     def binary(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
+    def ternary(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series([one(x, y, z) for x, y, z in zip(a, b, c, strict=True)], dtype=float)
+
     def call(*columns: Column) -> Column:
-        return F.pandas_udf(unary if len(columns) == 1 else binary, T.DoubleType())(*[c.cast("double") for c in columns])
+        return F.pandas_udf((unary, binary, ternary)[len(columns) - 1], T.DoubleType())(*[c.cast("double") for c in columns])
 
     return call
 
@@ -114,6 +162,8 @@ normal_two_sided_column = _over(normal_two_sided)
 t_two_sided_column = _over(t_two_sided)
 chi2_upper_column = _over(chi2_upper)
 kolmogorov_upper_column = _over(kolmogorov_upper)
+ks_exact_column = _over(ks_exact)
+u_exact_column = _over(u_exact)
 
 
 def sigmoid(x):

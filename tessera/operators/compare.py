@@ -28,6 +28,9 @@ from .stats import column
 
 MODES = ("groups", "columns", "columns_in_groups", "cross", "matched_pairs")
 POOL_BELOW = 7  # categories with fewer rows in a sample are pooled
+P_VALUES = ("auto", "exact", "asymptotic")
+KS_EXACT, U_EXACT = 10_000, 8  # "auto" is exact up to this many rows in the larger (KS) or the smaller sample (U)
+U_CELLS = 20_000_000  # values of U up to which its distribution is counted
 
 
 def pairs(df: DataFrame, features: Sequence[str], group: str | None = None, mode: str = "groups", baseline: str | None = None, kind: str = "double") -> DataFrame:
@@ -127,20 +130,40 @@ def _counted(observations: DataFrame) -> DataFrame:
     return first.unionByName(second).groupBy("feature", "group", "value").agg(F.sum("c1").alias("c1"), F.sum("c2").alias("c2"))
 
 
-def ks_test(df: DataFrame, features: Sequence[str], group: str | None = None, mode: str = "groups", baseline: str | None = None, reliability: float = 0.05, observations: DataFrame | None = None) -> DataFrame:
-    """Two-sided Kolmogorov-Smirnov distance; asymptotic p-value."""
+def _exact(method: str, fits: Column) -> Column:
+    if method not in P_VALUES:
+        raise errors.InvalidArgumentError(f"p_values {method!r}; one of {P_VALUES}")
+    return F.lit(False) if method == "asymptotic" else F.lit(True) if method == "exact" else fits
+
+
+def ks_test(df: DataFrame, features: Sequence[str], group: str | None = None, mode: str = "groups", baseline: str | None = None, reliability: float = 0.05, observations: DataFrame | None = None, p_values: str = "auto") -> DataFrame:
+    """Two-sided Kolmogorov-Smirnov distance.
+
+    p_values: "exact" counts lattice paths, "asymptotic" is the limit distribution, "auto" is exact
+    up to KS_EXACT rows in the larger sample.
+    """
     observations = observations if observations is not None else pairs(df, features, group, mode, baseline)
     cells = cumulative(_counted(observations), ["feature", "group"], "value", ["c1", "c2"])
     total = cells.groupBy(F.col("feature").alias("__f"), F.col("group").alias("__g")).agg(F.sum("c1").alias("n1"), F.sum("c2").alias("n2"))
     cells = cells.join(F.broadcast(total), (F.col("feature") == F.col("__f")) & (F.col("group") == F.col("__g")))
     gap = F.abs(F.try_divide(F.col("c1__upto"), F.col("n1")) - F.try_divide(F.col("c2__upto"), F.col("n2")))
     out = cells.groupBy("feature", "group").agg(F.max(gap).alias("statistic"), F.max("n1").alias("n1"), F.max("n2").alias("n2"))
-    scaled = F.col("statistic") * F.sqrt(F.try_divide(F.col("n1") * F.col("n2"), F.col("n1") + F.col("n2")))
-    return _tested(out, special.kolmogorov_upper_column(scaled), reliability)
+    n1, n2 = F.col("n1"), F.col("n2")
+    scaled = F.col("statistic") * F.sqrt(F.try_divide(n1 * n2, n1 + n2))
+    exact = _exact(p_values, F.greatest(n1, n2) <= KS_EXACT) & (n1 > 0) & (n2 > 0)
+    p = special.kolmogorov_upper_column(scaled)
+    if p_values != "asymptotic":
+        p = F.when(exact, special.ks_exact_column(F.when(exact, F.col("statistic")), n1, n2)).otherwise(p)
+    return _tested(out, p, reliability)
+
 
+def u_test(df: DataFrame, features: Sequence[str], group: str | None = None, mode: str = "groups", baseline: str | None = None, reliability: float = 0.05, observations: DataFrame | None = None, p_values: str = "auto") -> DataFrame:
+    """Mann-Whitney U of the control.
 
-def u_test(df: DataFrame, features: Sequence[str], group: str | None = None, mode: str = "groups", baseline: str | None = None, reliability: float = 0.05, observations: DataFrame | None = None) -> DataFrame:
-    """Mann-Whitney U of the control; normal approximation with tie and continuity corrections."""
+    p_values: "exact" counts orders without ties, "asymptotic" is the normal approximation with tie
+    and continuity corrections, "auto" is exact without ties and with U_EXACT rows or fewer in the
+    smaller sample. Samples with more than U_CELLS values of U are always approximated.
+    """
     observations = observations if observations is not None else pairs(df, features, group, mode, baseline)
     counted = _counted(observations).withColumn("c", F.col("c1") + F.col("c2"))
     cells = cumulative(counted, ["feature", "group"], "value", ["c"])
@@ -153,7 +176,11 @@ def u_test(df: DataFrame, features: Sequence[str], group: str | None = None, mod
     larger = F.greatest(F.col("statistic"), n1 * n2 - F.col("statistic"))
     sigma = F.sqrt(n1 * n2 / 12 * (n + 1 - F.try_divide(F.col("ties"), n * (n - 1))))
     z = F.try_divide(larger - n1 * n2 / 2 - 0.5, sigma)
-    return _tested(out, F.least(F.lit(1.0), F.when(z > 0, special.normal_two_sided_column(F.greatest(z, F.lit(0.0)))).when(z.isNotNull(), 1.0)), reliability)
+    p = F.least(F.lit(1.0), F.when(z > 0, special.normal_two_sided_column(F.greatest(z, F.lit(0.0)))).when(z.isNotNull(), 1.0))
+    if p_values != "asymptotic":
+        exact = _exact(p_values, (F.least(n1, n2) <= U_EXACT) & (F.col("ties") == 0)) & (n1 > 0) & (n2 > 0) & (n1 * n2 <= U_CELLS)
+        p = F.when(exact, special.u_exact_column(F.when(exact, larger), n1, n2)).otherwise(p)
+    return _tested(out, p, reliability)
 
 
 def chi2_test(df: DataFrame, features: Sequence[str], group: str | None = None, mode: str = "groups", baseline: str | None = None, reliability: float = 0.05, observations: DataFrame | None = None) -> DataFrame:

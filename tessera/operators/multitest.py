@@ -88,19 +88,41 @@ def multitest(results: DataFrame, method: str, alpha: float = 0.05, by: Sequence
     return results.groupBy(*keys).applyInPandas(work, f"{schema}, new_p_value double, correction double, rejected boolean")
 
 
-def _minimal_t_quantile(var: np.ndarray, j: int, level: float, iterations: int, random: np.random.Generator) -> float:
-    """Quantile of min over i of the scaled difference of arm j and arm i when all means are equal."""
-    draws = random.normal(0, np.sqrt(var), (iterations, len(var)))
-    gaps = [(draws[:, j] - draws[:, i]) / math.sqrt(var[j] + var[i]) for i in range(len(var)) if i != j]
-    return float(np.quantile(np.min(gaps, axis=0), level))
+GRID = np.arange(-9, 9.0001, 0.005)
+_erfc = np.vectorize(math.erfc, otypes=[float])
 
 
-def best_arm(moments: pd.DataFrame, alpha: float = 0.05, iterations: int = 20_000, equal_variance: bool = True, seed: int = 42, size: str = "total") -> int:
+def minimal_t_above(var: np.ndarray, j: int, t: float, shift: float = 0.0) -> float:
+    """P(min over i of the scaled difference of arm j and arm i > t), arm j's mean being ``shift`` larger.
+
+    Given arm j's own value the other arms are independent, so this is one integral over its normal.
+    """
+    others = np.delete(var, j)
+    limits = (GRID[:, None] * math.sqrt(var[j]) + shift - t * np.sqrt(var[j] + others)[None, :]) / np.sqrt(others)[None, :]
+    below = (_erfc(-limits / math.sqrt(2)) / 2).prod(axis=1)
+    return float((below * np.exp(-GRID * GRID / 2)).sum() * (GRID[1] - GRID[0]) / math.sqrt(2 * math.pi))
+
+
+def minimal_t_quantile(var: np.ndarray, j: int, level: float, iterations: int | None = None, random: np.random.Generator | None = None) -> float:
+    """Quantile of min over i of the scaled difference of arm j and arm i when all means are equal; simulated if ``iterations`` is given."""
+    if iterations:
+        draws = random.normal(0, np.sqrt(var), (iterations, len(var)))
+        gaps = [(draws[:, j] - draws[:, i]) / math.sqrt(var[j] + var[i]) for i in range(len(var)) if i != j]
+        return float(np.quantile(np.min(gaps, axis=0), level))
+    lo, hi = -9.0, 9.0
+    for _ in range(50):
+        middle = (lo + hi) / 2
+        lo, hi = (middle, hi) if 1 - minimal_t_above(var, j, middle) < level else (lo, middle)
+    return lo
+
+
+def best_arm(moments: pd.DataFrame, alpha: float = 0.05, iterations: int | None = None, equal_variance: bool = True, seed: int = 42, size: str = "total") -> int:
     """Rows n, mean, var of each arm: the number (from 1) of the first arm better than all others, or 0.
 
     Differences are scaled by the arms' own variances; ``equal_variance`` concerns the quantile
     they must exceed. ``size`` is the number of rows that scales them: all of them
-    ("total", variances then times n / (n - 1)), or those of the smallest arm ("least").
+    ("total", variances then times n / (n - 1)), or those of the smallest arm ("least"). The
+    quantile is an integral; with ``iterations`` it is simulated.
     """
     if size not in ("total", "least"):
         raise errors.InvalidArgumentError(f"size {size!r}: total or least")
@@ -109,10 +131,10 @@ def best_arm(moments: pd.DataFrame, alpha: float = 0.05, iterations: int = 20_00
     rows = n.sum() if size == "total" else n.min()
     scale = var * rows / (rows - 1) if size == "total" else var
     level = 1 - alpha / len(n)
-    common = _minimal_t_quantile(np.ones(len(n)), 0, level, iterations, random) if equal_variance else None
+    common = minimal_t_quantile(np.ones(len(n)), 0, level, iterations, random) if equal_variance else None
     for j in range(len(n)):
         least = min(math.sqrt(rows) * (mean[j] - mean[i]) / math.sqrt(scale[j] + scale[i]) for i in range(len(n)) if i != j)
-        if least > (common if equal_variance else _minimal_t_quantile(scale, j, level, iterations, random)):
+        if least > (common if equal_variance else minimal_t_quantile(scale, j, level, iterations, random)):
             return j + 1
     return 0
 
@@ -127,27 +149,23 @@ def best_group(df: DataFrame, group: str, targets: Sequence[str], alpha: float =
     return {t: best_arm(arm_moments(df, group, t), alpha, **options) for t in targets}
 
 
-def min_sample_size(variances: Sequence[float], mde: float, power: float = 0.2, alpha: float = 0.05, equal_variance: bool = True, iterations: int = 4000, seed: int = 42, step: int = 100, most: int = 10_000_000) -> int:
+def min_sample_size(variances: Sequence[float], mde: float, power: float = 0.2, alpha: float = 0.05, equal_variance: bool = True, most: int = 10_000_000) -> int:
     """Rows a group needs to find ``mde``; ``power`` is the error of the second kind.
 
-    Equal variances: from quantiles of the minimal statistic. Otherwise the size grows by steps
-    until simulation reaches 1 - power.
+    Equal variances: from two quantiles of the minimal statistic. Otherwise the least size, up to
+    ``most``, at which the first arm, better by ``mde``, is found with probability 1 - power.
     """
     var = np.array(variances, float)
-    k, random = len(var), np.random.default_rng(seed)
-    used = np.full(k, var.mean()) if equal_variance else var
-    q1 = _minimal_t_quantile(used, 0, 1 - alpha / k, iterations * 5, random)
+    k = len(var)
     if equal_variance:
-        q2 = _minimal_t_quantile(used, 0, power, iterations * 5, random)
+        q1, q2 = (minimal_t_quantile(np.ones(k), 0, level) for level in (1 - alpha / k, power))
         return int(2 * var.mean() * ((q1 - q2) / mde) ** 2) + 1
-    draws = random.normal(0, np.sqrt(used), (iterations, k))
-    size = step
-    while size < most:
-        gaps = [(math.sqrt(size) * mde + draws[:, 0] - draws[:, i]) / math.sqrt(used[0] + used[i]) for i in range(1, k)]
-        if (np.min(gaps, axis=0) > q1).mean() >= 1 - power:
-            return size
-        size += max(step, size // 50)
-    return most
+    q1 = minimal_t_quantile(var, 0, 1 - alpha / k)
+    lo, hi = 0, most
+    while hi - lo > 1:
+        middle = (lo + hi) // 2
+        lo, hi = (lo, middle) if minimal_t_above(var, 0, q1, math.sqrt(middle) * mde) >= 1 - power else (middle, hi)
+    return hi
 
 
 def min_sample_sizes(df: DataFrame, group: str, targets: Sequence[str], mde: float, **options) -> dict[str, int]:

@@ -435,12 +435,31 @@ def chi2_stat(spark, sf):
 
 @query(f"""WITH {orders_sql()}, {oracles.ks('o', (1, 2))} SELECT 'price' AS feature, CAST(g AS VARCHAR) AS "group", round(d, 6) AS statistic, round(p, 6) AS p_value, p < 0.05 AS pass FROM ks""")
 def ks_stat(spark, sf):
-    return rounded(compare.ks_test(orders(spark, sf).df, ["price"], "treat"))
+    return rounded(compare.ks_test(orders(spark, sf).df, ["price"], "treat", p_values="asymptotic"))
 
 
 @query(f"""WITH {orders_sql()}, {oracles.mann_whitney('o', (1, 2))} SELECT 'price' AS feature, CAST(g AS VARCHAR) AS "group", round(u, 4) AS statistic, round(p, 4) AS p_value, p < 0.05 AS pass FROM mw""")
 def u_stat(spark, sf):
-    return rounded(compare.u_test(orders(spark, sf).df, ["price"], "treat"), 4)
+    return rounded(compare.u_test(orders(spark, sf).df, ["price"], "treat", p_values="asymptotic"), 4)
+
+
+SUPPLIERS = "o AS (SELECT s_nationkey % {arms} AS treat, s_acctbal AS price FROM supplier)"
+
+
+@query(f"""WITH RECURSIVE {SUPPLIERS.format(arms=4)}, {oracles.ks('o', (1, 2, 3))}, {oracles.KS_EXACT} SELECT 's_acctbal' AS feature, CAST(g AS VARCHAR) AS "group", round(d, 6) AS statistic, round(p, 8) + 0.0 AS p_value, p < 0.05 AS pass FROM kexact""")
+def ks_exact(spark, sf):
+    """The path count, for any size."""
+    arms = suppliers(spark, sf).df.withColumn("treat", F.col("s_nationkey") % 4)
+    found = compare.ks_test(arms, ["s_acctbal"], "treat", p_values="exact")
+    return found.withColumns({"statistic": F.round("statistic", 6), "p_value": F.round("p_value", 8) + 0.0})
+
+
+@query(f"""WITH RECURSIVE {SUPPLIERS.format(arms=25)}, {oracles.mann_whitney('o', range(1, 25))}, {oracles.U_EXACT} SELECT 's_acctbal' AS feature, CAST(g AS VARCHAR) AS "group", round(u, 4) AS statistic, round(p, 6) + 0.0 AS p_value, p < 0.05 AS pass FROM uexact""")
+def u_exact(spark, sf):
+    """Nations against the first one: counted where a sample is small and has no ties, else approximated."""
+    arms = suppliers(spark, sf).df.withColumn("treat", F.col("s_nationkey") % 25)
+    found = compare.u_test(arms, ["s_acctbal"], "treat")
+    return found.withColumns({"statistic": F.round("statistic", 4), "p_value": F.round("p_value", 6) + 0.0})
 
 
 @query(f'WITH {orders_sql()}, {MOMENTS} SELECT feature, "group", round(2.8015852181356 * sqrt(v2 / n2 + v1 / n1), 4) AS mde FROM p')
@@ -515,7 +534,7 @@ def multitest_quantile(spark, sf):
     return spark.createDataFrame(list(best.items()), "target string, accepted long")
 
 
-@query()
+@query(oracles.minimal_size(orders_sql(), 3, 1000.0))
 def min_sample_size(spark, sf):
     sizes = multitest.min_sample_sizes(orders(spark, sf).df, "treat", ["price"], 1000.0)
     return spark.createDataFrame(list(sizes.items()), "target string, size long")
@@ -523,17 +542,17 @@ def min_sample_size(spark, sf):
 
 @query(oracles.resume(orders_sql(), (1, 2), ("t-test", "u-test", "ks-test", "chi2-test"), False, True, True))
 def ab_resume(spark, sf):
-    return rounded(shells.ABTest(tests=("t-test", "u-test", "ks-test", "chi2-test")).execute(orders(spark, sf)).resume, 4)
+    return rounded(shells.ABTest(tests=("t-test", "u-test", "ks-test", "chi2-test"), p_values="asymptotic").execute(orders(spark, sf)).resume, 4)
 
 
 @query(oracles.holm(orders_sql(), (1, 2)))
 def ab_multitest(spark, sf):
-    return rounded(shells.ABTest(tests=("t-test", "u-test")).execute(orders(spark, sf)).multitest)
+    return rounded(shells.ABTest(tests=("t-test", "u-test"), p_values="asymptotic").execute(orders(spark, sf)).multitest)
 
 
 @query(oracles.resume(orders_sql(2), (1,), ("t-test", "ks-test", "chi2-test"), True, False, False))
 def homogeneity_resume(spark, sf):
-    return rounded(shells.HomogeneityTest().execute(orders(spark, sf, 2)).resume, 4)
+    return rounded(shells.HomogeneityTest(p_values="asymptotic").execute(orders(spark, sf, 2)).resume, 4)
 
 
 # ---- A/A splits --------------------------------------------------------------------------------
@@ -586,13 +605,13 @@ def aa_experiments(spark, sf):
 
 @query(f"WITH {oracles.aa()} SELECT CAST(seed AS INT) AS seed, round(mean_test_score, 6) AS mean_test_score, round(mean_p, 6) AS mean_p, round(score, 6) AS score FROM scored")
 def aa_scores(spark, sf):
-    return rounded(shells.AATest().execute(customers(spark, sf)).scores)
+    return rounded(shells.AATest(p_values="asymptotic").execute(customers(spark, sf)).scores)
 
 
 @query(f"""WITH {oracles.aa('c_mktsegment')} SELECT 'c_acctbal' AS feature, 'test_1' AS "group", round(tp, 4) AS "t-test p-value", CASE WHEN tp < 0.05 THEN 'NOT OK' ELSE 'OK' END AS "t-test verdict", round(kp, 4) AS "ks-test p-value", CASE WHEN kp < 0.05 THEN 'NOT OK' ELSE 'OK' END AS "ks-test verdict",
 round(m1, 4) AS control_mean, round(m2, 4) AS test_mean, round(m2 - m1, 4) + 0.0 AS difference, round((m2 / m1 - 1) * 100, 4) + 0.0 AS difference_pct FROM scored ORDER BY score DESC, seed LIMIT 1""")
 def aa_best_split(spark, sf):
-    return rounded(shells.AATest(stratification=True).execute(customers(spark, sf)).best_split_statistic, 4)
+    return rounded(shells.AATest(stratification=True, p_values="asymptotic").execute(customers(spark, sf)).best_split_statistic, 4)
 
 
 # ---- variance reduction ------------------------------------------------------------------------

@@ -36,6 +36,24 @@ kx AS (SELECT g, d, d * sqrt(n0 * n1 / (n0 + n1)) AS x FROM kd),
 ks AS (SELECT g, d, {kolmogorov_p('x')} AS p FROM kx)"""
 
 
+#: CTE kexact(g, d, p) after ks: the share of lattice paths that reach the distance, one step of i + j at a time.
+KS_EXACT = """kn AS (SELECT g, d, CAST(n0 AS BIGINT) AS n0, CAST(n1 AS BIGINT) AS n1, CAST(n1 AS BIGINT) // gcd(CAST(n0 AS BIGINT), CAST(n1 AS BIGINT)) AS b, CAST(n0 AS BIGINT) // gcd(CAST(n0 AS BIGINT), CAST(n1 AS BIGINT)) AS a FROM kd),
+kp AS (SELECT *, CAST(round(d * a * n1) AS BIGINT) AS h, 0 AS k, list_transform(range(0, n0 + 1), lambda i: CAST(i > 0 AS DOUBLE)) AS v FROM kn
+  UNION ALL
+  SELECT g, d, n0, n1, b, a, h, k + 1, list_transform(range(0, n0 + 1), lambda i: CASE WHEN i > k + 1 OR k + 1 - i > n1 OR abs(i * b - (k + 1 - i) * a) >= h THEN CAST(1 AS DOUBLE) ELSE (i * coalesce(v[i], 0) + (k + 1 - i) * v[i + 1]) / (k + 1) END)
+  FROM kp WHERE k < n0 + n1),
+kexact AS (SELECT g, d, v[n0 + 1] AS p FROM kp WHERE k = n0 + n1)"""
+
+#: CTE uexact(g, u, p) after mw: subsets of the ranks by size and sum, one rank at a time.
+U_EXACT = """un AS (SELECT g, u, greatest(u, n1 * n2 - u) AS big, CAST(least(n1, n2) AS BIGINT) AS m, CAST(n1 + n2 AS BIGINT) AS n, least(n1, n2) <= 8 AND ties = 0 AS small FROM uz),
+us_ AS (SELECT DISTINCT m, n FROM un WHERE small),
+uq AS (SELECT m, n, CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS j, CAST(0 AS BIGINT) AS s, CAST(1 AS DOUBLE) AS c FROM us_
+  UNION ALL
+  SELECT m, n, r + 1, j + t, s + t * (r + 1), CAST(sum(c) AS DOUBLE) FROM uq, (SELECT unnest([0, 1]) AS t) WHERE r < n AND j + t <= m GROUP BY ALL),
+ud AS (SELECT m, n, s - m * (m + 1) / 2 AS x, c / sum(c) OVER (PARTITION BY m, n) AS w FROM uq WHERE r = n AND j = m),
+uexact AS (SELECT un.g, un.u, CASE WHEN small THEN least(1.0, 2 * coalesce((SELECT sum(w) FROM ud WHERE ud.m = un.m AND ud.n = un.n AND x >= big), 0.0)) ELSE mw.p END AS p FROM un JOIN mw USING (g))"""
+
+
 def mann_whitney(source: str, arms: Sequence[int]) -> str:
     """CTEs up to mw(g, u, p)."""
     return f"""ur AS (SELECT g, treat, price, rank() OVER (PARTITION BY g ORDER BY price) + (count(*) OVER (PARTITION BY g, price) - 1) / 2 AS r FROM {source}, (SELECT unnest({list(arms)}) AS g) WHERE treat IN (0, g)),
@@ -116,6 +134,29 @@ tail AS (SELECT g, sum(a.f * b.c ^ {arms - 1}) / 1000 AS p FROM t, c a JOIN c b
 SELECT 'price' AS target, CAST(coalesce(min(g) FILTER (p < 0.05 / {arms}) + 1, 0) AS BIGINT) AS accepted FROM tail"""
 
 
+def minimal_size(orders: str, arms: int, mde: float, alpha: float = 0.05, power: float = 0.2) -> str:
+    """Rows of an arm from two quantiles of the least scaled difference, each found by bisection of a grid sum.
+
+    The normal distribution function is a table of trapezoid sums, carried on by two terms of a series.
+    """
+    phi = "exp(-0.5 * {x} * {x}) / sqrt(2 * pi())"
+    x = "(i / 100.0 - (lo + hi) / 2 * sqrt(2))"
+    at = f"CAST(round(greatest(-9.0, least(9.0, {x})) * 1000) AS BIGINT)"
+    off = f"(greatest(-9.0, least(9.0, {x})) - {at} / 1000.0)"
+    cdf = f"(cdf[{at} + 9001] + {phi.format(x=f'({at} / 1000.0)')} * {off} * (1 - {at} / 2000.0 * {off}))"
+    above = f"list_sum(list_transform(range(-900, 901), lambda i: {phi.format(x='(i / 100.0)')} * {cdf} ^ {arms - 1})) / 100"
+    return f"""WITH RECURSIVE {orders},
+f AS (SELECT k, {phi.format(x='(k / 1000.0)')} AS f FROM range(-9000, 9001) r(k)),
+c AS (SELECT list(c ORDER BY k) AS cdf FROM (SELECT k, (sum(f) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) - f / 2) / 1000 AS c FROM f)),
+q AS (SELECT level, CAST(-9 AS DOUBLE) AS lo, CAST(9 AS DOUBLE) AS hi, 0 AS step, cdf FROM c, (SELECT unnest([CAST({1 - alpha / arms} AS DOUBLE), {power}]) AS level)
+  UNION ALL
+  SELECT level, CASE WHEN low THEN (lo + hi) / 2 ELSE lo END, CASE WHEN low THEN hi ELSE (lo + hi) / 2 END, step + 1, cdf
+  FROM (SELECT *, 1 - {above} < level AS low FROM q WHERE step < 36)),
+g AS (SELECT max(lo) - min(lo) AS gap FROM q WHERE step = 36),
+v AS (SELECT avg(v) AS v FROM (SELECT var_samp(price) AS v FROM o GROUP BY treat))
+SELECT unnest(['price', 'overall']) AS target, CAST(floor(2 * v * (gap / {mde}) ^ 2) + 1 AS BIGINT) AS size FROM g, v"""
+
+
 def two_stage(p_values: str) -> str:
     """hommel, fdr_tsbh and fdr_tsbky of r(id, p_value, i, m)."""
     return f"""WITH {p_values},

@@ -36,7 +36,7 @@ def _targets(frame: RoleFrame) -> tuple[list[str], list[str]]:
     return numeric, text
 
 
-def run_tests(df: DataFrame, group: str, numeric: Sequence[str], text: Sequence[str], tests: Sequence[str], equal_var: bool = False, reliability: float = 0.05, mode: str = "groups") -> DataFrame:
+def run_tests(df: DataFrame, group: str, numeric: Sequence[str], text: Sequence[str], tests: Sequence[str], equal_var: bool = False, reliability: float = 0.05, mode: str = "groups", p_values: str = "auto") -> DataFrame:
     """Long table: feature, group, test, statistic, p_value, pass."""
     parts = []
     for name in tests:
@@ -44,7 +44,7 @@ def run_tests(df: DataFrame, group: str, numeric: Sequence[str], text: Sequence[
             raise errors.InvalidArgumentError(f"test {name!r}; one of {sorted(compare.TESTS)}")
         columns = text if name == "chi2-test" else numeric
         if columns:
-            extra: dict[str, Any] = {"equal_var": equal_var} if name == "t-test" else {}
+            extra: dict[str, Any] = {"t-test": {"equal_var": equal_var}, "ks-test": {"p_values": p_values}, "u-test": {"p_values": p_values}}.get(name, {})
             found = compare.TESTS[name](df, columns, group, mode=mode, reliability=reliability, **extra)
             parts.append(found.select("feature", "group", F.lit(name).alias("test"), "statistic", "p_value", "pass"))
     if not parts:
@@ -71,16 +71,20 @@ class HomogeneityOutput:
 
 @dataclass(frozen=True)
 class HomogeneityTest:
-    """Do the treatment groups differ? Pooled t, Kolmogorov-Smirnov and chi-square."""
+    """Do the treatment groups differ? Pooled t, Kolmogorov-Smirnov and chi-square.
+
+    ``p_values`` of KS and U tests: auto, exact or asymptotic.
+    """
 
     tests: tuple[str, ...] = ("t-test", "ks-test", "chi2-test")
     equal_var: bool = True
     reliability: float = 0.05
+    p_values: str = "auto"
 
     def execute(self, frame: RoleFrame) -> HomogeneityOutput:
         group = _one(frame, TreatmentRole)
         numeric, text = _targets(frame)
-        found = run_tests(frame.df, group, numeric, text, self.tests, self.equal_var, self.reliability)
+        found = run_tests(frame.df, group, numeric, text, self.tests, self.equal_var, self.reliability, p_values=self.p_values)
         resume = wide(found, self.tests, False)
         if numeric:
             resume = resume.join(compare.group_difference(frame.df, numeric, group), ["feature", "group"], "left")
@@ -104,7 +108,8 @@ class ABTest:
 
     ``cuped`` maps targets to covariates; ``cupac`` plans need ``frame.key``. With more than two
     groups p-values are corrected by ``multitest_method`` within each test; "quantile" picks the
-    best arm by simulation instead; None corrects nothing.
+    best arm by simulation instead; None corrects nothing. ``p_values`` of KS and U tests: auto,
+    exact or asymptotic.
     """
 
     tests: tuple[str, ...] = ("t-test",)
@@ -115,6 +120,7 @@ class ABTest:
     cuped_theta: str = "ols"
     cupac: tuple[variance.CupacPlan, ...] = ()
     cupac_models: tuple[str, ...] = ("linear", "ridge", "lasso")
+    p_values: str = "auto"
 
     def execute(self, frame: RoleFrame) -> ABOutput:
         group = _one(frame, TreatmentRole)
@@ -127,7 +133,7 @@ class ABTest:
             adjusted |= {y: f"{y}_cuped" for y in self.cuped}
         numeric, text = _targets(frame)
         numeric = numeric + [c for c in (*(f"{p.target}_cupac" for p in self.cupac), *(f"{y}_cuped" for y in self.cuped or {}))]
-        found = run_tests(df, group, numeric, text, self.tests, self.equal_var, self.reliability)
+        found = run_tests(df, group, numeric, text, self.tests, self.equal_var, self.reliability, p_values=self.p_values)
         resume = wide(found, self.tests, True)
         if numeric:
             resume = resume.join(compare.group_difference(df, numeric, group), ["feature", "group"], "left")
@@ -176,6 +182,7 @@ class AATest:
     tests: tuple[str, ...] = ("t-test", "ks-test")
     batch: int = 50
     compat: bool = False
+    p_values: str = "auto"
 
     def _splitter(self, frame: RoleFrame, seed: int) -> split.Splitter:
         strata = tuple(frame.search_columns(StratificationRole)) if self.stratification else ()
@@ -196,12 +203,12 @@ class AATest:
                 columns = text if name == "chi2-test" else numeric
                 if not columns:
                     continue
-                parts.append(_by_seed(spread, columns, name, self.equal_var, self.reliability))
+                parts.append(_by_seed(spread, columns, name, self.equal_var, self.reliability, self.p_values))
             return reduce(DataFrame.unionByName, parts)
         parts = []
         for seed in seeds:
             df = self._splitter(frame, seed).split(frame.df).filter("split is not null")
-            parts.append(run_tests(df, "split", numeric, text, tests, self.equal_var, self.reliability).withColumn("seed", F.lit(int(seed))))
+            parts.append(run_tests(df, "split", numeric, text, tests, self.equal_var, self.reliability, p_values=self.p_values).withColumn("seed", F.lit(int(seed))))
         return reduce(DataFrame.unionByName, parts)
 
     def execute(self, frame: RoleFrame) -> AAOutput:
@@ -237,12 +244,12 @@ class AATest:
         return AAOutput(resume, tested, scores, share, int(best), best_split, statistic)
 
 
-def _by_seed(spread: DataFrame, columns: Sequence[str], test: str, equal_var: bool, reliability: float) -> DataFrame:
+def _by_seed(spread: DataFrame, columns: Sequence[str], test: str, equal_var: bool, reliability: float, p_values: str = "auto") -> DataFrame:
     """One test of all columns for all seeds at once: observations carry seed and feature as one name."""
     kind = "string" if test == "chi2-test" else "double"
     cell = [F.struct(F.concat(F.col("seed").cast("string"), F.lit(":"), F.lit(c)).alias("name"), column(c).cast(kind).alias("value")) for c in columns]
     long = spread.select("split", F.explode(F.array(*cell)).alias("o")).select("split", "o.name", "o.value")
-    options = {"equal_var": equal_var} if test == "t-test" else {}
+    options = {"t-test": {"equal_var": equal_var}, "ks-test": {"p_values": p_values}, "u-test": {"p_values": p_values}}.get(test, {})
     found = _TESTS_LONG[test](long, reliability, **options)
     parts = F.split("feature", ":", 2)
     return found.select(parts[0].cast("int").alias("seed"), parts[1].alias("feature"), "group", F.lit(test).alias("test"), "statistic", "p_value", "pass").select("feature", "group", "test", "statistic", "p_value", "pass", "seed")
@@ -317,14 +324,10 @@ class Matching:
         return [next((self.weights[c] for c in by_length if f == c or f.startswith(f"{c}_")), 1.0) for f in features]
 
     def execute(self, frame: RoleFrame) -> MatchingOutput:
-        if not self.group_match:
-            return self._match(frame)
-        column_ = _one(frame, GroupingRole)
-        outputs = {k: self._match(part) for k, part in frame.groupby(column_)}
-        tag = lambda name: reduce(DataFrame.unionByName, (getattr(o, name).withColumn("match_group", F.lit(str(k))) for k, o in outputs.items() if getattr(o, name) is not None))
-        return MatchingOutput(tag("resume"), reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (o.full_data for o in outputs.values())), tag("indexes"), tag("quality") if self.quality_tests else None)
-
-    def _match(self, frame: RoleFrame) -> MatchingOutput:
+        """With group_match all groups are one plan: rows without a group are left out, outputs carry ``match_group``."""
+        by = [_one(frame, GroupingRole)] if self.group_match else []
+        if by:
+            frame = frame.where(column(by[0]).isNotNull())
         key, group, target = frame._order(), _one(frame, TreatmentRole), frame.search_columns(TargetRole, NUMERIC)
         if not target:
             raise errors.NoColumnsError("no numeric column with TargetRole")
@@ -341,25 +344,47 @@ class Matching:
             raise errors.NoColumnsError("no column with FeatureRole")
         df, space = encoded.df, features
         if self.distance == "mahalanobis":
-            space = [f"__w{i}" for i in range(len(features))]
-            df = matching.linear(df, features, matching.whitening(df, group, features, self._weights(features)), space)
+            space, weights = [f"__w{i}" for i in range(len(features))], self._weights(features)
+            df = matching.whitened(df, group, features, space, by, weights) if by else matching.linear(df, features, matching.whitening(df, group, features, weights), space)
         ws = Workspace(df.sparkSession, "matching")
-        pairs = ws.save(matching.match_both(df, key, group, space, self.n_neighbors, mode=self.mode, metric=self.metric), "pairs")
+        pairs = ws.save(matching.match_both(df, key, group, space, self.n_neighbors, mode=self.mode, metric=self.metric, by=by), "pairs")
         means = ws.save(matching.matched_means(encoded.df, key, pairs, [*features, *target], text), "matched")
         resumes = []
         for y in target:
-            slopes = matching.bias_coefficients(means, group, y, features) if self.bias_estimation else None
-            units = matching.unit_effects(means, key, group, y, features, slopes)
-            found = matching.effects(units, pairs, self.n_neighbors).withColumn("target", F.lit(y))
+            slopes = None
+            if self.bias_estimation:
+                slopes = matching.bias_slopes(means, group, y, features, by) if by else matching.bias_coefficients(means, group, y, features)
+            units = matching.unit_effects(means, key, group, y, features, slopes, by)
+            found = matching.effects(units, pairs, self.n_neighbors, by).withColumn("target", F.lit(y))
             resumes.append(found if self.metric == "ate" else found.filter(F.col("metric") == self.metric.upper()))
+        resume = reduce(DataFrame.unionByName, resumes)
         ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "match"))), lambda s: s["match"])
         indexes = pairs.groupBy("query").agg(ordered.alias("matches"))
         quality = None
         tested = [f for f in numeric if frame.roles[f].data_type in NUMERIC]
         names = [t for t in self.quality_tests if (text if t == "chi2-test" else tested)]
+        if by:
+            tag = column(by[0]).cast("string").alias("match_group")
+            resume = resume.withColumn("match_group", tag).drop(by[0])
+            indexes = indexes.join(means.select(matching.key_of(means, key).alias("query"), tag), "query")
         if names:
-            quality = run_tests(means, group, tested, text, names, True, 0.05, "matched_pairs")
-        return MatchingOutput(reduce(DataFrame.unionByName, resumes), means, indexes, quality)
+            quality = _quality_by_group(means, by[0], group, tested, text, names) if by else run_tests(means, group, tested, text, names, True, 0.05, "matched_pairs")
+        return MatchingOutput(resume, means, indexes, quality)
+
+
+def _quality_by_group(means: DataFrame, by: str, group: str, numeric: Sequence[str], text: Sequence[str], tests: Sequence[str]) -> DataFrame:
+    """Tests of matched pairs within each group: observations carry the group before the feature's name."""
+    parts = []
+    for name in tests:
+        columns, kind = (text, "string") if name == "chi2-test" else (numeric, "double")
+        named = lambda f: F.concat_ws("\u001f", F.lit(f), column(by).cast("string"))
+        cells = [F.struct(named(f).alias("feature"), column(group).cast("string").alias("label"), F.lit(side).alias("side"), column(c).cast(kind).alias("value")) for f in columns for side, c in ((1, f"{f}_matched"), (2, f))]
+        observations = means.select(F.explode(F.array(*cells)).alias("o")).select("o.*").filter("value is not null and label is not null")
+        extra: dict[str, Any] = {"equal_var": True} if name == "t-test" else {}
+        found = compare.TESTS[name](observations, columns, observations=observations, reliability=0.05, **extra)
+        split_ = F.split("feature", "\u001f", 2)
+        parts.append(found.select(split_[0].alias("feature"), "group", F.lit(name).alias("test"), "statistic", "p_value", "pass", split_[1].alias("match_group")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 __all__ = ["AAOutput", "AATest", "ABOutput", "ABTest", "HomogeneityOutput", "HomogeneityTest", "Matching", "MatchingOutput", "aa_score", "run_tests", "split_scores", "wide"]

@@ -304,7 +304,9 @@ def test_matching_against_brute_force(spark):
 def test_tree_search_is_exact(spark, monkeypatch, k):
     """Small cells, crowded and far points, equal points, and cells and queries above a block."""
     monkeypatch.setattr(matching, "CELL", 8)
-    monkeypatch.setattr(matching, "BLOCK", 16)
+    monkeypatch.setattr(matching, "WHOLE", 32)
+    monkeypatch.setattr(matching, "PART", 16)
+    monkeypatch.setattr(matching, "DISTANCES", 256)
     rng = np.random.default_rng(4)
     b = np.round(np.vstack([rng.normal(size=(150, 3)), rng.normal(50, 0.1, (60, 3)), np.ones((50, 3))]), 1)
     q = np.round(np.vstack([rng.normal(size=(60, 3)), rng.normal(30, 20, (20, 3)), np.ones((40, 3))]), 1)
@@ -318,6 +320,47 @@ def test_tree_search_is_exact(spark, monkeypatch, k):
             assert got[i, rank][0] == at and abs(got[i, rank][1] - d2[at]) < 1e-9
 
 
+def test_neighbours_of_equal_distance(spark):
+    """The smaller ids, however many candidates are as near; keys may be texts."""
+    b = spark.range(3000).select(F.col("id"), F.lit(1.0).alias("x"))
+    q = spark.createDataFrame([(9000, 1.0), (9001, 2.0)], "id long, x double")
+    for k in (1, 2, 3):
+        found = matching.nearest(q, b, "id", ["x"], k).collect()
+        assert sorted((r["query"], r["rank"], r.match) for r in found) == [(9000 + i, n + 1, n) for i in range(2) for n in range(k)]
+    named = lambda df: df.withColumn("id", F.concat(F.lit("u"), F.lpad(F.col("id").cast("string"), 5, "0")))
+    found = matching.nearest(named(q), named(b), "id", ["x"], 2).collect()
+    assert sorted((r["query"], r.match) for r in found) == [("u09000", "u00000"), ("u09000", "u00001"), ("u09001", "u00000"), ("u09001", "u00001")]
+
+
+def test_pairs_of_the_test_group(spark):
+    df = spark.createDataFrame([(1, 0, 1.0), (2, 0, 5.0), (3, 1, 1.5), (4, 1, 9.0)], "id int, t int, x double")
+    rows = lambda **o: sorted((r["query"], r.match, r.treated) for r in matching.match_both(df, "id", "t", ["x"], **o).collect())
+    assert rows(two_sides=False) == [(3, 1, 1), (4, 2, 1)]
+    assert rows(two_sides=False, test_pairs=True) == [(1, 3, 0), (2, 3, 0)]
+    assert rows() == [(1, 3, 0), (2, 3, 0), (3, 1, 1), (4, 2, 1)]
+
+
+def test_match_in_many_groups(spark):
+    """2,000 groups are one plan, and each is matched by itself, text keys included."""
+    rng = np.random.default_rng(8)
+    n = 16_000
+    pdf = pd.DataFrame({"id": [f"k{i:05d}" for i in range(n)], "g": np.arange(n) % 2000, "t": (np.arange(n) // 2000) % 2, "x": rng.normal(size=n), "z": rng.normal(size=n)})
+    pdf["y"] = pdf.x + 2.0 * pdf.t
+    frame = RoleFrame(spark.createDataFrame(pdf), {TreatmentRole(): ["t"], TargetRole(): ["y"], FeatureRole(): ["x", "z"], GroupingRole(): ["g"]}, "id")
+    out = shells.Matching(group_match=True, quality_tests=("t-test",)).execute(frame)
+    assert out.resume.count() == 6000 and out.resume.select("match_group").distinct().count() == 2000
+    assert len(out.resume._jdf.queryExecution().analyzed().toString()) < 20_000
+    full = out.full_data.select("id", "g", "x_matched").toPandas()
+    assert len(full) == n
+    for g in (0, 777, 1999):
+        part = pdf[pdf.g == g]
+        own = RoleFrame(spark.createDataFrame(part), {TreatmentRole(): ["t"], TargetRole(): ["y"], FeatureRole(): ["x", "z"]}, "id")
+        alone = {r.metric: r.effect_size for r in shells.Matching(quality_tests=()).execute(own).resume.collect()}
+        there = {r.metric: r.effect_size for r in out.resume.filter(F.col("match_group") == str(g)).collect()}
+        assert all(abs(alone[m] - there[m]) < 1e-9 for m in alone)
+    assert out.quality.filter("match_group = '5'").count() == 4
+
+
 def test_cells_find_most_neighbours(spark):
     """Approximate search with far fewer probes than cells, against exact search."""
     rng = np.random.default_rng(9)
@@ -521,10 +564,10 @@ def test_registered_matching_is_exact(spark, monkeypatch, name):
     class Asked(Exception):
         pass
 
-    def nearest(queries, base, key, features, k=1, mode="auto", **options):
+    def search(q, b, k, mode, cells, probes):
         raise Asked(mode)
 
-    monkeypatch.setattr(matching, "nearest", nearest)
+    monkeypatch.setattr(matching, "_search", search)
     with pytest.raises(Asked, match="exact"):
         catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
 
