@@ -70,7 +70,8 @@ class Scanner:
             raw = notice.text.encode()
             cuts = np.linspace(0, len(raw), notice.errors + 2).astype(int)
             seeds = [(raw[a:b], int(a)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            pattern = regex.compile(b"(?b)(?:" + regex.escape(notice.text).encode() + b"){e<=%d}" % notice.errors)
+            # the first match, made better where it stands: the best one of a window would hide those before it
+            pattern = regex.compile(b"(?e)(?:" + regex.escape(notice.text).encode() + b"){e<=%d}" % notice.errors)
             self.notices.append((notice, len(raw), seeds, pattern))
 
     def exact(self, words: Words) -> list[tuple[np.ndarray, np.ndarray, str]]:

@@ -73,7 +73,7 @@ def op8_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license import scan
 
-    return scan(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "spans")
+    return scan(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
