@@ -22,6 +22,8 @@ cut merges equal runs before they are shuffled, and all of them end in suffix ar
 ``dedup_suffixes`` can count repeats of a smaller size as well (``passage``). Every byte of a
 repeat of ``size`` lies in such repeats, so only they are then searched for ``size``.
 
+Rows equal in id and text are searched once, with their number, and all get what was found.
+
 Defined results: null text counts as empty; texts shorter than ``size`` lose nothing; rows, even
 equal ones with equal ids, are documents of their own; added columns replace clashing names; an
 empty table gives no rows.
@@ -206,25 +208,39 @@ def _identity(doc_id: str, text: str) -> tuple[Column, Column]:
     return F.col(doc_id).cast("string"), F.xxhash64(F.col(text))
 
 
+def _once(docs: DataFrame, ws: Workspace) -> DataFrame:
+    """id, th, text -> the same with ``copies``, how many rows there are of an id and text, each kept once.
+
+    Only rows that are repeated are shuffled with their texts, and of those one from each task.
+    """
+    twice = ws.save(docs.groupBy("id", "th").agg(F.count("*").alias("copies")).filter("copies > 1"), "twice")
+    alone = docs.withColumn("copies", F.lit(1).cast("long"))
+    if twice.isEmpty():
+        return alone
+    kept = docs.join(twice.select("id", "th"), ["id", "th"], "left_semi").dropDuplicates(["id", "th"]).join(twice, ["id", "th"])
+    kept = ws.save(kept.select(*docs.columns, "copies"), "once")
+    return alone.join(twice.select("id", "th"), ["id", "th"], "left_anti").unionByName(kept)
+
+
 def repeated_spans(docs: DataFrame, size: int = SIZE, hot: int = HOT, workspace: Workspace | None = None) -> DataFrame:
-    """docs: id, th, text -> id, th, spans of repeated window starts, one row per document that has any."""
+    """docs: id, th, text, copies (each id and th once) -> id, th, spans of repeated window starts, one row per document that has any."""
     ws = workspace or Workspace(docs.sparkSession, "suffix")
     id_type = docs.schema["id"].dataType
-    fields = T.StructType([T.StructField("id", id_type), T.StructField("th", T.LongType()), *(T.StructField(n, T.IntegerType()) for n in ("lo", "n", "anchor")), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType())])
+    fields = T.StructType([T.StructField("id", id_type), T.StructField("th", T.LongType()), T.StructField("copies", T.LongType()), *(T.StructField(n, T.IntegerType()) for n in ("lo", "n", "anchor")), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType())])
 
     def find(stream):
         for batch in batches(stream):
             for first, _, texts in chunks(from_arrow(batch.column("text"))):
                 doc, lo, n, anchor, k1, k2 = contexts(texts, size)
                 rows = pa.array(first + doc)
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("th").take(rows), *(pa.array(x.astype(np.int32)) for x in (lo, n, anchor - lo)), _i64(k1), _i64(k2)], names=fields.names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("id", "th", "copies")), *(pa.array(x.astype(np.int32)) for x in (lo, n, anchor - lo)), _i64(k1), _i64(k2)], names=fields.names)
 
     found = ws.save(docs.mapInArrow(find, fields), "contexts")
-    grams = ws.save(found.groupBy("k1").agg(F.count("*").alias("c")).filter("c > 1").select("k1"), "grams")
+    grams = ws.save(found.groupBy("k1").agg(F.sum("copies").alias("c")).filter("c > 1").select("k1"), "grams")
     repeated = ws.save(found.join(grams, "k1"), "repeated")
     ws.drop(found, grams)
     where = F.struct("id", "th", "lo", "n", "anchor")
-    distinct = ws.save(repeated.groupBy("k1", "k2").agg(F.count("*").alias("times"), F.min(where).alias("at")), "distinct")
+    distinct = ws.save(repeated.groupBy("k1", "k2").agg(F.sum("copies").alias("times"), F.min(where).alias("at")), "distinct")
     crowded = ws.save(distinct.groupBy("k1").agg(F.count("*").alias("c")).filter(F.col("c") > hot).select("k1", F.lit(True).alias("hot")), "crowded")
     wanted = distinct.join(crowded, "k1", "left").select("at.id", "at.th", F.struct("k1", "k2", "times", "at.lo", "at.n", "at.anchor", F.coalesce("hot", F.lit(False)).alias("hot")).alias("w"))
     wanted = wanted.groupBy("id", "th").agg(F.collect_list("w").alias("w"))
@@ -243,7 +259,6 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, hot: int = HOT, workspace:
                 yield pa.RecordBatch.from_arrays([part.field("k1"), part.field("k2"), part.field("times"), part.field("anchor"), part.field("hot"), pa.array(raw, pa.binary())], names=["k1", "k2", "times", "anchor", "hot", "bytes"])
 
     fetched = docs.join(wanted, ["id", "th"]).select("w", "text").mapInArrow(fetch, "k1 long, k2 long, times long, anchor int, hot boolean, bytes binary")
-    # equal rows with equal ids would fetch a context once each
     fetched = ws.save(fetched, "fetched")
     cool = fetched.filter("not hot").select("k1", "k2", "times", "bytes")
     marked = [_by_shards(ws, cool, size)]
@@ -283,7 +298,7 @@ def _begins(flags: np.ndarray, texts: Texts) -> np.ndarray:
 
 
 def _regions(docs: DataFrame, spans: DataFrame, passage: int, size: int) -> DataFrame:
-    """(id, th, text): runs of repeats of ``passage`` bytes that are at least ``size`` long; id is start:id."""
+    """(id, th, copies, text): runs of repeats of ``passage`` bytes that are at least ``size`` long; id is start:id."""
 
     def work(stream):
         for batch in batches(stream):
@@ -293,12 +308,13 @@ def _regions(docs: DataFrame, spans: DataFrame, passage: int, size: int) -> Data
                 found = _runs(_covered(texts, counts[first:last], a[own], b[own], passage), texts)
                 rows = [(first + i, texts.at[i], r["a"], r["b"]) for i, runs in enumerate(found) for r in runs if r["b"] - r["a"] >= size]
                 ids = batch.column("id")
+                at_row = pa.array([i for i, *_ in rows], pa.int64())
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([f"{x}:{ids[i].as_py()}" for i, _, x, _ in rows], pa.string()), batch.column("th").take(pa.array([i for i, *_ in rows], pa.int64())),
+                    pa.array([f"{x}:{ids[i].as_py()}" for i, _, x, _ in rows], pa.string()), batch.column("th").take(at_row), batch.column("copies").take(at_row),
                     pa.array([texts.data[z + x : z + y].tobytes() for _, z, x, y in rows], pa.binary()),
-                ], names=["id", "th", "text"])
+                ], names=["id", "th", "copies", "text"])
 
-    return docs.join(spans, ["id", "th"]).select("id", "th", "text", "spans").mapInArrow(work, "id string, th long, text binary")
+    return docs.join(spans, ["id", "th"]).select("id", "th", "copies", "text", "spans").mapInArrow(work, "id string, th long, copies long, text binary")
 
 
 def _in_regions(ws: Workspace, docs: DataFrame, small: DataFrame, passage: int, size: int, hot: int) -> DataFrame:
@@ -321,7 +337,7 @@ def dedup_suffixes(df: DataFrame, size: int = SIZE, hot: int = HOT, doc_id: str
     ws = Workspace(df.sparkSession, "suffix")
     id_, th = _identity(doc_id, text)
     id_ = F.coalesce(id_, F.lit("\u0000"))
-    docs = df.select(id_.alias("id"), th.alias("th"), F.col(text).alias("text"))
+    docs = _once(df.select(id_.alias("id"), th.alias("th"), F.col(text).alias("text")), ws)
     new = [T.StructField("kept", T.StringType() if as_text else T.BinaryType()), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans"))]
     if passage is None:
         spans, small = repeated_spans(docs, size, hot, ws), None
