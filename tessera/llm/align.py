@@ -51,16 +51,33 @@ span AS (SELECT low.place, low.unit, low.id, low.first, b.place AS last FROM low
 SELECT span.unit, span.id AS a, b.id AS b FROM span JOIN b ON b.place BETWEEN span.first AND span.last ORDER BY span.unit
 """
 
-#: The same tables -> groups of units, as text.
+#: The same tables -> the group of each token of one side, numbered along the axis.
 GROUPS = """
-WITH cut AS (SELECT a.stop FROM a JOIN b ON a.stop = b.stop),
-ga AS (SELECT unit, place, id, coalesce(sum(CASE WHEN cut.stop IS NULL THEN 0 ELSE 1 END) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grp FROM a LEFT JOIN cut ON a.stop = cut.stop),
-gb AS (SELECT place, id, coalesce(sum(CASE WHEN cut.stop IS NULL THEN 0 ELSE 1 END) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grp FROM b LEFT JOIN cut ON b.stop = cut.stop),
-ta AS (SELECT grp, min(unit) AS unit, string_agg(CAST(id AS VARCHAR), ',' ORDER BY place) AS ids FROM ga GROUP BY grp),
-tb AS (SELECT grp, string_agg(CAST(id AS VARCHAR), ',' ORDER BY place) AS ids FROM gb GROUP BY grp)
-SELECT unit, count(*) AS n, string_agg(ta.ids || '|' || tb.ids, ';' ORDER BY grp) AS told FROM ta JOIN tb USING (grp) GROUP BY unit ORDER BY unit
+WITH cut AS (SELECT x.place, CASE WHEN y.stop IS NULL THEN 0 ELSE 1 END AS ends FROM {side} x LEFT JOIN {other} y ON x.stop = y.stop)
+SELECT CAST(coalesce(sum(ends) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS grp FROM cut ORDER BY place
 """
 
+#: What follows a token: one of its own side and group, the group's other side, the next group, the next unit.
+AFTER = (",", "|", ";", "")
+_written: list[bytes] = []
+
+
+def _told(ids: np.ndarray, units: np.ndarray, groups: np.ndarray, sides: np.ndarray, n: int) -> list[bytes]:
+    """The groups of each of n units as text."""
+    global _written
+    if len(_written) < 4 * (int(ids.max(initial=0)) + 1):
+        _written = [f"{i}{c}".encode() for i in range(int(ids.max()) + 1) for c in AFTER]
+    order = np.lexsort((sides, groups))  # stable, and tokens come in order
+    unit, group, side = units[order], groups[order], sides[order]
+    after = np.full(len(order), 3)
+    same = unit[1:] == unit[:-1]
+    after[:-1][same] = np.where(group[1:] != group[:-1], 2, side[1:] != side[:-1])[same]
+    parts = [_written[k] for k in (ids[order] * 4 + after).tolist()]
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    edges = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(unit, np.arange(n + 1))].tolist()
+    whole = b"".join(parts)
+    return [whole[x:y] for x, y in zip(edges[:-1], edges[1:], strict=True)]
+
 
 class Pair:
     """The two tokenizers: ids of units, and the bytes of ids."""
@@ -143,9 +160,13 @@ class _Aligned(Encoded):
             found = self._db.execute(LINKS).fetchnumpy()
             links = found["a"].astype(np.int64) << 32 | found["b"].astype(np.int64)
             sizes = np.bincount(found["unit"].astype(np.int64), minlength=n)
-            groups = self._db.execute(GROUPS).fetchnumpy()
-            counts[groups["unit"].astype(np.int64), 2] = groups["n"].astype(np.int64)
-            told[groups["unit"].astype(np.int64)] = [t.encode() for t in groups["told"].tolist()]
+            groups = [self._db.execute(GROUPS.format(side=x, other=y)).fetchnumpy()["grp"] for x, y in ("ab", "ba")]
+            unit = np.concatenate([x.column("unit").to_numpy() for x in sides])
+            ids = np.concatenate([x.column("id").to_numpy() for x in sides])
+            group = np.concatenate(groups).astype(np.int64)
+            first = np.flatnonzero(np.r_[True, np.diff(groups[0]) != 0])  # groups never cross units
+            counts[:, 2] = np.bincount(unit[first], minlength=n)
+            told[:] = _told(ids, unit, group, np.repeat([0, 1], [len(x) for x in sides]), n)
         self._fresh = (good, counts, told)
         return links, sizes
 
