@@ -4,6 +4,9 @@ Rows are dealt to ordered buckets (hash prefixes, leading characters, or steps o
 that are equal in width and on logarithmic scales). Sums over the buckets, which are few, are
 accumulated by a window; inside a bucket a window partitioned by it does the rest. The bucket of a
 row depends on exact aggregates alone, so it is the same whenever a lost task is computed again.
+
+Sums of buckets are stored before they are joined: Spark then knows how small they are and sends
+them to the rows; only where groups are so many that they are not small, it moves the rows.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..storage import Workspace
 
 def _before(totals: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
     """Sums of the buckets before each; one small partition for each key."""
@@ -36,6 +40,7 @@ def hash_rank(df: DataFrame, key: str, seed: int, strata: Sequence[str] = (), di
     everywhere = Window.partitionBy(*(strata or [F.lit(0)]))
     totals = _before(totals, strata, ["__c"]).withColumn("__n", F.sum("__c").over(everywhere))
     names = [f"__s{i}" for i in range(len(strata))]
+    totals = Workspace(df.sparkSession, "ranks").save(totals, "buckets")
     small = totals.select(*[F.col(f"`{s}`").alias(n) for s, n in zip(strata, names, strict=True)], F.col("__bucket").alias("__b"), F.col("__c__before").alias("__off"), "__n")
     cond = F.col("__bucket") == F.col("__b")
     for s, n in zip(strata, names, strict=True):
@@ -49,13 +54,14 @@ def hash_labelled(df: DataFrame, key: str, hashed: Column, keys: Sequence[str],
     """Adds ``name`` = label(rank, n): a row's rank (from 1, by ``hashed``, ties by key) and the number of rows, both within ``keys``.
 
     label must not return to an earlier value as the rank grows. Then it is known from counts of
-    hash prefixes wherever a prefix's first and last rank have one label; only rows of the
-    few prefixes that hold an edge are shuffled and ranked.
+    hash prefixes wherever a prefix's first and last rank have one label; those counts are sent
+    to the rows, and only rows of the few prefixes that hold an edge are shuffled and ranked.
     """
     keys = list(keys)
     df = df.withColumn("__hash", hashed).withColumn("__bucket", F.substring("__hash", 1, digits))
     totals = _before(df.groupBy(*[F.col(f"`{k}`") for k in keys], "__bucket").agg(F.count("*").alias("__c")), [f"`{k}`" for k in keys], ["__c"])
     totals = totals.withColumn("__n", F.sum("__c").over(Window.partitionBy(*([F.col(f"`{k}`") for k in keys] or [F.lit(0)]))))
+    totals = Workspace(df.sparkSession, "ranks").save(totals, "buckets")
     names = [f"__s{i}" for i in range(len(keys))]
     off, n = F.col("__c__before"), F.col("__n")
     small = totals.select(*[F.col(f"`{k}`").alias(a) for k, a in zip(keys, names, strict=True)], F.col("__bucket").alias("__b"), off.alias("__off"), n, label(off + 1, n).alias("__first"), label(off + F.col("__c"), n).alias("__last"))
@@ -88,9 +94,10 @@ def cumulative(df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[st
     ``order`` is numeric or temporal, without nulls and distinct within the keys (aggregate first).
     """
     keys = list(keys)
+    ws = Workspace(df.sparkSession, "sums")
+    df = ws.save(df, "rows")  # it is read three times
     value = F.col(f"`{order}`").cast("double")
     names = [f"__k{i}" for i in range(len(keys))]
-    span = df.groupBy(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names, strict=True)]).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
 
     def same(prefix: Sequence[str]) -> Column:
         cond = F.lit(True)
@@ -98,9 +105,11 @@ def cumulative(df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[st
             cond &= F.col(f"`{k}`").eqNullSafe(F.col(n))
         return cond
 
-    placed = df.join(F.broadcast(span) if not keys else span, same(names)) if keys else df.crossJoin(span)
+    span = df.groupBy(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names, strict=True)]).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    span = ws.save(span, "spans") if keys else F.broadcast(span)  # one row, or one of each group
+    placed = df.join(span, same(names)) if keys else df.crossJoin(span)
     placed = placed.withColumn("__bucket", ordered_bucket(value, F.col("__lo"), F.col("__hi"), buckets)).drop("__lo", "__hi", *names)
-    totals = _before(placed.groupBy(*keys, "__bucket").agg(*[F.sum(s).alias(s) for s in sums]), keys, sums)
+    totals = ws.save(_before(placed.groupBy(*keys, "__bucket").agg(*[F.sum(s).alias(s) for s in sums]), keys, sums), "buckets")
     theirs = [f"__t{i}" for i in range(len(keys))]
     small = totals.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, theirs, strict=True)], F.col("__bucket").alias("__b"), *[f"{s}__before" for s in sums])
     inside = Window.partitionBy(*keys, "__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

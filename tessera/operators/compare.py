@@ -130,20 +130,25 @@ def _counted(observations: DataFrame) -> DataFrame:
     return first.unionByName(second).groupBy("feature", "group", "value").agg(F.sum("c1").alias("c1"), F.sum("c2").alias("c2"))
 
 
+def ranked_cells(observations: DataFrame) -> DataFrame:
+    """feature, group, value, c1, c2 and their running sums c1__upto, c2__upto: all that rank tests need."""
+    return cumulative(_counted(observations), ["feature", "group"], "value", ["c1", "c2"])
+
+
 def _exact(method: str, fits: Column) -> Column:
     if method not in P_VALUES:
         raise errors.InvalidArgumentError(f"p_values {method!r}; one of {P_VALUES}")
     return F.lit(False) if method == "asymptotic" else F.lit(True) if method == "exact" else fits
 
 
-def ks_test(df: DataFrame, features: Sequence[str], group: str | None = None, mode: str = "groups", baseline: str | None = None, reliability: float = 0.05, observations: DataFrame | None = None, p_values: str = "auto") -> DataFrame:
+def ks_test(df: DataFrame, features: Sequence[str], group: str | None = None, mode: str = "groups", baseline: str | None = None, reliability: float = 0.05, observations: DataFrame | None = None, p_values: str = "auto", cells: DataFrame | None = None) -> DataFrame:
     """Two-sided Kolmogorov-Smirnov distance.
 
     p_values: "exact" counts lattice paths, "asymptotic" is the limit distribution, "auto" is exact
-    up to KS_EXACT rows in the larger sample.
+    up to KS_EXACT rows in the larger sample. ``cells`` of ``ranked_cells`` serve this test and ``u_test``.
     """
-    observations = observations if observations is not None else pairs(df, features, group, mode, baseline)
-    cells = cumulative(_counted(observations), ["feature", "group"], "value", ["c1", "c2"])
+    if cells is None:
+        cells = ranked_cells(observations if observations is not None else pairs(df, features, group, mode, baseline))
     total = cells.groupBy(F.col("feature").alias("__f"), F.col("group").alias("__g")).agg(F.sum("c1").alias("n1"), F.sum("c2").alias("n2"))
     cells = cells.join(F.broadcast(total), (F.col("feature") == F.col("__f")) & (F.col("group") == F.col("__g")))
     gap = F.abs(F.try_divide(F.col("c1__upto"), F.col("n1")) - F.try_divide(F.col("c2__upto"), F.col("n2")))
@@ -157,18 +162,17 @@ def ks_test(df: DataFrame, features: Sequence[str], group: str | None = None, mo
     return _tested(out, p, reliability)
 
 
-def u_test(df: DataFrame, features: Sequence[str], group: str | None = None, mode: str = "groups", baseline: str | None = None, reliability: float = 0.05, observations: DataFrame | None = None, p_values: str = "auto") -> DataFrame:
+def u_test(df: DataFrame, features: Sequence[str], group: str | None = None, mode: str = "groups", baseline: str | None = None, reliability: float = 0.05, observations: DataFrame | None = None, p_values: str = "auto", cells: DataFrame | None = None) -> DataFrame:
     """Mann-Whitney U of the control.
 
     p_values: "exact" counts orders without ties, "asymptotic" is the normal approximation with tie
     and continuity corrections, "auto" is exact without ties and with U_EXACT rows or fewer in the
     smaller sample. Samples with more than U_CELLS values of U are always approximated.
     """
-    observations = observations if observations is not None else pairs(df, features, group, mode, baseline)
-    counted = _counted(observations).withColumn("c", F.col("c1") + F.col("c2"))
-    cells = cumulative(counted, ["feature", "group"], "value", ["c"])
-    rank = F.col("c__upto") - (F.col("c") - 1) / 2
-    c = F.col("c")
+    if cells is None:
+        cells = ranked_cells(observations if observations is not None else pairs(df, features, group, mode, baseline))
+    c = F.col("c1") + F.col("c2")
+    rank = F.col("c1__upto") + F.col("c2__upto") - (c - 1) / 2
     out = cells.groupBy("feature", "group").agg(F.sum(F.col("c1") * rank).alias("r1"), F.sum("c1").alias("n1"), F.sum("c2").alias("n2"), F.sum(c * c * c - c).alias("ties"))
     n1, n2 = F.col("n1"), F.col("n2")
     n = n1 + n2

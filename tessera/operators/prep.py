@@ -13,6 +13,7 @@ from .. import errors
 from ..frame import RoleFrame
 from ..roles import NUMERIC, AdditionalFeatureRole, FeatureRole, TargetRole
 from . import stats
+from .selection import quantile_values
 from .stats import column
 
 Step = Callable[[RoleFrame], RoleFrame]
@@ -99,10 +100,16 @@ def corr_filter(threshold: float = 0.8, method: str = "pearson") -> Step:
 
 def drop_outliers(df: DataFrame, columns: Sequence[str], lower: float = 0.05, upper: float = 0.95, exact: bool = True) -> DataFrame:
     """Rows whose columns all lie between the quantiles; nulls do not count as outliers."""
-    pick = (lambda c, q: F.percentile(column(c).cast("double"), q)) if exact else (lambda c, q: F.percentile_approx(column(c).cast("double"), q, 10_000))
-    bounds = df.agg(*[pick(c, F.lit(q)).alias(f"__{k}_{i}") for i, c in enumerate(columns) for k, q in (("lo", lower), ("hi", upper))])
-    joined = df.crossJoin(F.broadcast(bounds))
-    inside = reduce(lambda a, b: a & b, (F.coalesce((column(c) >= F.col(f"__lo_{i}")) & (column(c) <= F.col(f"__hi_{i}")), F.lit(True)) for i, c in enumerate(columns)))
+    if exact:
+        found = quantile_values(df, columns, [lower, upper])
+        bounds = [[F.lit(v) for v in found[c]] for c in columns]
+        joined = df
+    else:
+        both = F.array(F.lit(lower), F.lit(upper))
+        sketch = df.agg(*[F.percentile_approx(column(c).cast("double"), both, 10_000).alias(f"__q{i}") for i, c in enumerate(columns)])
+        joined = df.crossJoin(F.broadcast(sketch))  # one row
+        bounds = [[F.col(f"__q{i}")[0], F.col(f"__q{i}")[1]] for i in range(len(columns))]
+    inside = reduce(lambda a, b: a & b, (F.coalesce((column(c) >= lo) & (column(c) <= hi), F.lit(True)) for c, (lo, hi) in zip(columns, bounds, strict=True)))
     return joined.filter(inside).select(*[column(c) for c in df.columns])
 
 

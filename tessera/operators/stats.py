@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 
 from .. import errors
 from ..functions.ranking import cumulative, ordered_bucket
+from ..storage import Workspace
+from .selection import inversions, quantile_values
 
 AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "count": F.count,
@@ -78,12 +80,20 @@ def idxmax(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], q: float | Sequence[float], exact: bool = True) -> DataFrame:
-    """Linear interpolation between order statistics; approximate ones from a bounded sketch. One row per q, column ``q``."""
+    """Linear interpolation between order statistics; approximate ones from a bounded sketch. One row per q, column ``q``.
+
+    Exact ones are selected by counting buckets, which reads the table a few times; nothing holds
+    the distinct values.
+    """
     qs = [q] if isinstance(q, (int, float)) else list(q)
     if any(not 0 <= x <= 1 for x in qs):
         raise errors.InvalidArgumentError("quantiles lie between 0 and 1")
+    if exact:
+        found = quantile_values(df, columns, qs)
+        rows = [(float(x), *[None if found[c][i] is None else float(found[c][i]) for c in columns]) for i, x in enumerate(qs)]
+        return df.sparkSession.createDataFrame(rows, ", ".join(f"`{c}` double" for c in ["q", *columns]))
     lists = F.array(*[F.lit(float(x)) for x in qs])
-    found = df.agg(*[(F.percentile(column(c).cast("double"), lists) if exact else F.percentile_approx(column(c).cast("double"), lists, 10_000)).alias(c) for c in columns])
+    found = df.agg(*[F.percentile_approx(column(c).cast("double"), lists, 10_000).alias(c) for c in columns])
     zipped = F.explode(F.arrays_zip(lists.alias("q"), *[column(c).alias(c) for c in columns])).alias("z")
     return found.select(zipped).select(*[F.col(f"z.`{c}`").alias(c) for c in ["q", *columns]])
 
@@ -101,8 +111,7 @@ def slope(y: Column, x: Column) -> Column:
 def pairwise(df: DataFrame, columns: Sequence[str], method: str) -> DataFrame:
     """column_a, column_b, value for every ordered pair; one aggregate over the table.
 
-    cov (sample), pearson, spearman (of average ranks) or kendall (tau-b, from the counts of
-    distinct value pairs).
+    cov (sample), pearson, spearman (of average ranks) or kendall (tau-b, from inversions).
     """
     if method == "spearman":
         ranked = df
@@ -132,23 +141,21 @@ def average_rank(df: DataFrame, c: str, name: str) -> DataFrame:
 
 
 def _kendall(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """tau-b from pairs of distinct (x, y) cells, so work depends on distinct cells, not rows."""
-    parts = None
+    """tau-b from the inversions of distinct (x, y) cells and the ties of either column."""
+    ws = Workspace(df.sparkSession, "kendall")
+    rows = []
     for a, b in itertools.combinations_with_replacement(columns, 2):
-        cells = df.filter(column(a).isNotNull() & column(b).isNotNull()).groupBy(column(a).alias("x"), column(b).alias("y")).agg(F.count("*").cast("double").alias("c"))
-        other = cells.select(F.col("x").alias("u"), F.col("y").alias("v"), F.col("c").alias("d"))
-        sign = F.signum(F.col("x") - F.col("u")) * F.signum(F.col("y") - F.col("v"))
-        both = cells.join(other, F.col("x") > F.col("u"))
-        s = both.agg(F.coalesce(F.sum(sign * F.col("c") * F.col("d")), F.lit(0.0)).alias("s"))
-        n = cells.agg(F.sum("c").alias("n"))
-        ties = lambda k: cells.groupBy(k).agg(F.sum("c").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(f"t{k}"))  # noqa: E731, B023
-        row = s.crossJoin(n).crossJoin(ties("x")).crossJoin(ties("y"))
-        total = F.col("n") * (F.col("n") - 1) / 2
-        value = F.try_divide(F.col("s"), F.sqrt((total - F.col("tx")) * (total - F.col("ty"))))
-        for p, q in {(a, b), (b, a)}:
-            one = row.select(F.lit(p).alias("column_a"), F.lit(q).alias("column_b"), value.alias("value"))
-            parts = one if parts is None else parts.unionByName(one)
-    return parts
+        present = df.filter(column(a).isNotNull() & column(b).isNotNull())
+        cells = ws.save(present.groupBy(column(a).cast("double").alias("x"), column(b).cast("double").alias("y")).agg(F.count("*").cast("double").alias("c")), "cells")
+        pairs = F.col("c") * (F.col("c") - 1) / 2
+        n, both = cells.agg(F.coalesce(F.sum("c"), F.lit(0.0)), F.coalesce(F.sum(pairs), F.lit(0.0))).first()
+        tx, ty = (cells.groupBy(k).agg(F.sum("c").alias("c")).agg(F.coalesce(F.sum(pairs), F.lit(0.0))).first()[0] for k in ("x", "y"))
+        total = n * (n - 1) / 2
+        against = inversions(cells, ws) if a != b else 0.0
+        scale = ((total - tx) * (total - ty)) ** 0.5
+        value = (total - tx - ty + both - 2 * against) / scale if scale else None
+        rows += [(p, q, value) for p, q in sorted({(a, b), (b, a)})]
+    return df.sparkSession.createDataFrame(rows, "column_a string, column_b string, value double")
 
 
 def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:

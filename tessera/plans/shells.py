@@ -39,12 +39,15 @@ def _targets(frame: RoleFrame) -> tuple[list[str], list[str]]:
 def run_tests(df: DataFrame, group: str, numeric: Sequence[str], text: Sequence[str], tests: Sequence[str], equal_var: bool = False, reliability: float = 0.05, mode: str = "groups", p_values: str = "auto") -> DataFrame:
     """Long table: feature, group, test, statistic, p_value, pass."""
     parts = []
+    cells = None
+    if numeric and {"ks-test", "u-test"} <= set(tests):  # both read the same counts
+        cells = Workspace(df.sparkSession, "tests").save(compare.ranked_cells(compare.pairs(df, numeric, group, mode)), "cells")
     for name in tests:
         if name not in compare.TESTS:
             raise errors.InvalidArgumentError(f"test {name!r}; one of {sorted(compare.TESTS)}")
         columns = text if name == "chi2-test" else numeric
         if columns:
-            extra: dict[str, Any] = {"t-test": {"equal_var": equal_var}, "ks-test": {"p_values": p_values}, "u-test": {"p_values": p_values}}.get(name, {})
+            extra: dict[str, Any] = {"t-test": {"equal_var": equal_var}, "ks-test": {"p_values": p_values, "cells": cells}, "u-test": {"p_values": p_values, "cells": cells}}.get(name, {})
             found = compare.TESTS[name](df, columns, group, mode=mode, reliability=reliability, **extra)
             parts.append(found.select("feature", "group", F.lit(name).alias("test"), "statistic", "p_value", "pass"))
     if not parts:
@@ -220,7 +223,7 @@ class AATest:
             found = part if found is None else found.unionByName(part)
             if self.sample_size is not None and part.filter("pass").isEmpty():
                 break
-        tested = found.cache()
+        tested = Workspace(frame.df.sparkSession, "aa").save(found, "tests")
         scores = split_scores(tested)
         weight = "mean_test_score" if self.compat else "score"
         best = scores.orderBy(F.desc(weight), "seed").first()["seed"]
