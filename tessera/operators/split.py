@@ -5,6 +5,7 @@ A split is a function of key and seed alone, so it is the same in every run and
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import errors
-from ..functions.ranking import hash_labelled, hash_order, hash_rank
+from ..functions.ranking import hash_labelled, hash_order
 from .stats import column
 
 
@@ -45,36 +46,37 @@ class Splitter:
         sizes = self.groups_sizes or (self.control_size, 1 - self.control_size)
         return [sum(sizes[: i + 1]) for i in range(len(sizes) - 1)]
 
+    def _label(self, rank: Column, n: Column) -> Column:
+        drawn = None
+        if self.sample_size is not None:
+            n = F.floor(n * F.lit(self.sample_size))
+            drawn = rank <= n
+        out: Column = F.lit(f"test_{len(self._edges())}")
+        for i, edge in reversed(list(enumerate(self._edges()))):
+            out = F.when(rank <= F.floor(n * F.lit(edge)), "control" if i == 0 else f"test_{i}").otherwise(out)
+        return out if drawn is None else F.when(drawn, out).otherwise(F.lit("test_1" if self.compat else None))
+
     def split(self, df: DataFrame, name: str = "split") -> DataFrame:
         """Adds ``name``: control, test_1, test_2, ..."""
-        if self.const is not None:
-            return self._with_const(df, name)
-
-        def label(rank: Column, n: Column) -> Column:
-            drawn = None
-            if self.sample_size is not None:
-                n = F.floor(n * F.lit(self.sample_size))
-                drawn = rank <= n
-            out: Column = F.lit(f"test_{len(self._edges())}")
-            for i, edge in reversed(list(enumerate(self._edges()))):
-                out = F.when(rank <= F.floor(n * F.lit(edge)), "control" if i == 0 else f"test_{i}").otherwise(out)
-            return out if drawn is None else F.when(drawn, out).otherwise(F.lit("test_1" if self.compat else None))
-
-        return hash_labelled(df, self.key, hash_order(self.key, self.seed), self.strata, label, name)
-
-    def _with_const(self, df: DataFrame, name: str) -> DataFrame:
+        return self._labelled(df, hash_order(self.key, self.seed), [], name)
+
+    def split_many(self, df: DataFrame, seeds: Sequence[int], name: str = "split") -> DataFrame:
+        """The splits of all seeds in one plan: rows times seeds, with ``seed`` and ``name``; batch the seeds for large tables."""
+        spread = df.withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
+        hashed = F.md5(F.concat(column(self.key).cast("string"), F.lit(":"), F.col("seed").cast("string")))
+        return self._labelled(spread, hashed, ["seed"], name)
+
+    def _labelled(self, df: DataFrame, hashed: Column, by: list[str], name: str) -> DataFrame:
+        if self.const is None:
+            return hash_labelled(df, self.key, hashed, [*by, *self.strata], self._label, name)
         fixed = column(self.const)
-        totals = df.agg(F.count("*").alias("__all"), F.count_if(fixed == "control").alias("__fixed"))
-        free = hash_rank(df.filter(fixed.isNull()), self.key, self.seed).crossJoin(F.broadcast(totals))
-        wanted = F.greatest(F.lit(0), F.floor(F.col("__all") * F.lit(self.control_size)) - F.col("__fixed"))
-        free = free.withColumn(name, F.when(F.col("__rank") <= wanted, "control").otherwise("test_1")).drop("__rank", "__n", "__all", "__fixed")
+        totals = df.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(fixed == "control").alias("fixed")).first()  # the same for every seed
+        wanted = max(0, math.floor(totals["n"] * self.control_size) - totals["fixed"]) if totals else 0
+        free = hash_labelled(df.filter(fixed.isNull()), self.key, hashed, by, lambda rank, n: F.when(rank <= wanted, "control").otherwise("test_1"), name)
         held = df.filter(fixed.isNotNull()).withColumn(name, F.when(fixed == "control", "control").otherwise("test_1"))
         return held.unionByName(free)
 
 
 def split_many(df: DataFrame, key: str, seeds: Sequence[int], control_size: float = 0.5, strata: Sequence[str] = ()) -> DataFrame:
-    """All seeds at once: rows times seeds, with ``seed`` and ``split``; batch the seeds for large tables."""
-    spread = df.withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
-    hashed = F.md5(F.concat(column(key).cast("string"), F.lit(":"), F.col("seed").cast("string")))
-    label = lambda rank, n: F.when(rank <= F.floor(n * F.lit(control_size)), "control").otherwise("test_1")
-    return hash_labelled(spread, key, hashed, ["seed", *strata], label, "split")
+    """Two arms for all seeds at once."""
+    return Splitter(key, control_size=control_size, strata=tuple(strata)).split_many(df, seeds)

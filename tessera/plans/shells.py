@@ -168,9 +168,10 @@ class AATest:
     """Many random splits, each tested; the share of significant ones should be the level.
 
     Splits are batched: ``batch`` seeds are exploded at a time and all their tests run as one
-    plan keyed by seed. With ``sample_size`` only that share of the rows is split and the loop
-    stops after a batch in which every split passed. ``compat`` picks the split with the largest
-    mean test score; otherwise p-values weigh two thirds.
+    plan keyed by seed, whatever the kind of split. With ``sample_size`` only that share of the rows
+    is split, and the first seed without a significant test is taken, as if seeds were tried one
+    by one (with ``compat`` the first that has one, as published). ``compat`` picks the split with
+    the largest mean test score; otherwise p-values weigh two thirds.
     """
 
     n_iterations: int = 10
@@ -194,36 +195,32 @@ class AATest:
 
     def _experiments(self, frame: RoleFrame, seeds: Sequence[int], numeric: Sequence[str], text: Sequence[str]) -> DataFrame:
         """seed, feature, group, test, statistic, p_value, pass."""
-        tests = [*self.tests, *(["chi2-test"] if text else [])]
-        simple = not frame.search_columns(ConstGroupRole) and self.groups_sizes is None and self.sample_size is None
-        if simple:
-            strata = frame.search_columns(StratificationRole) if self.stratification else []
-            kept = list(dict.fromkeys([frame._order(), *strata, *numeric, *text]))
-            spread = split.split_many(frame.df.select(*[column(c) for c in kept]), frame._order(), seeds, self.control_size, strata)
-            # each test runs once over all seeds
-            parts = []
-            for name in tests:
-                columns = text if name == "chi2-test" else numeric
-                if not columns:
-                    continue
+        splitter = self._splitter(frame, 0)
+        kept = [frame._order(), *splitter.strata, *([splitter.const] if splitter.const else []), *numeric, *text]
+        spread = splitter.split_many(frame.df.select(*[column(c) for c in dict.fromkeys(kept)]), seeds).filter("split is not null")
+        parts = []  # each test runs once over all seeds
+        for name in [*self.tests, *(["chi2-test"] if text else [])]:
+            if columns := (text if name == "chi2-test" else numeric):
                 parts.append(_by_seed(spread, columns, name, self.equal_var, self.reliability, self.p_values))
-            return reduce(DataFrame.unionByName, parts)
-        parts = []
-        for seed in seeds:
-            df = self._splitter(frame, seed).split(frame.df).filter("split is not null")
-            parts.append(run_tests(df, "split", numeric, text, tests, self.equal_var, self.reliability, p_values=self.p_values).withColumn("seed", F.lit(int(seed))))
         return reduce(DataFrame.unionByName, parts)
 
+    def _stop(self, tested: DataFrame, seeds: Sequence[int]) -> int | None:
+        """The first of the seeds, in their order, that ends the search."""
+        flags = {r["seed"]: r["some"] for r in tested.groupBy("seed").agg(F.coalesce(F.bool_or("pass"), F.lit(False)).alias("some")).collect()}
+        return next((int(s) for s in seeds if s in flags and flags[s] == self.compat), None)
+
     def execute(self, frame: RoleFrame) -> AAOutput:
         numeric, text = _targets(frame)
         seeds = list(self.seeds or range(2000 if self.precision_mode else self.n_iterations))
-        found = None
+        ws = Workspace(frame.df.sparkSession, "aa")
+        parts = []
         for i in range(0, len(seeds), self.batch):
-            part = self._experiments(frame, seeds[i : i + self.batch], numeric, text)
-            found = part if found is None else found.unionByName(part)
-            if self.sample_size is not None and part.filter("pass").isEmpty():
+            part = ws.save(self._experiments(frame, seeds[i : i + self.batch], numeric, text), "tests")
+            parts.append(part)
+            if self.sample_size is not None and (stop := self._stop(part, seeds[i : i + self.batch])) is not None:
+                parts = [part.filter(F.col("seed") == stop)]
                 break
-        tested = Workspace(frame.df.sparkSession, "aa").save(found, "tests")
+        tested = reduce(DataFrame.unionByName, parts)
         scores = split_scores(tested)
         weight = "mean_test_score" if self.compat else "score"
         best = scores.orderBy(F.desc(weight), "seed").first()["seed"]

@@ -276,6 +276,30 @@ def test_splits(spark):
         split.Splitter("id", groups_sizes=(0.5, 0.6))
 
 
+def test_batched_splits(spark):
+    """Every kind of split in one plan, and the first passing seed as if seeds were tried one by one."""
+    rng = np.random.default_rng(12)
+    pdf = pd.DataFrame({"id": range(400), "s": rng.integers(0, 3, 400).astype(str), "y": rng.normal(size=400), "fixed": np.where(np.arange(400) < 20, "control", np.where(np.arange(400) < 30, "held", None))})
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "id long, s string, y double, fixed string")
+    kinds = [{"groups_sizes": (0.2, 0.3, 0.5)}, {"const": "fixed"}, {"sample_size": 0.4}, {"strata": ("s",), "control_size": 0.3}, {"sample_size": 0.3, "groups_sizes": (0.5, 0.25, 0.25)}]
+    for kind in kinds:
+        many = split.Splitter("id", **kind).split_many(df, [4, 9]).select("id", "seed", "split").toPandas()
+        for seed in (4, 9):
+            own = split.Splitter("id", seed, **kind).split(df).select("id", "split").toPandas()
+            both = own.merge(many[many.seed == seed], on="id")
+            assert len(both) == 400 and (both.split_x.fillna("") == both.split_y.fillna("")).all()
+    frame = RoleFrame(df, {TargetRole(): ["y"]}, "id")
+    seeds = tuple(range(30))
+    sampled = {"tests": ("t-test",), "sample_size": 0.2, "reliability": 0.6, "groups_sizes": (0.4, 0.3, 0.3)}
+    out = shells.AATest(seeds=seeds, batch=8, **sampled).execute(frame)
+    for seed in seeds:
+        one = split.Splitter("id", seed, sample_size=0.2, groups_sizes=(0.4, 0.3, 0.3)).split(df).filter("split is not null")
+        if not any(r["pass"] for r in compare.t_test(one, ["y"], "split", equal_var=False, reliability=0.6).collect()):
+            break
+    assert seed > 0 and out.best_seed == seed and {r.seed for r in out.experiments.collect()} == {seed}
+    assert {r.split for r in out.best_split.df.select("split").distinct().collect()} == {"control", "test_1", "test_2"}
+
+
 def test_matching_against_brute_force(spark):
     rng = np.random.default_rng(2)
     pdf = pd.DataFrame({"id": range(300), "t": rng.integers(0, 2, 300), "x": rng.normal(size=300), "z": rng.normal(size=300)})
