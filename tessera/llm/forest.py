@@ -17,6 +17,10 @@ below it one task grows the rest of a tree in memory, where the links of a node
 matrix, so memory depends on ``node_rows`` alone. A label that fits into one node grows all its
 trees in that task.
 
+The search for cores is linear in a label: its n / 1024 pivots meet a sample of SEEN rows at most,
+and rows are then compared with CORES cores at most, in as many rounds as find any. In labels above
+SEEN rows a group that is a small share of them can escape the sample and is split like others.
+
 Defined results: vectors that are null, zero or hold null or non-finite components, and those
 with a null label, link with nothing; repeated rows are vectors of their own that link with each
 other; a null vec_id keeps its row; vectors of different length never link; only the id, label
@@ -27,7 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, components
@@ -35,6 +39,8 @@ from .common import Workspace, components
 LEAF, NODE_ROWS = 256, 8192
 SAMPLE = 64  # rows of a node that tell whether it is dense; a label's sample adds 8 for each node_rows
 BLOCK = 2048  # rows on each side of one comparison
+SEEN = 65_536  # rows of a label that pivots are compared with
+CORES, CANDIDATES = 1024, 4096  # cores of a label in a round, and the pivots that they are chosen from
 
 
 def _direction(seed: int, tree: int, node: int, size: int) -> np.ndarray:
@@ -119,12 +125,15 @@ def _cores(rest: DataFrame, ws: Workspace, threshold: float, leaf: int, node_row
     label = ["label", "dim"]
     sizes = rest.groupBy(*label).agg(F.count("*").alias("n"))
     chance = F.lit(8.0) / node_rows + F.lit(float(SAMPLE)) / F.col("n")
-    draw = F.pmod(F.xxhash64("cid", F.lit("pivot")), F.lit(1 << 30)) / float(1 << 30)
+    draw = lambda what: F.pmod(F.xxhash64("cid", F.lit(what)), F.lit(1 << 30)) / float(1 << 30)
     sized = rest.join(sizes.withColumnRenamed("label", "l").withColumnRenamed("dim", "d"), (F.col("label") == F.col("l")) & (F.col("dim") == F.col("d"))).drop("l", "d")
-    chunk = F.pmod(F.xxhash64("cid", F.lit("chunk")), F.ceil(F.col("n") / BLOCK)).alias("chunk")
-    chunked = sized.select(*label, "cid", "m", "v", chunk)
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK) - 1)).alias("chunk")
-    pivots = ws.save(sized.filter(draw < chance).select(*label, "cid", "v", "n"), "pivots")
+    chunks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("long")
+    at = lambda n: F.pmod(F.xxhash64("cid", F.lit("chunk")), chunks(n)).alias("chunk")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), chunks(n) - 1)).alias("chunk")
+    chunked = sized.select(*label, "cid", "m", "v", at(F.col("n")))
+    pivots = ws.save(sized.filter(draw("pivot") < chance).select(*label, "cid", "v", "n"), "pivots")
+    seen = F.least(F.col("n"), F.lit(SEEN))
+    sampled = ws.save(sized.filter(draw("seen") < seen / F.col("n")).select(*label, "cid", "v", at(seen)), "sampled")
 
     def count(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or own.empty:
@@ -137,9 +146,11 @@ def _cores(rest: DataFrame, ws: Workspace, threshold: float, leaf: int, node_row
         return pd.DataFrame({"pivot": own["cid"], "links": near})
 
     key = [*label, "chunk"]
-    met = chunked.groupBy(*key).cogroup(pivots.select(*label, "cid", "v", every).groupBy(*key)).applyInPandas(count, "pivot long, links long")
-    dense = met.groupBy("pivot").agg(F.sum("links").alias("links")).filter(F.col("links") > 2 * leaf)
-    dense = ws.save(pivots.join(dense, F.col("cid") == F.col("pivot")).select(*label, "cid", "v", "n", "links"), "dense")
+    met = sampled.groupBy(*key).cogroup(pivots.select(*label, "cid", "v", every(seen)).groupBy(*key)).applyInPandas(count, "pivot long, links long")
+    told = met.groupBy("pivot").agg(F.sum("links").alias("links")).filter("links > 3")  # few links in a sample can be chance
+    dense = pivots.join(told, F.col("cid") == F.col("pivot")).withColumn("links", (F.col("links") * F.col("n") / seen).cast("long")).filter(F.col("links") > 2 * leaf)
+    most = Window.partitionBy(*label).orderBy(F.col("links").desc(), "cid")
+    dense = ws.save(dense.withColumn("k", F.row_number().over(most)).filter(F.col("k") <= CANDIDATES).select(*label, "cid", "v", "n", "links"), "dense")
     if dense.isEmpty():
         return None
 
@@ -147,7 +158,7 @@ def _cores(rest: DataFrame, ws: Workspace, threshold: float, leaf: int, node_row
         own = own.sort_values(["links", "cid"], ascending=[False, True], kind="stable")
         by, taken = _unit(own["v"]), []
         for i in range(len(by)):
-            if not taken or (by[taken] @ by[i]).max() < threshold:
+            if len(taken) < CORES and (not taken or (by[taken] @ by[i]).max() < threshold):
                 taken.append(i)
         return own.iloc[taken][[*label, "cid", "v", "n"]]
 
@@ -169,7 +180,7 @@ def _cores(rest: DataFrame, ws: Workspace, threshold: float, leaf: int, node_row
                 out.append(part.iloc[i][["cid", "m", "v"]].assign(cell=ids[j], home=home[i] == j, core=home[i] >= 0))
         return pd.concat(out) if out else pd.DataFrame({"cid": [], "m": [], "v": [], "cell": [], "home": [], "core": []})
 
-    placed = chunked.groupBy(*key).cogroup(chosen.select(*label, "cid", "v", every).groupBy(*key))
+    placed = chunked.groupBy(*key).cogroup(chosen.select(*label, "cid", "v", every(F.col("n"))).groupBy(*key))
     placed = ws.save(placed.applyInPandas(place, "cid long, m long, v array<double>, cell long, home boolean, core boolean"), "placed")
     counts = placed.groupBy("cell").agg(F.ceil(F.count_if("home") / BLOCK).alias("nx"), F.ceil(F.count("*") / BLOCK).alias("ny"))
     there = placed.join(counts.withColumnRenamed("cell", "c"), F.col("cell") == F.col("c")).drop("c")
@@ -232,8 +243,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, trees: int = 12, lea
     def project(v: pd.Series, tree: pd.Series, node: pd.Series) -> pd.Series:
         out = np.zeros(len(v))
         for (t, k), at in pd.DataFrame({"t": tree.to_numpy(), "k": node.to_numpy()}).groupby(["t", "k"]).indices.items():
-            own = np.vstack(v.iloc[at].to_numpy())
-            own /= np.linalg.norm(own, axis=1, keepdims=True)
+            own = _unit(v.iloc[at])
             out[at] = own @ _direction(seed, int(t), int(k) % (1 << 62), own.shape[1])
         return pd.Series(out)
 
