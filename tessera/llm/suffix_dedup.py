@@ -7,7 +7,8 @@ included.
    in a row with one anchor form a context; each window lies in exactly one context, and equal
    windows have equal anchors, so only contexts of one anchor gram can share a window.
 2. Anchor grams that occur once are done. Equal contexts of the others are kept once, with their
-   number; their bytes are fetched and dealt to shards by anchor gram.
+   number; a gram with one such context is done as well, as all its windows are repeated. The bytes
+   of the others are fetched and dealt to shards by anchor gram.
 3. Each shard builds the suffix array of its contexts by induced sorting, computes permuted
    common prefixes, and marks windows whose common prefix with a neighbour reaches ``size``.
    Windows of a context that occurs several times are marked as well.
@@ -191,8 +192,10 @@ def _hot_spans(ws: Workspace, rows: DataFrame, size: int, hot: int, steps: tuple
     units = ws.save(runs.groupBy("k1", "k2").agg(F.sum("times").alias("times"), F.any_value("anchor").alias("anchor"), F.any_value("bytes").alias("bytes")), "units")
     keys = ws.save(units.groupBy("k1").agg(F.sum("times").alias("total"), F.count("*").alias("different")).filter("total > 1"), "keys")
     held = units.join(keys, "k1")
-    cool = held if len(steps) == 1 else held.filter(F.col("different") <= hot)  # single windows of one key are equal
-    marked = _by_shards(ws, ws.save(cool.select("k1", "k2", "times", "bytes"), "cool"), size)
+    alike = held.filter("different = 1").select("k1", "k2", F.array(F.struct(F.lit(0).alias("a"), (F.length("bytes") - size + 1).alias("b"))).cast(SPANS_DDL).alias("spans"))
+    cool = held.filter("different > 1")
+    cool = cool if len(steps) == 1 else cool.filter(F.col("different") <= hot)  # single windows of one key are equal
+    marked = alike.unionByName(_by_shards(ws, ws.save(cool.select("k1", "k2", "times", "bytes"), "cool"), size))
     if len(steps) > 1:
         still = ws.save(held.filter(F.col("different") > hot).select("k1", "k2", "times", "anchor", "bytes"), "still")
         if not still.isEmpty():
@@ -241,8 +244,11 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, hot: int = HOT, workspace:
     ws.drop(found, grams)
     where = F.struct("id", "th", "lo", "n", "anchor")
     distinct = ws.save(repeated.groupBy("k1", "k2").agg(F.sum("copies").alias("times"), F.min(where).alias("at")), "distinct")
-    crowded = ws.save(distinct.groupBy("k1").agg(F.count("*").alias("c")).filter(F.col("c") > hot).select("k1", F.lit(True).alias("hot")), "crowded")
-    wanted = distinct.join(crowded, "k1", "left").select("at.id", "at.th", F.struct("k1", "k2", "times", "at.lo", "at.n", "at.anchor", F.coalesce("hot", F.lit(False)).alias("hot")).alias("w"))
+    several = distinct.groupBy("k1").agg(F.count("*").alias("c")).filter("c > 1")
+    several = ws.save(several.select("k1", (F.col("c") > hot).alias("hot")), "several")
+    alike = distinct.join(several, "k1", "left_anti")  # one context, several times: all its windows are repeated
+    alike = alike.select("k1", "k2", F.array(F.struct(F.lit(0).alias("a"), F.col("at.n").alias("b"))).cast(SPANS_DDL).alias("spans"))
+    wanted = distinct.join(several, "k1").select("at.id", "at.th", F.struct("k1", "k2", "times", "at.lo", "at.n", "at.anchor", "hot").alias("w"))
     wanted = wanted.groupBy("id", "th").agg(F.collect_list("w").alias("w"))
 
     def fetch(stream):
@@ -261,11 +267,9 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, hot: int = HOT, workspace:
     fetched = docs.join(wanted, ["id", "th"]).select("w", "text").mapInArrow(fetch, "k1 long, k2 long, times long, anchor int, hot boolean, bytes binary")
     fetched = ws.save(fetched, "fetched")
     cool = fetched.filter("not hot").select("k1", "k2", "times", "bytes")
-    marked = [_by_shards(ws, cool, size)]
-    warm = fetched.filter("hot")
-    if not crowded.isEmpty():
-        marked.append(_hot_spans(ws, warm, size, hot))
-    marks = marked[0] if len(marked) == 1 else marked[0].unionByName(marked[1])
+    marks = alike.unionByName(_by_shards(ws, cool, size))
+    if not several.filter("hot").isEmpty():
+        marks = marks.unionByName(_hot_spans(ws, fetched.filter("hot"), size, hot))
     marks = ws.save(marks, "marks")
     ws.drop(fetched, distinct)
     shift = F.transform("spans", lambda s: F.struct((s["a"] + F.col("lo")).alias("a"), (s["b"] + F.col("lo")).alias("b")))
