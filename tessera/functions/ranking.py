@@ -76,6 +76,22 @@ def hash_labelled(df: DataFrame, key: str, hashed: Column, keys: Sequence[str],
     return out.drop("__hash", "__bucket", "__b", "__off", "__n", "__first", "__last", *names)
 
 
+def hash_prefix_sums(df: DataFrame, key: str, hashed: Column, keys: Sequence[str], sums: Sequence[str], digits: int = 3) -> DataFrame:
+    """Adds <s>__earlier for each s: its sum over the rows of the same keys that come before a row by ``hashed`` (ties by key)."""
+    keys = list(keys)
+    df = df.withColumn("__hash", hashed).withColumn("__bucket", F.substring("__hash", 1, digits))
+    totals = _before(df.groupBy(*[F.col(f"`{k}`") for k in keys], "__bucket").agg(*[F.sum(s).alias(s) for s in sums]), keys, sums)
+    names = [f"__s{i}" for i in range(len(keys))]
+    totals = Workspace(df.sparkSession, "ranks").save(totals, "buckets")
+    small = totals.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names, strict=True)], F.col("__bucket").alias("__b"), *[f"{s}__before" for s in sums])
+    cond = F.col("__bucket") == F.col("__b")
+    for k, n in zip(keys, names, strict=True):
+        cond &= F.col(f"`{k}`").eqNullSafe(F.col(n))
+    inside = Window.partitionBy(*[F.col(f"`{k}`") for k in keys], "__bucket").orderBy("__hash", F.col(f"`{key}`")).rowsBetween(Window.unboundedPreceding, -1)
+    out = df.join(small, cond).withColumns({f"{s}__earlier": F.coalesce(F.sum(s).over(inside), F.lit(0.0)) + F.col(f"{s}__before") for s in sums})
+    return out.drop("__hash", "__bucket", "__b", *names, *[f"{s}__before" for s in sums])
+
+
 def ordered_bucket(value: Column, lo: Column, hi: Column, buckets: int = 1024) -> Column:
     """A struct that never falls as ``value`` grows from lo to hi.
 
