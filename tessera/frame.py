@@ -424,6 +424,18 @@ class RoleFrame:
 
         return self.with_column(name, by_row(F.struct(*[_quoted(c) for c in data])), role)
 
+    def apply_groups(self, by: str | Sequence[str], function: Callable[[pd.DataFrame], pd.DataFrame], schema: str, roles: Mapping | None = None, key: str | None = None, most: int = 1_000_000) -> RoleFrame:
+        """A table function of the rows of each value of ``by``: any rows of the declared ``schema``, with ``roles`` of their own.
+
+        Each group is held by one task, so it may have ``most`` rows at most; null keys are dropped.
+        """
+        names = [by] if isinstance(by, str) else list(by)
+        present = self.df.filter(reduce(operator.and_, (_quoted(b).isNotNull() for b in names)))
+        largest = present.groupBy(*[_quoted(b) for b in names]).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if largest > most:
+            raise errors.InvalidArgumentError(f"a function of a group takes {most} rows at most, there is a group of {largest}: aggregate first, or raise most")
+        return RoleFrame(present.groupBy(*[_quoted(b) for b in names]).applyInPandas(function, schema), roles, key)
+
     def map(self, function: Callable, kind: str = "double", na_ignore: bool = True) -> RoleFrame:
         def over(values: pd.Series) -> pd.Series:
             return values.map(function, na_action="ignore" if na_ignore else None)

@@ -16,8 +16,10 @@ Differences are test minus control. Chi-square joins categories by name.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -246,4 +248,52 @@ def mde_by_size(df: DataFrame, features: Sequence[str], group: str, significance
     return m.select("feature", "group", (F.lit(z) * F.sqrt(F.col("var2") / F.col("n2") + F.col("var1") / F.col("n1"))).alias("mde"))
 
 
-TESTS = {"t-test": t_test, "ks-test": ks_test, "u-test": u_test, "chi2-test": chi2_test}
+TESTS: dict[str, Callable[..., DataFrame]] = {"t-test": t_test, "ks-test": ks_test, "u-test": u_test, "chi2-test": chi2_test}
+TEXT_TESTS = {"chi2-test"}  # tests of text targets; all others take numbers
+
+
+def register_test(name: str, test: Callable[..., DataFrame], text: bool = False) -> None:
+    """Makes a test known to all experiments by its name.
+
+    It is called as test(df, features, group, mode=..., baseline=..., reliability=..., observations=...)
+    and returns (feature, group, statistic, p_value, pass); ``sample_test`` makes one of a Python function.
+    """
+    if name in TESTS:
+        raise errors.InvalidArgumentError(f"there is a test {name!r} already")
+    TESTS[name] = test
+    if text:
+        TEXT_TESTS.add(name)
+
+
+def forget_test(name: str) -> None:
+    if name in ("t-test", "ks-test", "u-test", "chi2-test"):
+        raise errors.InvalidArgumentError(f"{name!r} is built in")
+    TESTS.pop(name, None)
+    TEXT_TESTS.discard(name)
+
+
+def sample_test(function: Callable[[np.ndarray, np.ndarray], tuple[float, float]], kind: str = "double", most: int = 1_000_000) -> Callable[..., DataFrame]:
+    """A test of (control's values, test's values) -> (statistic, p-value).
+
+    Both samples of a feature and group are held by one task, so they may have ``most`` rows
+    together at most; a baseline without a label is sent to every group.
+    """
+
+    def test(df: DataFrame, features: Sequence[str], group: str | None = None, mode: str = "groups", baseline: str | None = None, reliability: float = 0.05, observations: DataFrame | None = None) -> DataFrame:
+        o = observations if observations is not None else pairs(df, features, group, mode, baseline, kind)
+        sizes = o.groupBy("feature", "label", "side").agg(F.count("*").alias("n"))
+        both = _sides(sizes, [], ["n"])
+        largest = both.agg(F.max(F.col("n1") + F.col("n2"))).first()[0] or 0
+        if largest > most:
+            raise errors.InvalidArgumentError(f"a test in Python takes {most} rows of a feature and group at most, there are {largest}: raise most, or write the test over aggregates")
+        labels = both.select(F.col("feature").alias("f"), "group")
+        there = o.join(labels, (F.col("feature") == F.col("f")) & (F.col("label").isNull() | (F.col("label") == F.col("group")))).select("feature", "group", "side", "value")
+
+        def work(rows: pd.DataFrame) -> pd.DataFrame:
+            statistic, p = function(*(rows.loc[rows["side"] == s, "value"].to_numpy() for s in (1, 2)))
+            return pd.DataFrame({"feature": rows["feature"].iloc[:1], "group": rows["group"].iloc[:1], "statistic": [float(statistic)], "p": [float(p)]})
+
+        found = there.groupBy("feature", "group").applyInPandas(work, "feature string, group string, statistic double, p double")
+        return _tested(found, F.nanvl("p", F.lit(None).cast("double")), reliability)
+
+    return test

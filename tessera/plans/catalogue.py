@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..frame import RoleFrame
 from ..operators import compare, matching, multitest, prep, split, stats, variance
 from ..roles import FeatureRole, GroupingRole, StratificationRole, TargetRole, TreatmentRole
+from ..streaming import windows
 from ..streaming.moments import windowed_moments
 from . import oracles, shells
 
@@ -260,7 +261,8 @@ def sample_exact(spark, sf):
 
 
 def _nations(spark, sf) -> RoleFrame:
-    return RoleFrame(read(spark, sf, "nation").filter("n_nationkey % 2 = 0").select("n_nationkey", "n_name"), {}, "n_nationkey")
+    """Nations with keys moved on by three, so that either side has rows without a match."""
+    return RoleFrame(read(spark, sf, "nation").select((F.col("n_nationkey") + 3).alias("n_nationkey"), "n_name"), {}, "n_nationkey")
 
 
 def _merge(how: str):
@@ -272,7 +274,7 @@ def _merge(how: str):
 
 
 for _how, _join in {"inner": "JOIN", "left": "LEFT JOIN", "right": "RIGHT JOIN", "outer": "FULL JOIN"}.items():
-    query(f"SELECT s_suppkey, s_nationkey, s_acctbal, n_nationkey, n_name FROM supplier {_join} (SELECT * FROM nation WHERE n_nationkey % 2 = 0) ON s_nationkey = n_nationkey")(_merge(_how))
+    query(f"SELECT s_suppkey, s_nationkey, s_acctbal, n_nationkey, n_name FROM supplier {_join} (SELECT n_nationkey + 3 AS n_nationkey, n_name FROM nation) ON s_nationkey = n_nationkey")(_merge(_how))
 
 
 @query("SELECT a.r_regionkey AS r_regionkey_x, a.r_name AS r_name_x, b.r_regionkey AS r_regionkey_y, b.r_name AS r_name_y FROM region a CROSS JOIN region b")
@@ -781,6 +783,25 @@ def match_quality(spark, sf):
     return rounded(compare.group_difference(means, ["x1"], "treat", "matched_pairs"), 4)
 
 
+@query("""WITH u AS (SELECT s_suppkey AS id, s_suppkey % 2 AS treat, CAST(s_suppkey * 7 % 4 AS DOUBLE) AS x1 FROM supplier),
+k AS (SELECT q.id AS query, m.id AS match, (q.x1 - m.x1) ^ 2 AS d2, row_number() OVER (PARTITION BY q.id ORDER BY (q.x1 - m.x1) ^ 2, m.id) AS rank, q.treat AS treated FROM u q JOIN u m ON q.treat <> m.treat)
+SELECT query, match, round(d2, 4) AS d2, CAST(rank AS INT) AS rank, CAST(treated AS INT) AS treated FROM k WHERE rank <= 3""")
+def knn_ties(spark, sf):
+    """Many candidates of equal distance: the smaller ids."""
+    df = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 2).alias("treat"), (F.col("s_suppkey") * 7 % 4).cast("double").alias("x1"))
+    return rounded(matching.match_both(df, "id", "treat", ["x1"], 3), 4)
+
+
+@query("""WITH u AS (SELECT 'c' || CAST(c_custkey AS VARCHAR) AS id, c_nationkey AS g, c_custkey % 2 AS treat, c_acctbal AS x1 FROM customer),
+k AS (SELECT q.id AS query, m.id AS match, (q.x1 - m.x1) ^ 2 AS d2, row_number() OVER (PARTITION BY q.id ORDER BY (q.x1 - m.x1) ^ 2, m.id) AS rank FROM u q JOIN u m ON q.g = m.g AND q.treat = 0 AND m.treat = 1)
+SELECT query, match, round(d2, 2) AS d2 FROM k WHERE rank = 1""")
+def knn_in_groups(spark, sf):
+    """Controls look for test units of their own nation in one search; keys are texts."""
+    df = read(spark, sf, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_nationkey").alias("g"), (F.col("c_custkey") % 2).alias("treat"), F.col("c_acctbal").alias("x1"))
+    found = matching.match_both(df, "id", "treat", ["x1"], two_sides=False, test_pairs=True, by=["g"])
+    return rounded(found.select("query", "match", "d2"), 2)
+
+
 WHITE_NEAREST = _nearest_sql(("w0", "w1"), "v")
 
 
@@ -794,9 +815,76 @@ def match_group(spark, sf):
     return rounded(shells.Matching(mode="exact", group_match=True, bias_estimation=False).execute(_shell_frame(spark, sf)).resume, 4)
 
 
+@query("""WITH s AS (SELECT o_orderpriority AS priority, o_orderkey AS id, o_totalprice AS y, md5(CAST(o_orderkey AS VARCHAR) || ':target') AS h, avg(o_totalprice) OVER () AS m FROM orders)
+SELECT id, round((coalesce(sum(y) OVER e, 0) + m) / (count(*) OVER e + 1), 3) AS encoded FROM s WINDOW e AS (PARTITION BY priority ORDER BY h, CAST(id AS VARCHAR) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def target_statistics(spark, sf):
+    """Each order's priority as the mean price of earlier orders of that priority."""
+    df = read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("y"))
+    found, _, _ = variance.target_statistics(df, "id", ["priority"], "y", ["encoded"])
+    return rounded(found.select("id", "encoded"), 3)
+
+
+def _median_gap(control, test):
+    """Difference of medians; the p-value of the sign test of the test's values against the control's median."""
+    import math
+
+    import numpy as np
+
+    above = int((test > np.median(control)).sum())
+    tail = sum(math.exp(math.lgamma(len(test) + 1) - math.lgamma(k + 1) - math.lgamma(len(test) - k + 1) - len(test) * math.log(2)) for k in range(max(above, len(test) - above), len(test) + 1))
+    return np.median(control) - np.median(test), min(1.0, 2 * tail)
+
+
+@query("""WITH o AS (SELECT s_nationkey % 3 AS treat, s_acctbal AS y FROM supplier), c AS (SELECT median(y) AS m FROM o WHERE treat = 0),
+t AS (SELECT treat, median(y) AS m, count(*) AS n, count(*) FILTER (y > (SELECT m FROM c)) AS a FROM o WHERE treat > 0 GROUP BY 1)
+SELECT 's_acctbal' AS feature, CAST(treat AS VARCHAR) AS "group", round(c.m - t.m, 4) + 0.0 AS statistic,
+round(least(1.0, 2 * (SELECT sum(exp(lgamma(n + 1) - CASE WHEN k > 0 THEN lgamma(k + 1) ELSE 0 END - CASE WHEN n > k THEN lgamma(n - k + 1) ELSE 0 END - n * ln(2))) FROM range(0, 100000) r(k) WHERE k BETWEEN greatest(a, n - a) AND n)), 6) + 0.0 AS p_value FROM t, c""")
+def user_test(spark, sf):
+    """A test registered by name, used by an experiment."""
+    if "median-test" not in compare.TESTS:
+        compare.register_test("median-test", compare.sample_test(_median_gap))
+    frame = RoleFrame(suppliers(spark, sf).df.withColumn("treat", F.col("s_nationkey") % 3), {TreatmentRole(): ["treat"], TargetRole(): ["s_acctbal"]}, "s_suppkey")
+    found = shells.ABTest(tests=("median-test",), multitest_method=None).execute(frame).tests.select("feature", "group", "statistic", "p_value")
+    return found.withColumns({"statistic": F.round("statistic", 4) + 0.0, "p_value": F.round("p_value", 6) + 0.0})
+
+
+@query("SELECT o_orderpriority AS priority, rank, round(price, 2) AS price FROM (SELECT o_orderpriority, o_totalprice AS price, CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS rank FROM orders) WHERE rank <= 3")
+def apply_groups(spark, sf):
+    """A table function of each priority's orders: its three dearest."""
+
+    def dearest(rows):
+        top = rows.sort_values(["price", "id"], ascending=[False, True]).head(3)
+        return top.assign(rank=range(1, len(top) + 1))[["priority", "rank", "price"]]
+
+    return rounded(orders(spark, sf).apply_groups("priority", dearest, "priority string, rank int, price double").df, 2)
+
+
 # ---- streams -----------------------------------------------------------------------------------
 
 
+@query("""WITH w AS (SELECT unnest(range(0, 7)) AS k)
+SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) - 86400 * k AS start, user_id % 2 AS "group", count(value) AS n, round(avg(value), 6) AS mean, round(var_samp(value), 6) AS var FROM events, w GROUP BY ALL""")
+def event_sliding(spark, sf):
+    found = windows.sliding_moments(read(spark, sf, "events"), F.col("user_id") % 2, "value")
+    return rounded(found.withColumn("start", F.unix_timestamp("start")))
+
+
+@query("""WITH e AS (SELECT user_id AS key, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM e)
+SELECT key, epoch_us(min(ts)) AS start, epoch_us(max(ts)) + 21600000000 AS "end", count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY key, session""")
+def event_sessions(spark, sf):
+    found = windows.sessions(read(spark, sf, "events"), F.col("user_id"), "value", gap="6 hours")
+    return rounded(found.withColumns({"start": F.unix_micros(F.col("start").cast("timestamp")), "end": F.unix_micros(F.col("end").cast("timestamp"))}), 4)
+
+
+@query("""WITH m AS (SELECT event_type AS key, count(*) FILTER (user_id % 2 = 0) AS n0, count(*) FILTER (user_id % 2 = 1) AS n1, avg(value) FILTER (user_id % 2 = 1) - avg(value) FILTER (user_id % 2 = 0) AS d,
+var_samp(value) FILTER (user_id % 2 = 0) / count(*) FILTER (user_id % 2 = 0) + var_samp(value) FILTER (user_id % 2 = 1) / count(*) FILTER (user_id % 2 = 1) AS v FROM events GROUP BY 1),
+r AS (SELECT *, sqrt(v / (v + 1)) * exp(d * d / (2 * v * (v + 1))) AS ratio FROM m)
+SELECT key, n0, n1, round(d, 6) AS difference, round(ratio, 6) AS likelihood_ratio, round(least(1.0, 1 / ratio), 6) AS p_value, round(least(1.0, 1 / ratio), 6) AS least_p FROM r""")
+def event_sequential(spark, sf):
+    return rounded(windows.sequential_test(read(spark, sf, "events"), F.col("event_type"), F.col("user_id") % 2 == 1, "value"))
+
+
 @query("SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start, user_id % 2 AS \"group\", count(value) AS n, round(avg(value), 6) AS mean, round(var_samp(value), 6) AS var FROM events GROUP BY ALL")
 def event_moments(spark, sf):
     found = windowed_moments(read(spark, sf, "events"), F.col("user_id") % 2, "value")

@@ -45,7 +45,7 @@ def run_tests(df: DataFrame, group: str, numeric: Sequence[str], text: Sequence[
     for name in tests:
         if name not in compare.TESTS:
             raise errors.InvalidArgumentError(f"test {name!r}; one of {sorted(compare.TESTS)}")
-        columns = text if name == "chi2-test" else numeric
+        columns = text if name in compare.TEXT_TESTS else numeric
         if columns:
             extra: dict[str, Any] = {"t-test": {"equal_var": equal_var}, "ks-test": {"p_values": p_values, "cells": cells}, "u-test": {"p_values": p_values, "cells": cells}}.get(name, {})
             found = compare.TESTS[name](df, columns, group, mode=mode, reliability=reliability, **extra)
@@ -199,8 +199,8 @@ class AATest:
         kept = [frame._order(), *splitter.strata, *([splitter.const] if splitter.const else []), *numeric, *text]
         spread = splitter.split_many(frame.df.select(*[column(c) for c in dict.fromkeys(kept)]), seeds).filter("split is not null")
         parts = []  # each test runs once over all seeds
-        for name in [*self.tests, *(["chi2-test"] if text else [])]:
-            if columns := (text if name == "chi2-test" else numeric):
+        for name in dict.fromkeys([*self.tests, *(["chi2-test"] if text else [])]):
+            if columns := (text if name in compare.TEXT_TESTS else numeric):
                 parts.append(_by_seed(spread, columns, name, self.equal_var, self.reliability, self.p_values))
         return reduce(DataFrame.unionByName, parts)
 
@@ -225,7 +225,7 @@ class AATest:
         weight = "mean_test_score" if self.compat else "score"
         best = scores.orderBy(F.desc(weight), "seed").first()["seed"]
         chosen = self._splitter(frame, int(best)).split(frame.df).filter("split is not null")
-        names = [*self.tests, *(["chi2-test"] if text else [])]
+        names = list(dict.fromkeys([*self.tests, *(["chi2-test"] if text else [])]))
         best_split = RoleFrame(chosen, frame.roles | {"split": TreatmentRole(str)}, frame.key, _clean=True)
         detail = wide(tested.filter(F.col("seed") == best), names, False)
         statistic = detail.join(compare.group_difference(chosen, numeric, "split"), ["feature", "group"], "left") if numeric else detail
@@ -246,11 +246,11 @@ class AATest:
 
 def _by_seed(spread: DataFrame, columns: Sequence[str], test: str, equal_var: bool, reliability: float, p_values: str = "auto") -> DataFrame:
     """One test of all columns for all seeds at once: observations carry seed and feature as one name."""
-    kind = "string" if test == "chi2-test" else "double"
+    kind = "string" if test in compare.TEXT_TESTS else "double"
     cell = [F.struct(F.concat(F.col("seed").cast("string"), F.lit(":"), F.lit(c)).alias("name"), column(c).cast(kind).alias("value")) for c in columns]
     long = spread.select("split", F.explode(F.array(*cell)).alias("o")).select("split", "o.name", "o.value")
     options = {"t-test": {"equal_var": equal_var}, "ks-test": {"p_values": p_values}, "u-test": {"p_values": p_values}}.get(test, {})
-    found = _TESTS_LONG[test](long, reliability, **options)
+    found = _long(compare.TESTS[test])(long, reliability, **options)
     parts = F.split("feature", ":", 2)
     return found.select(parts[0].cast("int").alias("seed"), parts[1].alias("feature"), "group", F.lit(test).alias("test"), "statistic", "p_value", "pass").select("feature", "group", "test", "statistic", "p_value", "pass", "seed")
 
@@ -281,9 +281,6 @@ def aa_score(tested: DataFrame, alpha: float = 0.05) -> DataFrame:
     return out.withColumn("ok", F.col("score") >= 1 - 1.2 * alpha)
 
 
-_TESTS_LONG = {name: _long(test) for name, test in compare.TESTS.items()}
-
-
 @dataclass(frozen=True)
 class MatchingOutput:
     resume: DataFrame
@@ -362,7 +359,7 @@ class Matching:
         indexes = pairs.groupBy("query").agg(ordered.alias("matches"))
         quality = None
         tested = [f for f in numeric if frame.roles[f].data_type in NUMERIC]
-        names = [t for t in self.quality_tests if (text if t == "chi2-test" else tested)]
+        names = [t for t in self.quality_tests if (text if t in compare.TEXT_TESTS else tested)]
         if by:
             tag = column(by[0]).cast("string").alias("match_group")
             resume = resume.withColumn("match_group", tag).drop(by[0])
@@ -376,7 +373,7 @@ def _quality_by_group(means: DataFrame, by: str, group: str, numeric: Sequence[s
     """Tests of matched pairs within each group: observations carry the group before the feature's name."""
     parts = []
     for name in tests:
-        columns, kind = (text, "string") if name == "chi2-test" else (numeric, "double")
+        columns, kind = (text, "string") if name in compare.TEXT_TESTS else (numeric, "double")
         named = lambda f: F.concat_ws("\u001f", F.lit(f), column(by).cast("string"))
         cells = [F.struct(named(f).alias("feature"), column(group).cast("string").alias("label"), F.lit(side).alias("side"), column(c).cast(kind).alias("value")) for f in columns for side, c in ((1, f"{f}_matched"), (2, f))]
         observations = means.select(F.explode(F.array(*cells)).alias("o")).select("o.*").filter("value is not null and label is not null")
