@@ -6,7 +6,7 @@ other group; ``effects`` turns matches into ATT, ATC and ATE with standard error
 everything happens within each value of those columns, in one plan whatever their number.
 
 A search is a set of strata, one for each value of ``by`` and direction. A stratum with up to WHOLE
-candidates meets as a whole, its queries part by part. Larger ones are cut into the cells of a k-d
+candidates meets as a whole, its queries part by part, through a tree in memory. Larger ones are cut into the cells of a k-d
 tree of their own, whose splits come from a bounded sample of all of them. A query meets its
 own cell first; the distance found there bounds the search, so it meets only those other cells whose
 bounding box is no farther, found by descending the tree. Cells above WHOLE rows meet part by part.
@@ -30,8 +30,9 @@ from ..functions import special
 from ..storage import Workspace
 from .stats import column
 
-WHOLE = 65_536  # candidates that meet queries at once
-PART = 4096  # queries in a meeting
+WHOLE = 131_072  # candidates that meet queries at once
+PART = 8192  # queries in a meeting
+LEAF = 512  # candidates in a cell of a meeting's own tree
 DISTANCES = 1 << 22  # that are held at a time
 CELL_SAMPLE = 200_000  # rows that k-means cells are trained on
 CELL, MOST_CELLS, TREE_SAMPLE = 4096, 65_536, 500_000  # candidates to a cell of a tree, cells of all trees at most, rows that place their splits
@@ -132,18 +133,59 @@ def _meet(k: int, kind: str):
             return pd.DataFrame({"s": [], "query": [], "match": [], "d2": []}).astype({"s": "int32", "query": kind, "match": kind, "d2": float})
         x = np.vstack(rows["x"].to_numpy())
         offered = offered[np.argsort(ids[offered], kind="stable")]
-        base, norms = x[offered], (x[offered] ** 2).sum(axis=1)
-        step = max(1, DISTANCES // len(base))
-        out = []
-        for a in range(0, len(asked), step):
-            own = asked[a : a + step]
-            row, who, d2 = _first(norms[None, :] - 2 * x[own] @ base.T, x[own], base, min(k, len(base)))
-            out.append(pd.DataFrame({"s": rows["s"].iloc[0], "query": ids[own[row]], "match": ids[offered[who]], "d2": d2}))
-        return pd.concat(out)
+        row, who, d2 = _nearest_of(x[asked], x[offered], min(k, len(offered)))
+        return pd.DataFrame({"s": rows["s"].iloc[0], "query": ids[asked[row]], "match": ids[offered[who]], "d2": d2})
 
     return work
 
 
+def _all_of(queries: np.ndarray, base: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, candidate, d2) of the ``keep`` nearest, every pair being looked at."""
+    norms, step, out = (base * base).sum(axis=1), max(1, DISTANCES // len(base)), []
+    for a in range(0, len(queries), step):
+        own = queries[a : a + step]
+        row, who, d2 = _first(norms[None, :] - 2 * own @ base.T, own, base, min(keep, len(base)))
+        out.append((row + a, who, d2))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _nearest_of(queries: np.ndarray, base: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same through a k-d tree of the candidates: a query's own cell, then the cells in reach."""
+    if len(base) <= 2 * LEAF:
+        return _all_of(queries, base, keep)
+    tree = Tree(base, len(base) // LEAF)
+    home = tree.cell_of(base)
+    order = np.argsort(home, kind="stable")  # candidates of a cell stay in their order, which decides ties
+    edge = np.searchsorted(home[order], np.arange(tree.cells + 1))
+    members = [order[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    tree.bound({c: (base[m].min(axis=0), base[m].max(axis=0)) for c, m in enumerate(members) if len(m)})
+
+    def visit(row: np.ndarray, cell: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        by = np.argsort(cell, kind="stable")
+        out = []
+        for part in np.split(by, np.flatnonzero(np.diff(cell[by])) + 1):
+            if len(part):
+                at, who, d2 = _all_of(queries[row[part]], base[members[cell[part[0]]]], keep)
+                out.append((row[part][at], members[cell[part[0]]][who], d2))
+        return out
+
+    own = tree.cell_of(queries)
+    found = visit(np.arange(len(queries)), own)
+    row, _, d2 = (np.concatenate(x) for x in zip(*found, strict=True))
+    reach = np.full(len(queries), -np.inf)
+    np.maximum.at(reach, row, d2)
+    reach[np.bincount(row, minlength=len(queries)) < keep] = np.inf
+    near, cell = tree.within(queries, reach)
+    other = cell != own[near]
+    found += visit(near[other], cell[other])
+    row, who, d2 = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((who, d2, row))
+    row, who, d2 = row[order], who[order], d2[order]
+    first = np.flatnonzero(np.r_[True, np.diff(row) > 0])
+    kept = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row)))) < keep
+    return row[kept], who[kept], d2[kept]
+
+
 def nearest(queries: DataFrame, base: DataFrame, key: str, features: Sequence[str], k: int = 1, mode: str = "auto", cells: int = 1000, probes: int = 8, by: Sequence[str] = ()) -> DataFrame:
     """query, match, d2, rank: the k nearest rows of ``base`` for each row of ``queries``; null features never match.
 
@@ -205,10 +247,13 @@ class Tree:
         span = points[rows].max(axis=0) - points[rows].min(axis=0) if len(rows) else np.zeros(1)
         wide = int(span.argmax())
         value = float(np.median(points[rows, wide])) if len(rows) else 0.0
-        left = points[rows, wide] <= value if len(rows) else np.zeros(0, bool)
-        if share < 2 or len(rows) < 4 or not span[wide] or left.all():
+        if share < 2 or len(rows) < 4 or not span[wide]:
             self.cells += 1
             return -self.cells
+        own = points[rows, wide]
+        if value == own.max():  # most values are the greatest, as of a category's indicator
+            value = float(own[own < value].max())
+        left = own <= value
         at = len(self.nodes)
         self.nodes.append([wide, value, 0, 0])
         self.nodes[at][2] = self._grow(points, rows[left], share // 2)
