@@ -5,9 +5,10 @@ A split is a function of key and seed alone, so it is the same in every run and
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +43,19 @@ class Splitter:
         if not 0 < self.control_size < 1:
             raise errors.InvalidArgumentError("control_size lies between 0 and 1")
 
+    @property
+    def id(self) -> str:
+        """The splitter as text: what differs from the defaults; ``from_id`` makes it again."""
+        changed = {f.name: getattr(self, f.name) for f in fields(self) if getattr(self, f.name) != f.default}
+        return "splitter:" + json.dumps(changed, sort_keys=True)
+
+    @classmethod
+    def from_id(cls, text: str) -> Splitter:
+        if not text.startswith("splitter:"):
+            raise errors.InvalidArgumentError(f"{text!r} is no splitter's id")
+        made = json.loads(text.removeprefix("splitter:"))
+        return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in made.items()})
+
     def _edges(self) -> list[float]:
         sizes = self.groups_sizes or (self.control_size, 1 - self.control_size)
         return [sum(sizes[: i + 1]) for i in range(len(sizes) - 1)]

@@ -17,7 +17,7 @@ from ..operators import compare, matching, multitest, prep, split, stats, varian
 from ..roles import FeatureRole, GroupingRole, StratificationRole, TargetRole, TreatmentRole
 from ..streaming import windows
 from ..streaming.moments import windowed_moments
-from . import oracles, shells
+from . import oracles, reports, shells
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -616,6 +616,26 @@ def aa_best_split(spark, sf):
     return rounded(shells.AATest(stratification=True, p_values="asymptotic").execute(customers(spark, sf)).best_split_statistic, 4)
 
 
+@query("""WITH s AS (SELECT c_acctbal AS x, seed, row_number() OVER (PARTITION BY seed ORDER BY md5(CAST(c_custkey AS VARCHAR) || ':' || CAST(seed AS VARCHAR)), c_custkey) AS r, count(*) OVER (PARTITION BY seed) AS n FROM customer, (SELECT unnest(range(0, 6)) AS seed)),
+l AS (SELECT seed, x, CASE WHEN r <= floor(n * 0.5) THEN 0 WHEN r <= floor(n * 0.75) THEN 1 ELSE 2 END AS arm FROM s),
+m AS (SELECT seed, arm, avg(x) AS m, var_samp(x) AS v, count(*) AS n FROM l GROUP BY ALL)
+SELECT CAST(t.seed AS INT) AS seed, 'c_acctbal' AS feature, 'test_' || CAST(t.arm AS VARCHAR) AS "group", round((c.m - t.m) / sqrt(c.v / c.n + t.v / t.n), 6) + 0.0 AS statistic FROM m t JOIN m c ON c.seed = t.seed AND c.arm = 0 WHERE t.arm > 0""")
+def aa_arms(spark, sf):
+    """Splits into three arms, all seeds in one plan."""
+    found = shells.AATest(seeds=tuple(range(6)), tests=("t-test",), groups_sizes=(0.5, 0.25, 0.25)).execute(customers(spark, sf)).experiments
+    return rounded(found.select("seed", "feature", "group", "statistic"))
+
+
+@query("""WITH s AS (SELECT c_acctbal AS x, seed, row_number() OVER (PARTITION BY seed ORDER BY md5(CAST(c_custkey AS VARCHAR) || ':' || CAST(seed AS VARCHAR)), c_custkey) AS r, count(*) OVER (PARTITION BY seed) AS n FROM customer, (SELECT unnest(range(0, 10)) AS seed)),
+m AS (SELECT seed, avg(x) FILTER (r <= floor(n * 0.5)) AS m1, var_samp(x) FILTER (r <= floor(n * 0.5)) AS v1, count(*) FILTER (r <= floor(n * 0.5)) AS n1, avg(x) FILTER (r > floor(n * 0.5)) AS m2, var_samp(x) FILTER (r > floor(n * 0.5)) AS v2, count(*) FILTER (r > floor(n * 0.5)) AS n2 FROM s GROUP BY seed),
+w AS (SELECT (m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS t, (v1 / n1 + v2 / n2) ^ 2 / ((v1 / n1) ^ 2 / (n1 - 1) + (v2 / n2) ^ 2 / (n2 - 1)) AS df FROM m),
+p AS (SELECT """ + oracles.t_p("t", "df") + """ AS p FROM w)
+SELECT 'c_acctbal' AS feature, 'test_1' AS "group", 't-test' AS test, count(*) AS n_splits, round(avg(CAST(p >= 0.05 AS INT)), 6) AS passed_share, round(1 - abs(0.05 - avg(CAST(p < 0.05 AS INT))), 6) AS score, CASE WHEN 1 - abs(0.05 - avg(CAST(p < 0.05 AS INT))) >= 0.94 THEN 'OK' ELSE 'NOT OK' END AS verdict FROM p""")
+def aa_summary(spark, sf):
+    found = shells.AATest(tests=("t-test",)).execute(customers(spark, sf))
+    return rounded(reports.aa_summary(found.experiments))
+
+
 # ---- variance reduction ------------------------------------------------------------------------
 
 
