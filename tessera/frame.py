@@ -555,8 +555,12 @@ class RoleFrame:
     def na_counts(self) -> RoleFrame:
         return self._statistic(stats.aggregate(self.df, self._data(), "nulls"))
 
-    def unique(self) -> dict[str, list]:
-        return {c: [r[0] for r in self.df.select(_quoted(c)).distinct().collect()] for c in self._data()}
+    def unique(self, most: int = 1_000_000) -> dict[str, list]:
+        """The distinct values of each column; they come to the driver, so a column may have ``most`` at most."""
+        found = {c: [r[0] for r in self.df.select(_quoted(c)).distinct().limit(most + 1).collect()] for c in self._data()}
+        if many := [c for c, v in found.items() if len(v) > most]:
+            raise errors.InvalidArgumentError(f"{many} have more than {most} distinct values: use value_counts, or raise most")
+        return found
 
     def nunique(self, approximate: bool = False) -> dict[str, int]:
         count = F.approx_count_distinct if approximate else F.count_distinct

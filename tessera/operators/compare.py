@@ -32,9 +32,16 @@ MODES = ("groups", "columns", "columns_in_groups", "cross", "matched_pairs")
 POOL_BELOW = 7  # categories with fewer rows in a sample are pooled
 P_VALUES = ("auto", "exact", "asymptotic")
 KS_EXACT, U_EXACT = 10_000, 8  # "auto" is exact up to this many rows in the larger (KS) or the smaller sample (U)
+MOST_GROUPS = 10_000
 U_CELLS = 20_000_000  # values of U up to which its distribution is counted
 
 
+def check_groups(df: DataFrame, group: str, most: int = MOST_GROUPS) -> None:
+    """Tables of a row for each feature and group are sent to the observations, so groups must be few; reads the group column alone."""
+    if df.filter(column(group).isNotNull()).select(column(group)).distinct().limit(most + 1).count() > most:
+        raise errors.NotSuitableFieldError(f"{group} has more than {most} groups: compare fewer at a time")
+
+
 def pairs(df: DataFrame, features: Sequence[str], group: str | None = None, mode: str = "groups", baseline: str | None = None, kind: str = "double") -> DataFrame:
     """(feature, label, side, value) with null values dropped."""
     if mode not in MODES:

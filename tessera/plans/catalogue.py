@@ -112,6 +112,40 @@ def floordiv_mod(spark, sf):
     return rounded((s // 7).rename({"s_acctbal": "d"}).add_column((s % 7).rename({"s_acctbal": "m"})).df, 4)
 
 
+@query("SELECT s_suppkey, (s_acctbal > 1000) <> (s_acctbal > 5000) AS s_acctbal FROM supplier")
+def xor_ops(spark, sf):
+    s = suppliers(spark, sf)["s_acctbal"]
+    return ((s > 1000) ^ (s > 5000)).df
+
+
+@query("SELECT s_suppkey, round(power(s_acctbal / 1000, 3), 6) + 0.0 AS s_acctbal FROM supplier")
+def power_ops(spark, sf):
+    return rounded(((suppliers(spark, sf)["s_acctbal"] / 1000) ** 3).df)
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey IN (1, 2, 3) THEN -1.0 ELSE s_acctbal END AS s_acctbal FROM supplier")
+def loc_set(spark, sf):
+    return suppliers(spark, sf)["s_acctbal"].loc_set([1, 2, 3], "s_acctbal", -1.0).df
+
+
+@query("SELECT s_suppkey, s_acctbal > lead_ AS s_acctbal FROM (SELECT s_suppkey, s_acctbal, s_acctbal * 0.5 + 1000 AS lead_ FROM supplier)")
+def compare_frames(spark, sf):
+    s = suppliers(spark, sf)["s_acctbal"]
+    return (s > s * 0.5 + 1000).df
+
+
+@query("WITH h AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 <> 0 THEN s_acctbal END AS s_acctbal, CASE WHEN s_suppkey % 6 <> 0 THEN s_nationkey END AS s_nationkey FROM supplier) SELECT s_suppkey, s_acctbal, s_nationkey FROM h WHERE s_acctbal IS NOT NULL OR s_nationkey IS NOT NULL")
+def dropna_all(spark, sf):
+    df = suppliers(spark, sf).df.select("s_suppkey", F.when(F.col("s_suppkey") % 3 != 0, F.col("s_acctbal")).alias("s_acctbal"), F.when(F.col("s_suppkey") % 6 != 0, F.col("s_nationkey")).alias("s_nationkey"))
+    return RoleFrame(df, {}, "s_suppkey").dropna("all").df
+
+
+@query("SELECT s_suppkey, CAST(CAST(trunc(s_acctbal) AS BIGINT) AS VARCHAR) AS s_acctbal, s_nationkey FROM supplier")
+def astype_chain(spark, sf):
+    s = suppliers(spark, sf).astype({"s_acctbal": int}).astype({"s_acctbal": str})
+    return s.select(["s_acctbal", "s_nationkey"]).df
+
+
 @query("SELECT s_suppkey, s_acctbal >= 4500 AS s_acctbal FROM supplier")
 def compare_ops(spark, sf):
     return (suppliers(spark, sf)["s_acctbal"] >= 4500).df

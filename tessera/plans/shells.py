@@ -38,6 +38,7 @@ def _targets(frame: RoleFrame) -> tuple[list[str], list[str]]:
 
 def run_tests(df: DataFrame, group: str, numeric: Sequence[str], text: Sequence[str], tests: Sequence[str], equal_var: bool = False, reliability: float = 0.05, mode: str = "groups", p_values: str = "auto") -> DataFrame:
     """Long table: feature, group, test, statistic, p_value, pass."""
+    compare.check_groups(df, group)
     parts = []
     cells = None
     if numeric and {"ks-test", "u-test"} <= set(tests):  # both read the same counts
