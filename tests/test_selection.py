@@ -50,6 +50,23 @@ def test_inversions_over_buckets(spark, tmp_path, bucket):
     assert got == pairs(*(pdf[k].to_numpy() for k in ("x", "y", "c")))
 
 
+def test_bucket_sums_are_sent_to_the_rows(spark):
+    """Neither splits nor running sums move the rows to join them with the sums of their buckets."""
+    from pyspark.sql import functions as F
+
+    from tessera.functions.ranking import cumulative
+    from tessera.operators.split import Splitter
+
+    df = spark.range(200_000).withColumn("g", F.col("id") % 3)
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    whole = plan(Splitter("id", 1, strata=("g",)).split(df))
+    assert "SortMergeJoin" not in whole and "BroadcastHashJoin" in whole
+    edges = [line for line in whole.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(edges) == 1  # the rows of prefixes that hold an edge
+    sums = plan(cumulative(df.withColumn("c", F.lit(1)), ["g"], "id", ["c"]))
+    assert "SortMergeJoin" not in sums and len([x for x in sums.splitlines() if "Exchange hashpartitioning" in x]) == 1
+
+
 def test_kendall(spark):
     rng = np.random.default_rng(5)
     a = rng.integers(0, 20, 200)
