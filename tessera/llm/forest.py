@@ -178,7 +178,8 @@ def _cores(rest: DataFrame, ws: Workspace, threshold: float, leaf: int, node_row
                 home = np.where(cosine[np.arange(len(part)), best] >= threshold, best, -1)
                 i, j = np.nonzero((cosine >= np.cos(min(2 * angle, np.pi)) - 1e-9) | (np.arange(len(by)) == home[:, None]))
                 out.append(part.iloc[i][["cid", "m", "v"]].assign(cell=ids[j], home=home[i] == j, core=home[i] >= 0))
-        return pd.concat(out) if out else pd.DataFrame({"cid": [], "m": [], "v": [], "cell": [], "home": [], "core": []})
+        # of labels without a pivot; an empty column must be one of objects to become one of arrays
+        return pd.concat(out) if out else pd.DataFrame({c: pd.Series([], dtype=object) for c in ("cid", "m", "v", "cell", "home", "core")})
 
     placed = chunked.groupBy(*key).cogroup(chosen.select(*label, "cid", "v", every(F.col("n"))).groupBy(*key))
     placed = ws.save(placed.applyInPandas(place, "cid long, m long, v array<double>, cell long, home boolean, core boolean"), "placed")

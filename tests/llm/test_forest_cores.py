@@ -43,3 +43,16 @@ def test_large_components_keep_their_place(spark):
     rows = [(i, (v * (1e200 if i % 2 else 1e-200)).tolist(), 0) for i, v in enumerate(vectors)]
     found = {r.vec_id: r for r in forest.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), node_rows=100, leaf=32).collect()}
     assert sum(found[i].component_id == found[i + 300].component_id for i in range(300)) >= 270
+
+
+def test_labels_with_and_without_cores(spark):
+    """Two labels above a node of which one alone has dense cores."""
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(800, 32))
+    vectors[:300] = vectors[0] + rng.normal(0, 0.05, (300, 32))
+    vectors[500:520] = vectors[400:420] + rng.normal(0, 0.01, (20, 32))
+    rows = [(i, v.tolist(), i // 400) for i, v in enumerate(vectors)]
+    found = {r.vec_id: r for r in forest.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), node_rows=100, leaf=16).collect()}
+    assert len(found) == 800 and all(found[i].component_id == 0 and found[i].n_links == 299 for i in range(300))
+    assert sum(found[i].component_id == found[i + 100].component_id == i for i in range(400, 420)) >= 18
+    assert all(found[i].n_links == 0 for i in (*range(300, 400), *range(520, 800)))
