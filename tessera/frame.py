@@ -24,12 +24,38 @@ from . import errors
 from .functions.ranking import position
 from .operators import stats
 from .roles import BY_TYPE, DefaultRole, FilterRole, InfoRole, Role, StatisticRole, column_roles, matches, python_type
+from .storage import Workspace
 
 
 def _quoted(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+PART_ROWS = 50_000  # rows that a task holds before their groups are reduced
+
+
+def _reduced(names: list[str], part: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable:
+    """Of a task's tables what ``part`` keeps of each group's rows; a part that keeps most of them is handed on at once."""
+
+    def reduced(held: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(held, ignore_index=True)
+        return pd.concat([part(own)[list(rows.columns)] for _, own in rows.groupby(names, dropna=False, sort=False, observed=True)])
+
+    def run(tables: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for rows in tables:
+            if len(rows):
+                held.append(rows)
+            if sum(map(len, held)) >= PART_ROWS:
+                held = [reduced(held)]
+                if len(held[0]) > PART_ROWS // 2:
+                    yield held.pop()
+        if held:
+            yield reduced(held)
+
+    return run
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Floating NaN becomes null; decimals become doubles."""
     changed = {}
@@ -424,16 +450,21 @@ class RoleFrame:
 
         return self.with_column(name, by_row(F.struct(*[_quoted(c) for c in data])), role)
 
-    def apply_groups(self, by: str | Sequence[str], function: Callable[[pd.DataFrame], pd.DataFrame], schema: str, roles: Mapping | None = None, key: str | None = None, most: int = 1_000_000) -> RoleFrame:
+    def apply_groups(self, by: str | Sequence[str], function: Callable[[pd.DataFrame], pd.DataFrame], schema: str, roles: Mapping | None = None, key: str | None = None, most: int = 1_000_000, part: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> RoleFrame:
         """A table function of the rows of each value of ``by``: any rows of the declared ``schema``, with ``roles`` of their own.
 
         Each group is held by one task, so it may have ``most`` rows at most; null keys are dropped.
+        Groups of any size need ``part``: a table function that keeps, of any rows of one group, those
+        that ``function`` needs. It runs where the rows are read, over bounded parts, so only what it
+        keeps is sent and counted; the values of ``by`` are scalars then.
         """
         names = [by] if isinstance(by, str) else list(by)
         present = self.df.filter(reduce(operator.and_, (_quoted(b).isNotNull() for b in names)))
+        if part is not None:
+            present = Workspace(self.df.sparkSession, "groups").save(present.mapInPandas(_reduced(names, part), present.schema), "kept")
         largest = present.groupBy(*[_quoted(b) for b in names]).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
         if largest > most:
-            raise errors.InvalidArgumentError(f"a function of a group takes {most} rows at most, there is a group of {largest}: aggregate first, or raise most")
+            raise errors.InvalidArgumentError(f"a function of a group takes {most} rows at most, there is a group of {largest}: aggregate first, give a part function that keeps less, or raise most")
         return RoleFrame(present.groupBy(*[_quoted(b) for b in names]).applyInPandas(function, schema), roles, key)
 
     def map(self, function: Callable, kind: str = "double", na_ignore: bool = True) -> RoleFrame:

@@ -907,10 +907,13 @@ def apply_groups(spark, sf):
     """A table function of each priority's orders: its three dearest."""
 
     def dearest(rows):
-        top = rows.sort_values(["price", "id"], ascending=[False, True]).head(3)
+        return rows.sort_values(["price", "id"], ascending=[False, True]).head(3)
+
+    def ranked(rows):
+        top = dearest(rows)
         return top.assign(rank=range(1, len(top) + 1))[["priority", "rank", "price"]]
 
-    return rounded(orders(spark, sf).apply_groups("priority", dearest, "priority string, rank int, price double").df, 2)
+    return rounded(orders(spark, sf).apply_groups("priority", ranked, "priority string, rank int, price double", part=dearest).df, 2)
 
 
 # ---- streams -----------------------------------------------------------------------------------

@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import errors
+from tessera import frame as frame_module
 from tessera.frame import RoleFrame
 from tessera.operators import compare
-from tessera.plans import shells
+from tessera.plans import catalogue, shells
 from tessera.roles import FeatureRole, TargetRole, TreatmentRole
 from tessera.streaming import windows
 
@@ -114,3 +115,27 @@ def test_group_function(spark):
     assert {r.g: r.top for r in out.df.collect()} == {"a": 6.0, "b": 7.0} and out.search_columns(TargetRole) == ["top"]
     with pytest.raises(errors.InvalidArgumentError):
         frame.apply_groups("g", lambda rows: rows, "id long, g string, x double", most=3)
+
+
+def test_group_function_of_parts(spark, monkeypatch):
+    """Groups above ``most`` by what a part function keeps, over several parts and tasks."""
+    monkeypatch.setattr(frame_module, "PART_ROWS", 100)
+    rows = [(i, "abc"[i % 3] if i % 10 else None, float(i * 7919 % 500)) for i in range(3000)]
+    frame = RoleFrame(spark.createDataFrame(rows, "id long, g string, x double").repartition(3), {}, "id")
+    best = lambda own: own.sort_values(["x", "id"], ascending=[False, True]).head(2)
+    expected = sorted((g, i) for g in "abc" for i, _, _ in sorted((r for r in rows if r[1] == g), key=lambda r: (-r[2], r[0]))[:2])
+    out = frame.apply_groups("g", lambda own: best(own)[["g", "id"]], "g string, id long", most=200, part=best)
+    assert sorted((r.g, r.id) for r in out.df.collect()) == expected
+    whole = frame.apply_groups("g", lambda own: pd.DataFrame({"g": own.g.iloc[:1], "n": [len(own)]}), "g string, n long", part=lambda own: own)
+    assert {r.g: r.n for r in whole.df.collect()} == {"a": 900, "b": 900, "c": 900}
+    with pytest.raises(errors.InvalidArgumentError):
+        frame.apply_groups("g", best, "id long, g string, x double", most=200, part=lambda own: own)
+
+
+def test_dearest_orders_of_large_groups(spark, tmp_path, monkeypatch):
+    """The query's groups may be above the rows that one task takes."""
+    monkeypatch.setattr(RoleFrame.apply_groups, "__defaults__", tuple(100 if d == 1_000_000 else d for d in RoleFrame.apply_groups.__defaults__))
+    orders = spark.range(1000).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey", "CAST(id % 90 AS DOUBLE) AS o_totalprice", "timestamp'2020-01-01' AS o_orderdate", "if(id % 2 = 0, 'high', 'low') AS o_orderpriority", "'O' AS o_orderstatus")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    found = sorted((r.priority, r.rank, r.price) for r in catalogue.apply_groups(spark, str(tmp_path)).collect())
+    assert found == [("high", 1, 88.0), ("high", 2, 88.0), ("high", 3, 88.0), ("low", 1, 89.0), ("low", 2, 89.0), ("low", 3, 89.0)]
