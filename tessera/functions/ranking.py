@@ -54,26 +54,29 @@ def hash_labelled(df: DataFrame, key: str, hashed: Column, keys: Sequence[str],
     """Adds ``name`` = label(rank, n): a row's rank (from 1, by ``hashed``, ties by key) and the number of rows, both within ``keys``.
 
     label must not return to an earlier value as the rank grows. Then it is known from counts of
-    hash prefixes wherever a prefix's first and last rank have one label; those counts are sent
-    to the rows, and only rows of the few prefixes that hold an edge are shuffled and ranked.
+    hash prefixes wherever a prefix's first and last rank have one label; ranges of such prefixes
+    are sent to the rows, a few for each of the keys, and only rows of the few prefixes that hold
+    an edge are shuffled and ranked.
     """
     keys = list(keys)
     df = df.withColumn("__hash", hashed).withColumn("__bucket", F.substring("__hash", 1, digits))
     totals = _before(df.groupBy(*[F.col(f"`{k}`") for k in keys], "__bucket").agg(F.count("*").alias("__c")), [f"`{k}`" for k in keys], ["__c"])
     totals = totals.withColumn("__n", F.sum("__c").over(Window.partitionBy(*([F.col(f"`{k}`") for k in keys] or [F.lit(0)]))))
-    totals = Workspace(df.sparkSession, "ranks").save(totals, "buckets")
     names = [f"__s{i}" for i in range(len(keys))]
     off, n = F.col("__c__before"), F.col("__n")
-    small = totals.select(*[F.col(f"`{k}`").alias(a) for k, a in zip(keys, names, strict=True)], F.col("__bucket").alias("__b"), off.alias("__off"), n, label(off + 1, n).alias("__first"), label(off + F.col("__c"), n).alias("__last"))
-    cond = F.col("__bucket") == F.col("__b")
+    told = totals.select(*[F.col(f"`{k}`").alias(a) for k, a in zip(keys, names, strict=True)], F.col("__bucket").alias("__b"), off.alias("__off"), n, label(off + 1, n).alias("__first"), label(off + F.col("__c"), n).alias("__last"))
+    alone = F.when(~F.col("__first").eqNullSafe(F.col("__last")), F.col("__b"))  # prefixes of one label are one range
+    ranges = told.groupBy(*names, "__n", "__first", "__last", alone.alias("__alone")).agg(F.min("__b").alias("__from"), F.max("__b").alias("__to"), F.min("__off").alias("__off")).drop("__alone")
+    ranges = Workspace(df.sparkSession, "ranks").save(ranges, "ranges")
+    cond = F.col("__bucket").between(F.col("__from"), F.col("__to"))
     for k, a in zip(keys, names, strict=True):
         cond &= F.col(f"`{k}`").eqNullSafe(F.col(a))
-    joined = df.join(small, cond)
+    joined = df.join(ranges if keys else F.broadcast(ranges), cond)  # without keys a range for each label and edge
     decided = F.col("__first").eqNullSafe(F.col("__last"))
     inside = Window.partitionBy(*[F.col(f"`{k}`") for k in keys], "__bucket").orderBy("__hash", F.col(f"`{key}`"))
     edge = joined.filter(~decided).withColumn("__rank", F.row_number().over(inside) + F.col("__off")).withColumn(name, label(F.col("__rank"), F.col("__n"))).drop("__rank")
     out = joined.filter(decided).withColumn(name, F.col("__first")).unionByName(edge)
-    return out.drop("__hash", "__bucket", "__b", "__off", "__n", "__first", "__last", *names)
+    return out.drop("__hash", "__bucket", "__from", "__to", "__off", "__n", "__first", "__last", *names)
 
 
 def hash_prefix_sums(df: DataFrame, key: str, hashed: Column, keys: Sequence[str], sums: Sequence[str], digits: int = 3) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from .. import errors
 from ..functions import special
 from ..functions.ranking import cumulative
+from ..storage import Workspace
 from .stats import column
 
 MODES = ("groups", "columns", "columns_in_groups", "cross", "matched_pairs")
@@ -131,6 +132,7 @@ def t_test(df: DataFrame, features: Sequence[str], group: str | None = None, mod
 def _counted(observations: DataFrame) -> DataFrame:
     """feature, group, value, c1, c2: how often each distinct value occurs on either side."""
     counts = observations.groupBy("feature", "label", "side", "value").agg(F.count("*").cast("double").alias("c"))
+    counts = Workspace(observations.sparkSession, "tests").save(counts, "counts")  # read once for each side and for the labels
     base, test = counts.filter("side = 1"), counts.filter("side = 2")
     labels = test.select("feature", F.col("label").alias("group")).distinct()
     cond = (F.col("feature") == F.col("__f")) & (F.col("label").isNull() | (F.col("label") == F.col("group")))

@@ -194,16 +194,19 @@ class AATest:
         const = frame.search_columns(ConstGroupRole)
         return split.Splitter(frame._order(), seed, self.control_size, self.groups_sizes, strata, const[0] if const else None, self.sample_size)
 
-    def _experiments(self, frame: RoleFrame, seeds: Sequence[int], numeric: Sequence[str], text: Sequence[str]) -> DataFrame:
-        """seed, feature, group, test, statistic, p_value, pass."""
+    def _experiments(self, frame: RoleFrame, seeds: Sequence[int], numeric: Sequence[str], text: Sequence[str], ws: Workspace) -> DataFrame:
+        """seed, feature, group, test, statistic, p_value, pass; the splits are stored once for all tests."""
         splitter = self._splitter(frame, 0)
         kept = [frame._order(), *splitter.strata, *([splitter.const] if splitter.const else []), *numeric, *text]
         spread = splitter.split_many(frame.df.select(*[column(c) for c in dict.fromkeys(kept)]), seeds).filter("split is not null")
+        spread = ws.save(spread.select("seed", "split", *[column(c) for c in dict.fromkeys([*numeric, *text])]), "splits")
         parts = []  # each test runs once over all seeds
         for name in dict.fromkeys([*self.tests, *(["chi2-test"] if text else [])]):
             if columns := (text if name in compare.TEXT_TESTS else numeric):
                 parts.append(_by_seed(spread, columns, name, self.equal_var, self.reliability, self.p_values))
-        return reduce(DataFrame.unionByName, parts)
+        tested = ws.save(reduce(DataFrame.unionByName, parts), "tests")
+        ws.drop(spread)
+        return tested
 
     def _stop(self, tested: DataFrame, seeds: Sequence[int]) -> int | None:
         """The first of the seeds, in their order, that ends the search."""
@@ -216,7 +219,7 @@ class AATest:
         ws = Workspace(frame.df.sparkSession, "aa")
         parts = []
         for i in range(0, len(seeds), self.batch):
-            part = ws.save(self._experiments(frame, seeds[i : i + self.batch], numeric, text), "tests")
+            part = self._experiments(frame, seeds[i : i + self.batch], numeric, text, ws)
             parts.append(part)
             if self.sample_size is not None and (stop := self._stop(part, seeds[i : i + self.batch])) is not None:
                 parts = [part.filter(F.col("seed") == stop)]
@@ -229,7 +232,9 @@ class AATest:
         names = list(dict.fromkeys([*self.tests, *(["chi2-test"] if text else [])]))
         best_split = RoleFrame(chosen, frame.roles | {"split": TreatmentRole(str)}, frame.key, _clean=True)
         detail = wide(tested.filter(F.col("seed") == best), names, False)
-        statistic = detail.join(compare.group_difference(chosen, numeric, "split"), ["feature", "group"], "left") if numeric else detail
+        if numeric:
+            difference = ws.save(compare.group_difference(ws.save(chosen.select("split", *[column(c) for c in numeric]), "best"), numeric, "split"), "difference")
+        statistic = detail.join(difference, ["feature", "group"], "left") if numeric else detail
         share = aa_score(tested, self.reliability)
         made = []
         for t in names:
@@ -241,7 +246,7 @@ class AATest:
         either = reduce(lambda a, b: a | b, ((F.col(f"{t} aa test") == "OK") & (F.col(f"{t} best split") == "OK") for t in names))
         resume = resume.withColumn("result", F.when(F.coalesce(either, F.lit(False)), "OK").otherwise("NOT OK"))
         if numeric:
-            resume = resume.join(compare.group_difference(chosen, numeric, "split"), ["feature", "group"], "left")
+            resume = resume.join(difference, ["feature", "group"], "left")
         return AAOutput(resume, tested, scores, share, int(best), best_split, statistic)
 
 

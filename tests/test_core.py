@@ -1,5 +1,6 @@
 """The analytics operators against literals, pandas, commons-math and known effects."""
 
+import hashlib
 import json
 import math
 import os
@@ -611,3 +612,33 @@ def test_registered_simulations_take_the_defaults(spark, monkeypatch, name):
     with pytest.raises(Asked) as found:
         catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert not {"n_iterations", "iterations"} & set(found.value.args[0])
+
+
+def test_aa_reads_its_table_few_times(spark, monkeypatch):
+    """Splits are stored for all tests, and ranges of hashes, not single prefixes, are sent to the rows."""
+    seen, saved = spark.sparkContext.accumulator(0), {}
+    n = 20_000
+
+    def counted(tables):
+        for t in tables:
+            seen.add(len(t))
+            yield t
+
+    df = spark.range(n).selectExpr("id", "CAST(id % 977 AS DOUBLE) AS y", "CAST(id % 3 AS STRING) AS s").mapInPandas(counted, "id long, y double, s string")
+    save = ranking.Workspace.save
+
+    def kept(self, table, name="t"):
+        saved[name] = save(self, table, name)
+        return saved[name]
+
+    monkeypatch.setattr(ranking.Workspace, "save", kept)
+    frame = RoleFrame(df, {StratificationRole(): ["s"], TargetRole(): ["y"]}, "id")
+    out = shells.AATest(n_iterations=4, stratification=True, p_values="asymptotic").execute(frame)
+    held = out.best_split_statistic.collect()
+    assert seen.value <= 6 * n and len(held) == 1
+    assert saved["ranges"].count() <= 3 * 3  # the best seed's: control, edge and test of each stratum
+    own = {r.id: r.split for r in split.Splitter("id", out.best_seed, strata=("s",)).split(df).select("id", "split").collect()}
+    rows = sorted((hashlib.md5(f"{i}:{out.best_seed}".encode()).hexdigest(), i) for i in range(n))
+    for s in range(3):
+        stratum = [i for _, i in rows if i % 3 == s]
+        assert [own[i] for i in stratum] == ["control"] * (len(stratum) // 2) + ["test_1"] * (len(stratum) - len(stratum) // 2)
