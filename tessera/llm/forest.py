@@ -12,7 +12,8 @@ of a leaf on average is compared block by block. Labels above ``node_rows`` firs
 dense cores: rows that link with a sampled row of more than two leaves of links are compared with
 every row in reach, in blocks spread over tasks, and leave the trees with all their links known.
 
-Nodes above ``node_rows`` are split level by level with distributed quantiles, tree by tree;
+Nodes above ``node_rows`` are split level by level with distributed quantiles, all trees at once;
+only the places of vectors in the trees are written at each level, not the vectors;
 below it one task grows the rest of a tree in memory, where the links of a node are one bit
 matrix, so memory depends on ``node_rows`` alone. A label that fits into one node grows all its
 trees in that task.
@@ -237,27 +238,45 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, trees: int = 12, lea
     large = rest.groupBy("label", "dim").count().filter(F.col("count") > node_rows).drop("count")
     all_trees = F.lit(-1).cast("long")
     ready = [nodes.join(large, ["label", "dim"], "left_anti").select("cid", "m", "v", "label", "dim", all_trees.alias("tree"), F.lit(1).cast("long").alias("node"))]
-    open_ = nodes.join(large, ["label", "dim"], "left_semi").withColumn("tree", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trees - 1).cast("long")))).withColumn("node", F.lit(1).cast("long"))
-    open_ = ws.save(open_.select("cid", "m", "v", *group), "open")
+    vectors = ws.save(nodes.join(large, ["label", "dim"], "left_semi").select("cid", "m", "v", "label", "dim"), "vectors")
+    open_ = vectors.select("cid", "label", "dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trees - 1).cast("long"))).alias("tree"), F.lit(1).cast("long").alias("node"))
 
-    @F.pandas_udf("double")
+    @F.pandas_udf("array<double>")
     def project(v: pd.Series, tree: pd.Series, node: pd.Series) -> pd.Series:
-        out = np.zeros(len(v))
-        for (t, k), at in pd.DataFrame({"t": tree.to_numpy(), "k": node.to_numpy()}).groupby(["t", "k"]).indices.items():
-            own = _unit(v.iloc[at])
-            out[at] = own @ _direction(seed, int(t), int(k) % (1 << 62), own.shape[1])
+        out: list = [None] * len(v)
+        for rows in v.reset_index(drop=True).groupby(v.map(len).to_numpy()).indices.values():
+            own, many = _unit(v.iloc[rows]), tree.iloc[rows].map(len).to_numpy()
+            owner = np.repeat(np.arange(len(rows)), many)
+            places = pd.DataFrame({"t": np.concatenate(tree.iloc[rows].to_list()), "k": np.concatenate(node.iloc[rows].to_list())})
+            p = np.zeros(len(owner))
+            for (t, k), at in places.groupby(["t", "k"]).indices.items():
+                p[at] = own[owner[at]] @ _direction(seed, int(t), int(k) % (1 << 62), own.shape[1])
+            for row, part in zip(rows, np.split(p, np.cumsum(many)[:-1]), strict=True):
+                out[row] = part
         return pd.Series(out)
 
+    # places (cid and group) in the trees, to which vectors are joined once, at the end; as files they
+    # are far smaller than in memory, so their size must not decide that a join sends them to all tasks
+    settled: list[DataFrame] = []
     while not open_.isEmpty():
-        projected = ws.save(open_.withColumn("p", project("v", "tree", "node")), "projected")
+        at = open_.groupBy("cid").agg(F.collect_list(F.struct("tree", "node")).alias("at"))
+        projected = vectors.join(at.hint("merge"), "cid").select("cid", "label", "dim", "at", project("v", "at.tree", "at.node").alias("p"))
+        projected = projected.select("cid", "label", "dim", F.explode(F.arrays_zip("at", "p")).alias("x"))
+        projected = ws.save(projected.select("cid", "label", "dim", "x.at.tree", "x.at.node", "x.p"), "projected")
         cuts = projected.groupBy(*group).agg(F.percentile_approx("p", F.array(F.lit(0.5 - spill), F.lit(0.5 + spill)), 10_000).alias("q"), F.count("*").alias("n"))
         cuts = cuts.withColumn("split", (F.col("n") > node_rows) & (F.col("q")[0] < F.col("q")[1]))
         cuts = ws.save(cuts, "cuts")
         there = projected.join(cuts, group)
-        ready.append(there.filter("not split").select("cid", "m", "v", *group))
+        settled.append(ws.save(there.filter("not split").select("cid", *group), "settled"))
         left, right = F.when(F.col("p") <= F.col("q")[1], 2 * F.col("node")), F.when(F.col("p") >= F.col("q")[0], 2 * F.col("node") + 1)
         child = there.filter("split").withColumn("node", F.explode(F.array_compact(F.array(left, right))))
-        open_ = ws.save(child.select("cid", "m", "v", *group), "open")
+        before, open_ = open_, ws.save(child.select("cid", *group), "open")
+        ws.drop(before, projected, cuts)
+    if settled:
+        placed = settled[0]
+        for more in settled[1:]:
+            placed = placed.unionByName(more)
+        ready.append(placed.hint("merge").join(vectors.select("cid", "m", "v"), "cid").select("cid", "m", "v", *group))
 
     def grow(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("cid", kind="stable")
